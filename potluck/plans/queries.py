@@ -1,11 +1,610 @@
-"""The registered queries of the reference operators and their SQL."""
+"""The registered queries of the recipe operators on the given tables, each with its SQL where SQL can express it.
+
+Documents stand for recipes: the first line is the title, the source the book, the language the
+author, the whole text both ingredients and instructions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from potluck.functions import metadata as meta
+from potluck.functions import scoring as s
+from potluck.functions import validate
+from potluck.functions import vocab as v
+from potluck.functions.text import let, lines, sentences, words
+from potluck.operators import abtest, analyze, export, quality, store
+
+from . import oracle as o
+from . import pipeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict:
-    return {}
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower("text")
+    return _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.split("text", "\n")[0].alias("title"),
+        F.col("source").alias("book"),
+        F.col("lang").alias("author"),
+        F.concat_ws("/", "source", "lang").alias("chapter"),
+        F.col("text").alias("ingredients"),
+        F.col("text").alias("instructions"),
+        F.lit(None).cast("string").alias("serves"),
+        F.lit(None).cast("string").alias("prep_time"),
+        F.lit(None).cast("string").alias("cook_time"),
+        F.lit(None).cast("string").alias("notes"),
+        meta.cooking_method(low).alias("cooking_method"),
+        meta.protein_type(low).alias("protein_type"),
+        F.array("lang", "source").alias("tags"),
+    )
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _recipes(spark, sf_dir)
+    parts = [F.col(c) for c in "ingredients instructions serves prep_time cook_time cooking_method protein_type".split()]
+    return r.withColumn("quality_score", s.quality(*parts))
+
+
+_LEVELS = (
+    f"WITH t AS MATERIALIZED (SELECT doc_id, text, source, lang, string_split(text, chr(10))[1] AS title, lower(text) AS low, {o.lines('text')} AS ls FROM documents), "
+    f"p AS MATERIALIZED (SELECT *, {o.ingredient_points('text', 'ls')} AS ip, {o.instruction_points('text', 'low', 'ls')} AS np, {o.method('low')} AS m, {o.protein('low')} AS pr FROM t), "
+    f"r AS MATERIALIZED (SELECT doc_id AS id, title, source AS book, lang AS author, source || '/' || lang AS chapter, text, m AS cooking_method, pr AS protein_type, ip, np, "
+    f"{o.quality('ip', 'np', '', 'text', 'm', 'pr')} AS quality_score FROM p) "
+)
+
+
+# scores
+
+
+@_register(_LEVELS + "SELECT id, ip AS ingredient_points, np AS instruction_points, cooking_method, protein_type, quality_score FROM r")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(
+        "id", s.ingredient_points(F.col("ingredients")).alias("ingredient_points"), s.instruction_points(F.col("instructions")).alias("instruction_points"), "cooking_method", "protein_type", "quality_score"
+    )
+
+
+@_register(
+    _LEVELS
+    + "SELECT count(*) AS total, round(avg(quality_score), 1) AS average, "
+    + ", ".join(
+        f"count(*) FILTER ({t}) AS {n}, round(count(*) FILTER ({t}) * 100.0 / count(*), 1) AS {n}_pct"
+        for n, t in (("excellent", "quality_score >= 70"), ("good", "quality_score BETWEEN 50 AND 69"), ("fair", "quality_score BETWEEN 30 AND 49"), ("poor", "quality_score < 30"))
+    )
+    + " FROM r"
+)
+def quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.tiers(_scored(spark, sf_dir))
+
+
+@_register(_LEVELS + "SELECT id, title, quality_score FROM r ORDER BY quality_score DESC, id LIMIT 5")
+def top5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.top(_scored(spark, sf_dir)).select("id", "title", "quality_score")
+
+
+@_register(_LEVELS + "SELECT book, count(*) AS n, round(avg(quality_score), 4) AS avg_quality, min(id) AS first_id FROM r GROUP BY book")
+def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 4).alias("avg_quality"), F.min("id").alias("first_id"))
+
+
+@_register(
+    "WITH t AS (SELECT doc_id, length(text) AS n FROM documents) SELECT doc_id, round((CASE WHEN n > 500 THEN 0.2 WHEN n > 200 THEN 0.1 ELSE 0 END + "
+    "CASE WHEN n > 200 THEN 0.3 WHEN n > 100 THEN 0.2 WHEN n > 50 THEN 0.1 ELSE 0 END + CASE WHEN n > 300 THEN 0.3 WHEN n > 150 THEN 0.2 WHEN n > 100 THEN 0.1 ELSE 0 END + "
+    "CASE WHEN n > 0 THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS confidence FROM t"
+)
+def validator_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(s.validator_confidence(t, t, t), 6).alias("confidence"))
+
+
+@_register(o.levels(o.INGREDIENT_BASE, o.INGREDIENT_PARTS, {**{n: n for n in o.INGREDIENT_PARTS}, "confidence": o.INGREDIENT_SCORE}))
+def ingredient_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text", s.ingredient_components(F.col("text")).alias("c"))
+    parts = [F.round(F.col(f"c.{n}"), 6).alias(n) for n in o.INGREDIENT_PARTS]
+    return d.select("doc_id", *parts, F.round(s.ingredient_confidence(F.col("text")), 6).alias("confidence"))
+
+
+@_register(o.levels(o.INSTRUCTION_BASE, o.INSTRUCTION_PARTS, {**{n: n for n in ("verb_density", "markers", "imperative", "paragraph", "measurement")}, "confidence": o.INSTRUCTION_SCORE}))
+def instruction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    low = F.lower(t)
+    parts = {
+        "verb_density": s.verb_density(low),
+        "markers": let(low, s.marker_score),
+        "imperative": s.imperative_share(low),
+        "paragraph": s.paragraph_length(t),
+        "measurement": s.measurement_penalty(t),
+        "confidence": s.instruction_confidence(t),
+    }
+    return _table(spark, sf_dir, "documents").select("doc_id", *[F.round(x, 6).alias(n) for n, x in parts.items()])
+
+
+@_register(o.levels(o.LINGUISTIC_BASE, {}, o.LINGUISTIC_SCORES))
+def linguistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    scores = {"instruction_score": s.instruction_linguistic(t), "metadata_score": s.metadata_linguistic(t), "ingredient_score": s.ingredient_linguistic(t)}
+    return _table(spark, sf_dir, "documents").select("doc_id", *[F.round(x, 6).alias(n) for n, x in scores.items()])
+
+
+@_register(o.levels(o.LEGACY_BASE, {}, o.LEGACY_SCORES))
+def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", F.round(s.legacy_linguistic(t), 6).alias("legacy_linguistic"), F.round(s.legacy_ingredient_confidence(t), 6).alias("legacy_pattern")
+    )
+
+
+@_register(
+    "WITH t AS MATERIALIZED (SELECT conv_id, turn, text, lower(text) AS low FROM conversations) SELECT conv_id, turn, "
+    + ", ".join(f"round({o.guard('text', 3, o.confidence('low', k))}::DOUBLE, 6) AS {k}" for k in s.FIELD_CONFIDENCE)
+    + " FROM t"
+)
+def metadata_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.round(s.field_confidence(F.col("text"), k), 6).alias(k) for k in s.FIELD_CONFIDENCE])
+
+
+# predicates
+
+
+_TITLES = f"WITH t AS MATERIALIZED (SELECT doc_id, text, lower(text) AS low, {o.strip('string_split(text, chr(10))[1]')} AS title FROM documents), u AS MATERIALIZED (SELECT *, lower(title) AS tl FROM t) "
+_SUB = f"regexp_matches(title, {o.q('(?i)' + v.SUB_SECTION)})"
+_SINGLE = f"(list_contains({o.array(v.SINGLE_INGREDIENTS)}, tl) OR regexp_matches(tl, {o.q('^(?:' + '|'.join(v.SINGLE_INGREDIENTS) + ') ')}))"
+_ITEM_TITLE = (
+    f"(CASE WHEN regexp_matches(title, {o.q('(?i)' + o.edges(v.QUANTITY_TITLE))}) THEN true WHEN length(title) > 40 THEN false "
+    f"WHEN length(title) < 20 AND (regexp_matches(title, '\\d') OR {_SINGLE}) THEN true ELSE length(title) < 30 AND {o.search('title', v.MEASUREMENT)} END)"
+)
+
+
+@_register(
+    _TITLES
+    + f", w AS MATERIALIZED (SELECT doc_id, {_SUB} AS sub_section, {o.any_of('tl', v.EXCLUDED)} AS excluded, {_ITEM_TITLE} AS ingredient_title, "
+    f"(CASE WHEN {o.whole_words('low', v.COOKING_VERBS)} >= 3 THEN 3 ELSE 0 END + "
+    f"CASE WHEN len(regexp_extract_all(low, {o.q('(?i)' + o.edges(v.MEASUREMENT))})) >= 2 THEN 2 ELSE 0 END + "
+    "CASE WHEN regexp_matches(low, '(?:^|[^\\p{L}\\p{N}_])(?:ingredient|what you need)(?:[^\\p{L}\\p{N}_]|$)') THEN 2 ELSE 0 END + "
+    "CASE WHEN regexp_matches(low, '(?:^|[^\\p{L}\\p{N}_])(?:direction|instruction|method|steps?)(?:[^\\p{L}\\p{N}_]|$)') THEN 2 ELSE 0 END + "
+    "CASE WHEN length(text) > 200 THEN 1 ELSE 0 END)::INTEGER AS points FROM u) "
+    "SELECT *, NOT sub_section AND NOT excluded AND NOT ingredient_title AND points >= 5 AS valid FROM w"
+)
+def valid_recipe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _recipes(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("ingredients").alias("text"), F.regexp_replace("title", r"(?U)^\s+|\s+$", "").alias("title"))
+    t = F.col("title")
+    return d.select(
+        "doc_id",
+        validate.is_sub_section(t).alias("sub_section"),
+        validate.has_excluded_word(t).alias("excluded"),
+        validate.is_ingredient_title(t).alias("ingredient_title"),
+        validate.recipe_points(F.col("text")).alias("points"),
+        validate.is_valid_recipe(F.col("text"), t).alias("valid"),
+    )
+
+
+@_register(
+    _TITLES + f"SELECT doc_id, NOT (regexp_matches(tl, '^(?:chapter|part)\\s+\\d+') OR {o.any_of('tl', v.EXCLUDED)} OR length(title) < 3 OR regexp_matches(title, '^\\d+$')) "
+    f"AND ({o.any_of('tl', v.TOC_FOODS)} OR length(title) > 10) AS likely FROM u"
+)
+def toc_likely_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _recipes(spark, sf_dir).select(F.col("id").alias("doc_id"), F.regexp_replace("title", r"(?U)^\s+|\s+$", "").alias("title"))
+    return d.select("doc_id", validate.is_likely_recipe_title(F.col("title")).alias("likely"))
+
+
+_FIRST = "rtrim(lower(regexp_split_to_array(x, '\\s+')[1]), ',.:;')"
+_IS_ITEM = f"(length(x) BETWEEN 5 AND 150 AND {o.search('x', v.MEASUREMENT)} AND NOT list_contains({o.array(v.LINE_VERBS)}, {_FIRST}))"
+_IS_STEP = f"(length(x) >= 10 AND (length(x) > 100 OR list_contains({o.array(v.LINE_VERBS)}, {_FIRST})))"
+_IS_HEAD = f"(length(x) <= 60 AND {o.any_of('lower(x)', v.TEXT_INGREDIENT_KEYWORDS)} AND NOT {o.search('x', v.MEASUREMENT)})"
+_IS_STOP = f"regexp_matches(lower(x), {o.q(v.STOP_LINE)})"
+
+
+@_register(
+    f"WITH t AS MATERIALIZED (SELECT doc_id, {o.lines('text')} AS ls FROM documents) SELECT doc_id, len(ls)::INTEGER AS n_lines, "
+    + ", ".join(f"{o.count_if('ls', x)}::INTEGER AS {n}" for n, x in (("items", _IS_ITEM), ("steps", _IS_STEP), ("heads", _IS_HEAD), ("stops", _IS_STOP)))
+    + " FROM t"
+)
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", lines(F.col("text")).alias("ls"))
+    tests = {"items": validate.is_ingredient_line, "steps": validate.is_instruction_line, "heads": validate.is_ingredient_header, "stops": validate.is_stop_line}
+    return d.select("doc_id", F.size("ls").alias("n_lines"), *[F.size(F.filter("ls", f)).alias(n) for n, f in tests.items()])
+
+
+_ISLANDS = (
+    "WITH l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, "
+    + o.lines("text")
+    + " AS ls FROM documents)), g AS (SELECT doc_id, i, x, length(x) BETWEEN 20 AND 100 AS fit FROM l), "
+    "k AS (SELECT *, sum(CASE WHEN fit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g) "
+)
+
+
+@_register(
+    _ISLANDS + ", r AS (SELECT doc_id, island, count(*) AS n, min(i) AS first_line FROM k WHERE fit GROUP BY ALL) "
+    "SELECT doc_id, max(n)::BIGINT AS longest, arg_max(first_line, n * 1000000 - first_line)::BIGINT AS first_line FROM r GROUP BY doc_id"
+)
+def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN3, WIN4, AGG15: the longest run of lines of 20 to 100 characters, the first of equal ones, without a shuffle."""
+    def step(a, x):
+        run = F.when(F.length(x).between(20, 100), a["run"] + 1).otherwise(F.lit(0).cast("long"))
+        better = run > a["best"]
+        return F.struct(run.alias("run"), (a["i"] + 1).alias("i"), F.when(better, run).otherwise(a["best"]).alias("best"), F.when(better, a["i"] - run + 1).otherwise(a["at"]).alias("at"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("run"), F.lit(1).cast("long").alias("i"), zero.alias("best"), zero.alias("at"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.aggregate(lines(F.col("text")), start, step).alias("a"))
+    return d.where("a.best > 0").select("doc_id", F.col("a.best").alias("longest"), F.col("a.at").alias("first_line"))
+
+
+# metadata
+
+
+_PHRASES = (
+    "SELECT p_partkey AS id, 'Serves ' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '-' || (p_size + 2) WHEN p_partkey % 3 = 1 THEN ' to ' || (p_size + 3) ELSE '' END AS servings, "
+    "CASE p_partkey % 6 WHEN 0 THEN p_size || ' minutes' WHEN 1 THEN (p_partkey % 30) || ' hours' WHEN 2 THEN (p_partkey % 5) || '.5 hours ' || p_size || ' mins' "
+    "WHEN 3 THEN '-' || p_size || ' minutes' WHEN 4 THEN CAST(p_size * 40 AS VARCHAR(9)) ELSE p_type END AS time FROM part"
+)
+
+
+@_register(
+    f"WITH t AS ({_PHRASES}), m AS (SELECT id, regexp_extract(servings, '(\\d+)\\s*(?:-|to)\\s*(\\d+)|(\\d+)') AS f, lower(time) AS x FROM t), "
+    "n AS (SELECT id, f, x, coalesce(floor(TRY_CAST(nullif(regexp_extract(x, '(\\d+(?:\\.\\d+)?)\\s*(?:hour|hr)s?', 1), '') AS DOUBLE) * 60)::BIGINT, 0) "
+    "+ coalesce(TRY_CAST(nullif(regexp_extract(x, '(\\d+)\\s*(?:minute|min)s?', 1), '') AS BIGINT), 0) AS total, "
+    "CASE WHEN regexp_matches(x, '^\\d+$') THEN CAST(x AS BIGINT) END AS bare FROM m) "
+    "SELECT id, CASE WHEN f = '' THEN NULL ELSE regexp_replace(f, '\\s*(?:-|to)\\s*', '-') END AS servings, "
+    "CASE WHEN regexp_matches(x, '(?:^|\\s)-\\s*\\d') THEN NULL WHEN total BETWEEN 1 AND 1440 THEN total WHEN bare BETWEEN 1 AND 1440 THEN bare END::INTEGER AS minutes FROM n"
+)
+def parse_servings_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    size = F.col("p_size")
+    servings = F.concat(F.lit("Serves "), size, F.when(n % 3 == 0, F.concat(F.lit("-"), size + 2)).when(n % 3 == 1, F.concat(F.lit(" to "), size + 3)).otherwise(""))
+    time = (
+        F.when(n % 6 == 0, F.concat(size, F.lit(" minutes")))
+        .when(n % 6 == 1, F.concat(n % 30, F.lit(" hours")))
+        .when(n % 6 == 2, F.concat(n % 5, F.lit(".5 hours "), size, F.lit(" mins")))
+        .when(n % 6 == 3, F.concat(F.lit("-"), size, F.lit(" minutes")))
+        .when(n % 6 == 4, (size * 40).cast("string"))
+        .otherwise(F.col("p_type"))
+    )
+    return _table(spark, sf_dir, "part").select(n.alias("id"), meta.parse_servings(servings).alias("servings"), meta.parse_time(time).alias("minutes"))
+
+
+@_register(
+    "WITH t AS (SELECT p_partkey AS id, p_name AS title, p_size AS z, p_partkey % 4 AS k FROM part) SELECT id, "
+    "CASE k WHEN 0 THEN CAST(z AS VARCHAR) WHEN 1 THEN z || '-' || (z + 2) END AS serves, "
+    "CASE WHEN k = 0 THEN CAST(z AS VARCHAR) END AS prep_time, CASE WHEN k IN (0, 2) THEN CAST(z + 60 AS VARCHAR) END AS cook_time, "
+    f"{o.method('lower(title) || chr(32) || CASE k WHEN 0 THEN (chr(103) || chr(114) || chr(105) || chr(108) || chr(108)) ELSE chr(32) END')} AS cooking_method, "
+    f"{o.protein('lower(title) || chr(32) || CASE WHEN k = 1 THEN (chr(108) || chr(97) || chr(109) || chr(98)) ELSE chr(32) END')} AS protein_type FROM t"
+)
+def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MET1 over phrases of each part: four kinds of recipe notes with servings, times, a method or a protein."""
+    z, k = F.col("p_size"), F.col("p_partkey") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("Serves: "), z, F.lit("\nPrep time: "), z, F.lit(" minutes\nCook time: 1 hour "), z, F.lit(" minutes\nGrill it")))
+        .when(k == 1, F.concat(F.lit("Makes "), z, F.lit(" to "), z + 2, F.lit(" plates of lamb")))
+        .when(k == 2, F.concat(F.lit("Baking time: 1 hr "), z, F.lit(" min")))
+        .otherwise("nothing to see")
+    )
+    m = meta.extract_metadata(text, F.col("p_name"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), m.alias("m")).select("id", "m.*")
+
+
+# store
+
+
+def _tag_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """recipe_tags and tags of documents: language, source and the label's quality; a tag's id is its hash."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit(" Quality_"), F.col("quality"), F.lit(" ")).alias("q"))
+    r = _recipes(spark, sf_dir).select("id", "tags").join(labels, "id", "left").select("id", F.array_append("tags", F.col("q")).alias("tags"))
+    named = store.normal_tags(r).withColumn("tag_id", F.xxhash64("tag_name"))
+    return named.select("recipe_id", "tag_id"), named.select(F.col("tag_id").alias("id"), "tag_name").distinct()
+
+
+_TAGS = (
+    "WITH g AS (SELECT doc_id AS id, lang AS tag_name FROM documents UNION SELECT doc_id, source FROM documents UNION "
+    "SELECT l.doc_id, 'quality_' || quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id) "
+)
+
+
+@_register("SELECT doc_id AS id, source AS book, lang AS author FROM documents WHERE source = 'src3' AND lang = 'en'")
+def filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.where_equal(_recipes(spark, sf_dir), {"book": "src3", "author": "en", "chapter": None}).select("id", "book", "author")
+
+
+@_register("SELECT count(*) AS n FROM documents WHERE lang = 'fr'")
+def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.where_equal(_recipes(spark, sf_dir), {"author": "fr"}).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(_LEVELS + "SELECT id, quality_score FROM r WHERE quality_score >= 30")
+def min_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("quality_score") >= 30).select("id", "quality_score")
+
+
+@_register(_LEVELS + "SELECT id, title, quality_score FROM r WHERE title ILIKE '%the_and%' OR text ILIKE '%the_and%' ORDER BY quality_score DESC, id LIMIT 50")
+def search_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL11 with its limit of 50 best, "_" being wild."""
+    return store.by_quality(store.matching(_scored(spark, sf_dir), "the_and"), 50).select("id", "title", "quality_score")
+
+
+@_register(_TAGS + "SELECT DISTINCT id FROM g WHERE tag_name IN ('fr', 'quality_0')")
+def tags_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, tags = _tag_tables(spark, sf_dir)
+    return store.with_any_tag(_recipes(spark, sf_dir), links, tags, ["FR", "quality_0"]).select("id")
+
+
+@_register(_TAGS + "SELECT id FROM g WHERE tag_name IN ('en', 'quality_1') GROUP BY id HAVING count(DISTINCT tag_name) = 2")
+def tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, tags = _tag_tables(spark, sf_dir)
+    return store.with_all_tags(_recipes(spark, sf_dir), links, tags, ["en", "Quality_1"]).select("id")
+
+
+@_register(_TAGS + "SELECT tag_name, count(*) AS count FROM g GROUP BY tag_name")
+def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.tag_counts(*_tag_tables(spark, sf_dir))
+
+
+@_register(_TAGS + "SELECT id, array_to_string(list_sort(list(tag_name)), ',') AS tags FROM g GROUP BY id")
+def tags_per_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_metadata = _recipes(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string"))
+    return store.attach_tags(with_metadata, *_tag_tables(spark, sf_dir)).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@_register(
+    "WITH s AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 3) "
+    "SELECT p_partkey AS id, p_brand AS book FROM part WHERE p_partkey IN (SELECT l_partkey FROM s) AND p_size >= 10"
+)
+def semi_join_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI1, AGG5, SET6: an m:n relation counted per key, then a semi join in place of DISTINCT."""
+    many = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n")).where("n >= 3")
+    return _table(spark, sf_dir, "part").where("p_size >= 10").join(many, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("book"))
+
+
+@_register(_TAGS + ", known AS (SELECT DISTINCT lang AS tag_name FROM documents) SELECT DISTINCT tag_name FROM g WHERE tag_name NOT IN (SELECT tag_name FROM known)")
+def upsert_new_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI9: the tag names an insert-or-ignore would add to those that exist."""
+    _, tags = _tag_tables(spark, sf_dir)
+    known = _table(spark, sf_dir, "documents").select(F.col("lang").alias("tag_name")).distinct()
+    return tags.select("tag_name").join(known, "tag_name", "left_anti")
+
+
+# A/B
+
+
+def _ab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    sure = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 97) / 97.0)
+    test = F.struct(
+        (F.col("quality") == 1).alias("old_success"),
+        (F.col("toxic") == 0).alias("new_success"),
+        ((F.col("quality") == 1) == (F.col("toxic") == 0)).alias("agreement"),
+        sure.alias("confidence"),
+        F.when(F.col("doc_id") % 2 == 0, "structural_zones").otherwise("original_with_patterns").alias("strategy"),
+    )
+    return d.select(
+        F.concat(F.lit("t"), "doc_id").alias("title"), F.col("source").alias("book"), F.when(F.col("quality").isNotNull(), F.to_json(F.struct(test.alias("ab_test")))).alias("metadata")
+    )
+
+
+_AB = (
+    "WITH a AS (SELECT 't' || d.doc_id AS title, source AS book, quality = 1 AS old_success, toxic = 0 AS new_success, (quality = 1) = (toxic = 0) AS agreement, "
+    "CASE WHEN d.doc_id % 5 <> 0 THEN (d.doc_id % 97) / 97.0::DOUBLE END AS confidence, CASE WHEN d.doc_id % 2 = 0 THEN 'structural_zones' ELSE 'original_with_patterns' END AS strategy "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id) "
+)
+
+
+@_register(
+    _AB + "SELECT count(*) AS total_tests, round(avg(agreement::INT) * 100, 6) AS agreement_rate, round(avg(old_success::INT) * 100, 6) AS old_success_rate, "
+    "round(avg(new_success::INT) * 100, 6) AS new_success_rate, round(avg(confidence), 6) AS avg_confidence FROM a"
+)
+def ab_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = abtest.statistics(_ab(spark, sf_dir))
+    return r.select("total_tests", *[F.round(c, 6).alias(c) for c in r.columns[1:]])
+
+
+@_register(_AB + "SELECT title, book, old_success, new_success, round(confidence, 6) AS confidence, strategy FROM a WHERE NOT agreement")
+def ab_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abtest.disagreements(_ab(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@_register(
+    "WITH t AS (SELECT doc_id, length(text) > 1000 AS a, length(source) > 25 AS b, length(text) AS x, length(source) AS y FROM documents) "
+    "SELECT doc_id, x::INTEGER AS old_length, y::INTEGER AS new_length, x > 1000 AS old_success, y > 1000 AS new_success, (x > 1000) = (y > 1000) AS agreement FROM t"
+)
+def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = F.struct(F.lit(0.5).alias("confidence"), F.lit(0.5).alias("linguistic_score"), F.lit("x").alias("strategy"), F.lit(True).alias("used_structural_detector"))
+    c = abtest.compare(F.col("text"), F.col("source"), details, 1000)
+    return _table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", *[f"c.{n}" for n in ("old_length", "new_length", "old_success", "new_success", "agreement")])
+
+
+# data quality
+
+
+_DQ = ("text", "lang", "source")
+
+
+@_register(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL OR {c} = '') AS missing, count(*) FILTER ({c} <> '' AND NOT regexp_matches({c}, '[0-9]')) AS garbage, "
+        f"count(*) FILTER (coalesce(TRY_CAST(regexp_extract({c}, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) > 0) AS positive FROM documents"
+        for c in _DQ
+    )
+)
+def dq_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.completeness(_table(spark, sf_dir, "documents"), list(_DQ))
+
+
+@_register("SELECT lang AS value, count(*) AS count FROM documents WHERE lang <> '' AND NOT regexp_matches(lang, '[0-9]') GROUP BY lang ORDER BY count DESC, value LIMIT 10")
+def dq_garbage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.top_garbage(_table(spark, sf_dir, "documents"), "lang")
+
+
+@_register(
+    "SELECT (SELECT count(*) FROM documents) AS total, count(DISTINCT l.doc_id) AS tagged, round(count(DISTINCT l.doc_id) * 100.0 / (SELECT count(*) FROM documents), 1) AS coverage_pct FROM labels l"
+)
+def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.tag_coverage(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "recipe_id"))
+
+
+@_register(
+    "SELECT event_type AS arm, round(avg(value), 4) AS avg_seconds, round(avg((value > 50)::INT) * 100, 4) AS success_rate, round(avg(value / 100), 4) AS avg_confidence FROM events GROUP BY event_type"
+)
+def benchmark_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("arm"), F.col("value").alias("seconds"), (F.col("value") > 50).alias("success"), (F.col("value") / 100).alias("confidence")
+    )
+    r = quality.benchmark_means(runs)
+    return r.select("arm", *[F.round(c, 4).alias(c) for c in r.columns[1:]])
+
+
+# pages
+
+
+@_register("SELECT " + ", ".join(f"sum(len(regexp_extract_all(html, '<h{i}[ >]')))::BIGINT AS h{i}" for i in range(1, 7)) + " FROM pages")
+def structure_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.header_distribution(_table(spark, sf_dir, "pages"), "html")
+
+
+@_register("SELECT " + ", ".join(f"count(*) FILTER (contains(lower(html), '{w}')) AS {w.replace(' ', '_')}" for w in v.STRUCTURE_INDICATORS) + " FROM pages")
+def indicator_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.indicator_frequency(_table(spark, sf_dir, "pages"), "html")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", r"//([^/]+)/", 1)
+    return _table(spark, sf_dir, "pages").select(
+        host.alias("book"), F.lit("web").alias("author"), F.col("url").alias("item_name"), F.col("page_id").cast("int").alias("item_ordinal"), F.lit("Unknown").alias("chapter"), F.col("html").alias("content")
+    )
+
+
+@_register()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOM1 to DOM9 over all pages."""
+    return pipeline.split_sections(_pages(spark, sf_dir)).select("item_ordinal", "section_ordinal", "title", F.length("text").alias("n_chars"))
+
+
+@_register()
+def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING2, ING12, INS1, INS13, MET6 over all sections of all pages, with ING11, INS12 and MET5 on top."""
+    p = pipeline.extract_parts(pipeline.split_sections(_pages(spark, sf_dir)))
+    a = pipeline.ingredients_with_patterns(F.col("zone_text"), F.col("zone_method"), F.col("zone_confidence"), F.col("zone_count"), F.col("legacy_ingredients"))
+    b = pipeline.instructions_with_patterns(F.col("instruction_zones"), F.col("legacy_instructions"))
+    c = meta.metadata_with_patterns(F.col("metadata_zone_text"), F.col("metadata_zone_count"), F.col("text"), F.col("title"))
+    return p.select("item_ordinal", "section_ordinal", "zone_count", a.alias("a"), b.alias("b"), c.alias("c")).select(
+        "item_ordinal",
+        "section_ordinal",
+        "zone_count",
+        F.col("a.details.strategy").alias("ingredient_strategy"),
+        F.round("a.details.combined_score", 6).alias("ingredient_score"),
+        F.col("b.details.strategy").alias("instruction_strategy"),
+        F.round("b.details.confidence", 6).alias("instruction_confidence"),
+        F.col("c.strategy").alias("metadata_strategy"),
+        F.col("c.zone_count").alias("metadata_zones"),
+    )
+
+
+@_register()
+def extract_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole extraction pipeline over all pages."""
+    return pipeline.extract_from_documents(_pages(spark, sf_dir)).select("title", "book", "epub_section", "quality_score", "metadata")
+
+
+@_register()
+def fuzzy_match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI5: every customer name against every supplier name, the best match of 0.6 or more."""
+    a = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("entry_title"))
+    b = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("title_id"), F.col("s_name").alias("title"))
+    return analyze.best_matches(a, b)
+
+
+# exports
+
+
+_NORM = "lower(regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _safe(x: str, otherwise: str) -> str:
+    marks = f"regexp_replace({x}, '[<>:\"/\\\\|?*]', '-', 'g')"
+    return f"coalesce(nullif(substr(regexp_replace(trim({marks}, '. '), '[\\s-]+', '-', 'g'), 1, 100), ''), '{otherwise}')"
+
+
+_TITLED = "WITH r AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, source AS book FROM documents) "
+
+
+@_register(_TITLED + f", k AS (SELECT title, count(*) OVER (PARTITION BY {_NORM}) AS n FROM r) SELECT title, max(n) AS n FROM k WHERE n > 1 GROUP BY title")
+def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.duplicate_titles(_recipes(spark, sf_dir))
+
+
+@_register(
+    _TITLED + f", k AS (SELECT *, count(*) OVER (PARTITION BY {_NORM}) AS n FROM r) SELECT id, {_safe('book', 'unknown')} || '/' || {_safe('title', 'untitled')} || "
+    f"CASE WHEN n > 1 THEN '-' || {_safe('book', 'untitled')} ELSE '' END || '.md' AS path FROM k"
+)
+def vault_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.vault_paths(_recipes(spark, sf_dir))
+
+
+_ENTRY = (
+    "'## ' || row_number() OVER (ORDER BY quality_score DESC, id) || '. ' || title || chr(10) || chr(10) || '**Author:** ' || author || chr(10) || chr(10) || '**Book:** ' || book || chr(10) || chr(10) || "
+    "'**Chapter:** ' || chapter || chr(10) || chr(10) || '*Quality Score: ' || quality_score || '/100*' || chr(10) || chr(10) || '### Ingredients' || chr(10) || chr(10) || text || chr(10) || chr(10) || "
+    "'### Instructions' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+)
+
+
+@_register(_LEVELS + f"SELECT row_number() OVER (ORDER BY quality_score DESC, id)::INTEGER AS number, {_ENTRY} AS value FROM r")
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.markdown_entries(_scored(spark, sf_dir))
+
+
+@_register(
+    _LEVELS + "SELECT id, '---' || chr(10) || 'title: \"' || replace(title, '\"', '\\\"') || '\"' || chr(10) || 'book: \"' || book || '\"' || chr(10) || 'author: \"' || author || '\"' || chr(10) || "
+    "'chapter: \"' || chapter || '\"' || chr(10) || 'tags:' || chr(10) || '  - ' || author || chr(10) || '  - ' || book || chr(10) || "
+    "CASE WHEN cooking_method IS NOT NULL THEN 'cooking_method: \"' || cooking_method || '\"' || chr(10) ELSE '' END || "
+    "CASE WHEN protein_type IS NOT NULL THEN 'protein_type: \"' || protein_type || '\"' || chr(10) ELSE '' END || "
+    "CASE WHEN quality_score <> 0 THEN 'quality_score: ' || quality_score || chr(10) ELSE '' END || '---' AS value FROM r"
+)
+def vault_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("id", export.frontmatter().alias("value"))
+
+
+@_register(
+    "WITH r AS (SELECT p_partkey AS id, 'Part ' || p_name || '(page ' || p_size || ') and Unknown Name(page 3)' AS x FROM part) "
+    "SELECT id, regexp_replace(x, '(\\d*)([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)\\s*\\(page\\s+\\d+\\)', '[[\\2]]', 'g') AS value FROM r"
+)
+def vault_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI8: references in notes; a part's name that is a title leads to it, another name to itself."""
+    r = _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("Part "), "p_name", F.lit("(page "), "p_size", F.lit(") and Unknown Name(page 3)")).alias("notes")
+    )
+    return export.with_links(r, ["notes"]).select("id", F.col("notes").alias("value"))
+
+
+@_register("SELECT doc_id, len(" + o.words("text") + ")::INTEGER AS n_words, len(" + o.sentences("text") + ")::INTEGER AS n_sentences, regexp_replace(text, '\\{[^}]+\\}', '', 'g') = text AS plain FROM documents")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOM2, DOM8, DOM9: words, sentences and marks of texts."""
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(words(t)).alias("n_words"), F.size(sentences(t)).alias("n_sentences"), (F.regexp_replace(t, r"\{[^}]+\}", "") == t).alias("plain")
+    )
