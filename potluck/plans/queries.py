@@ -525,10 +525,38 @@ def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register()
+_ITEMS = ["2 cups flour", "{z} tablespoons sugar", "1 tsp salt", "3 large eggs"]
+_STEPS = ["Preheat the oven and mix the flour with the sugar.", "Stir in the eggs, then bake until golden.", "Remove, let it cool and serve warm."]
+
+
+def _cookbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of a cookbook per part: a section with a title, servings, a time, a list of ingredients and one of steps."""
+    z = F.col("p_size").cast("string")
+    items = F.lit("</li><li>".join(_ITEMS))
+    page = F.concat(
+        F.lit("<html><body><section><h2>Golden cake number "), "p_partkey", F.lit("</h2><p>Serves "), z, F.lit("</p><p>Prep time: "), z, F.lit(" minutes</p><ul class='ingredients'><li>"),
+        F.replace(items, F.lit("{z}"), z), F.lit("</li></ul><ol><li>" + "</li><li>".join(_STEPS) + "</li></ol></section></body></html>"),
+    )
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("book"), F.lit("Parts").alias("author"), F.concat(F.lit("p"), "p_partkey").alias("item_name"), F.lit(0).alias("item_ordinal"), F.lit("Unknown").alias("chapter"), page.alias("content")
+    )
+
+
+_COOKBOOK = (
+    "WITH t AS (SELECT 'Golden cake number ' || p_partkey AS title, p_brand AS book, 'p' || p_partkey AS epub_section, CAST(p_size AS VARCHAR) AS serves, "
+    f"replace({o.q(chr(10).join(_ITEMS))}, '{{z}}', CAST(p_size AS VARCHAR)) AS text, {o.q((chr(10) * 2).join(f'{i}. {x}' for i, x in enumerate(_STEPS, 1)))} AS steps FROM part), "
+    f"l AS (SELECT *, {o.lines('text')} AS ls, {o.lines('steps')} AS ss FROM t) "
+    "SELECT title, book, epub_section, text AS ingredients, steps AS instructions, serves, serves AS prep_time, 'bake' AS cooking_method, "
+    f"({o.ingredient_points('text', 'ls')} + {o.instruction_points('steps', 'lower(steps)', 'ss')} + 7)::INTEGER AS quality_score FROM l"
+)
+
+
+@_register(_COOKBOOK)
 def extract_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction pipeline over all pages."""
-    return pipeline.extract_from_documents(_pages(spark, sf_dir)).select("title", "book", "epub_section", "quality_score", "metadata")
+    """The whole extraction pipeline over a cookbook with a page per part."""
+    return pipeline.extract_from_documents(_cookbook(spark, sf_dir)).select(
+        "title", "book", "epub_section", "ingredients", "instructions", "serves", "prep_time", "cooking_method", "quality_score"
+    )
 
 
 @_register()
