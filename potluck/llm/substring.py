@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, MIX1, U64, Words, chunks, cut, mix, utf8
 
-LEAST, K, CONTEXT = 50, 17, 16
+LEAST, K = 50, 17
+#: Longest period, in words, that is told from ordinary text.
+PERIOD = 8
+#: Columns of an anchor with the hashes of its surroundings.
+CLASSES = ["c0", "c1", "c2", "c3", "c4"]
 
 
 def word_hashes(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -55,8 +59,9 @@ def sliding_min(x: np.ndarray, window: int) -> np.ndarray:
 def winnow(h: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors among words and the document of each.
 
-    h[i] is the hash of the k words from i on, wherever they end; first are the documents' bounds. In
-    a window the rightmost least hash is chosen, so equal ones give few anchors.
+    h[i] is the hash of the k words from i on, wherever they end; first are the documents' bounds. Of
+    equal least hashes in a window the one with the greatest place modulo 64 is chosen, which stays
+    the same while the window moves on, so a run of equal words gives few anchors.
     """
     n = len(h)
     if n == 0:
@@ -66,7 +71,7 @@ def winnow(h: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.nd
     last = first[1:][doc] - k  # the last position whose k words are in the document
     at = np.arange(n)
     ok = at <= last
-    # hashes lose their low bits for the place in the window: a later one wins a tie
+    # hashes give their low bits to the place
     key = (h & ~U64(63)) | (U64(63) - (at % 64).astype(U64))
     key[~ok] = U64(0xFFFFFFFFFFFFFFFF)
     if n < window:
@@ -82,37 +87,41 @@ def winnow(h: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.nd
     return pos, doc[pos]
 
 
-def context_hashes(words: np.ndarray, pos: np.ndarray, doc: np.ndarray, first: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the `span` words before and after each anchor (fewer at a document's edge)."""
-    left, right = np.zeros(len(pos), U64), np.zeros(len(pos), U64)
+def splits(context: int) -> list[tuple[int, int]]:
+    """Ways to share out `context` words before and after an anchor, a quarter at a time."""
+    return [(i * context // 4, context - i * context // 4) for i in range(5)]
+
+
+def context_hashes(words: np.ndarray, pos: np.ndarray, doc: np.ndarray, first: np.ndarray, k: int, context: int) -> list[np.ndarray]:
+    """For each of the splits a 32-bit hash of that many words before and after each anchor."""
     lo, hi = first[:-1][doc], first[1:][doc]
     top = max(0, len(words) - 1)
-    for j in range(1, span + 1):
+    left, right = [np.zeros(len(pos), U64)], [np.zeros(len(pos), U64)]
+    for j in range(1, context + 1):
         p = pos - j
-        left = left * MIX1 + np.where(p >= lo, words[np.maximum(p, 0)], GOLDEN)
+        left.append(left[-1] * MIX1 + np.where(p >= lo, words[np.maximum(p, 0)], GOLDEN))
         p = pos + k - 1 + j
-        right = right * MIX1 + np.where(p < hi, words[np.minimum(p, top)], GOLDEN)
-    return (mix(left) >> U64(32)).astype(np.int64), (mix(right) >> U64(32)).astype(np.int64)
+        right.append(right[-1] * MIX1 + np.where(p < hi, words[np.minimum(p, top)], GOLDEN))
+    return [(mix(left[i] * GOLDEN + right[j]) >> U64(32)).astype(np.uint32).view(np.int32) for i, j in splits(context)]
 
 
-def _anchors(k: int, window: int, span: int):
+def _anchors(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, words, first in word_hashes(batch.column(1)):
                 h = rolling(words, k)
                 pos, doc = winnow(h, first, k, window)
-                left, right = context_hashes(words, pos, doc, first, k, span)
+                sides = context_hashes(words, pos, doc, first, k, window - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[pos].view(np.int64)),
                         ids.take(pa.array(lo + doc)),
                         pa.array((pos - first[:-1][doc]).astype(np.int32)),
                         pa.array(np.diff(first)[doc].astype(np.int32)),
-                        pa.array(left),
-                        pa.array(right),
+                        *[pa.array(x) for x in sides],
                     ],
-                    names=["h", "doc_id", "pos", "n", "l", "r"],
+                    names=["h", "doc_id", "pos", "n", *CLASSES],
                 )
 
     return run
@@ -130,11 +139,36 @@ def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (start in a, start in b, words) of at least `least` words through the seeds (position in a, in b)."""
+def period(x: np.ndarray, i: int, k: int) -> int:
+    """The least period up to PERIOD of x[i:i + k], 0 if there is none."""
+    part = x[i : i + k]
+    return next((p for p in range(1, min(PERIOD, k - 1) + 1) if (part[p:] == part[:-p]).all()), 0)
+
+
+def run_bounds(x: np.ndarray, i: int, k: int, p: int) -> tuple[int, int]:
+    """Where the run of period p around x[i:i + k] begins and ends."""
+    ahead = np.flatnonzero(x[i + k :] != x[i + k - p : -p])
+    back = np.flatnonzero(x[:i] != x[p : i + p])
+    return (int(back[-1]) + 1 if len(back) else 0), (i + k + int(ahead[0]) if len(ahead) else len(x))
+
+
+def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int, k: int = K) -> list[tuple[int, int, int]]:
+    """Maximal matches (start in a, start in b, words) of at least `least` words through the seeds (position in a, in b).
+
+    In a run of few repeating words a seed stands for one on every diagonal of the two runs, as an
+    anchor may lie anywhere in them.
+    """
+    every = set(seeds)
+    for i, j in seeds:
+        p = period(a, i, k)
+        if p:
+            (a0, a1), (b0, b1) = run_bounds(a, i, k, p), run_bounds(b, j, k, p)
+            shift = (i - a0 - (j - b0)) % p
+            every.update((x, b0) for x in range(a0 + shift, a1 - k + 1, p))
+            every.update((a0, y) for y in range(b0 + (-shift) % p, b1 - k + 1, p))
     out = []
     reach: dict[int, int] = {}
-    for i, j in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
+    for i, j in sorted(every, key=lambda s: (s[0] - s[1], s[0])):
         if reach.get(i - j, -1) > i:
             continue  # within the match found last on this diagonal
         n = min(len(a) - i, len(b) - j)
@@ -149,7 +183,7 @@ def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: in
     return out
 
 
-def _extender(least: int):
+def _extender(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
@@ -160,7 +194,7 @@ def _extender(least: int):
                 packed = [s.as_py() for s in seeds[i].values]
                 pairs = [(s >> 32, s & 0xFFFFFFFF) for s in packed]
                 x, y = np.frombuffer(words_a[i].as_buffer(), np.uint32), np.frombuffer(words_b[i].as_buffer(), np.uint32)
-                for p, q, n in extend(x, y, pairs, least):
+                for p, q, n in extend(x, y, pairs, least, k):
                     rows += [(a, p, p + n, b), (b, q, q + n, a)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["doc_id", "start_word", "end_word", "other"])
 
@@ -168,18 +202,19 @@ def _extender(least: int):
 
 
 def seed_pairs(anchors: DataFrame) -> DataFrame:
-    """(a, b, seed) from anchors: each occurrence with the first one of its anchor, and of its anchor with equal words before or after.
+    """(a, b, seed) from anchors: each occurrence with the first one of its anchor, and of its anchor with each kind of equal surroundings.
 
-    The first occurrence is that in the shortest document. n occurrences give at most 3 n pairs instead
-    of n * n / 2; two documents whose long match goes beyond what either shares with the first
-    occurrence share the words on one side of the anchor, or an anchor out there, and meet on that.
+    The first occurrence is that in the shortest document. n occurrences give at most 6 n pairs instead
+    of n * n / 2. Two documents whose match reaches beyond what either shares with the first
+    occurrence have equal surroundings of some kind there, and so a first occurrence in common that
+    shares at least a passage of the wanted length with both, but for a quarter of the surroundings.
     """
     order = ["n", "doc_id", "pos"]
     heads = anchors
-    for name, keys in (("all", ["h"]), ("left", ["h", "l"]), ("right", ["h", "r"])):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        heads = heads.withColumn(name, F.first(F.struct("doc_id", "pos")).over(w))
-    pairs = heads.select("doc_id", "pos", F.explode(F.array_distinct(F.array("all", "left", "right"))).alias("head")).where("head.doc_id <> doc_id")
+    for name in ("all", *CLASSES):
+        w = Window.partitionBy("h", *([] if name == "all" else [name])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        heads = heads.withColumn(f"head_{name}", F.first(F.struct("doc_id", "pos")).over(w))
+    pairs = heads.select("doc_id", "pos", F.explode(F.array_distinct(F.array(*[f"head_{n}" for n in ("all", *CLASSES)]))).alias("head")).where("head.doc_id <> doc_id")
     return pairs.select(
         F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), (F.shiftleft(F.col("head.pos").cast("long"), 32) + F.col("pos")).alias("seed")
     )
@@ -198,7 +233,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text by order is read); other columns are not read. Texts are matched whole.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    anchors = base.mapInArrow(_anchors(k, least - k + 1, CONTEXT), "h long, doc_id long, pos int, n int, l long, r long")
+    anchors = base.mapInArrow(_anchors(k, least - k + 1), "h long, doc_id long, pos int, n int, " + ", ".join(f"{c} int" for c in CLASSES))
     # anchors that only one document has leave before anything is sorted
     anchors, _ = cut(anchors)
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h")
@@ -209,7 +244,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sided = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b")), "b").join(
         words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a")), "a"
     )
-    found = sided.select("a", "b", "seeds", "words_a", "words_b").mapInArrow(_extender(least), "doc_id long, start_word long, end_word long, other long")
+    found = sided.select("a", "b", "seeds", "words_a", "words_b").mapInArrow(_extender(least, k), "doc_id long, start_word long, end_word long, other long")
     each = found.groupBy("doc_id", "start_word", "end_word").agg(F.min("other").alias("other_doc_id"), F.countDistinct("other").alias("n_others"))
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
     return (
