@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, utf8
 
-BUCKETS, ORDER, ALPHA, THRESHOLD = 1 << 16, 4, 1.0, -0.05
+BUCKETS, ORDER, ALPHA, THRESHOLD = 1 << 16, 4, 1.0, -0.2
 #: Most trusted documents whose n-grams make the target multinomial; of more, those with the least hash of the id are taken.
 TRUSTED = 20_000
 
@@ -58,7 +58,11 @@ def _counter(order: int, buckets: int):
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, order: int = ORDER, buckets: int = BUCKETS, alpha: float = ALPHA, most: int = TRUSTED) -> np.ndarray:
-    """log p_target - log p_raw of every bucket; raw counts are over all of docs(doc_id, text), target ones over trusted(doc_id)."""
+    """log p_target - log p_raw of every bucket; raw counts are over all of docs(doc_id, text), target ones over trusted(doc_id).
+
+    p_raw is smoothed by alpha for each bucket, p_target by as many grams in all spread as in p_raw,
+    so that without evidence the ratio is 0, however small the target is.
+    """
     ids = trusted.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     marked = docs.join(F.broadcast(ids.withColumn("__t", F.lit(True))), "doc_id", "left").select("text", F.coalesce("__t", F.lit(False)).alias("t"))
     rows = (
@@ -67,10 +71,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, order: int = ORDER, buckets:
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         .toPandas()
     )
-    raw, target = np.full(buckets, alpha), np.full(buckets, alpha)
+    raw, target = np.full(buckets, alpha), np.zeros(buckets)
     raw[rows["bucket"]] += rows["raw"]
     target[rows["bucket"]] += rows["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    p_raw = raw / raw.sum()
+    prior = alpha * buckets
+    return np.log((target + prior * p_raw) / (target.sum() + prior)) - np.log(p_raw)
 
 
 def _scorer(weights, order: int, threshold: float):
@@ -108,11 +114,11 @@ def score_quality(
 
     `trusted` has the ids (doc_id) of trusted documents; at most `most_trusted` of them, by hash of
     the id, make the target multinomial. The raw one is counted over all documents. Both are
-    smoothed by `alpha` and have `buckets` cells, so what is collected and broadcast has a fixed size.
+    smoothed and have `buckets` cells, so what is collected and broadcast has a fixed size.
 
     A null or empty text, or one shorter than `order` bytes, has n_grams 0, score 0 and is not
     kept; a null id stays null and is never trusted; repeated rows count each time and score
-    alike; without trusted documents the target is uniform; other columns are not read.
+    alike; without trusted documents every score is 0; other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     w = log_ratios(base, trusted.select(F.col("doc_id").cast("long").alias("doc_id")), order, buckets, alpha, most_trusted)
