@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from . import bpe, gif, langid, licenses, minhash, mixing, quality, secrets, sharding, substring
 from .common import table
 
-#: Shards of the sharding query.
-SHARDS = 24
-
-
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample_to_targets(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 6))
 
@@ -31,7 +27,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.histogram_sort(table(spark, sf_dir, "documents"), SHARDS)
+    return sharding.histogram_sort(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rule(spark: SparkSession, sf_dir: str) -> DataFrame:

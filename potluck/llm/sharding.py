@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TOLERANCE, PROBES = 0.01, 32
+#: Bytes of text in a shard where no number of shards is given.
+SHARD_BYTES = 32 << 20
 
 
 def _counter(probes: np.ndarray):
@@ -84,11 +86,17 @@ def splitters(slim: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
 
 
 def histogram_sort(
-    docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, probes: int = PROBES
+    docs: DataFrame,
+    shards: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tolerance: float = TOLERANCE,
+    probes: int = PROBES,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """docs with a column shard (0 to shards - 1), partitioned by shard and ordered by id_col in each.
 
-    Shards are key ranges of nearly equal UTF-8 bytes of text_col. The shard is found with a
+    Without a number of shards there are as many as make about `shard_bytes` each. Shards are key ranges of nearly equal UTF-8 bytes of text_col. The shard is found with a
     chain of comparisons in the JVM, so the texts cross no Python process.
 
     A null id sorts first, as the smallest long, and so is in shard 0; rows with equal ids stay
@@ -98,6 +106,8 @@ def histogram_sort(
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1).cast("long"))
     slim, _ = cut(docs.select(key.alias("key"), F.greatest(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)).cast("long").alias("bytes")))
+    if shards is None:
+        shards = max(1, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes))
     cuts, _ = splitters(slim, shards, tolerance, probes)
     rest = docs.drop("shard") if "shard" in docs.columns else docs
     if len(cuts):
