@@ -27,8 +27,8 @@ from .common import chunks, env_path
 VOCABULARY = env_path("POTLUCK_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a task remembers with their ids; when it is full it is emptied, which changes no result.
-REMEMBERED = 300_000
-TEXT_BYTES = 4 << 20
+REMEMBERED = 150_000
+TEXT_BYTES = 2 << 20
 
 
 def _printable() -> dict[str, int]:

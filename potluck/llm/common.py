@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised operators look at together (a longer document goes alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 MIX1, MIX2, GOLDEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -183,8 +183,12 @@ def int64(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == U64 else values.astype(np.int64))
 
 
-def is_cluster(spark: SparkSession) -> bool:
-    return not spark.sparkContext.master.startswith("local[")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def env_path(name: str, default: str) -> str:

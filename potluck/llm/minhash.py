@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Words, chunks, cut, drop_cut, grams, mix, utf8
+from .common import GOLDEN, U64, Words, chunks, cut, drop_cut, fresh, grams, mix, utf8
 
 SLOTS, ROWS_PER_BAND, SHINGLE, THRESHOLD = 128, 4, 2, 0.55
 
@@ -251,6 +251,6 @@ def near_duplicate_groups(
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that near_duplicate_groups would drop; all columns stay."""
     groups = near_duplicate_groups(docs, **parameters)
-    gone = groups.where(~F.col("keep")).select(F.col("doc_id").alias("__gone"))
-    id_col = parameters.get("id_col", "doc_id")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = groups.where(~F.col("keep")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs[parameters.get("id_col", "doc_id")] == gone[name], "left_anti")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, fresh
 
 DIMENSIONS = ("source", "lang", "topic")
 ITERATIONS, FRACTION, TEMPERATURE, SEED = 20, 0.6, 0.7, "mix-1"
@@ -173,13 +173,16 @@ def sample_documents(docs: DataFrame, **parameters) -> DataFrame:
     id_col, text_col, seed = parameters.get("id_col", "doc_id"), parameters.get("text_col", "text"), parameters.get("seed", SEED)
     rest = {k: v for k, v in parameters.items() if k not in ("id_col", "text_col", "seed")}
     cells = tagged(docs, id_col, text_col).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass"))
-    p = cell_probabilities(cells, **rest).select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("p").alias("__p"))
+    p = cell_probabilities(cells, **rest)
+    # a struct has one name, which must not be that of a column of docs
+    name = fresh(docs, "cell")
+    p = p.select(F.struct(*DIMENSIONS, "p").alias(name))
     on = (
-        (F.coalesce(docs["source"], F.lit(NONE)) == F.col("__s"))
-        & (F.coalesce(docs["lang"], F.lit(NONE)) == F.col("__l"))
-        & (topic(docs[text_col]) == F.col("__t"))
+        (F.coalesce(docs["source"], F.lit(NONE)) == p[name]["source"])
+        & (F.coalesce(docs["lang"], F.lit(NONE)) == p[name]["lang"])
+        & (topic(docs[text_col]) == p[name]["topic"])
     )
-    return docs.join(p, on).where(uniform(docs[id_col], seed) < F.col("__p")).drop("__s", "__l", "__t", "__p")
+    return docs.join(p, on).where(uniform(docs[id_col], seed) < p[name]["p"]).drop(name)
 
 
 def oracle(fraction: float = FRACTION, iterations: int = ITERATIONS, temperature: float = TEMPERATURE, seed: str = SEED) -> str:

@@ -34,7 +34,7 @@ ALLOW = [
     r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",
     r"(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz).*",
     r"(?:.*/){3,}[A-Za-z_\-]*",
-    r"(.{1,8})\1{2,}",
+    r"(.{1,16}?)\1{2,}",
 ]
 ALLOW_BEFORE = [r"sha(?:1|256|384|512)[-:= ]+$", r"md5[-:= ]+$", r"(?:commit|tree|blob)[/ ]$", r"base64,$", r"(?i:checksum)[-:= \"']+$"]
 CONTEXT = 32
