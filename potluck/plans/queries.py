@@ -17,6 +17,7 @@ from potluck.functions import validate
 from potluck.functions import vocab as v
 from potluck.functions.text import let, lines, sentences, words
 from potluck.operators import abtest, analyze, export, quality, store
+from potluck.sources.tables import read_table, spread
 
 from . import oracle as o
 from . import pipeline
@@ -45,12 +46,17 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
+
+
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are costly to work on."""
+    return spread(read_table(spark, sf_dir, name).select(*columns))
 
 
 def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
-    return _table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").select(
         F.col("doc_id").alias("id"),
         F.split("text", "\n")[0].alias("title"),
         F.col("source").alias("book"),
@@ -122,12 +128,12 @@ def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def validator_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(s.validator_confidence(t, t, t), 6).alias("confidence"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.round(s.validator_confidence(t, t, t), 6).alias("confidence"))
 
 
 @_register(o.levels(o.INGREDIENT_BASE, o.INGREDIENT_PARTS, {**{n: n for n in o.INGREDIENT_PARTS}, "confidence": o.INGREDIENT_SCORE}))
 def ingredient_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").select("doc_id", "text", s.ingredient_components(F.col("text")).alias("c"))
+    d = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", s.ingredient_components(F.col("text")).alias("c"))
     parts = [F.round(F.col(f"c.{n}"), 6).alias(n) for n in o.INGREDIENT_PARTS]
     return d.select("doc_id", *parts, F.round(s.ingredient_confidence(F.col("text")), 6).alias("confidence"))
 
@@ -144,20 +150,20 @@ def instruction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "measurement": s.measurement_penalty(t),
         "confidence": s.instruction_confidence(t),
     }
-    return _table(spark, sf_dir, "documents").select("doc_id", *[F.round(x, 6).alias(n) for n, x in parts.items()])
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *[F.round(x, 6).alias(n) for n, x in parts.items()])
 
 
 @_register(o.levels(o.LINGUISTIC_BASE, {}, o.LINGUISTIC_SCORES))
 def linguistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     scores = {"instruction_score": s.instruction_linguistic(t), "metadata_score": s.metadata_linguistic(t), "ingredient_score": s.ingredient_linguistic(t)}
-    return _table(spark, sf_dir, "documents").select("doc_id", *[F.round(x, 6).alias(n) for n, x in scores.items()])
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *[F.round(x, 6).alias(n) for n, x in scores.items()])
 
 
 @_register(o.levels(o.LEGACY_BASE, {}, o.LEGACY_SCORES))
 def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.round(s.legacy_linguistic(t), 6).alias("legacy_linguistic"), F.round(s.legacy_ingredient_confidence(t), 6).alias("legacy_pattern")
     )
 
@@ -168,7 +174,7 @@ def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM t"
 )
 def metadata_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.round(s.field_confidence(F.col("text"), k), 6).alias(k) for k in s.FIELD_CONFIDENCE])
+    return _texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", *[F.round(s.field_confidence(F.col("text"), k), 6).alias(k) for k in s.FIELD_CONFIDENCE])
 
 
 # predicates
@@ -228,7 +234,7 @@ _IS_STOP = f"regexp_matches(lower(x), {o.q(v.STOP_LINE)})"
     + " FROM t"
 )
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").select("doc_id", lines(F.col("text")).alias("ls"))
+    d = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", lines(F.col("text")).alias("ls"))
     tests = {"items": validate.is_ingredient_line, "steps": validate.is_instruction_line, "heads": validate.is_ingredient_header, "stops": validate.is_stop_line}
     return d.select("doc_id", F.size("ls").alias("n_lines"), *[F.size(F.filter("ls", f)).alias(n) for n, f in tests.items()])
 
@@ -254,7 +260,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("run"), F.lit(1).cast("long").alias("i"), zero.alias("best"), zero.alias("at"))
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.aggregate(lines(F.col("text")), start, step).alias("a"))
+    d = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.aggregate(lines(F.col("text")), start, step).alias("a"))
     return d.where("a.best > 0").select("doc_id", F.col("a.best").alias("longest"), F.col("a.at").alias("first_line"))
 
 
@@ -484,7 +490,7 @@ def benchmark_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("SELECT " + ", ".join(f"sum(len(regexp_extract_all(html, '<h{i}[ >]')))::BIGINT AS h{i}" for i in range(1, 7)) + " FROM pages")
 def structure_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.header_distribution(_table(spark, sf_dir, "pages"), "html")
+    return analyze.header_distribution(_texts(spark, sf_dir, "pages", "html"), "html")
 
 
 @_register("SELECT " + ", ".join(f"count(*) FILTER (contains(lower(html), '{w}')) AS {w.replace(' ', '_')}" for w in v.STRUCTURE_INDICATORS) + " FROM pages")
@@ -494,7 +500,7 @@ def indicator_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"//([^/]+)/", 1)
-    return _table(spark, sf_dir, "pages").select(
+    return _texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
         host.alias("book"), F.lit("web").alias("author"), F.col("url").alias("item_name"), F.col("page_id").cast("int").alias("item_ordinal"), F.lit("Unknown").alias("chapter"), F.col("html").alias("content")
     )
 
@@ -537,7 +543,7 @@ def _cookbook(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<html><body><section><h2>Golden cake number "), "p_partkey", F.lit("</h2><p>Serves "), z, F.lit("</p><p>Prep time: "), z, F.lit(" minutes</p><ul class='ingredients'><li>"),
         F.replace(items, F.lit("{z}"), z), F.lit("</li></ul><ol><li>" + "</li><li>".join(_STEPS) + "</li></ol></section></body></html>"),
     )
-    return _table(spark, sf_dir, "part").select(
+    return _texts(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").select(
         F.col("p_brand").alias("book"), F.lit("Parts").alias("author"), F.concat(F.lit("p"), "p_partkey").alias("item_name"), F.lit(0).alias("item_ordinal"), F.lit("Unknown").alias("chapter"), page.alias("content")
     )
 
@@ -562,7 +568,7 @@ def extract_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register()
 def fuzzy_match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI5: every customer name against every supplier name, the best match of 0.6 or more."""
-    a = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("entry_title"))
+    a = _texts(spark, sf_dir, "customer", "c_custkey", "c_name").select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("entry_title"))
     b = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("title_id"), F.col("s_name").alias("title"))
     return analyze.best_matches(a, b)
 
@@ -633,6 +639,6 @@ def vault_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM2, DOM8, DOM9: words, sentences and marks of texts."""
     t = F.col("text")
-    return _table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.size(words(t)).alias("n_words"), F.size(sentences(t)).alias("n_sentences"), (F.regexp_replace(t, r"\{[^}]+\}", "") == t).alias("plain")
     )
