@@ -152,23 +152,43 @@ def run_bounds(x: np.ndarray, i: int, k: int, p: int) -> tuple[int, int]:
     return (int(back[-1]) + 1 if len(back) else 0), (i + k + int(ahead[0]) if len(ahead) else len(x))
 
 
+def slides(a0: int, a1: int, b0: int, b1: int, p: int, shift: int, least: int) -> list[tuple[int, int, int]]:
+    """The longest matches of two runs of one period on the diagonals congruent to shift modulo p.
+
+    Those are the diagonals on which the shorter run lies within the longer, and the first and last
+    ones on which either run begins or ends; the matches of others lie within these.
+    """
+    m, n = a1 - a0, b1 - b0
+    x, y = a0 + (b0 + shift - a0) % p, b0 + (a0 - shift - b0) % p
+    u, w = a1 - (a1 - b1 - shift) % p, b1 - (b1 - a1 + shift) % p
+    out = [(a0, y, min(m, b1 - y)), (x, b0, min(a1 - x, n))]
+    out += [(a1 - q, w - q, q) for q in [min(m, w - b0)]] + [(u - q, b1 - q, q) for q in [min(u - a0, n)]]
+    if min(m, n) >= least:
+        out += [(i, b0, n) for i in range(x, a1 - n + 1, p)] if m >= n else [(a0, j, m) for j in range(y, b1 - m + 1, p)]
+    return [f for f in set(out) if f[2] >= least]
+
+
 def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int, k: int = K) -> list[tuple[int, int, int]]:
     """Maximal matches (start in a, start in b, words) of at least `least` words through the seeds (position in a, in b).
 
-    In a run of few repeating words a seed stands for one on every diagonal of the two runs, as an
-    anchor may lie anywhere in them.
+    In a run of few repeating words an anchor may lie anywhere, so there a seed stands for all
+    diagonals of the two runs. A match leaves the runs only where both begin or both end.
     """
-    every = set(seeds)
+    out: list[tuple[int, int, int]] = []
+    plain, runs = set(), set()
     for i, j in seeds:
         p = period(a, i, k)
-        if p:
-            (a0, a1), (b0, b1) = run_bounds(a, i, k, p), run_bounds(b, j, k, p)
-            shift = (i - a0 - (j - b0)) % p
-            every.update((x, b0) for x in range(a0 + shift, a1 - k + 1, p))
-            every.update((a0, y) for y in range(b0 + (-shift) % p, b1 - k + 1, p))
-    out = []
+        if not p:
+            plain.add((i, j))
+            continue
+        (a0, a1), (b0, b1) = run_bounds(a, i, k, p), run_bounds(b, j, k, p)
+        run = (a0, a1, b0, b1, p, (i - j) % p)
+        if run not in runs:
+            runs.add(run)
+            out += slides(*run, least)
+            plain.update((x, y) for x, y in ((a0, b0), (a1 - k, b1 - k)) if (x - y - i + j) % p == 0)
     reach: dict[int, int] = {}
-    for i, j in sorted(every, key=lambda s: (s[0] - s[1], s[0])):
+    for i, j in sorted(plain, key=lambda s: (s[0] - s[1], s[0])):
         if reach.get(i - j, -1) > i:
             continue  # within the match found last on this diagonal
         n = min(len(a) - i, len(b) - j)
@@ -194,8 +214,9 @@ def _extender(least: int, k: int):
                 packed = [s.as_py() for s in seeds[i].values]
                 pairs = [(s >> 32, s & 0xFFFFFFFF) for s in packed]
                 x, y = np.frombuffer(words_a[i].as_buffer(), np.uint32), np.frombuffer(words_b[i].as_buffer(), np.uint32)
-                for p, q, n in extend(x, y, pairs, least, k):
-                    rows += [(a, p, p + n, b), (b, q, q + n, a)]
+                found = extend(x, y, pairs, least, k)
+                rows += [(a, p, q, b) for p, q in {(p, p + n) for p, _, n in found}]
+                rows += [(b, p, q, a) for p, q in {(p, p + n) for _, p, n in found}]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["doc_id", "start_word", "end_word", "other"])
 
     return run
