@@ -607,7 +607,7 @@ _ENTRY = (
 )
 
 
-@_register(_LEVELS + f"SELECT row_number() OVER (ORDER BY quality_score DESC, id)::INTEGER AS number, {_ENTRY} AS value FROM r")
+@_register(_LEVELS + f"SELECT row_number() OVER (ORDER BY quality_score DESC, id)::BIGINT AS number, {_ENTRY} AS value FROM r")
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.markdown_entries(_scored(spark, sf_dir))
 
