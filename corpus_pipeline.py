@@ -18,27 +18,42 @@ MIX_FRACTION = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the known languages have too small a share go."""
+    """Documents in which the known languages have too small a share go.
+
+    A null or empty text, or one without words, has no language and goes; a null tag, source or id is
+    no reason to go; repeated rows are judged each; an empty table stays empty; other columns are dropped.
+    """
     return langid.keep_identified(docs).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays.
+
+    Rows with a null id, a null or empty text or no words are in no group and stay; rows that
+    repeat an id are one document, which stays or goes as a whole; an empty table stays empty.
+    """
     return minhash.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays, with its new length."""
+    """Secrets are masked in the text; every document stays, with its new length.
+
+    A null text stays null, with a null length; an empty one stays empty; repeated rows are masked alike.
+    """
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by probabilities raked to source, language and topic targets."""
+    """A sample by probabilities raked to source, language and topic targets.
+
+    Null sources and languages are a value of their own; a null or empty text weighs nothing but is
+    sampled with its cell; rows that repeat an id in one cell stay or go together.
+    """
     return mixing.sample_documents(docs, fraction=MIX_FRACTION).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, tokens, exact): the documents as token ids."""
+    """(doc_id, n_tokens, tokens, exact): the documents as token ids; a null or empty text has none, a null id stays null."""
     return bpe.tokenize(docs)
 
 

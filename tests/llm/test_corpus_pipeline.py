@@ -6,6 +6,8 @@ import corpus_pipeline
 from potluck.llm import bpe, langid, minhash, mixing, secrets
 from potluck.llm import queries as q
 
+from .util import SCHEMA, clashing, prose
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA) or not os.path.exists(bpe.VOCABULARY), reason="no test data here")
 
@@ -36,6 +38,37 @@ def test_run_equals_the_stages_rows_by_rows(spark):
     assert {r["doc_id"]: r["tokens"] for r in got} == want and all(r["exact"] for r in got)
 
 
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def awkward(spark):
+    text = "the house and the river with water and people in the morning "
+    long = (text * 9000) + prose(1, 500)
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", "a", None), (3, text, None, None, 61), (4, text * 2 + HEX, "en", "a", 1), (5, long, "en", "b", 1), (6, text, "en", "a", 61), (6, text, "en", "a", 61), (7, "!!!", "en", "a", 3)]
+    return clashing(spark.createDataFrame(rows, SCHEMA), "keep", "group_id", "gone", "cell", "p", "tokens", "n_tokens", "exact", "topic", "sig")
+
+
+EXPECTED = {
+    "language_id": [3, 4, 5, 6, 6],
+    "near_dedup": [None, 1, 2, 3, 5, 7],  # 4 and 6 are near copies of 3
+    "secret_scan": [None, 1, 2, 3, 4, 5, 6, 6, 7],
+    "byte_bpe": [None, 1, 2, 3, 4, 5, 6, 6, 7],
+}
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_awkward_rows(spark, name, stage):
+    df = awkward(spark)
+    out = stage(spark, df, DATA)
+    ids = sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=lambda i: -1 if i is None else i)
+    assert ids == EXPECTED[name] if name in EXPECTED else set(ids) <= {r["doc_id"] for r in df.collect()}
+    assert out.columns == (corpus_pipeline.COLUMNS if name != "byte_bpe" else ["doc_id", "n_tokens", "tokens", "exact"])
+    if name == "secret_scan":
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert HEX not in got[4]["text"] and got[4]["n_chars"] == len(got[4]["text"]) and got[2]["text"] is None and got[2]["n_chars"] is None
+    assert stage(spark, df.limit(0), DATA).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_queries_run(spark, name):
     df = q.queries()[name](spark, DATA)
