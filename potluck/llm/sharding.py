@@ -20,26 +20,33 @@ from .common import cut
 TOLERANCE, PROBES = 0.01, 32
 #: Bytes of text in a shard where no number of shards is given.
 SHARD_BYTES = 32 << 20
+#: Most shards made where no number is given: an exchange keeps a size for every pair of task and shard.
+MOST_SHARDS = 20_000
+#: Most probes of a round; with many boundaries each gets fewer, and more rounds.
+MOST_PROBES = 400_000
 
 
-def _counter(probes: np.ndarray):
+def _counter(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = shared.value
         total = np.zeros(len(probes) + 1, dtype=np.int64)
         for batch in batches:
             keys, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # a key below or equal to probe i falls in a bin up to i
             np.add.at(total, np.searchsorted(probes, keys, side="left"), size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int64)), pa.array(total)], names=["bin", "bytes"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bin", "bytes"])
 
     return count
 
 
 def bytes_up_to(slim: DataFrame, probes: np.ndarray) -> np.ndarray:
     """For each probe the exact bytes of the rows with a key <= it."""
-    rows = slim.mapInArrow(_counter(probes), "bin long, bytes long").groupBy("bin").agg(F.sum("bytes").alias("bytes")).collect()
+    shared = slim.sparkSession.sparkContext.broadcast(probes)
+    rows = slim.mapInArrow(_counter(shared), "bin long, bytes long").groupBy("bin").agg(F.sum("bytes").alias("bytes")).toArrow()
+    shared.destroy()
     total = np.zeros(len(probes) + 1, dtype=np.int64)
-    for r in rows:
-        total[r["bin"]] = r["bytes"]
+    total[rows["bin"].to_numpy()] = rows["bytes"].to_numpy()
     return np.cumsum(total)[:-1]
 
 
@@ -65,20 +72,22 @@ def splitters(slim: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
         if not open_:
             break
         rounds += 1
+        each = max(1, min(probes, MOST_PROBES // len(open_)))
         wanted: set[int] = set()
         for i in open_:
             # one probe where the count would be if bytes lay evenly in the bracket, the others evenly spaced
             guess = lo[i] + round((hi[i] - lo[i]) * float((goal[i] - at_lo[i]) / max(1.0, at_hi[i] - at_lo[i])))
             wanted.add(min(max(guess, lo[i] + 1), hi[i] - 1))
-            wanted.update(lo[i] + (hi[i] - lo[i]) * j // (probes + 1) for j in range(1, probes + 1) if lo[i] < lo[i] + (hi[i] - lo[i]) * j // (probes + 1) < hi[i])
+            wanted.update(k for j in range(1, each + 1) if lo[i] < (k := lo[i] + (hi[i] - lo[i]) * j // (each + 1)) < hi[i])
         keys = np.array(sorted(wanted), dtype=np.int64)
         count = bytes_up_to(slim, keys)
-        for i in open_:
-            for k, c in zip(keys.tolist(), count.tolist()):
-                if c < goal[i] and k > lo[i]:
-                    lo[i], at_lo[i] = k, c
-                elif c >= goal[i] and k < hi[i]:
-                    hi[i], at_hi[i] = k, c
+        # the counts rise with the keys: the last probe below a goal and the first that reaches it bound its bracket
+        first = np.searchsorted(count, goal[open_], side="left")
+        for i, f in zip(open_, first.tolist()):
+            if f > 0 and keys[f - 1] > lo[i]:
+                lo[i], at_lo[i] = int(keys[f - 1]), int(count[f - 1])
+            if f < len(keys) and keys[f] < hi[i]:
+                hi[i], at_hi[i] = int(keys[f]), int(count[f])
             for k, c in ((lo[i], at_lo[i]), (hi[i], at_hi[i])):
                 if abs(c - goal[i]) < off[i] and k >= low:
                     best[i], off[i] = k, abs(c - goal[i])
@@ -96,7 +105,7 @@ def histogram_sort(
 ) -> DataFrame:
     """docs with a column shard (0 to shards - 1), partitioned by shard and ordered by id_col in each.
 
-    Without a number of shards there are as many as make about `shard_bytes` each. Shards are key ranges of nearly equal UTF-8 bytes of text_col. The shard is found with a
+    Without a number of shards there are as many as make about `shard_bytes` each, at most MOST_SHARDS. Shards are key ranges of nearly equal UTF-8 bytes of text_col. The shard is found with a
     chain of comparisons in the JVM, so the texts cross no Python process.
 
     A null id sorts first, as the smallest long, and so is in shard 0; rows with equal ids stay
@@ -107,11 +116,12 @@ def histogram_sort(
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1).cast("long"))
     slim, _ = cut(docs.select(key.alias("key"), F.greatest(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)).cast("long").alias("bytes")))
     if shards is None:
-        shards = max(1, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes))
+        shards = min(MOST_SHARDS, max(1, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes)))
     cuts, _ = splitters(slim, shards, tolerance, probes)
     rest = docs.drop("shard") if "shard" in docs.columns else docs
     if len(cuts):
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
+        # one text that Catalyst folds to one literal array, however many splitters there are
+        bounds = F.split(F.lit(",".join(map(str, cuts.tolist()))), ",").cast("array<bigint>")
         shard = _bisect(bounds, key, len(cuts))
     else:
         shard = F.lit(0)
