@@ -19,6 +19,8 @@ from .common import Words, chunks, utf8
 
 BUCKETS, ALPHA, STEPS, FLOOR, ACCEPT = 1 << 15, 0.05, 25, 0.01, 0.3
 BACKGROUND = "und"
+#: More tags than this are an error: a tag costs 256 kB of models on the driver and in each worker.
+MOST_LANGUAGES = 1000
 
 
 class Trigrams:
@@ -65,7 +67,9 @@ def _counter(languages: list[str], buckets: int):
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, alpha: float = ALPHA) -> tuple[list[str], np.ndarray]:
     """Language names and log probabilities (languages + background, buckets), over all tagged documents."""
     tagged = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    names = sorted(r[0] for r in tagged.select("lang").distinct().collect())
+    names = sorted(r[0] for r in tagged.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} language tags: the models would not fit the driver; clean the tags first")
     n = np.full((len(names), buckets), alpha)
     if names:
         rows = tagged.mapInArrow(_counter(names, buckets), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -199,7 +203,7 @@ def identify_languages(
     languages is the selected set by falling share ("und" is the background), lang_id the first
     known one; a document is accepted if the known languages' shares reach `accept` together. The
     models are counted over all documents with a tag; what is collected and broadcast is
-    languages x buckets, whatever the corpus.
+    languages x buckets, whatever the corpus; more than MOST_LANGUAGES tags raise ValueError.
 
     A null or empty text, or one without words, has an empty set, lang_id "und" and is not
     accepted; a null tag takes no part in training; a null id stays null; repeated rows are
