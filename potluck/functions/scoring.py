@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as v
-from .text import any_of, clamp, count_if, hits, let, lines, literals, search, sentences, share, steps, strip, total, trailing_words, truthy, whole_words, words
+from .text import any_of, clamp, count_if, hits, let, lines, literals, search, sentences, share, steps, strip, total, trailing_share, truthy, whole_words, words
 
 
 def _guard(text: Column, least: int, body: Callable[[Column], Column]) -> Column:
@@ -47,15 +47,19 @@ def instruction_points(text: Column) -> Column:
     return F.when(truthy(text), F.least(points, F.lit(45))).otherwise(0)
 
 
-def quality(ingredients: Column, instructions: Column, serves: Column, prep: Column, cook: Column, method: Column, protein: Column) -> Column:
-    """0 to 100: both parts, up to 10 for metadata, minus 40 for each part that is missing."""
+def quality(
+    ingredients: Column, instructions: Column, serves: Column, prep: Column, cook: Column, method: Column, protein: Column, have: Column | None = None, does: Column | None = None
+) -> Column:
+    """0 to 100: both parts, up to 10 for metadata, minus 40 for each part that is missing. `have` and `does` are the parts' points where they are known."""
     meta = sum(
         (F.when(truthy(c), n).otherwise(0) for c, n in ((serves, 3), (prep, 2), (cook, 2), (method, 2), (protein, 1))), F.lit(0)
     )
     missing = F.when(F.length(strip(F.coalesce(ingredients, F.lit("")))) < 10, 40).otherwise(0) + F.when(
         F.length(strip(F.coalesce(instructions, F.lit("")))) < 20, 40
     ).otherwise(0)
-    points = ingredient_points(ingredients) + instruction_points(instructions) + F.least(meta, F.lit(10))
+    have = ingredient_points(ingredients) if have is None else have
+    does = instruction_points(instructions) if does is None else does
+    points = have + does + F.least(meta, F.lit(10))
     return F.least(F.greatest(points - missing, F.lit(0)), F.lit(100)).cast("int")
 
 
@@ -233,9 +237,9 @@ def method_confidence(low: Column) -> Column:
 
 
 def protein_confidence(low: Column) -> Column:
-    n = hits(low, v.PROTEINS)
+    kinds = let(hits(low, v.PROTEINS), lambda n: F.when(n == 1, 0.7).when(n > 1, 0.4).otherwise(0.0))
     return F.least(
-        F.when(n == 1, 0.7).when(n > 1, 0.4).otherwise(0.0) + F.when(F.length(low) < 100, 0.2).otherwise(0.0) + F.when(any_of(low, v.PROTEIN_CONTEXT), 0.1).otherwise(0.0),
+        kinds + F.when(F.length(low) < 100, 0.2).otherwise(0.0) + F.when(any_of(low, v.PROTEIN_CONTEXT), 0.1).otherwise(0.0),
         F.lit(1.0),
     )
 
@@ -288,12 +292,20 @@ def _falling(x: Column, lo: float, hi: float, end: float, slope: float, below: C
     return F.when(x.between(lo, hi), 1.0).when(x < lo, below).when((x > hi) & (x <= end), F.lit(1.0) - (x - hi) / slope).otherwise(0.0)
 
 
-def _per_words(low: Column, entries: list[str], per: int, marks: str = ",.;:!?") -> Column:
-    return share(trailing_words(low, entries, marks), F.size(words(low))) * per
+MARKS = ",.;:!?"
 
 
-def verb_presence(low: Column) -> Column:
-    return let(_per_words(low, v.LING_VERBS, 100), lambda f: _falling(f, 2, 8, 12, 8.0, f / 2))
+def _split(low: Column, ws: Column | None) -> Column:
+    """The words of low, unless the caller has them."""
+    return words(low) if ws is None else ws
+
+
+def _per_words(low: Column, ws: Column | None, entries: list[str], per: int, marks: str = MARKS) -> Column:
+    return let(_split(low, ws), lambda x: trailing_share(x, entries, marks)) * per
+
+
+def verb_presence(low: Column, ws: Column | None = None) -> Column:
+    return let(_per_words(low, ws, v.LING_VERBS, 100), lambda f: _falling(f, 2, 8, 12, 8.0, f / 2))
 
 
 def temporal_score(low: Column) -> Column:
@@ -310,9 +322,9 @@ def sentence_structure(text: Column) -> Column:
 
 
 def stop_score(low: Column) -> Column:
-    starts = F.exists(literals(v.LING_STOPS), lambda w: F.startswith(strip(low), w))
-    n = hits(low, v.LING_STOPS)
-    return F.when(starts, 0.0).otherwise(F.when(n == 0, 1.0).when(n == 1, 0.5).otherwise(0.0))
+    starts = let(strip(low), lambda t: F.exists(literals(v.LING_STOPS), lambda w: F.startswith(t, w)))
+    found = let(hits(low, v.LING_STOPS), lambda n: F.when(n == 0, 1.0).when(n == 1, 0.5).otherwise(0.0))
+    return F.when(starts, 0.0).otherwise(found)
 
 
 def instruction_linguistic(text: Column) -> Column:
@@ -323,14 +335,14 @@ def instruction_linguistic(text: Column) -> Column:
     )
 
 
-def keyword_presence(low: Column) -> Column:
-    return let(_per_words(low, v.META_WORDS, 10), lambda f: _falling(f, 1, 3, 5, 4.0, f))
+def keyword_presence(low: Column, ws: Column | None = None) -> Column:
+    return let(_per_words(low, ws, v.META_WORDS, 10), lambda f: _falling(f, 1, 3, 5, 4.0, f))
 
 
 def numeric_score(low: Column) -> Column:
-    digits = F.regexp_count(low, F.lit(r"(?U)\d"))
+    digits = let(F.regexp_count(low, F.lit(r"(?U)\d")), lambda n: F.when(n > 8, 0.2).when(n >= 1, 0.4).otherwise(0.0))
     return F.least(
-        F.when(digits > 8, 0.2).when(digits >= 1, 0.4).otherwise(0.0)
+        digits
         + F.when(search(low, v.TIME_UNIT), 0.3).otherwise(0.0)
         + F.when(low.rlike(r"(?U)\d+\s*[-to]\s*\d+"), 0.3).otherwise(0.0),
         F.lit(1.0),
@@ -342,25 +354,29 @@ def conciseness(text: Column) -> Column:
     return _falling(n, 5, 100, 200, 100.0, n / 5.0)
 
 
-def narrative_absence(low: Column) -> Column:
-    ratio = share(trailing_words(low, v.NARRATIVE, ",.;:!?"), F.size(words(low)))
-    return let(ratio, lambda r: F.when(r < 0.1, 1.0).when(r < 0.3, F.lit(1.0) - (r - 0.1) / 0.2).otherwise(0.0))
+def narrative_absence(low: Column, ws: Column | None = None) -> Column:
+    return let(_per_words(low, ws, v.NARRATIVE, 1), lambda r: F.when(r < 0.1, 1.0).when(r < 0.3, F.lit(1.0) - (r - 0.1) / 0.2).otherwise(0.0))
 
 
 def metadata_linguistic(text: Column) -> Column:
     return _guard(
         text,
         3,
-        lambda t: let(F.lower(t), lambda low: clamp(keyword_presence(low) * 0.35 + numeric_score(low) * 0.30 + conciseness(t) * 0.20 + narrative_absence(low) * 0.15)),
+        lambda t: let(
+            F.lower(t),
+            lambda low: let(
+                words(low), lambda ws: clamp(keyword_presence(low, ws) * 0.35 + numeric_score(low) * 0.30 + conciseness(t) * 0.20 + narrative_absence(low, ws) * 0.15)
+            ),
+        ),
     )
 
 
-def descriptor_presence(low: Column) -> Column:
-    return let(_per_words(low, v.LING_DESCRIPTORS, 20), lambda f: _falling(f, 1, 4, 6, 4.0, f))
+def descriptor_presence(low: Column, ws: Column | None = None) -> Column:
+    return let(_per_words(low, ws, v.LING_DESCRIPTORS, 20), lambda f: _falling(f, 1, 4, 6, 4.0, f))
 
 
-def unit_presence(low: Column) -> Column:
-    return let(_per_words(low, v.LING_UNITS, 10, ",.;:!?s"), lambda f: _falling(f, 0.5, 3, 5, 4.0, f / 0.5))
+def unit_presence(low: Column, ws: Column | None = None) -> Column:
+    return let(_per_words(low, ws, v.LING_UNITS, 10, MARKS + "s"), lambda f: _falling(f, 0.5, 3, 5, 4.0, f / 0.5))
 
 
 def line_structure(ls: Column) -> Column:
@@ -384,20 +400,12 @@ def verb_absence(low: Column) -> Column:
 
 
 def ingredient_linguistic(text: Column) -> Column:
-    return _guard(
-        text,
-        10,
-        lambda t: let(
-            F.struct(F.lower(t).alias("low"), lines(t).alias("ls")),
-            lambda s: clamp(
-                descriptor_presence(s["low"]) * 0.30
-                + unit_presence(s["low"]) * 0.25
-                + line_structure(s["ls"]) * 0.20
-                + noun_presence(s["low"]) * 0.15
-                + verb_absence(s["low"]) * 0.10
-            ),
-        ),
-    )
+    def one(low: Column, ws: Column, ls: Column) -> Column:
+        return clamp(
+            descriptor_presence(low, ws) * 0.30 + unit_presence(low, ws) * 0.25 + line_structure(ls) * 0.20 + noun_presence(low) * 0.15 + verb_absence(low) * 0.10
+        )
+
+    return _guard(text, 10, lambda t: let(F.lower(t), lambda low: let(words(low), lambda ws: let(lines(t), lambda ls: one(low, ws, ls)))))
 
 
 def legacy_ingredient_confidence(text: Column) -> Column:

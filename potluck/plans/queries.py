@@ -93,9 +93,12 @@ _LEVELS = (
 
 @_register(_LEVELS + "SELECT id, ip AS ingredient_points, np AS instruction_points, cooking_method, protein_type, quality_score FROM r")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select(
-        "id", s.ingredient_points(F.col("ingredients")).alias("ingredient_points"), s.instruction_points(F.col("instructions")).alias("instruction_points"), "cooking_method", "protein_type", "quality_score"
+    """SCO1 with its two parts, each computed once per row."""
+    parts = _recipes(spark, sf_dir).select(
+        "*", s.ingredient_points(F.col("ingredients")).alias("ingredient_points"), s.instruction_points(F.col("instructions")).alias("instruction_points")
     )
+    score = s.quality(*[F.col(c) for c in "ingredients instructions serves prep_time cook_time cooking_method protein_type".split()], F.col("ingredient_points"), F.col("instruction_points"))
+    return parts.select("id", "ingredient_points", "instruction_points", "cooking_method", "protein_type", score.alias("quality_score"))
 
 
 @_register(
