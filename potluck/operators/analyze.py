@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from potluck.functions import vocab as v
 from potluck.functions.text import strip
@@ -17,7 +18,7 @@ from potluck.sources.dom import HEADERS, parse
 MATCH = 0.6
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _header_counts(markup: pd.Series) -> pd.Series:
     def one(x) -> list[int]:
         tags = [n.tag for n in parse(x if isinstance(x, str) or x is None else bytes(x)).walk()]
@@ -90,7 +91,7 @@ def normal_title(c: Column) -> Column:
     return strip(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
