@@ -93,7 +93,18 @@ def normal_title(c: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+    # a matcher indexes its second text once: pairs are taken by that text
+    out = [0.0] * len(a)
+    matcher, last = SequenceMatcher(None, autojunk=True), None
+    left, right = a.tolist(), b.tolist()
+    for i in sorted(range(len(out)), key=lambda i: right[i] or ""):
+        if left[i] and right[i]:
+            if right[i] != last:
+                last = right[i]
+                matcher.set_seq2(last)
+            matcher.set_seq1(left[i])
+            out[i] = matcher.ratio()
+    return pd.Series(out)
 
 
 def fuzzy_match(a: Column, b: Column) -> Column:
