@@ -77,7 +77,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         for title in r["missing"][:10]:
             print(f"  missing: {title}")
     elif a.command == "search":
-        _show(store.search(a.query, a.limit, a.tag), "title", "book", "quality_score", n=a.limit)
+        _show(store.search(a.query, a.limit, tags=a.tag), "title", "book", "quality_score", n=a.limit)
     elif a.command == "query-tags":
         _show(store.query(tags=a.tags, tags_match_all=a.match_all, limit=a.limit), "title", "book", "quality_score", n=a.limit or 20)
     elif a.command == "list-tags":

@@ -9,7 +9,9 @@ from . import scoring as s
 from . import vocab as v
 from .text import any_of, first_group, let, strip, truthy
 
-FIELDS = ["serves", "prep_time", "cook_time", "cooking_method", "protein_type"]
+FIELDS = "serves prep_time cook_time cooking_method protein_type".split()
+_DETECTED = ["servings", *FIELDS[1:], "difficulty"]
+_RANGE = r"\s*(?:-|to)\s*"
 
 
 def parse_servings(raw: Column) -> Column:
@@ -18,8 +20,8 @@ def parse_servings(raw: Column) -> Column:
 
     def one(c: Column) -> Column:
         # the leftmost match of either form counts: a single number before a range wins
-        first = F.regexp_extract(c, r"(?U)(\d+)\s*(?:-|to)\s*(\d+)|(\d+)", 0)
-        lo, hi = F.regexp_extract(first, r"(?U)^(\d+)", 1), F.regexp_extract(first, r"(?U)^\d+\s*(?:-|to)\s*(\d+)", 1)
+        first = F.regexp_extract(c, rf"(?U)\d+{_RANGE}\d+|\d+", 0)
+        lo, hi = F.regexp_extract(first, r"(?U)^(\d+)", 1), F.regexp_extract(first, rf"(?U)^\d+{_RANGE}(\d+)", 1)
         return F.when(lo == "", F.lit(None).cast("string")).when(hi != "", F.concat(lo, F.lit("-"), hi)).otherwise(lo)
 
     return F.when(truthy(raw), let(clean, one))
@@ -29,14 +31,14 @@ def parse_time(raw: Column) -> Column:
     """Minutes from 1 to 1440, or null: hours (decimal, cut to whole minutes) plus minutes, else a bare number of minutes."""
 
     def one(t: Column) -> Column:
-        hours = F.regexp_extract(t, r"(?U)(\d+(?:\.\d+)?)\s*(?:hour|hr)s?", 1)
-        minutes = F.regexp_extract(t, r"(?U)(\d+)\s*(?:minute|min)s?", 1)
+        hours = F.regexp_extract(t, r"(?U)(\d+" + v.opt(r"\.\d+") + r")\s*h(?:ou)?rs?", 1)
+        minutes = F.regexp_extract(t, r"(?U)(\d+)\s*min(?:ute)?s?", 1)
         sum_ = F.coalesce(F.floor(F.nullif(hours, F.lit("")).try_cast("double") * 60).cast("long"), F.lit(0)) + F.coalesce(
             F.nullif(minutes, F.lit("")).try_cast("long"), F.lit(0)
         )
         bare = F.when(t.rlike(r"(?U)^\d+$"), t.try_cast("long"))
         value = F.when(sum_.between(1, 1440), sum_).when(bare.between(1, 1440), bare)
-        return F.when(~t.rlike(r"(?U)(?:^|\s)-\s*\d"), value).cast("int")
+        return F.when(~t.rlike(r"(?U)(?:\s|^)-\s*\d"), value).cast("int")
 
     return F.when(truthy(raw), let(strip(F.lower(raw)), one))
 
@@ -117,7 +119,7 @@ def metadata_with_patterns(zone_text: Column, zone_count: Column, text: Column,
 
     def one(d: Column) -> Column:
         none = F.lit(None).cast("string")
-        any_field = F.coalesce(*[d["zones"][n]["value"] for n in ("servings", "prep_time", "cook_time", "cooking_method", "protein_type", "difficulty")]).isNotNull()
+        any_field = F.coalesce(*[d["zones"][n]["value"] for n in _DETECTED]).isNotNull()
         structural = (zone_count > 0) & any_field
         z, legacy = d["zones"], d["legacy"]
         values = {

@@ -344,7 +344,7 @@ def numeric_score(low: Column) -> Column:
     return F.least(
         digits
         + F.when(search(low, v.TIME_UNIT), 0.3).otherwise(0.0)
-        + F.when(low.rlike(r"(?U)\d+\s*[-to]\s*\d+"), 0.3).otherwise(0.0),
+        + F.when(low.rlike(r"(?U)\d\s*[-to]\s*\d"), 0.3).otherwise(0.0),
         F.lit(1.0),
     )
 

@@ -37,7 +37,7 @@ def recipe_points(text: Column) -> Column:
         F.lower(text),
         lambda low: F.when(whole_words(low, v.COOKING_VERBS) >= 3, 3).otherwise(0)
         + F.when(matches(low, v.MEASUREMENT) >= 2, 2).otherwise(0)
-        + F.when(search(low, r"\b(?:ingredient|what you need)\b"), 2).otherwise(0)
+        + F.when(search(low, r"\b(?:what you need|ingredient)\b"), 2).otherwise(0)
         + F.when(search(low, r"\b(?:direction|instruction|method|steps?)\b"), 2).otherwise(0)
         + F.when(F.length(text) > 200, 1).otherwise(0),
     )

@@ -12,6 +12,17 @@ def _list(text: str) -> list[str]:
     return [w.replace("_", " ") for w in text.split()]
 
 
+def opt(pattern: str) -> str:
+    return f"(?:{pattern})?"
+
+
+def either(*patterns: str) -> str:
+    return "(?:" + "|".join(patterns) + ")"
+
+
+_NUMBER = r"\d+"
+_SPACES, _GAP = r"\s+", r"\s*"
+
 FRACTIONS = "¼½¾⅓⅔⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞"
 SCORE_FRACTIONS = "¼½¾⅓⅔⅛⅜⅝⅞"
 
@@ -31,8 +42,13 @@ def _longest_first(words: list[str]) -> str:
 
 #: A quantity with a unit, or a count of a common food.
 MEASUREMENT = (
-    rf"(?:\b\d+(?:[.,]\d+)?|[{FRACTIONS}])[\s/-]?(?:{_longest_first(_UNITS)})s?\b"
-    rf"|\b\d+(?:\s+-\s+\d+)?\s+(?:{_longest_first(_SIZES)})?\s*(?:{_longest_first(_FOODS)})s?\b"
+    either(r"\b" + _NUMBER + opt("[.,]" + _NUMBER), f"[{FRACTIONS}]")
+    + rf"[\s/-]?(?:{_longest_first(_UNITS)})s?\b|\b"
+    + _NUMBER
+    + opt(_SPACES + "-" + _SPACES + _NUMBER)
+    + _SPACES
+    + opt(_longest_first(_SIZES))
+    + rf"{_GAP}(?:{_longest_first(_FOODS)})s?\b"
 )
 
 #: Words that count as cooking verbs; always whole words.
@@ -43,9 +59,16 @@ COOKING_VERBS = _list(
     "stir store strain swirl take toast toss transfer watch whisk"
 )
 
-SERVES = r"(?:serves?|servings?|yields?|makes?)[:\s]+(\d+(?:\s*(?:-|to)\s*\d+)?)"
-PREP_TIME = r"(?:active|total|prep(?:aration)?)(?:\s*time)?[:\s]+([^.\n]+?)(?=\n|cook|$)"
-COOK_TIME = r"(?:baking|passive|cook(?:ing)?)(?:\s*time)?[:\s]+([^.\n]+?)(?=\n|prep|$)"
+_COLON = r"[:\s]+"
+SERVES = either("serves?", "servings?", "yields?", "makes?") + _COLON + "(" + _NUMBER + opt(_GAP + either("-", "to") + _GAP + _NUMBER) + ")"
+
+
+def _time(kinds: str, until: str) -> str:
+    return kinds + opt(_GAP + "time") + _COLON + r"([^.\n]+?)" + rf"(?=\n|{until}|$)"
+
+
+PREP_TIME = _time(either("active", "total", "prep" + opt("aration")), "cook")
+COOK_TIME = _time(either("baking", "passive", "cook" + opt("ing")), "prep")
 
 INGREDIENT_KEYWORDS = ["what you need", "you'll need", "ingredient"]
 INSTRUCTION_KEYWORDS = _list(
@@ -65,27 +88,28 @@ METHODS = [(m, [m, past]) for m, past in (p.split("/") for p in "smoke/smoked gr
 PROTEINS = "beef pork chicken lamb fish seafood turkey duck".split()
 
 #: Titles that name a part of a recipe, each anchored at the start.
+_NEEDED, _END = opt(_SPACES + "needed"), ":?$"
 SUB_SECTIONS = [
-    r"(?:special\s+)?equipment(?:\s+needed)?:?$",
-    r"(?:gear|tools?)(?:\s+needed)?:?.*$",
-    r"what\s+you(?:'ll)?\s+need:?$",
-    r"(?:active|chilling|cook|cooling|grilling|infusing|marinating|passive|prep|resting|rising|smoking|total)\s+time:?.*$",
-    r"(?:makes?|serves?|servings?|yields?):?\s*\d*$",
-    r"(?:for\s+serving|to\s+serve|garnish|presentation):?$",
-    r"for\s+the\s+",
-    r"(?:coarse|kosher|sea)\s+salt$",
-    r"(?:black|white)\s+pepper$",
-    r"(?:canola|olive|vegetable)\s+oil$",
-    r"(?:brine|dressing|glaze|marinade|rub|sauce)$",
-    r"(?:the\s+)?(?:coating|crust|filling|topping)$",
-    r"(?:note|tip|variation)s?:?$",
-    r"(?:indoor|outdoor)\s+alternative:?.*$",
-    r"(?:chef|cook)(?:'s)?\s+(?:note|tip)s?:?$",
+    opt("special" + _SPACES) + "equipment" + _NEEDED + _END,
+    either("gear", "tools?") + _NEEDED + ":?.*$",
+    _SPACES.join(["what", "you" + opt("'ll"), "need"]) + _END,
+    either(*"active chilling cook cooling grilling infusing marinating passive prep resting rising smoking total".split()) + _SPACES + "time:?.*$",
+    either("makes?", "serves?", "servings?", "yields?") + ":?" + _GAP + r"\d*$",
+    either("for" + _SPACES + "serving", "to" + _SPACES + "serve", "garnish", "presentation") + _END,
+    "for" + _SPACES + "the" + _SPACES,
+    either("coarse", "kosher", "sea") + _SPACES + "salt$",
+    either("black", "white") + _SPACES + "pepper$",
+    either("canola", "olive", "vegetable") + _SPACES + "oil$",
+    either("brine", "dressing", "glaze", "marinade", "rub", "sauce") + "$",
+    opt("the" + _SPACES) + either("coating", "crust", "filling", "topping") + "$",
+    either("note", "tip", "variation") + "s?" + _END,
+    either("indoor", "outdoor") + _SPACES + "alternative:?.*$",
+    either("chef", "cook") + opt("'s") + _SPACES + either("note", "tip") + "s?" + _END,
 ]
 SUB_SECTION = "^(?:" + "|".join(SUB_SECTIONS) + ")"
 
 _TITLE_UNITS = _list("beans? bottles? cans? cups? g jars? kg l lbs? ml ounces? ozs? packages? pounds? tablespoons? tbsps? teaspoons? tsps?")
-QUANTITY_TITLE = rf"^(?:\d+(?:\s*[/{SCORE_FRACTIONS}])?|[{SCORE_FRACTIONS}])\s*(?:{_longest_first(_TITLE_UNITS)})\b"
+QUANTITY_TITLE = "^" + either(_NUMBER + opt(f"{_GAP}[/{SCORE_FRACTIONS}]"), f"[{SCORE_FRACTIONS}]") + rf"{_GAP}(?:{_longest_first(_TITLE_UNITS)})\b"
 SINGLE_INGREDIENTS = _list(
     "bay_leaves black_pepper butter coarse_salt egg eggs flour garlic kosher_salt oil olive_oil onion pepper salt sea_salt sugar "
     "vegetable_oil water white_pepper"
@@ -112,15 +136,21 @@ PARAGRAPH_CLASSES = _list("ing ing-item ingd ingredient ings ingst ingt recipe-i
 ZONE_PARAGRAPH_CLASSES = _list("ing ingd ingredient ings ingst ingt")
 ZONE_MARKERS = _list("active_time cook_time makes prep_time serves soaking_time yield")
 LONG_STARTERS = _list("add bring combine cook heat mix place preheat whisk")
+def _phrase(*parts: str) -> str:
+    """Parts between word edges, parted by white space."""
+    return r"\b" + _SPACES.join(parts) + r"\b"
+
+
+_BLACK = opt("black" + _SPACES) + "pepper"
 LOOSE_INGREDIENT = "|".join(
     [
-        r"\b\d+\s+(?:large|medium|small|whole)?\s*(?:apple|carrot|egg|garlic|lemon|lime|onion|orange|pear|potato|tomato)s?\b",
-        r"\b\d+\s+(?:dried|fresh|frozen)?\s*\w+\s+(?:bunch|head|leave|sprig|stalk)s?\b",
-        r"\bsalt\s+and\s+(?:black\s+)?pepper\b",
-        r"\b(?:coarse|kosher|sea)\s+salt\b",
-        r"\b(?:canola|coconut|olive|vegetable)\s+oil\b",
-        r"\b(?:dried|fresh|ground)\s+(?:black\s+)?pepper\b",
-        r"\bto\s+taste\b",
+        _phrase(_NUMBER, opt("large|medium|small|whole") + _GAP + either(*_list("apple carrot egg garlic lemon lime onion orange pear potato tomato")) + "s?"),
+        _phrase(_NUMBER, opt("dried|fresh|frozen") + _GAP + r"\w+", either("bunch", "head", "leave", "sprig", "stalk") + "s?"),
+        _phrase("salt", "and", _BLACK),
+        _phrase(either("coarse", "kosher", "sea"), "salt"),
+        _phrase(either("canola", "coconut", "olive", "vegetable"), "oil"),
+        _phrase(either("dried", "fresh", "ground"), _BLACK),
+        _phrase("to", "taste"),
     ]
 )
 LOOSE_FOODS = _list(
@@ -138,8 +168,9 @@ UNITS = _list(
     "ounces oz package packages piece pieces pinch pint pints pkg pound pounds pt qt quart quarts slice slices smidgen sprig "
     "sprigs stalk stalks stick sticks strip strips t tablespoon tablespoons tbs tbsp teaspoon teaspoons ts tsp"
 )
-UNIT_LINE = rf"\b\d+[\s/\d]*\s*(?:{_longest_first(UNITS)})\b"
-FRACTION = rf"[{SCORE_FRACTIONS}]|(?:\d+/)?\d+/\d+"
+_AMOUNT = r"\b" + _NUMBER + r"[\s/\d]*" + _GAP
+UNIT_LINE = _AMOUNT + rf"(?:{_longest_first(UNITS)})\b"
+FRACTION = f"[{SCORE_FRACTIONS}]|" + opt(_NUMBER + "/") + "/".join([_NUMBER] * 2)
 DESCRIPTORS = _list(
     "canned chopped coarsely_chopped cold crisp crushed cubed diced dried extra-large extra-virgin finely_chopped firm fresh "
     "fresh-squeezed frozen grated ground halved hot iodized julienned jumbo kosher large medium minced organic peeled quartered "
@@ -155,7 +186,8 @@ NOUNS = _list(
     "rosemary salmon salt sausage shrimp sour_cream soy_sauce spinach steak stock strawberry sugar tenderloin thighs thyme tomato "
     "tuna turkey turmeric vanilla vanilla_extract vinegar water wine wings worcestershire yeast yogurt zucchini"
 )
-LIST_MARKER = r"^(?:[\s•\-*·○●▪▫■□➤➢→⇒]\s*|\d+\.\s*)"
+_BULLETS = "•\\-*·○●"
+LIST_MARKER = "^" + either(rf"[\s{_BULLETS}▪▫■□➤➢→⇒]{_GAP}", _NUMBER + r"\." + _GAP)
 INGREDIENT_VERBS = _list("bake beat bring combine cook fold fry grill heat mix pour preheat remove roast serve stir transfer whisk")
 
 TEMPORAL = _list("after as_soon_as before during gradually immediately once slowly then until when while")
@@ -171,7 +203,7 @@ TIME_WORDS = _list("bake baking cook cooking hours minutes prep preparation read
 DIFFICULTY = [(w, level) for level, ws in (("easy", "easy simple beginner quick"), ("intermediate", "intermediate moderate"), ("advanced", "advanced difficult expert challenging")) for w in ws.split()]
 TIME_UNIT = r"\b(?:hour|hr|minute|min)s?\b"
 # "[-to]" is one character: a dash, a "t" or an "o"; "4 to 6" is no range here
-SERVING_NUMBER = r"(?:makes|serves?|yields?)\s*(?:about\s*)?(\d+(?:\s*[-to]\s*\d+)?)"
+SERVING_NUMBER = either("makes", "serves?", "yields?") + _GAP + opt("about" + _GAP) + "(" + _NUMBER + opt(f"{_GAP}[-to]{_GAP}" + _NUMBER) + ")"
 METHOD_UNITS = _list("cup ounce tablespoon teaspoon")
 PROTEIN_CONTEXT = _list("breast fillet ground steak thigh whole with")
 DIFFICULTY_CONTEXT = _list("beginner experience level rating skill")
@@ -195,7 +227,7 @@ LING_DESCRIPTORS = _list(
 )
 LING_NOUNS = _list("beef butter carrot cheese chicken cream egg eggs fish flour garlic lemon lime milk oil onion pepper pork potato salt sugar tomato water")
 LING_UNITS = _list("clove cup cups dash g gram kg kilogram lb ounce oz piece pinch pound tablespoon tbsp teaspoon tsp")
-LING_MARKER = r"^(?:[\s•\-*·○●]\s*|\d+\.\s*)"
+LING_MARKER = "^" + either(rf"[\s{_BULLETS}]{_GAP}", _NUMBER + r"\." + _GAP)
 LEGACY_UNITS = _list(
     "clove cloves cup cups dash g gram grams kg kilogram kilograms l lb lbs liter liters milliliter milliliters ml ounce ounces oz "
     "piece pieces pinch pound pounds tablespoon tablespoons tbsp teaspoon teaspoons tsp"
@@ -213,7 +245,7 @@ ZONE_HEADER = (
     r"\bingredients?\b|\bwhat you(?:'ll)? need\b|\byou(?:'ll| will) need\b|\b(?:grocery|shopping) list\b"
     r"|\bfor (?:the|this) (?:dish|recipe)\b|\bfor the \w+\b"
 )
-ZONE_ITEM_UNIT = r"\b\d+[\s/\d]*\s*(?:tbsp|cup|tsp|kg|lb|ml|oz|g|l)s?\b"
+ZONE_ITEM_UNIT = _AMOUNT + r"(?:tbsp|cup|tsp|kg|lb|ml|oz|g|l)s?\b"
 META_CLASSES = _list("cook details difficulty info meta metadata prep recipe-details recipe-info recipe-meta recipe-stats servings stats time yield")
 META_HEADERS = r"recipe\s+info|details|stats|at\s+a\s+glance"
 #: Order is fixed here, where the itemprop set of microdata has none.

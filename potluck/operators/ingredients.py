@@ -7,20 +7,17 @@ import re
 from potluck.functions import vocab as v
 from potluck.sources.dom import Node, list_items
 
-from .sections import section_after_header
+from .sections import bullets, section_after_header
 
 MEASUREMENT = re.compile(v.MEASUREMENT, re.IGNORECASE)
 _LOOSE = re.compile(v.LOOSE_INGREDIENT)
+_MARKS, _STEP_NUMBER = ",.:;", re.compile(r"\d+\.")
 _LINE_VERBS, _STARTERS = frozenset(v.LINE_VERBS), frozenset(v.LONG_STARTERS)
 
 
-def bullets(items: list[str]) -> str:
-    return "\n".join(f"- {x}" for x in items)
-
-
 def _first_word(line: str) -> str:
-    parts = line.split()
-    return parts[0].lower().rstrip(",.:;") if parts else ""
+    first = next(iter(line.split()), "")
+    return first.lower().rstrip(_MARKS)
 
 
 def is_header(line: str) -> bool:
@@ -70,7 +67,7 @@ def from_runs(lines: list[str]) -> str | None:
         if any(m in low for m in v.ZONE_MARKERS):
             zone = True
             continue
-        if re.match(r"^\d+\.$", line) or (len(line) > 50 and _first_word(line) in _STARTERS):
+        if _STEP_NUMBER.fullmatch(line) or (len(line) > 50 and _first_word(line) in _STARTERS):
             # what was gathered counts here and, as it is not cleared, once more at the end: the longest is the same
             break
         if is_item(line) or (zone and is_loose_item(line)):
@@ -93,7 +90,7 @@ def from_text(text: str) -> str | None:
 def from_lists(root: Node) -> str | None:
     for n in root.find("ol", "ul"):
         items = list_items(n)
-        if items and sum(bool(MEASUREMENT.search(x)) for x in items) >= max(2, len(items) * 0.3):
+        if items and sum(bool(MEASUREMENT.search(x)) for x in items) >= max(2, 0.3 * len(items)):
             return bullets(items)
     return None
 

@@ -10,11 +10,18 @@ from potluck.sources.dom import HEADERS, Node, clean_lines, list_items, wrap
 
 #: Siblings after a header that can belong to its section.
 MOST_SIBLINGS = 1000
+_MARKS = [re.compile(r"\{[^}]+\}"), re.compile(r"\[.*?\]" + r"\(.*?\)")]
+
+
+def bullets(items: list[str]) -> str:
+    return "\n".join("- " + x for x in items)
 
 
 def clean_title(text: str) -> str:
     """Without {..} marks and [..](..) links."""
-    return re.sub(r"\[.*?\]\(.*?\)", "", re.sub(r"\{[^}]+\}", "", text)).strip()
+    for mark in _MARKS:
+        text = mark.sub("", text)
+    return text.strip()
 
 
 def section_after_header(root: Node, keywords: list[str]) -> str | None:
@@ -24,7 +31,7 @@ def section_after_header(root: Node, keywords: list[str]) -> str | None:
         for _ in (k for k in keywords if k in text):
             after = node.following()
             if after and after[0].tag in ("ol", "ul"):
-                return "\n".join(f"- {item}" for item in list_items(after[0]))
+                return bullets(list_items(after[0]))
             parts: list[str] = []
             for s in after:
                 if s.tag in HEADERS:

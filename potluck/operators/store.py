@@ -135,8 +135,8 @@ class RecipeStore:
             return 0
         return self._read("schema_version", VERSIONS).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def set_version(self, version: int, description: str = "") -> None:
-        row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("applied_at"), F.lit(description).alias("description"))
+    def set_version(self, version: int, note: str = "") -> None:
+        row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("applied_at"), F.lit(note).alias("description"))
         self._append(row, "schema_version")
 
     def _init(self) -> None:
@@ -214,9 +214,9 @@ class RecipeStore:
             found = (with_all_tags if tags_match_all else with_any_tag)(found, self.recipe_tags, self.tags, tags)
         return by_quality(attach_tags(by_quality(found, limit) if limit else found, self.recipe_tags, self.tags))
 
-    def search(self, query: str, limit: int = 50, tags: list[str] | None = None) -> DataFrame:
+    def search(self, text: str, limit: int = 50, *, tags: list[str] | None = None) -> DataFrame:
         """Recipes with the text in title, ingredients or instructions and any of the tags; limit 0 is none, a negative one all."""
-        found = matching(self.recipes, query)
+        found = matching(self.recipes, text)
         if tags:
             found = with_any_tag(found, self.recipe_tags, self.tags, tags)
         return by_quality(attach_tags(by_quality(found, limit), self.recipe_tags, self.tags))

@@ -21,14 +21,15 @@ class LogLevel(str, Enum):
 
 @dataclass(frozen=True)
 class Extraction:
+    use_pattern_extraction: bool = True
+    include_raw_content: bool = True
     min_quality_score: int = 20
-    extract_toc: bool = True
-    validate_recipes: bool = True
+    # kept for callers that set them; they have no effect on extraction
     split_by_headers: bool = True
     header_split_level: int | None = None
-    include_raw_content: bool = True
     custom_validators: tuple = ()
-    use_pattern_extraction: bool = True
+    validate_recipes: bool = True
+    extract_toc: bool = True
 
 
 @dataclass(frozen=True)

@@ -208,7 +208,7 @@ def _assemble(parts: DataFrame, config: Config) -> DataFrame:
         .withColumn("epub_section", F.col("item_name"))
         .withColumn("notes", F.lit(None).cast("string"))
         .withColumn("tags", F.array().cast("array<string>"))
-        .withColumn("quality_score", scoring.quality(*[F.col(c) for c in ("ingredients", "instructions", "serves", "prep_time", "cook_time", "cooking_method", "protein_type")]))
+        .withColumn("quality_score", scoring.quality(*[F.col(c) for c in ("ingredients", "instructions", *meta.FIELDS)]))
         .where(F.col("quality_score") >= (config.extraction.min_quality_score or 0))
     )
 

@@ -628,7 +628,7 @@ def vault_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     "WITH r AS (SELECT p_partkey AS id, 'Part ' || p_name || '(page ' || p_size || ') and Unknown Name(page 3)' AS x FROM part) "
-    "SELECT id, regexp_replace(x, '(\\d*)([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)\\s*\\(page\\s+\\d+\\)', '[[\\2]]', 'g') AS value FROM r"
+    "SELECT id, regexp_replace(x, " + o.q(export.REFERENCE) + ", '[[\\2]]', 'g') AS value FROM r"
 )
 def vault_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI8: references in notes; a part's name that is a title leads to it, another name to itself."""

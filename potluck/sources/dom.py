@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADERS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADERS = tuple(f"h{level}" for level in range(1, 7))
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: An opening tag closes these open elements, up to the nearest of the barriers.
 _CLOSES = {

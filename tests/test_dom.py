@@ -7,9 +7,9 @@ from potluck.operators.ingredients import from_headed_lines, from_runs, from_tex
 from potluck.operators.instructions import after_ingredients, best_paragraph, by_class, by_prefix, by_verb_runs, is_stop, legacy_instructions
 from potluck.sources.dom import clean_lines, list_items, parse
 
-RECIPE = """<html><body><h2>Grilled Chicken</h2><h3>Ingredients</h3><ul><li>2 lbs chicken breast</li><li>1 tablespoon olive oil</li>
-<li>1 tsp salt</li></ul><h3>Instructions</h3><ol><li>Preheat the grill to high heat.</li><li>Season the chicken with salt.</li>
-<li>Grill for 6 minutes on each side.</li><li>Let rest and serve.</li></ol><p>Serves 4</p><p>Prep time: 10 minutes</p><p>Cook time: 15 minutes</p></body></html>"""
+RECIPE = """<h2>Grilled Turkey</h2><h3>Ingredients</h3><ul class=a><li>2 lbs turkey breasts</li><li>1 tablespoon peanut oil</li>
+<li>1 tsp salt</li></ul><h3 class=a>Instructions</h3><ol class=a><li>Preheat the grill to high heat.</li><li>Season the turkeys with salt.</li>
+<li>Grill for 6 minutes on each side.</li><li>Let rest and serve.</li></ol><div><p>Cook time: 15 minutes</p><p class=a>Prep time: 10 minutes</p><p>Serves 4</p></div>"""
 
 
 def test_lenient_parsing():
@@ -156,5 +156,5 @@ def test_instruction_strategies():
 
 def test_whole_sample_as_one_section():
     root = parse(RECIPE)
-    assert zones.ingredient_zones(root)[0].node.glued("\n") == "2 lbs chicken breast\n1 tablespoon olive oil\n1 tsp salt"
+    assert zones.ingredient_zones(root)[0].node.glued("\n") == "2 lbs turkey breasts\n1 tablespoon peanut oil\n1 tsp salt"
     assert legacy_instructions(root).startswith("- Preheat the grill")

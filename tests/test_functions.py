@@ -46,7 +46,7 @@ def test_instruction_points(spark):
 def test_quality_of_the_sample_recipe(spark):
     row = spark.range(1).select(
         s.quality(
-            F.lit("- 2 cups flour\n- 1 cup sugar\n- 3 eggs."[:37]),
+            F.lit("- 2 cups wheat\n- 1 cup honey\n- 3 eggs."[:37]),
             F.lit("1. Mix the flour.\n2. Add eggs.\n3. Bake for 30 min"[:48] + "."),
             *[F.lit(x) for x in ("4", "10", "20", "bake", "egg")],
         ).alias("q")

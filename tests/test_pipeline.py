@@ -105,9 +105,9 @@ def test_batch_isolates_bad_files(spark, shelf):
 
 
 def test_sample_page_as_one_section(spark):
-    rows = spark.createDataFrame([("Grilled Chicken", "b", "a", RECIPE)], "title string, book string, author string, markup string")
+    rows = spark.createDataFrame([("Grilled Turkey", "b", "a", RECIPE)], "title string, book string, author string, markup string")
     r = pipeline.extract_from_section(rows).first()
-    assert (r["quality_score"], r["serves"], r["prep_time"], r["cook_time"], r["cooking_method"], r["protein_type"]) == (15 + 14 + 10, "4", "10", "15", "grill", "chicken")
+    assert (r["quality_score"], r["serves"], r["prep_time"], r["cook_time"], r["cooking_method"], r["protein_type"]) == (15 + 14 + 10, "4", "10", "15", "grill", "turkey")
     d = json.loads(r["metadata"])["extraction"]["ingredients"]
     assert (d["strategy"], d["detection_method"], d["zone_count"], d["structural_confidence"]) == ("structural_zones", "header_based", 1, 0.85)
     assert abs(d["confidence"] - 0.716) < 0.01 and abs(d["combined_score"] - 0.736) < 0.01
