@@ -1,13 +1,16 @@
-"""Substring dedup by seed and extend.
-
-Seeds are winnowed k-word anchors: of every `window` consecutive k-word hashes the least one is
-an anchor, so any passage of k + window - 1 = `least` words shared by two documents shares an
-anchor. Documents meet on anchors, matches grow word by word both ways, and per document the
-repeats that lie within no longer one are kept if they have `least` words.
+"""Substring dedup by sorted suffixes.
+
+Of every `window` consecutive k-word hashes the least one is an anchor, so any passage of
+k + window - 1 = `least` words shared by two documents shares an anchor; only passages whose anchor
+two documents have are looked at. Each of their places is a start; starts with equal next `least`
+words are a group. In a group where not all starts follow one word the suffixes are sorted, and
+neighbours have the longest common beginnings, so each start gets its longest match with any other
+document. Per document the repeats that lie within no longer one are kept.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX1, U64, Words, chunks, cut, mix, utf8
+from .common import GOLDEN, MIX1, U64, Words, chunks, cut, drop_cut, int64, mix, utf8
 
 LEAST, K = 50, 17
-#: Longest period, in words, that is told from ordinary text.
-PERIOD = 8
-#: Columns of an anchor with the hashes of its surroundings.
-CLASSES = ["c0", "c1", "c2", "c3", "c4"]
+#: Starts, and bytes of suffixes, that about leave a worker together.
+BATCH_STARTS, BATCH_BYTES = 1 << 18, 1 << 23
 
 
 def word_hashes(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,73 +57,68 @@ def sliding_min(x: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def sliding_argmin(x: np.ndarray, window: int) -> np.ndarray:
+    """Place of the least of x[i:i + window] for every i, the leftmost of equal ones."""
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[b] < x[a], b, a)
+
+    out, span = np.arange(len(x)), 1
+    while span * 2 <= window:
+        out = better(out[: len(out) - span], out[span:])
+        span *= 2
+    if span < window:
+        d = window - span
+        out = better(out[: len(out) - d], out[d:])
+    return out
+
+
 def winnow(h: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors among words and the document of each.
 
     h[i] is the hash of the k words from i on, wherever they end; first are the documents' bounds. Of
-    equal least hashes in a window the one with the greatest place modulo 64 is chosen, which stays
-    the same while the window moves on, so a run of equal words gives few anchors.
+    equal least hashes in a window the leftmost is chosen, so equal windows have their anchor at the same place.
     """
     n = len(h)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    docs = np.arange(len(first) - 1)
-    doc = np.repeat(docs, np.diff(first))[:n]
-    last = first[1:][doc] - k  # the last position whose k words are in the document
-    at = np.arange(n)
-    ok = at <= last
-    # hashes give their low bits to the place
-    key = (h & ~U64(63)) | (U64(63) - (at % 64).astype(U64))
-    key[~ok] = U64(0xFFFFFFFFFFFFFFFF)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = sliding_min(key, window)
-    start = np.arange(len(least))
-    whole = start + window - 1 <= last[: len(least)]
-    start, least = start[whole], least[whole]
-    # the place of the minimum: the only position in the window with its remainder mod 64
-    place = (U64(63) - (least & U64(63))).astype(np.int64)
-    pos = start + (place - start) % 64
-    pos = np.unique(pos)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+    last = first[1:][doc] - k  # the last position whose k words are in the document
+    place = sliding_argmin(h, window)
+    start = np.arange(len(place))
+    pos = np.unique(place[start + window - 1 <= last[: len(place)]])
     return pos, doc[pos]
 
 
-def splits(context: int) -> list[tuple[int, int]]:
-    """Ways to share out `context` words before and after an anchor, a quarter at a time."""
-    return [(i * context // 4, context - i * context // 4) for i in range(5)]
+def left_contexts(words: np.ndarray, pos: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """63-bit hash of the `size` words before each position, -1 where the document begins within them."""
+    h = np.zeros(len(pos), U64)
+    for j in range(1, size + 1):
+        h = h * MIX1 + words[np.maximum(pos - j, 0)]
+    return np.where(pos - size >= begin, (mix(h + GOLDEN) >> U64(1)).astype(np.int64), -1)
 
 
-def context_hashes(words: np.ndarray, pos: np.ndarray, doc: np.ndarray, first: np.ndarray, k: int, context: int) -> list[np.ndarray]:
-    """For each of the splits a 32-bit hash of that many words before and after each anchor."""
-    lo, hi = first[:-1][doc], first[1:][doc]
-    top = max(0, len(words) - 1)
-    left, right = [np.zeros(len(pos), U64)], [np.zeros(len(pos), U64)]
-    for j in range(1, context + 1):
-        p = pos - j
-        left.append(left[-1] * MIX1 + np.where(p >= lo, words[np.maximum(p, 0)], GOLDEN))
-        p = pos + k - 1 + j
-        right.append(right[-1] * MIX1 + np.where(p < hi, words[np.minimum(p, top)], GOLDEN))
-    return [(mix(left[i] * GOLDEN + right[j]) >> U64(32)).astype(np.uint32).view(np.int32) for i, j in splits(context)]
+def short_hashes(words: np.ndarray) -> np.ndarray:
+    """The 32 bits of each word's hash that are kept."""
+    return (words >> U64(32)).astype(np.uint32)
 
 
 def _anchors(k: int, window: int):
+    """(h, doc_id, before): the different anchors of every document with the hash of the `window` words before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, words, first in word_hashes(batch.column(1)):
-                h = rolling(words, k)
+                x = short_hashes(words).astype(U64)
+                h = rolling(x, k)
                 pos, doc = winnow(h, first, k, window)
-                sides = context_hashes(words, pos, doc, first, k, window - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[pos].view(np.int64)),
-                        ids.take(pa.array(lo + doc)),
-                        pa.array((pos - first[:-1][doc]).astype(np.int32)),
-                        pa.array(np.diff(first)[doc].astype(np.int32)),
-                        *[pa.array(x) for x in sides],
-                    ],
-                    names=["h", "doc_id", "pos", "n", *CLASSES],
-                )
+                before = left_contexts(x, pos, first[:-1][doc], window)
+                order = np.lexsort((before, h[pos], doc))
+                doc, key, before = doc[order], h[pos][order], before[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (before[1:] != before[:-1])
+                yield pa.RecordBatch.from_arrays([int64(key[new]), ids.take(int64(lo + doc[new])), pa.array(before[new])], names=["h", "doc_id", "before"])
 
     return run
 
@@ -139,56 +135,211 @@ def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def period(x: np.ndarray, i: int, k: int) -> int:
-    """The least period up to PERIOD of x[i:i + k], 0 if there is none."""
-    part = x[i : i + k]
-    return next((p for p in range(1, min(PERIOD, k - 1) + 1) if (part[p:] == part[:-p]).all()), 0)
+def covered(x: np.ndarray, anchors: np.ndarray, least: int, k: int) -> np.ndarray:
+    """For every start of `least` words in x whether their anchor is one of those given."""
+    if len(x) < least:
+        return np.zeros(0, bool)
+    return np.isin(sliding_min(rolling(x.astype(U64), k), least - k + 1), anchors)
 
 
-def run_bounds(x: np.ndarray, i: int, k: int, p: int) -> tuple[int, int]:
-    """Where the run of period p around x[i:i + k] begins and ends."""
-    ahead = np.flatnonzero(x[i + k :] != x[i + k - p : -p])
-    back = np.flatnonzero(x[:i] != x[p : i + p])
-    return (int(back[-1]) + 1 if len(back) else 0), (i + k + int(ahead[0]) if len(ahead) else len(x))
+def _starts(least: int, k: int):
+    """(g, doc_id, pos, before): the places of a document that may start a maximal repeat, g is the hash of
+    the next `least` words and before the word in front, -1 where the document begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, ...]] = []
+            n = 0
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
+                pos = np.flatnonzero(covered(x, np.asarray(batch.column(3)[i].values).view(U64), least, k))
+                before = np.where(pos > 0, x[pos - 1].astype(np.int64), -1)
+                parts.append((rolling(x.astype(U64), least)[pos], np.full(len(pos), doc), pos.astype(np.int32), before))
+                n += len(pos)
+                if n >= BATCH_STARTS:
+                    yield packed(parts)
+                    parts, n = [], 0
+            if n:
+                yield packed(parts)
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in map(np.concatenate, zip(*parts))], names=["g", "doc_id", "pos", "before"])
+
+    return run
+
+
+def leads(x: np.ndarray, pos: np.ndarray, least: int) -> np.ndarray:
+    """How many words from each of pos on keep the least period of the next `least` ones; `least` where they have none up to its half."""
+    out, free = np.full(len(pos), least, np.int64), np.ones(len(pos), bool)
+    for p in range(1, least // 2 + 1):
+        differ = np.append(np.flatnonzero(x[p:] != x[:-p]), len(x) - p)
+        ahead = differ[np.searchsorted(differ, pos)] - pos
+        mine = free & (ahead >= least - p)
+        out[mine] = ahead[mine] + p
+        free &= ~mine
+    return out
 
 
-def slides(a0: int, a1: int, b0: int, b1: int, p: int, shift: int, least: int) -> list[tuple[int, int, int]]:
-    """The longest matches of two runs of one period on the diagonals congruent to shift modulo p.
+def _suffixes(least: int, k: int):
+    """(g, m, rest, doc_id, pos) for starts: the suffix is its first m words, which g and m tell, and then rest.
 
-    Those are the diagonals on which the shorter run lies within the longer, and the first and last
-    ones on which either run begins or ends; the matches of others lie within these.
+    A suffix ends where the covered starts end, as no match goes on. The words of a run of one period
+    are told by their number, so long runs do not give long suffixes at each of their places.
     """
-    m, n = a1 - a0, b1 - b0
-    x, y = a0 + (b0 + shift - a0) % p, b0 + (a0 - shift - b0) % p
-    u, w = a1 - (a1 - b1 - shift) % p, b1 - (b1 - a1 + shift) % p
-    out = [(a0, y, min(m, b1 - y)), (x, b0, min(a1 - x, n))]
-    out += [(a1 - q, w - q, q) for q in [min(m, w - b0)]] + [(u - q, b1 - q, q) for q in [min(u - a0, n)]]
-    if min(m, n) >= least:
-        out += [(i, b0, n) for i in range(x, a1 - n + 1, p)] if m >= n else [(a0, j, m) for j in range(y, b1 - m + 1, p)]
-    return [f for f in set(out) if f[2] >= least]
 
+    names = ["g", "m", "rest", "doc_id", "pos"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, bytes, int, int]] = []
+            size = 0
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
+                pos = np.sort(np.asarray(batch.column(3)[i].values).astype(np.int64))
+                inside = covered(x, np.asarray(batch.column(2)[i].values).view(U64), least, k)
+                gaps = np.append(np.flatnonzero(~inside), len(inside))
+                end = gaps[np.searchsorted(gaps, pos)] + least - 1
+                m = np.minimum(leads(x, pos, least), end - pos)
+                g = rolling(x.astype(U64), least)[pos].view(np.int64)
+                data = x.tobytes()
+                for h, p, n, e in zip(g.tolist(), pos.tolist(), m.tolist(), end.tolist()):
+                    rows.append((h, n, data[4 * (p + n) : 4 * e], doc, p))
+                    size += 4 * (e - p - n) + 100
+                    if size >= BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+
+    return run
 
-def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int, k: int = K) -> list[tuple[int, int, int]]:
-    """Maximal matches (start in a, start in b, words) of at least `least` words through the seeds (position in a, in b).
 
-    In a run of few repeating words an anchor may lie anywhere, so there a seed stands for all
-    diagonals of the two runs. A match leaves the runs only where both begin or both end.
+def common(a: bytes, b: bytes) -> int:
+    """Words (of 4 bytes) that a and b begin with alike."""
+    n = min(len(a), len(b)) & ~3
+    if a[:n] == b[:n]:
+        return n // 4
+    lo, step = 0, 256
+    while a[lo : lo + step] == b[lo : lo + step]:
+        lo, step = lo + step, step * 2
+    part = np.frombuffer(a[lo : min(lo + step, n)], np.uint32) != np.frombuffer(b[lo : min(lo + step, n)], np.uint32)
+    return lo // 4 + int(part.argmax())
+
+
+class Node:
+    """A stretch of sorted suffixes that have `depth` words in common."""
+
+    __slots__ = ("depth", "first", "twice", "least", "second", "open")
+
+    def __init__(self, depth: int, first: int):
+        self.depth, self.first = depth, first
+        self.twice = 0  # suffixes whose document is in the stretch already
+        self.least: int | None = None  # the two least documents
+        self.second: int | None = None
+        self.open: list[int] = []  # suffixes without an answer
+
+    def add(self, doc: int | None) -> None:
+        if doc is None or doc == self.least or doc == self.second:
+            return
+        if self.least is None or doc < self.least:
+            self.least, self.second = doc, self.least
+        elif self.second is None or doc < self.second:
+            self.second = doc
+
+    def take(self, other: Node) -> None:
+        self.twice += other.twice
+        self.add(other.least)
+        self.add(other.second)
+        if len(self.open) < len(other.open):
+            self.open, other.open = other.open, self.open
+        self.open += other.open
+
+
+def longest(docs: list[int], depths: list[int]) -> list[tuple[int, int, int] | None]:
+    """For each of some sorted suffixes its longest beginning that another document has: (words, least such document, number of them).
+
+    depths[i] is what suffixes i - 1 and i have in common. The stretches with a common beginning are
+    gone through as a tree from the leaves up; the first with a second document answers.
     """
+    out: list[tuple[int, int, int] | None] = [None] * len(docs)
+    seen: dict[int, int] = {}
+    stack: list[Node] = []
+
+    def close(node: Node, end: int) -> None:
+        if node.second is not None:
+            n = end - node.first - node.twice - 1
+            for j in node.open:
+                out[j] = (node.depth, node.second if docs[j] == node.least else node.least, n)
+            node.open = []
+
+    for i in range(len(docs) + 1):
+        depth = depths[i] if 0 < i < len(docs) else 0
+        last: Node | None = None
+        while stack and (i == len(docs) or stack[-1].depth > depth):
+            node = stack.pop()
+            if last is not None:
+                node.take(last)
+            close(node, i)
+            last = node
+        if i == len(docs):
+            break
+        if last is not None:
+            if stack and stack[-1].depth == depth:
+                stack[-1].take(last)
+            else:
+                node = Node(depth, last.first)
+                node.take(last)
+                stack.append(node)
+        leaf = Node(1 << 62, i)
+        leaf.add(docs[i])
+        leaf.open.append(i)
+        before = seen.get(docs[i])
+        if before is not None and stack:
+            # the least stretch with both holds the document twice
+            stack[bisect_right(stack, before, key=lambda s: s.first) - 1].twice += 1
+        seen[docs[i]] = i
+        stack.append(leaf)
+    return out
+
+
+def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start_word, end_word, other_doc_id, n_others) of suffixes that come sorted by g, m and rest."""
+    group: int | None = None
+    docs: list[int] = []
+    at: list[int] = []
+    depths: list[int] = []
+    m_before, rest_before = 0, b""
+
+    def answers() -> list[tuple[int, int, int, int, int]]:
+        if not docs or min(docs) == max(docs):
+            return []
+        return [(d, p, p + a[0], a[1], a[2]) for d, p, a in zip(docs, at, longest(docs, depths)) if a]
+
+    names = ["doc_id", "start_word", "end_word", "other_doc_id", "n_others"]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=names)
+    for batch in batches:
+        rows: list[tuple[int, int, int, int, int]] = []
+        for g, m, rest, doc, pos in zip(*(c.to_pylist() for c in batch.columns)):
+            if g != group:
+                rows += answers()
+                group, docs, at, depths = g, [], [], []
+            depths.append((m + common(rest_before, rest) if m == m_before else min(m, m_before)) if docs else 0)
+            docs.append(doc)
+            at.append(pos)
+            m_before, rest_before = m, rest
+        yield pack(rows)
+    yield pack(answers())
+
+
+def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Maximal matches (start in a, start in b, words) of at least `least` words through the seeds (position in a, in b)."""
     out: list[tuple[int, int, int]] = []
-    plain, runs = set(), set()
-    for i, j in seeds:
-        p = period(a, i, k)
-        if not p:
-            plain.add((i, j))
-            continue
-        (a0, a1), (b0, b1) = run_bounds(a, i, k, p), run_bounds(b, j, k, p)
-        run = (a0, a1, b0, b1, p, (i - j) % p)
-        if run not in runs:
-            runs.add(run)
-            out += slides(*run, least)
-            plain.update((x, y) for x, y in ((a0, b0), (a1 - k, b1 - k)) if (x - y - i + j) % p == 0)
     reach: dict[int, int] = {}
-    for i, j in sorted(plain, key=lambda s: (s[0] - s[1], s[0])):
+    for i, j in sorted(set(seeds), key=lambda s: (s[0] - s[1], s[0])):
         if reach.get(i - j, -1) > i:
             continue  # within the match found last on this diagonal
         n = min(len(a) - i, len(b) - j)
@@ -203,70 +354,41 @@ def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: in
     return out
 
 
-def _extender(least: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            ids_a, ids_b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            seeds, words_a, words_b = batch.column(2), batch.column(3), batch.column(4)
-            for i, (a, b) in enumerate(zip(ids_a, ids_b)):
-                # a seed is the two positions in one long
-                packed = [s.as_py() for s in seeds[i].values]
-                pairs = [(s >> 32, s & 0xFFFFFFFF) for s in packed]
-                x, y = np.frombuffer(words_a[i].as_buffer(), np.uint32), np.frombuffer(words_b[i].as_buffer(), np.uint32)
-                found = extend(x, y, pairs, least, k)
-                rows += [(a, p, q, b) for p, q in {(p, p + n) for p, _, n in found}]
-                rows += [(b, p, q, a) for p, q in {(p, p + n) for _, p, n in found}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["doc_id", "start_word", "end_word", "other"])
-
-    return run
-
-
-def seed_pairs(anchors: DataFrame) -> DataFrame:
-    """(a, b, seed) from anchors: each occurrence with the first one of its anchor, and of its anchor with each kind of equal surroundings.
-
-    The first occurrence is that in the shortest document. n occurrences give at most 6 n pairs instead
-    of n * n / 2. Two documents whose match reaches beyond what either shares with the first
-    occurrence have equal surroundings of some kind there, and so a first occurrence in common that
-    shares at least a passage of the wanted length with both, but for a quarter of the surroundings.
-    """
-    order = ["n", "doc_id", "pos"]
-    heads = anchors
-    for name in ("all", *CLASSES):
-        w = Window.partitionBy("h", *([] if name == "all" else [name])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        heads = heads.withColumn(f"head_{name}", F.first(F.struct("doc_id", "pos")).over(w))
-    pairs = heads.select("doc_id", "pos", F.explode(F.array_distinct(F.array(*[f"head_{n}" for n in ("all", *CLASSES)]))).alias("head")).where("head.doc_id <> doc_id")
-    return pairs.select(
-        F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), (F.shiftleft(F.col("head.pos").cast("long"), 32) + F.col("pos")).alias("seed")
-    )
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id, n_others): the maximal repeats of each document.
 
     A repeat is a run of at least `least` words (letters, digits, underscore; case ignored) that
     another document has too; end_word is exclusive. Of a document's repeats those that lie
     within another one are dropped; of equal ones one row stays, with the least other doc_id and
-    the number of documents it was matched with directly.
+    the number of other documents that have the passage.
 
     Repeats inside one document only are not reported. A null id or text, an empty text and one
     with fewer than `least` words have none; rows with the same id are one document (the first
     text by order is read); other columns are not read. Texts are matched whole.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    anchors = base.mapInArrow(_anchors(k, least - k + 1), "h long, doc_id long, pos int, n int, " + ", ".join(f"{c} int" for c in CLASSES))
-    # anchors that only one document has leave before anything is sorted
-    anchors, _ = cut(anchors)
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h")
-    pairs, _ = cut(seed_pairs(anchors.join(shared, "h", "left_semi")).groupBy("a", "b").agg(F.collect_set("seed").alias("seeds")))
-    in_pairs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    words = base.join(in_pairs, "doc_id", "left_semi").mapInArrow(_hasher, "doc_id long, words binary")
-    words, _ = cut(words.groupBy("doc_id").agg(F.min("words").alias("words")))
-    sided = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b")), "b").join(
-        words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a")), "a"
+    spark = docs.sparkSession
+    anchors, at_anchors = cut(base.mapInArrow(_anchors(k, least - k + 1), "h long, doc_id long, before long"))
+    # anchors that only one document has leave before anything is sorted; a start has its anchor among the next words, so where
+    # an anchor has the same words before it everywhere, its starts all follow one word and begin no maximal repeat
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "before") for n, f in (("least", F.min), ("most", F.max))]
+    several, differ = F.expr("least_doc_id <> most_doc_id"), F.expr("least_before <> most_before or least_before < 0")
+    shared = anchors.groupBy("h").agg(*bounds).where(several).select("h", differ.alias("differ"))
+    mine = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("differ"), F.col("h"))).alias("edges"))
+    mine, at_mine = cut(mine)
+    drop_cut(spark, at_anchors)
+    words = base.join(mine.select("doc_id"), "doc_id", "left_semi").mapInArrow(_hasher, "doc_id long, words binary")
+    held, _ = cut(words.groupBy("doc_id").agg(F.min("words").alias("words")).join(mine, "doc_id").select("doc_id", "words", "hs", "edges"))
+    drop_cut(spark, at_mine)
+    starts, at_starts = cut(held.mapInArrow(_starts(least, k), "g long, doc_id long, pos int, before long"))
+    # where all starts of a group follow one word, each match goes on to the left: only the others begin a maximal one
+    first = starts.groupBy("g").agg(*bounds).where(several & differ).select("g")
+    chosen, _ = cut(starts.join(first, "g", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
+    drop_cut(spark, at_starts)
+    suffixes = held.join(chosen, "doc_id").select("doc_id", "words", "hs", "at").mapInArrow(_suffixes(least, k), "g long, m long, rest binary, doc_id long, pos long")
+    each = suffixes.repartition("g").sortWithinPartitions("g", "m", "rest").mapInArrow(
+        _matcher, "doc_id long, start_word long, end_word long, other_doc_id long, n_others long"
     )
-    found = sided.select("a", "b", "seeds", "words_a", "words_b").mapInArrow(_extender(least, k), "doc_id long, start_word long, end_word long, other long")
-    each = found.groupBy("doc_id", "start_word", "end_word").agg(F.min("other").alias("other_doc_id"), F.countDistinct("other").alias("n_others"))
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         each.withColumn("__far", F.max("end_word").over(w))

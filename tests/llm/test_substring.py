@@ -130,3 +130,58 @@ def test_awkward_rows(spark):
     assert found(df, 50, 17) == {3: {(0, 60)}, 5: {(0, 60), (60, 120)}, 6: {(0, 30_000)}, 7: {(0, 30_000)}}
     assert found(table(spark, [p, p], ids=[1, 1]), 50, 17) == {}  # rows with one id are one document
     assert s.repeated_passages(df.limit(0)).count() == 0
+
+
+def near_copies(n, length, changes, seed=0):
+    base, texts = prose(11 + seed, length).split(), []
+    for i in range(n):
+        w = list(base)
+        for j in np.random.default_rng(1000 * seed + i).choice(length, changes, replace=False):
+            w[j] = f"new{i}x{j}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def holders(texts, spans):
+    """(least other document, number of others) that have the words of each span."""
+    docs = [" " + " ".join(words(t)) + " " for t in texts]
+    out = {}
+    for i, some in spans.items():
+        for a, b in some:
+            part = " " + " ".join(words(texts[i])[a:b]) + " "
+            others = [j for j, d in enumerate(docs) if j != i and part in d]
+            out[i, a, b] = (min(others), len(others))
+    return out
+
+
+@pytest.mark.parametrize(("n", "length", "changes"), [(40, 300, 4), (12, 400, 4)])
+def test_all_intervals_of_near_copies(spark, n, length, changes):
+    """Every maximal repeat in one piece, whichever pair of copies has it, and with all of its holders."""
+    texts = near_copies(n, length, changes)
+    rows = s.repeated_passages(table(spark, texts)).collect()
+    want = {}
+    docs = [words(t) for t in texts]
+    for i, a in enumerate(docs):  # the copies differ in place only, so matches lie on the main diagonal
+        spans = set()
+        for j, b in enumerate(docs):
+            if i != j:
+                same = np.flatnonzero(np.diff(np.concatenate([[0], (np.array(a) == np.array(b)).astype(int), [0]])))
+                spans |= {(int(x), int(y)) for x, y in zip(same[::2], same[1::2]) if y - x >= 50}
+        want[i] = {p for p in spans if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in spans)}
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], set()).add((r["start_word"], r["end_word"]))
+    assert got == {i: v for i, v in want.items() if v}
+    assert {(r["doc_id"], r["start_word"], r["end_word"]): (r["other_doc_id"], r["n_others"]) for r in rows} == holders(texts, want)
+
+
+def test_longest_beginnings():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        texts = sorted((bytes(rng.integers(97, 99, rng.integers(1, 9))), int(rng.integers(0, 4))) for _ in range(rng.integers(1, 14)))
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        got = s.longest([d for _, d in texts], [0, *[common(a, b) for (a, _), (b, _) in zip(texts, texts[1:])]])
+        for (t, d), answer in zip(texts, got):
+            most = max((common(t, u) for u, e in texts if e != d), default=None)
+            holding = {e for u, e in texts if e != d and common(t, u) == most}
+            assert answer == (None if most is None else (most, min(holding), len(holding)))
