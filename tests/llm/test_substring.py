@@ -175,6 +175,16 @@ def test_all_intervals_of_near_copies(spark, n, length, changes):
     assert {(r["doc_id"], r["start_word"], r["end_word"]): (r["other_doc_id"], r["n_others"]) for r in rows} == holders(texts, want)
 
 
+def test_repeated_lines(spark):
+    """Lines longer than a run's period and repeated: the true diagonal is found at whatever place in a batch the documents lie."""
+    texts = []
+    for size, times in ((17, 3), (18, 3), (12, 5), (25, 2), (33, 4), (9, 7)):
+        for seed in range(3):
+            line = " ".join([prose(100 * size + seed, size)] * times)
+            texts += [f"{prose(seed, 7 + 13 * seed)} a{seed} {line} b{seed} {prose(seed + 50, 5)}", f"c{size} {prose(seed + 70, 3 * size + seed)} {line}"]
+    assert found(table(spark, texts).coalesce(1), 50, 17) == brute(dict(enumerate(texts)), 50)
+
+
 def test_longest_beginnings():
     rng = np.random.default_rng(5)
     for _ in range(300):
