@@ -25,7 +25,7 @@ def rules() -> list[tuple[str, int, str, re.Pattern]]:
     out = []
     for line in TABLE.strip().splitlines():
         keyword, priority, name, pattern = line.split("|", 3)
-        out.append((keyword, int(priority), name, re.compile(pattern.replace(" ", r"\s+"), re.IGNORECASE | re.DOTALL)))
+        out.append((keyword, int(priority), name, re.compile(pattern.replace("[- ]", r"(?:-|\s+)").replace(" ?", r"\s*").replace(" ", r"\s+"), re.IGNORECASE | re.DOTALL)))
     return out
 
 

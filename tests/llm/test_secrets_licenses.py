@@ -137,3 +137,23 @@ def test_licenses_awkward_rows(spark):
     assert sorted((r["doc_id"], r["license"]) for r in rows) == [(2, "MIT"), (3, "MIT"), (3, "MIT")]
     assert next(long[r["start"] : r["end"]] for r in rows if r["doc_id"] == 2) == "Released under the MIT License"
     assert L.find_licenses(df.limit(0)).count() == 0
+
+
+VERSIONS = {
+    "Apache License v2.0": "Apache-2.0",
+    "GNU General Public License v3.0": "GPL-3.0-only",
+    "GNU General Public License v3": "GPL-3.0-only",
+    "GNU Lesser General Public License v2.1": "LGPL-2.1-only",
+    "GNU Affero General Public License v3.0": "AGPL-3.0-only",
+    "Mozilla Public License v2.0": "MPL-2.0",
+    "Eclipse Public License, version 2.0": "EPL-2.0",
+    "European Union Public Licence v1.2": "EUPL-1.2",
+    "Copyright (c) 2010-2020": "notice",
+    "Copyright (c) 2010, 2012 - 2020": "notice",
+}
+
+
+@pytest.mark.parametrize("text", VERSIONS)
+def test_versions_with_and_without_blanks(text):
+    (d,) = L.detect(text)
+    assert L.rules()[d[3]][2] == VERSIONS[text] and d[:2] == (0, len(text))
