@@ -1,6 +1,7 @@
 """Hand-written licence signatures: keyword | priority | licence | pattern, one to a line.
 
-The keyword (lower case) must occur in the lower-cased text before the pattern is tried.
+The keyword (lower case) names the rule's subject; what must occur before a pattern is tried is read
+from the pattern itself.
 Patterns ignore case; a blank in a pattern stands for any white space. Priority: 9 identifier
 tags, 7 full names with version, 6 phrases typical of one licence's text, 5 addresses,
 3 names without version, 1 hints that some licence is meant.

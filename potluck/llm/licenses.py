@@ -1,7 +1,7 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
-An Aho-Corasick pass over the lower-cased text finds which keywords occur; only their rules'
-regexes run. Overlapping detections are resolved by priority and interval containment.
+An Aho-Corasick pass over the lower-cased text finds which literals occur; only the regexes whose
+literals all do run. A rule's literals are read from its pattern, which cannot match without them. Overlapping detections are resolved by priority and interval containment.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from re import _parser
 
 import ahocorasick
 import pyarrow as pa
@@ -29,20 +30,51 @@ def rules() -> list[tuple[str, int, str, re.Pattern]]:
     return out
 
 
+def literals(pattern: re.Pattern) -> list[str]:
+    """Stretches of characters, in lower case, that every match of the pattern has."""
+    out = [""]
+
+    def walk(items) -> None:
+        for op, value in items:
+            if op is _parser.LITERAL:
+                out[-1] += chr(value).lower()
+            elif op is _parser.SUBPATTERN:
+                walk(value[-1])
+            elif op is not _parser.AT:
+                out.append("")
+
+    walk(_parser.parse(pattern.pattern, pattern.flags))
+    return [x for x in out if x]
+
+
+@cache
+def needed() -> list[list[str]]:
+    """Per rule its two longest literals, or one where they are short."""
+    out = []
+    for *_, pattern in rules():
+        some = sorted(set(literals(pattern)), key=len, reverse=True)
+        out.append(some[:1] + [x for x in some[1:2] if len(x) > 4])
+    return out
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
-    by_keyword: dict[str, list[int]] = {}
-    for i, (keyword, *_) in enumerate(rules()):
-        by_keyword.setdefault(" ".join(keyword.split()), []).append(i)
     a = ahocorasick.Automaton()
-    for keyword, which in by_keyword.items():
-        # a keyword's blanks may be any white space in a text: its longest part without blanks is looked for
-        part = max(keyword.split(" "), key=len)
-        a.add_word(part, (a.get(part, ()) or ()) + tuple(which))
+    for part in {x for some in needed() for x in some}:
+        a.add_word(part, part)
     a.make_automaton()
     return a
 
 
+def candidates(text: str) -> list[int]:
+    """The rules whose literals occur in the text."""
+    if not text.isascii():
+        # characters that patterns take for an i or s in spite of their lower case
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")
+    there = {part for _, part in automaton().iter(text.lower())}
+    return [i for i, some in enumerate(needed()) if there.issuperset(some)] if there else []
+
+
 def resolve(found: list[Detection]) -> list[Detection]:
     """Best first (priority, length, position, rule order); one that lies within a better one is suppressed."""
     kept: list[Detection] = []
@@ -53,12 +85,8 @@ def resolve(found: list[Detection]) -> list[Detection]:
 
 
 def detect(text: str) -> list[Detection]:
-    lower = text.lower()
-    which: set[int] = set()
-    for _, some in automaton().iter(lower):
-        which.update(some)
     every = rules()
-    return resolve([(m.start(), m.end(), every[i][1], i) for i in sorted(which) for m in every[i][3].finditer(text)]) if which else []
+    return resolve([(m.start(), m.end(), every[i][1], i) for i in candidates(text) for m in every[i][3].finditer(text)])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -157,3 +158,47 @@ VERSIONS = {
 def test_versions_with_and_without_blanks(text):
     (d,) = L.detect(text)
     assert L.rules()[d[3]][2] == VERSIONS[text] and d[:2] == (0, len(text))
+
+
+def made(items, rng):
+    """A text for parsed parts of a pattern, optional parts and branches at random."""
+    out = ""
+    for op, v in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(v)
+        elif name == "SUBPATTERN":
+            out += made(v[-1], rng)
+        elif name == "BRANCH":
+            out += made(rng.choice(v[1]), rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(made(v[2], rng) for _ in range(rng.randint(v[0], min(v[1], v[0] + 1))))
+        elif name == "IN":
+            kind, x = rng.choice(v)
+            out += chr(x) if str(kind) == "LITERAL" else chr(x[0]) if str(kind) == "RANGE" else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "3", "CATEGORY_WORD": "w"}[str(x)]
+        elif name == "ANY":
+            out += "x"
+    return out
+
+
+def test_gate_is_necessary_for_every_branch():
+    rng, tried = random.Random(1), 0
+    for i, (*_, pattern) in enumerate(L.rules()):
+        items = re._parser.parse(pattern.pattern, pattern.flags)
+        for _ in range(40):
+            text = made(items, rng)
+            if pattern.search(text):
+                tried += 1
+                assert i in L.candidates(text) and i in L.candidates(text.upper()), text
+    assert tried > 30 * len(L.rules())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        *("distributed under GPL v3", "GPL v2+", "LGPL v3", "AGPL v3", "Apache Licence, Version 2.0", "BSD Licence", "ISC Licence", "beer-ware license"),
+        *("https://www.eclipse.org/org/documents/epl-2.0", "M\u0130T l\u0131cen\u017fe"),
+    ],
+)
+def test_gate_keeps_other_spellings(text):
+    assert L.detect(text) == brute_detect(text) != []
