@@ -24,14 +24,19 @@ CLASSES = {
     "hex": ("0123456789abcdefABCDEF", 2.9, True),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", 3.75, True),
     "urlsafe": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 3.75, True),
+    # fewer characters have less entropy: a random key's best window of 20 falls below this in up to three of a thousand cases (of 2,000 drawn)
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.2, True),
+    "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 3.2, True),
 }
+#: Key ids whose form tells them, even without a digit.
+KEY_ID = r"(?:AKIA|ASIA)[A-Z2-7]{16}"
 #: Harmless high-entropy strings. The first kind is held against the string, the second against what stands before it.
 ALLOW = [
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r".*EXAMPLE.*",
     r"(?i:example|sample|dummy|placeholder|changeme|redacted|your)[-_].*",
     r"[0-9]+(?:[-_/][0-9]+)*",
-    r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",
+    rf"(?!{KEY_ID}\Z)[A-Za-z]+(?:[-_/][A-Za-z]+)*",
     r"(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz).*",
     r"(?:.*/){3,}[A-Za-z_\-]*",
     r"(.{1,16}?)\1{2,}",
@@ -39,6 +44,7 @@ ALLOW = [
 ALLOW_BEFORE = [r"sha(?:1|256|384|512)[-:= ]+$", r"md5[-:= ]+$", r"(?:commit|tree|blob)[/ ]$", r"base64,$", r"(?i:checksum)[-:= \"']+$"]
 CONTEXT = 32
 _LOG = [0.0, 0.0] + [c * log2(c) for c in range(2, 4096)]
+_KEY_ID = re.compile(KEY_ID)
 _ALLOWED = re.compile("|".join(f"(?:{p})" for p in ALLOW[:-1]))
 _REPEATED = re.compile(ALLOW[-1])
 _ALLOWED_BEFORE = re.compile("|".join(f"(?:{p})" for p in ALLOW_BEFORE))
@@ -83,7 +89,7 @@ def scan_candidate(candidate: str, before: str = "", window: int = MIN_LENGTH) -
     for rank, (name, (characters, least, mixed)) in enumerate(CLASSES.items()):
         for m in re.finditer(f"[{re.escape(characters)}]{{{window},}}", candidate):
             s = m.group()
-            if mixed and not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+            if mixed and not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) and not _KEY_ID.fullmatch(s):
                 continue
             if allowed(s, (before + candidate[: m.start()])[-CONTEXT:]):
                 continue
