@@ -8,6 +8,7 @@ and one out, and the sum of c * log2(c) changes with them, so a step costs O(1).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
@@ -30,23 +31,26 @@ CLASSES = {
 }
 #: Key ids whose form tells them, even without a digit.
 KEY_ID = r"(?:AKIA|ASIA)[A-Z2-7]{16}"
-#: Harmless high-entropy strings. The first kind is held against the string, the second against what stands before it.
+#: Harmless high-entropy strings, each held against a whole string; every pattern takes time linear in it. What a rule clears is
+#: bounded by its form, so a key beside a harmless word stays.
 ALLOW = [
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r".*EXAMPLE.*",
-    r"(?i:example|sample|dummy|placeholder|changeme|redacted|your)[-_].*",
+    r"[A-Za-z0-9+/]{0,40}EXAMPLE(?:KEY)?[0-9]{0,4}",
+    r"(?i:example|sample|dummy|placeholder|changeme|redacted|your)[-_][^=/+]{0,48}",
     r"[0-9]+(?:[-_/][0-9]+)*",
     rf"(?!{KEY_ID}\Z)[A-Za-z]+(?:[-_/][A-Za-z]+)*",
-    r"(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz).*",
-    r"(?:.*/){3,}[A-Za-z_\-]*",
-    r"(.{1,16}?)\1{2,}",
+    r"(?i:0123456789abcdef|0123456789|abcdefghijklmnopqrstuvwxyz|abcdef)+",
 ]
+REPEATED = r"(.{1,16}?)\1{2,}"
+#: A step of a path: words of one case or capitalised ones, with a short number at the end, joined by - or _.
+STEP = r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*|[A-Z]+|[a-z])?[0-9]{0,4}(?:[-_](?:[A-Za-z]?[a-z]+|[A-Z]+)?[0-9]{0,4})*"
+#: Held against what stands before the string.
 ALLOW_BEFORE = [r"sha(?:1|256|384|512)[-:= ]+$", r"md5[-:= ]+$", r"(?:commit|tree|blob)[/ ]$", r"base64,$", r"(?i:checksum)[-:= \"']+$"]
 CONTEXT = 32
 _LOG = [0.0, 0.0] + [c * log2(c) for c in range(2, 4096)]
 _KEY_ID = re.compile(KEY_ID)
-_ALLOWED = re.compile("|".join(f"(?:{p})" for p in ALLOW[:-1]))
-_REPEATED = re.compile(ALLOW[-1])
+_ALLOWED = re.compile("|".join(f"(?:{p})" for p in ALLOW))
+_REPEATED, _STEP = re.compile(REPEATED), re.compile(STEP)
 _ALLOWED_BEFORE = re.compile("|".join(f"(?:{p})" for p in ALLOW_BEFORE))
 
 
@@ -77,8 +81,13 @@ def window_entropies(s: str, window: int = MIN_LENGTH) -> list[float]:
     return out
 
 
+def is_path(s: str) -> bool:
+    """Three slashes or more, and each step between them looks like a file's or folder's name."""
+    return s.count("/") >= 3 and all(_STEP.fullmatch(step) for step in s.split("/"))
+
+
 def allowed(candidate: str, before: str) -> bool:
-    return bool(_ALLOWED.fullmatch(candidate) or _REPEATED.fullmatch(candidate) or _ALLOWED_BEFORE.search(before))
+    return bool(_ALLOWED.fullmatch(candidate) or _REPEATED.fullmatch(candidate) or is_path(candidate) or _ALLOWED_BEFORE.search(before))
 
 
 def scan_candidate(candidate: str, before: str = "", window: int = MIN_LENGTH) -> list[tuple[int, int, str, float]]:
@@ -91,17 +100,19 @@ def scan_candidate(candidate: str, before: str = "", window: int = MIN_LENGTH) -
             s = m.group()
             if mixed and not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) and not _KEY_ID.fullmatch(s):
                 continue
-            if allowed(s, (before + candidate[: m.start()])[-CONTEXT:]):
+            ahead = candidate[max(0, m.start() - CONTEXT) : m.start()]
+            if allowed(s, (before + ahead)[-CONTEXT:]):
                 continue
             top = max(window_entropies(s, window))
             if top >= least:
                 hits.append((m.start(), m.end(), rank, name, top))
     hits.sort(key=lambda h: (h[0] - h[1], h[2], h[0]))
-    kept: list[tuple[int, int, str, float]] = []
+    kept: list[tuple[int, int, str, float]] = []  # disjoint and in order, so only the two neighbours of a hit can overlap it
     for lo, hi, _, name, top in hits:
-        if all(hi <= a or lo >= b for a, b, _, _ in kept):
-            kept.append((lo, hi, name, top))
-    return sorted(kept)
+        at = bisect_left(kept, (lo,))
+        if (at == 0 or kept[at - 1][1] <= lo) and (at == len(kept) or kept[at][0] >= hi):
+            kept.insert(at, (lo, hi, name, top))
+    return kept
 
 
 def scan_batch(data: np.ndarray, offsets: np.ndarray, window: int = MIN_LENGTH) -> Iterator[tuple[int, int, int, str, float]]:
@@ -136,13 +147,24 @@ def scan_batch(data: np.ndarray, offsets: np.ndarray, window: int = MIN_LENGTH)
 FOUND = "doc_id long, start long, end long, char_class string, entropy double, preview string"
 
 
+def characters_before(data: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
+    """How many characters begin in each data[lo:hi], in one pass over the bytes."""
+    if not spans:
+        return []
+    cuts = np.unique(np.array(spans))
+    total = np.zeros(len(cuts), np.int64)
+    lead = ((data[cuts[0] : cuts[-1]] & 0xC0) != 0x80).view(np.uint8)
+    if len(lead):
+        total[1:] = np.cumsum(np.add.reduceat(lead, cuts[:-1] - cuts[0], dtype=np.int64))
+    return (total[np.searchsorted(cuts, [b for _, b in spans])] - total[np.searchsorted(cuts, [a for a, _ in spans])]).tolist()
+
+
 def _scanner(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             rows = list(scan_batch(data, offsets, window))
-            lead = (data & 0xC0) != 0x80 if rows else None
-            at = [int(lead[offsets[d] : a].sum()) for d, a, _, _, _ in rows]
+            at = characters_before(data, [(int(offsets[d]), a) for d, a, _, _, _ in rows])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
