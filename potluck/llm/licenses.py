@@ -7,6 +7,7 @@ literals all do run. A rule's literals are read from its pattern, which cannot m
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from re import _parser
@@ -76,11 +77,26 @@ def candidates(text: str) -> list[int]:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Best first (priority, length, position, rule order); one that lies within a better one is suppressed."""
+    """Best first (priority, length, position, rule order); one that lies within a better one is suppressed.
+
+    The farthest end of what is kept is held per range of starts (a Fenwick tree of maxima), so n detections take n log n steps.
+    """
+    starts = sorted({d[0] for d in found})
+    far = [-1] * (len(starts) + 1)
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+        place = bisect_left(starts, d[0]) + 1
+        i, most = place, -1
+        while i:
+            most = max(most, far[i])
+            i &= i - 1
+        if most >= d[1]:
+            continue
+        kept.append(d)
+        i = place
+        while i < len(far):
+            far[i] = max(far[i], d[1])
+            i += i & -i
     return sorted(kept)
 
 

@@ -210,6 +210,23 @@ def test_containment_and_ties():
     assert L.resolve(d) == [(0, 10, 5, 1), (2, 8, 9, 3), (5, 15, 1, 4)]
 
 
+def test_resolve_equals_comparing_all_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        found = [(a, a + rng.randint(1, 12), rng.randint(1, 4), i) for i in range(rng.randint(0, 30)) for a in [rng.randint(0, 20)]]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        assert L.resolve(found) == sorted(kept)
+
+
+def test_many_detections_in_one_text():
+    began = time.perf_counter()
+    assert len(L.detect("MIT License, all rights reserved. \n" * 40_000)) == 80_000
+    assert time.perf_counter() - began < 15
+
+
 def test_licenses_awkward_rows(spark):
     long = prose(3, 30_000) + " Released under the MIT License."
     df = clashing(table(spark, [None, "", long, "MIT License", "MIT License"], ids=[None, 1, 2, 3, 3]), "start", "end", "license", "rule", "priority")
