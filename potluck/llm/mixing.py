@@ -60,7 +60,7 @@ def probabilities(mass: np.ndarray, weight: np.ndarray, fraction: float) -> np.n
     budget = fraction * m.sum()
     full, rest = np.cumsum(m) - m, np.cumsum(w[::-1])[::-1]
     scale = np.divide(budget - full, rest, out=np.full_like(rest, np.inf), where=rest > 0)
-    fits = np.flatnonzero(scale * f <= 1)
+    fits = np.flatnonzero((f <= 0) | (np.where(f > 0, scale, 0.0) * f <= 1))
     s = scale[fits[0]] if len(fits) else np.inf
     p = np.where(factor > 0, np.minimum(1.0, np.where(np.isinf(s), 1.0, s) * factor), 0.0)
     return np.where((factor > 0) & np.isinf(s), 1.0, p)
