@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TOLERANCE, PROBES = 0.01, 32
-#: Bytes of text in a shard where no number of shards is given.
-SHARD_BYTES = 32 << 20
-#: Most shards made where no number is given: an exchange keeps a size for every pair of task and shard.
-MOST_SHARDS = 20_000
+#: Where no number of shards is given: bytes of text in a shard, and how many shards there are at least.
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 24
+#: Partitions of the exchange at most, as it keeps a size for every pair of tasks; beyond it a partition holds several whole shards.
+MOST_PARTITIONS = 20_000
 #: Most probes of a round; with many boundaries each gets fewer, and more rounds.
 MOST_PROBES = 400_000
 
@@ -102,21 +102,24 @@ def histogram_sort(
     tolerance: float = TOLERANCE,
     probes: int = PROBES,
     shard_bytes: int = SHARD_BYTES,
+    partitions: int = MOST_PARTITIONS,
 ) -> DataFrame:
     """docs with a column shard (0 to shards - 1), partitioned by shard and ordered by id_col in each.
 
-    Without a number of shards there are as many as make about `shard_bytes` each, at most MOST_SHARDS. Shards are key ranges of nearly equal UTF-8 bytes of text_col. The shard is found with a
-    chain of comparisons in the JVM, so the texts cross no Python process.
+    Without a number of shards there are as many as make about `shard_bytes` each, and LEAST_SHARDS at least. Shards are
+    key ranges of nearly equal UTF-8 bytes of text_col. The shard is found by a binary search in the
+    JVM, so the texts cross no Python process. Rows move once; a partition holds one shard, or a range of
+    whole shards, one after another, where there would be more than `partitions` of them.
 
     A null id sorts first, as the smallest long, and so is in shard 0; rows with equal ids stay
-    in one shard, whatever the tolerance; a null or empty text weighs one byte, so that the
+    in one shard, whatever the tolerance, so with few ids some shards are empty; a null or empty text weighs one byte, so that the
     table still splits; an empty table gives an empty result; other columns are carried along. A
     column that is already named shard is replaced.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1).cast("long"))
     slim, _ = cut(docs.select(key.alias("key"), F.greatest(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)).cast("long").alias("bytes")))
     if shards is None:
-        shards = min(MOST_SHARDS, max(1, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes)))
+        shards = max(LEAST_SHARDS, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes))
     cuts, _ = splitters(slim, shards, tolerance, probes)
     rest = docs.drop("shard") if "shard" in docs.columns else docs
     if len(cuts):
@@ -126,7 +129,9 @@ def histogram_sort(
     else:
         shard = F.lit(0)
     placed = rest.withColumn("shard", shard.cast("int"))
-    return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col(id_col).asc_nulls_first())
+    parts = min(shards, partitions)
+    part = F.col("shard") if parts == shards else F.floor(F.col("shard").cast("long") * parts / shards).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("shard", F.col(id_col).asc_nulls_first())
 
 
 def _bisect(bounds, key, n: int):

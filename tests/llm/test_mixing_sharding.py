@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from potluck.llm import mixing as x
+from potluck.llm import queries as q
 from potluck.llm import sharding as h
 
 from .util import SCHEMA, clashing, prose, table
@@ -104,6 +107,31 @@ def test_shards_are_ordered_ranges(spark):
     assert load.max() < 1.1 * load.mean()
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_query_splits_within_tolerance_by_brute_force(spark, sf):
+    """op5 over its whole table: every row once, in order, each boundary within 1 % of a shard or at the nearest key there is."""
+    where = f"/root/testdata/{sf}"
+    if not os.path.isdir(where):
+        pytest.skip("no test data here")
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    got = q.op5_histogram_sort(spark, where).select("shard", "doc_id", F.octet_length("text").alias("b")).collect()
+    rows = sorted((r["doc_id"], r["octet_length(text)"] or 0) for r in docs.select("doc_id", F.octet_length("text")).collect())
+    assert [(r["doc_id"], r["b"] or 0) for r in got] == rows
+    shard = np.array([r["shard"] for r in got])
+    assert (np.diff(shard) >= 0).all() and shard.max() < h.LEAST_SHARDS and len(np.unique(shard)) > h.LEAST_SHARDS // 2
+    below = np.concatenate([[0], np.cumsum([max(1, b) for _, b in rows])])  # bytes of the first i rows
+    for i in range(1, h.LEAST_SHARDS):
+        goal, at = below[-1] * i / h.LEAST_SHARDS, below[np.searchsorted(shard, i)]
+        assert abs(at - goal) <= max(h.TOLERANCE * below[-1] / h.LEAST_SHARDS, np.abs(below - goal).min()) + 1e-6
+
+
+def test_a_partition_may_hold_several_shards(spark):
+    df = table(spark, [prose(i, 5 + i % 50) for i in range(500)], ids=[(i * 7919) % 100_003 for i in range(500)])
+    few = h.histogram_sort(df, 10, partitions=3)
+    assert few.rdd.getNumPartitions() == 3 and few.select("shard").distinct().count() == 10
+    assert [tuple(r) for r in few.select("shard", "doc_id").collect()] == [tuple(r) for r in h.histogram_sort(df, 10).select("shard", "doc_id").collect()]
+
+
 def test_sharding_awkward_rows(spark):
     df = clashing(table(spark, ["x" * 10, None, "", "y" * 10, "z" * 10], ids=[5, None, 5, 5, -3]), "shard", "key", "bytes", "bin")
     got = shards_of(df, 3)
