@@ -15,8 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, utf8
+
 #: Levels per channel of the colour histogram: 4 x 4 x 4 = 64 cells of visible pixels.
 LEVELS = 4
+#: A screen or picture of more pixels is answered by an error row: 16 million take 64 MB as RGBA.
+MOST_PIXELS = 1 << 24
+#: Bytes of canvases that about leave a worker together.
+BATCH_BYTES = 8 << 20
 
 
 class BadGif(ValueError):
@@ -150,77 +156,119 @@ def _rows(height: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes) -> tuple[int, int, int, list[tuple[int, np.ndarray, str]]]:
-    """(width, height, loops, frames); a frame is (delay in ms, RGBA canvas after drawing it, disposal).
+def _walk(data: bytes) -> Iterator[tuple[str, tuple]]:
+    """The blocks of a file in order: ("control", (delay, disposal, transparent index)), ("loops", (n,)) and ("picture", (x, y, w, h, flags, palette, code size, stream)).
 
-    loops: -1 without a loop extension, 0 for ever. A canvas starts transparent. Disposal "background" clears
-    the frame's rectangle to transparent before the next frame, "previous" restores what was there.
-    A file that breaks off keeps its whole frames and raises BadGif only if there is none.
+    Ends at the trailer and raises BadGif, struct.error or IndexError where the file breaks off. No picture is decoded.
     """
+    at, everywhere = 13, None
+    flags = data[10]
+    if flags & 0x80:
+        everywhere, at = _palette(data, at, flags)
+    while True:
+        if at >= len(data):
+            raise BadGif("breaks off between blocks")
+        kind = data[at]
+        at += 1
+        if kind == 0x3B:
+            return
+        if kind == 0x21:
+            label = data[at]
+            body, at = _blocks(data, at + 1)
+            if label == 0xF9 and len(body) >= 4:
+                yield "control", (10 * struct.unpack("<H", body[1:3])[0], body[0] >> 2 & 7, body[3] if body[0] & 1 else -1)
+            elif label == 0xFF and body[:11] in (b"NETSCAPE2.0", b"ANIMEXTS1.0") and len(body) >= 14 and body[11] == 1:
+                yield "loops", struct.unpack("<H", body[12:14])
+            continue
+        if kind != 0x2C:
+            raise BadGif("unknown block")
+        x, y, w, h, own = struct.unpack("<HHHHB", data[at : at + 9])
+        at += 9
+        palette = everywhere
+        if own & 0x80:
+            palette, at = _palette(data, at, own)
+        if palette is None:
+            raise BadGif("no palette")
+        size = data[at]
+        if not 1 <= size <= 8:
+            raise BadGif("bad code size")
+        stream, at = _blocks(data, at + 1)
+        yield "picture", (x, y, w, h, own, palette, size, stream)
+
+
+def header(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, int]:
+    """(width, height, loops) of a file, read without decoding a picture; loops: -1 without a loop extension, 0 for ever."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise BadGif("no GIF header")
-    width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    width, height = struct.unpack("<HH", data[6:10])
     if not width or not height:
         raise BadGif("empty screen")
-    at, everywhere = 13, None
-    if flags & 0x80:
-        everywhere, at = _palette(data, at, flags)
+    if width * height > most_pixels:
+        raise BadGif(f"screen of more than {most_pixels} pixels")
+    loops = -1
+    try:
+        for kind, value in _walk(data):
+            if kind == "loops":
+                (loops,) = value
+    except (BadGif, struct.error, IndexError):
+        pass  # what comes before the break counts
+    return width, height, loops
+
+
+def frames_of(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[tuple[int, np.ndarray, str]]:
+    """(delay in ms, RGBA canvas after drawing the frame, disposal) of each frame; a canvas is valid until the next is asked for.
+
+    A canvas starts transparent. Disposal "background" clears the frame's rectangle to transparent before the next frame,
+    "previous" restores what was there. Two canvases at most are held, and the part a frame covers.
+    """
+    width, height, _ = header(data, most_pixels)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[tuple[int, np.ndarray, str]] = []
-    loops, delay, disposal, clear_index = -1, 0, 0, -1
+    delay, disposal, clear_index = 0, 0, -1
+    some = False
     try:
-        while True:
-            if at >= len(data):
-                raise BadGif("breaks off between blocks")
-            kind = data[at]
-            at += 1
-            if kind == 0x3B:
-                break
-            if kind == 0x21:
-                label = data[at]
-                body, at = _blocks(data, at + 1)
-                if label == 0xF9 and len(body) >= 4:
-                    disposal, delay = body[0] >> 2 & 7, 10 * struct.unpack("<H", body[1:3])[0]
-                    clear_index = body[3] if body[0] & 1 else -1
-                elif label == 0xFF and body[:11] in (b"NETSCAPE2.0", b"ANIMEXTS1.0") and len(body) >= 14 and body[11] == 1:
-                    loops = struct.unpack("<H", body[12:14])[0]
+        for kind, value in _walk(data):
+            if kind == "control":
+                delay, disposal, clear_index = value
+            if kind != "picture":
                 continue
-            if kind != 0x2C:
-                raise BadGif("unknown block")
-            x, y, w, h, own = struct.unpack("<HHHHB", data[at : at + 9])
-            at += 9
-            palette = everywhere
-            if own & 0x80:
-                palette, at = _palette(data, at, own)
-            if palette is None:
-                raise BadGif("no palette")
-            min_size = data[at]
-            if not 1 <= min_size <= 11:
-                raise BadGif("bad code size")
-            stream, at = _blocks(data, at + 1)
-            raw = np.frombuffer(lzw_decode(stream, min_size, w * h), np.uint8)
+            x, y, w, h, own, palette, size, stream = value
+            if w * h > most_pixels:
+                raise BadGif(f"picture of more than {most_pixels} pixels")
+            raw = np.frombuffer(lzw_decode(stream, size, w * h), np.uint8)
             if len(raw) < w * h:
                 raise BadGif("breaks off in a picture")
             index = np.empty((h, w), np.uint8)
             index[_rows(h, bool(own & 0x40))] = raw.reshape(h, w)
             # a frame may stick out of the screen: only what lies on it is drawn
             vw, vh = max(0, min(w, width - x)), max(0, min(h, height - y))
-            saved = canvas.copy() if disposal == 3 else None
+            target = canvas[y : y + vh, x : x + vw]
+            saved = target.copy() if disposal == 3 else None
             shown = index[:vh, :vw]
             opaque = (shown != clear_index) & (shown < len(palette))
-            target = canvas[y : y + vh, x : x + vw]
             target[opaque, :3] = palette[shown[opaque]]
             target[opaque, 3] = 255
-            frames.append((delay, canvas.copy(), {2: "background", 3: "previous"}.get(disposal, "keep")))
+            some = True
+            yield delay, canvas, {2: "background", 3: "previous"}.get(disposal, "keep")
             if disposal == 2:
-                canvas[y : y + vh, x : x + vw] = 0
+                target[:] = 0
             elif disposal == 3:
-                canvas = saved
+                target[:] = saved
             delay, disposal, clear_index = 0, 0, -1
     except (BadGif, struct.error, IndexError) as e:
-        if not frames:
+        if not some:
             raise BadGif(str(e)) from e
-    return width, height, loops, frames
+    else:
+        if not some:
+            raise BadGif("no picture")
+
+
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, int, list[tuple[int, np.ndarray, str]]]:
+    """(width, height, loops, frames) with a canvas of its own for every frame.
+
+    A file that breaks off keeps its whole frames and raises BadGif only if there is none.
+    """
+    frames = [(delay, canvas.copy(), disposal) for delay, canvas, disposal in frames_of(data, most_pixels)]
+    return *header(data, most_pixels), frames
 
 
 def histogram(canvas: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -271,38 +319,49 @@ FRAMES = (
 )
 
 
-def _decoder(levels: int):
+def _decoder(levels: int, most_pixels: int):
+    names = ["media_id", "frame", "start_ms", "delay_ms", "width", "height", "loops", "disposal", "visible", "histogram", "rgba", "error"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.string()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            names = ["media_id", "frame", "start_ms", "delay_ms", "width", "height", "loops", "disposal", "visible", "histogram", "rgba", "error"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.string()]
-            rows: list[tuple] = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = value.as_py()
                 if data is None:
                     continue
+                start = 0
                 try:
-                    width, height, loops, frames = decode(data)
+                    width, height, loops = header(data, most_pixels)
+                    for i, (delay, canvas, disposal) in enumerate(frames_of(data, most_pixels)):
+                        rows.append((key, i, start, delay, width, height, loops, disposal, int(np.count_nonzero(canvas[..., 3])), histogram(canvas, levels), canvas.tobytes(), None))
+                        start += delay
+                        held += canvas.nbytes
+                        if held >= BATCH_BYTES:
+                            yield packed(rows)
+                            rows, held = [], 0
                 except BadGif as e:
                     rows.append((key, *[None] * 10, str(e)))
-                    continue
-                start = 0
-                for i, (delay, canvas, disposal) in enumerate(frames):
-                    rows.append((key, i, start, delay, width, height, loops, disposal, int((canvas[..., 3] > 0).sum()), histogram(canvas, levels), canvas.tobytes(), None))
-                    start += delay
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
+                held += 1000
+        if rows:
+            yield packed(rows)
 
     return run
 
 
-def decode_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gif", levels: int = LEVELS) -> DataFrame:
+def decode_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gif", levels: int = LEVELS, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row per frame: when it starts and how long it stays, the whole canvas as RGBA and its colour histogram.
 
-    A null picture gives no row; bytes that are no GIF, or have no whole frame (empty ones too),
-    give one row with only media_id and error; a file that breaks off later keeps its whole frames; a
+    A null picture gives no row; bytes that are no GIF, have no whole frame (empty ones too), or a
+    screen or first picture of more than `most_pixels`, give one row with only media_id and error; a file that breaks off later keeps its whole frames; a
     null id stays null; repeated rows are decoded each; other columns are not read. The media
     stay where they are: nothing is shuffled.
     """
-    return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(gif_col).alias("gif")).mapInArrow(_decoder(levels), FRAMES)
+    return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(gif_col).alias("gif")).mapInArrow(_decoder(levels, most_pixels), FRAMES)
 
 
 def _renderer(side: int):
@@ -321,12 +380,19 @@ def _renderer(side: int):
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gifs = [None if t is None else picture(t.encode("utf-8")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gifs, pa.binary())], names=["media_id", "gif"])
+            _, offsets = utf8(batch.column(1))
+            for lo, hi in chunks(offsets, BATCH_BYTES):
+                texts = (t.as_py() for t in batch.column(1).slice(lo, hi - lo))
+                gifs = [None if t is None else picture(t.encode("utf-8")) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(gifs, pa.binary())], names=["media_id", "gif"])
 
     return render
 
 
 def render_text(rows: DataFrame, id_col: str, text_col: str, side: int = 48) -> DataFrame:
-    """(media_id, gif): each text drawn as an animated GIF, one pixel per UTF-8 byte (its upper three bits). Gives a media column where a table has none."""
+    """(media_id, gif): each text drawn as an animated GIF, one pixel per UTF-8 byte (its upper three bits). Gives a media column where a table has none.
+
+    A null text gives a null picture, an empty one a single frame; a null id stays null; repeated rows are drawn each; a text of
+    any length is drawn whole, in as many frames as it takes; an empty table stays empty; other columns are not read.
+    """
     return rows.select(F.col(id_col).cast("long").alias("media_id"), F.col(text_col).alias("text")).mapInArrow(_renderer(side), "media_id long, gif binary")

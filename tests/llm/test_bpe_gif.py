@@ -168,6 +168,108 @@ def test_histogram():
     assert got.sum() == 2 and got[3 * 16] == 1 and got[1] == 1
 
 
+def plain_decode(data):
+    """A second decoder, pixel by pixel: (width, height, [(delay, {(x, y): RGB})])."""
+    width, height = data[6] | data[7] << 8, data[8] | data[9] << 8
+    take = lambda at, n: [tuple(data[at + 3 * i : at + 3 * i + 3]) for i in range(n)]
+    at, common = 13, None
+    if data[10] & 128:
+        n = 2 << (data[10] & 7)
+        common, at = take(at, n), at + 3 * n
+    seen, out, delay, how, clear = {}, [], 0, 0, None
+    while data[at] != 0x3B:
+        kind, at = data[at], at + 1
+        label = None
+        if kind == 0x21:
+            label, at = data[at], at + 1
+        else:
+            x, y, w, h = (data[at + i] | data[at + i + 1] << 8 for i in (0, 2, 4, 6))
+            flags, at = data[at + 8], at + 9
+            colours = common
+            if flags & 128:
+                n = 2 << (flags & 7)
+                colours, at = take(at, n), at + 3 * n
+            size, at = data[at], at + 1
+        body = b""
+        while data[at]:
+            body, at = body + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        if label == 0xF9:
+            how, delay, clear = body[0] >> 2 & 7, (body[1] | body[2] << 8) * 10, body[3] if body[0] & 1 else None
+        if label is not None:
+            continue
+        symbols, old = plain_lzw(body, size, w * h), dict(seen)
+        lines = [r for a, b in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(a, h, b)] if flags & 64 else range(h)
+        for i, r in enumerate(lines):
+            for c in range(w):
+                v = symbols[i * w + c]
+                if v != clear and v < len(colours) and x + c < width and y + r < height:
+                    seen[x + c, y + r] = colours[v]
+        out.append((delay, dict(seen)))
+        if how == 2:
+            seen = {p: v for p, v in seen.items() if not (x <= p[0] < x + w and y <= p[1] < y + h)}
+        elif how == 3:
+            seen = old
+        delay, how, clear = 0, 0, None
+    return width, height, out
+
+
+def random_gif(seed):
+    rng = np.random.default_rng(seed)
+    frames = []
+    for _ in range(int(rng.integers(1, 6))):
+        h, w = rng.integers(1, 20, 2)
+        f = {"index": rng.integers(0, 5, (h, w)), "x": int(rng.integers(0, 9)), "y": int(rng.integers(0, 9)), "delay": 10 * int(rng.integers(0, 9))}
+        f |= {"disposal": int(rng.integers(0, 4)), "clear": int(rng.integers(-1, 4)), "interlaced": bool(rng.integers(0, 2))}
+        frames.append(f | ({"palette": rng.integers(0, 256, (5, 3))} if rng.random() < 0.4 else {}))
+    return G.encode(16, 12, frames, rng.integers(0, 256, (4, 3)))
+
+
+def test_whole_files_equal_the_second_decoder():
+    for seed in range(60):
+        data = random_gif(seed)
+        w, h, frames = plain_decode(data)
+        got = G.decode(data)
+        assert got[:2] == (w, h) and [f[0] for f in got[3]] == [f[0] for f in frames]
+        for (_, canvas, _), (_, seen) in zip(got[3], frames):
+            want = np.zeros((h, w, 4), int)
+            for (x, y), rgb in seen.items():
+                want[y, x] = (*rgb, 255)
+            assert (canvas == want).all()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 59), st.lists(st.tuples(st.integers(0, 400), st.integers(0, 255)), max_size=4), st.integers(0, 500))
+def test_damaged_files_are_bad_or_decode(seed, changes, length):
+    data = bytearray(random_gif(seed))
+    for at, v in changes:
+        data[at % len(data)] = v
+    try:
+        G.decode(bytes(data[: max(20, length)]), 1 << 20)
+    except G.BadGif:
+        pass
+
+
+def test_a_huge_screen_is_an_error_row(spark):
+    small = G.encode(4, 4, [{"index": full(1, 4, 4)}], PALETTE)
+    screen = small[:6] + (60000).to_bytes(2, "little") * 2 + small[10:]
+    at = small.index(b"\x2c")
+    picture = small[: at + 5] + (60000).to_bytes(2, "little") * 2 + small[at + 9 :]
+    df = spark.createDataFrame([(1, screen), (2, picture), (3, small)], "media_id long, gif binary")
+    got = {r["media_id"]: r for r in G.decode_frames(df).collect()}
+    assert "pixels" in got[1]["error"] and "pixels" in got[2]["error"] and got[3]["error"] is None and len(got) == 3
+
+
+def test_many_frames_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "BATCH_BYTES", 100)
+    data = G.encode(4, 4, [{"index": full(i % 4, 4, 4), "delay": 10} for i in range(9)], PALETTE)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([data, data])], names=["media_id", "gif"])
+    parts = list(G._decoder(4, 1000)(iter([batch])))
+    assert len(parts) > 5 and [(r["media_id"], r["frame"], r["start_ms"]) for p in parts for r in p.to_pylist()] == [(m, i, 10 * i) for m in (1, 2) for i in range(9)]
+
+
 def test_gif_awkward_rows(spark):
     good = G.encode(2, 2, [{"index": full(1), "delay": 20}, {"index": full(2), "delay": 30}], PALETTE)
     rows = [(1, good), (1, good), (2, None), (3, b""), (4, b"GIF89a"), (5, b"no gif at all..."), (6, good[: len(good) - 9]), (None, good), (7, good[:40])]
