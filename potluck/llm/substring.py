@@ -104,11 +104,11 @@ def short_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def _anchors(k: int, window: int):
-    """(h, doc_id, before): the different anchors of every document with the hash of the `window` words before."""
+    """(h, doc_id, unit, before): the different anchors of every text with the hash of the `window` words before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, units = batch.column(0), batch.column(2)
             for lo, words, first in word_hashes(batch.column(1)):
                 x = short_hashes(words).astype(U64)
                 h = rolling(x, k)
@@ -118,20 +118,21 @@ def _anchors(k: int, window: int):
                 doc, key, before = doc[order], h[pos][order], before[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (before[1:] != before[:-1])
-                yield pa.RecordBatch.from_arrays([int64(key[new]), ids.take(int64(lo + doc[new])), pa.array(before[new])], names=["h", "doc_id", "before"])
+                at = int64(lo + doc[new])
+                yield pa.RecordBatch.from_arrays([int64(key[new]), ids.take(at), units.take(at), pa.array(before[new])], names=["h", "doc_id", "unit", "before"])
 
     return run
 
 
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, 32-bit hash of every word)."""
+    """(doc_id, unit, 32-bit hash of every word)."""
     for batch in batches:
         for lo, words, first in word_hashes(batch.column(1)):
             short = (words >> U64(32)).astype(np.uint32)
             n = len(first) - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
-                names=["doc_id", "words"],
+                [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
+                names=["doc_id", "unit", "words"],
             )
 
 
@@ -143,18 +144,18 @@ def covered(x: np.ndarray, anchors: np.ndarray, least: int, k: int) -> np.ndarra
 
 
 def _starts(least: int, k: int):
-    """(g, doc_id, pos, before): the places of a document that may start a maximal repeat, g is the hash of
+    """(g, doc_id, unit, pos, before): the places of a text that may start a maximal repeat, g is the hash of
     the next `least` words and before the word in front, -1 where the document begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             n = 0
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
-                pos = np.flatnonzero(covered(x, np.asarray(batch.column(3)[i].values).view(U64), least, k))
+            for i, (doc, unit) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32)
+                pos = np.flatnonzero(covered(x, np.asarray(batch.column(4)[i].values).view(U64), least, k))
                 before = np.where(pos > 0, x[pos - 1].astype(np.int64), -1)
-                parts.append((rolling(x.astype(U64), least)[pos], np.full(len(pos), doc), pos.astype(np.int32), before))
+                parts.append((rolling(x.astype(U64), least)[pos], np.full(len(pos), doc), np.full(len(pos), unit), pos.astype(np.int32), before))
                 n += len(pos)
                 if n >= BATCH_STARTS:
                     yield packed(parts)
@@ -163,7 +164,7 @@ def _starts(least: int, k: int):
                 yield packed(parts)
 
     def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in map(np.concatenate, zip(*parts))], names=["g", "doc_id", "pos", "before"])
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in map(np.concatenate, zip(*parts))], names=["g", "doc_id", "unit", "pos", "before"])
 
     return run
 
@@ -181,30 +182,30 @@ def leads(x: np.ndarray, pos: np.ndarray, least: int) -> np.ndarray:
 
 
 def _suffixes(least: int, k: int):
-    """(g, m, rest, doc_id, pos) for starts: the suffix is its first m words, which g and m tell, and then rest.
+    """(g, m, rest, doc_id, unit, pos) for starts: the suffix is its first m words, which g and m tell, and then rest.
 
     A suffix ends where the covered starts end, as no match goes on. The words of a run of one period
     are told by their number, so long runs do not give long suffixes at each of their places.
     """
 
-    names = ["g", "m", "rest", "doc_id", "pos"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["g", "m", "rest", "doc_id", "unit", "pos"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, bytes, int, int]] = []
+            rows: list[tuple[int, int, bytes, int, int, int]] = []
             size = 0
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
-                pos = np.sort(np.asarray(batch.column(3)[i].values).astype(np.int64))
-                inside = covered(x, np.asarray(batch.column(2)[i].values).view(U64), least, k)
+            for i, (doc, unit) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32)
+                pos = np.sort(np.asarray(batch.column(4)[i].values).astype(np.int64))
+                inside = covered(x, np.asarray(batch.column(3)[i].values).view(U64), least, k)
                 gaps = np.append(np.flatnonzero(~inside), len(inside))
                 end = gaps[np.searchsorted(gaps, pos)] + least - 1
                 m = np.minimum(leads(x, pos, least), end - pos)
                 g = rolling(x.astype(U64), least)[pos].view(np.int64)
                 data = x.tobytes()
                 for h, p, n, e in zip(g.tolist(), pos.tolist(), m.tolist(), end.tolist()):
-                    rows.append((h, n, data[4 * (p + n) : 4 * e], doc, p))
+                    rows.append((h, n, data[4 * (p + n) : 4 * e], doc, unit, p))
                     size += 4 * (e - p - n) + 100
                     if size >= BATCH_BYTES:
                         yield packed(rows)
@@ -212,7 +213,7 @@ def _suffixes(least: int, k: int):
             if rows:
                 yield packed(rows)
 
-    def packed(rows: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
+    def packed(rows: list[tuple[int, int, bytes, int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -307,29 +308,29 @@ def longest(docs: list[int], depths: list[int]) -> list[tuple[int, int, int] | N
 
 
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start_word, end_word, other_doc_id, n_others) of suffixes that come sorted by g, m and rest."""
+    """(doc_id, unit, start_word, end_word, other_doc_id, n_others) of suffixes that come sorted by g, m and rest."""
     group: int | None = None
     docs: list[int] = []
-    at: list[int] = []
+    at: list[tuple[int, int]] = []
     depths: list[int] = []
     m_before, rest_before = 0, b""
 
-    def answers() -> list[tuple[int, int, int, int, int]]:
+    def answers() -> list[tuple[int, int, int, int, int, int]]:
         if not docs or min(docs) == max(docs):
             return []
-        return [(d, p, p + a[0], a[1], a[2]) for d, p, a in zip(docs, at, longest(docs, depths)) if a]
+        return [(d, u, p, p + a[0], a[1], a[2]) for d, (u, p), a in zip(docs, at, longest(docs, depths)) if a]
 
-    names = ["doc_id", "start_word", "end_word", "other_doc_id", "n_others"]
-    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names=names)
+    names = ["doc_id", "unit", "start_word", "end_word", "other_doc_id", "n_others"]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(6)], names=names)
     for batch in batches:
-        rows: list[tuple[int, int, int, int, int]] = []
-        for g, m, rest, doc, pos in zip(*(c.to_pylist() for c in batch.columns)):
+        rows: list[tuple[int, int, int, int, int, int]] = []
+        for g, m, rest, doc, unit, pos in zip(*(c.to_pylist() for c in batch.columns)):
             if g != group:
                 rows += answers()
                 group, docs, at, depths = g, [], [], []
             depths.append((m + common(rest_before, rest) if m == m_before else min(m, m_before)) if docs else 0)
             docs.append(doc)
-            at.append(pos)
+            at.append((unit, pos))
             m_before, rest_before = m, rest
         yield pack(rows)
     yield pack(answers())
@@ -363,33 +364,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the number of other documents that have the passage.
 
     Repeats inside one document only are not reported. A null id or text, an empty text and one
-    with fewer than `least` words have none; rows with the same id are one document (the first
-    text by order is read); other columns are not read. Texts are matched whole.
+    with fewer than `least` words have none; rows with the same id are one document, whose equal texts
+    count once and whose different texts are each matched whole with all other documents (places
+    count within the text); other columns are not read. Texts are matched whole.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("unit")).where("doc_id is not null and text is not null")
+    one = ["doc_id", "unit"]
     spark = docs.sparkSession
-    anchors, at_anchors = cut(base.mapInArrow(_anchors(k, least - k + 1), "h long, doc_id long, before long"))
+    anchors, at_anchors = cut(base.mapInArrow(_anchors(k, least - k + 1), "h long, doc_id long, unit long, before long"))
     # anchors that only one document has leave before anything is sorted; a start has its anchor among the next words, so where
     # an anchor has the same words before it everywhere, its starts all follow one word and begin no maximal repeat
     bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "before") for n, f in (("least", F.min), ("most", F.max))]
     several, differ = F.expr("least_doc_id <> most_doc_id"), F.expr("least_before <> most_before or least_before < 0")
     shared = anchors.groupBy("h").agg(*bounds).where(several).select("h", differ.alias("differ"))
-    mine = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("differ"), F.col("h"))).alias("edges"))
+    mine = anchors.join(shared, "h").groupBy(one).agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("differ"), F.col("h"))).alias("edges"))
     mine, at_mine = cut(mine)
     drop_cut(spark, at_anchors)
-    words = base.join(mine.select("doc_id"), "doc_id", "left_semi").mapInArrow(_hasher, "doc_id long, words binary")
-    held, _ = cut(words.groupBy("doc_id").agg(F.min("words").alias("words")).join(mine, "doc_id").select("doc_id", "words", "hs", "edges"))
+    words = base.join(mine.select(one), one, "left_semi").select("doc_id", "text", "unit").mapInArrow(_hasher, "doc_id long, unit long, words binary")
+    held, _ = cut(words.groupBy(one).agg(F.min("words").alias("words")).join(mine, one).select(*one, "words", "hs", "edges"))
     drop_cut(spark, at_mine)
-    starts, at_starts = cut(held.mapInArrow(_starts(least, k), "g long, doc_id long, pos int, before long"))
+    starts, at_starts = cut(held.mapInArrow(_starts(least, k), "g long, doc_id long, unit long, pos int, before long"))
     # where all starts of a group follow one word, each match goes on to the left: only the others begin a maximal one
     first = starts.groupBy("g").agg(*bounds).where(several & differ).select("g")
-    chosen, _ = cut(starts.join(first, "g", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
+    chosen, _ = cut(starts.join(first, "g", "left_semi").groupBy(one).agg(F.collect_list("pos").alias("at")))
     drop_cut(spark, at_starts)
-    suffixes = held.join(chosen, "doc_id").select("doc_id", "words", "hs", "at").mapInArrow(_suffixes(least, k), "g long, m long, rest binary, doc_id long, pos long")
+    suffixes = held.join(chosen, one).select(*one, "words", "hs", "at").mapInArrow(_suffixes(least, k), "g long, m long, rest binary, doc_id long, unit long, pos long")
     each = suffixes.repartition("g").sortWithinPartitions("g", "m", "rest").mapInArrow(
-        _matcher, "doc_id long, start_word long, end_word long, other_doc_id long, n_others long"
+        _matcher, "doc_id long, unit long, start_word long, end_word long, other_doc_id long, n_others long"
     )
-    w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(one).orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         each.withColumn("__far", F.max("end_word").over(w))
         .where(F.col("__far").isNull() | (F.col("end_word") > F.col("__far")))

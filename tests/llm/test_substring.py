@@ -132,6 +132,16 @@ def test_awkward_rows(spark):
     assert s.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_an_id_with_several_texts(spark, seed):
+    """Each text of a repeated id is matched whole; texts of one id are no repeats of each other."""
+    p, q = prose(10 + seed, 60), prose(20 + seed, 55)
+    rows = [(1, prose(30 + seed, 70)), (1, prose(40 + seed, 200) + " " + p), (1, q + " x"), (1, "y " + q), (2, f"a {p} b {q}"), (3, p + " " + prose(50 + seed, 5))]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_doc_id"], r["n_others"]) for r in s.repeated_passages(df).collect())
+    assert got == sorted([(1, 200, 260, 2, 2), (1, 0, 55, 2, 1), (1, 1, 56, 2, 1), (2, 1, 61, 1, 2), (2, 62, 117, 1, 1), (3, 0, 60, 1, 2)])
+
+
 def near_copies(n, length, changes, seed=0):
     base, texts = prose(11 + seed, length).split(), []
     for i in range(n):
