@@ -21,14 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, env_path
+from .common import chunks, env_path, lean
 
 #: Where the vocabulary lies: a merges file (.json) or a rank file (.tiktoken) of a byte-level BPE.
 VOCABULARY = env_path("POTLUCK_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a task remembers with their ids; when it is full it is emptied, which changes no result.
 REMEMBERED = 150_000
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 
 
 def _printable() -> dict[str, int]:
@@ -268,7 +268,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     text of any length is encoded whole; special-token strings are ordinary text; other columns are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _tokenizer(vocabulary), "doc_id long, n_tokens long, tokens array<int>, exact boolean"
+        lean(_tokenizer(vocabulary)), "doc_id long, n_tokens long, tokens array<int>, exact boolean"
     )
 
 

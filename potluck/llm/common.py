@@ -7,10 +7,11 @@ tokenised, lower-cased and hashed with numpy and no Python object per word is ma
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,32 @@ def cut(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give back to the system what the allocators keep of freed memory: a Python worker stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 2000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over slices of at most `rows` rows, with freed memory given back after each batch that came."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                yield batch.slice(lo, rows)
+            del batch
+            release()
+
+    return lambda batches: run(slices(batches))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, in place on uint64."""
     x ^= x >> U64(30)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, utf8
+from .common import Words, chunks, lean, utf8
 
 BUCKETS, ALPHA, STEPS, FLOOR, ACCEPT = 1 << 15, 0.05, 25, 0.01, 0.3
 BACKGROUND = "und"
@@ -72,7 +72,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
         raise ValueError(f"more than {MOST_LANGUAGES} language tags: the models would not fit the driver; clean the tags first")
     n = np.full((len(names), buckets), alpha)
     if names:
-        rows = tagged.mapInArrow(_counter(names, buckets), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        rows = tagged.mapInArrow(lean(_counter(names, buckets)), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         n[rows["lang"], rows["bucket"]] += rows["n"]
     model = np.log(n / n.sum(axis=1, keepdims=True)) if names else np.zeros((0, buckets))
     return names, np.vstack([model, np.full((1, buckets), -np.log(buckets))])
@@ -212,7 +212,7 @@ def identify_languages(
     names, model = train(docs, text_col, lang_col, buckets)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_identifier(names, shared, steps, floor, accept), SCHEMA)
+    return base.mapInArrow(lean(_identifier(names, shared, steps, floor, accept)), SCHEMA)
 
 
 def _filterer(names: list[str], model, steps: int, floor: float, accept: float):
@@ -236,4 +236,4 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     names, model = train(docs, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ordered = docs.select(text_col, *[c for c in docs.columns if c != text_col])
-    return ordered.mapInArrow(_filterer(names, shared, steps, floor, accept), ordered.schema).select(*docs.columns)
+    return ordered.mapInArrow(lean(_filterer(names, shared, steps, floor, accept)), ordered.schema).select(*docs.columns)

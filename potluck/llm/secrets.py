@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import lean, utf8
 
 MIN_LENGTH = 20
 #: class -> (its characters, least entropy of a window in bits, must hold a digit and a letter)
@@ -190,7 +190,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text has no findings; a null id stays null in its findings; repeated rows
     give repeated findings; texts of any length are scanned whole; other columns are not read.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scanner(window), FOUND)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_scanner(window)), FOUND)
 
 
 def _redactor(window: int, mark: bytes):
@@ -204,14 +204,18 @@ def _redactor(window: int, mark: bytes):
             if not found:
                 yield batch
                 continue
-            texts = column.to_pylist()
-            for d, spans in found.items():
+            # rows without a finding stay where they are; only the others are written anew
+            pieces, lo = [], 0
+            for d, spans in sorted(found.items()):
                 parts, at = [], int(offsets[d])
                 for a, b in sorted(spans):
                     parts += [data[at:a].tobytes(), mark]
                     at = b
-                texts[d] = b"".join([*parts, data[at : offsets[d + 1]].tobytes()]).decode("utf-8")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, column.type), *batch.columns[1:]], schema=batch.schema)
+                text = b"".join([*parts, data[at : offsets[d + 1]].tobytes()])
+                pieces += [column.slice(lo, d - lo), pa.array([text], pa.binary()).cast(column.type)]
+                lo = d + 1
+            pieces.append(column.slice(lo))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(pieces), *batch.columns[1:]], schema=batch.schema)
 
     return redact
 
@@ -219,5 +223,5 @@ def _redactor(window: int, mark: bytes):
 def redact_secrets(docs: DataFrame, text_col: str = "text", window: int = MIN_LENGTH, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text_col replaced by `mark`; all rows, columns and nulls stay."""
     rest = [c for c in docs.columns if c != text_col]
-    out = docs.select(text_col, *rest).mapInArrow(_redactor(window, mark.encode()), docs.select(text_col, *rest).schema)
+    out = docs.select(text_col, *rest).mapInArrow(lean(_redactor(window, mark.encode())), docs.select(text_col, *rest).schema)
     return out.select(*docs.columns)
