@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Words, chunks, cut, drop_cut, fresh, grams, mix, utf8
+from .common import GOLDEN, U64, Words, chunks, cut, drop_cut, fresh, grams, lean, mix, utf8
 
 SLOTS, ROWS_PER_BAND, SHINGLE, THRESHOLD = 128, 4, 2, 0.55
+#: Rows of a band that are looked at together, and rows of a larger band that are compared at once with all of its others. Neither changes a result.
+CROWD, ASKERS = 4096, 512
 
 
 def superminhash(elements: np.ndarray, bounds: np.ndarray, m: int = SLOTS) -> np.ndarray:
@@ -126,52 +128,125 @@ def bucket_edges(ids: np.ndarray, sigs: np.ndarray, need: int) -> list[tuple[int
     return edges
 
 
-def _verifier(slots: int, need: int):
-    def flush(bands: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch | None:
-        begin = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
-        group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(bands)]])))
-        pivot = begin[group]
-        good = np.zeros(len(ids), dtype=bool)
-        for lo in range(0, len(ids), 8192):
-            s = slice(lo, lo + 8192)
-            good[s] = (sigs[s] == sigs[pivot[s]]).sum(axis=1) >= need
-        other = np.arange(len(ids)) != pivot
-        a, b = ids[pivot[good & other]], ids[good & other]
-        more: list[tuple[int, int]] = []
-        for g in np.unique(group[~good]):
-            lo, hi = begin[g], begin[g + 1] if g + 1 < len(begin) else len(ids)
-            if hi - lo > 2:
-                more += bucket_edges(ids[lo:hi], sigs[lo:hi], need)
-        if more:
-            a = np.concatenate([a, np.array([x for x, _ in more], dtype=ids.dtype)])
-            b = np.concatenate([b, np.array([y for _, y in more], dtype=ids.dtype)])
-        if not len(a):
-            return None
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _packed(pairs: list[np.ndarray], odd: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    """(a, b, band): different edges, and rows without b for (document, band) that the pivot did not take."""
+    edges = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+    if not len(edges) and not odd:
+        return None
+    n, m = len(edges), len(odd)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([*edges[:, 0].tolist(), *(d for d, _ in odd)], pa.int64()),
+            pa.array([*edges[:, 1].tolist(), *[None] * m], pa.int64()),
+            pa.array([*[None] * n, *(g for _, g in odd)], pa.int64()),
+        ],
+        names=["a", "b", "band"],
+    )
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, begin of each group and the end, signatures' bytes as the last column) of sorted batches, cut between groups of equal first `keys` columns."""
+    held: list[pa.Array] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = batch.columns if held is None else [pa.concat_arrays([x, y]) for x, y in zip(held, batch.columns)]
+        new = _begins(now, keys)
+        keep = int(new[-1])  # the last group may go on in the next batch
+        held = [c.slice(keep) for c in now]
+        if keep:
+            yield _arrays([c.slice(0, keep) for c in now], new[:-1])
+    if held is not None and len(held[0]):
+        yield _arrays(held, _begins(held, keys))
+
+
+def _begins(columns: list[pa.Array], keys: int) -> np.ndarray:
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns[:keys]:
+        x = c.to_numpy(zero_copy_only=False)
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _arrays(columns: list[pa.Array], begin: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(columns[-1].to_pylist()), dtype=np.uint16).reshape(len(columns[-1]), -1)
+    return [c.to_numpy(zero_copy_only=False) for c in columns[:-1]], np.append(begin, len(columns[-1])), raw
+
+
+def _verifier(need: int):
+    """Links of (band, part, parts, doc_id, sig) rows that come sorted, the pivot (the band's least document) first in each part.
+
+    A band in one part is settled here. In a part of a crowded band the rows are compared with the pivot, and those it does not take are named.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (
-                batch.column(0).to_numpy(),
-                batch.column(1).to_numpy(),
-                np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(-1, slots),
-            )
-            if held is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now))
-            keep = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-            held = tuple(x[keep:] for x in now)
-            if keep and (out := flush(*(x[:keep] for x in now))) is not None:
+        for (band, _, parts, ids), bounds, sigs in _grouped(batches, 2):
+            begin = bounds[:-1]
+            group = np.repeat(np.arange(len(begin)), np.diff(bounds))
+            pivot = begin[group]
+            good = np.zeros(len(ids), dtype=bool)
+            for lo in range(0, len(ids), 8192):
+                s = slice(lo, lo + 8192)
+                good[s] = (sigs[s] == sigs[pivot[s]]).sum(axis=1) >= need
+            mine = good & (np.arange(len(ids)) != pivot)
+            edges = [np.stack([ids[pivot[mine]], ids[mine]], axis=1)]
+            for g in np.unique(group[~good & (parts == 1)]):
+                lo, hi = bounds[g], bounds[g + 1]
+                if hi - lo > 2 and (some := bucket_edges(ids[lo:hi], sigs[lo:hi], need)):
+                    edges.append(np.array(some, np.int64))
+            far = ~good & (parts > 1)
+            if (out := _packed(edges, list(zip(ids[far].tolist(), band[far].tolist())))) is not None:
                 yield out
-        if held is not None and len(held[0]) and (out := flush(*held)) is not None:
-            yield out
 
     return verify
 
 
+def _comparer(need: int):
+    """Links of (band, block, part, order, doc_id, sig) rows that come sorted: the askers (order 0) with all others of their block and part."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _, order, ids), bounds, sigs in _grouped(batches, 3):
+            edges = []
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                first = lo + int(np.count_nonzero(order[lo:hi] == 0))
+                for u in range(lo, first):
+                    hits = ids[first:hi][(sigs[first:hi] == sigs[u]).sum(axis=1) >= need]
+                    hits = hits[hits != ids[u]]
+                    edges.append(np.stack([np.minimum(hits, ids[u]), np.maximum(hits, ids[u])], axis=1))
+            if (out := _packed(edges, [])) is not None:
+                yield out
+
+    return compare
+
+
+def links(bands: DataFrame, signatures: DataFrame, need: int, crowd: int = CROWD, askers: int = ASKERS) -> DataFrame:
+    """(a, b): edges that connect what all verified pairs of documents with a common band would connect.
+
+    A band of more than `crowd` rows is split into parts, each with the band's pivot, so no task holds a hot band. The rows that
+    the pivot does not take are asked, in blocks of about `askers`, against every part of their band.
+    """
+    n = F.count(F.lit(1))
+    crowded = bands.groupBy("band").agg(n.alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").select("band", "pivot", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    rows = bands.join(crowded, "band").select("band", "doc_id", "parts", F.explode(F.when(F.col("doc_id") == F.col("pivot"), every).otherwise(F.array(part))).alias("part"))
+    lined = rows.join(signatures, "doc_id").distinct().select("band", "part", "parts", "doc_id", "sig")
+    first = lined.repartition("band", "part").sortWithinPartitions("band", "part", "doc_id").mapInArrow(_verifier(need), "a long, b long, band long")
+    first, _ = cut(first)
+    near = first.where("b is not null").select("a", "b").distinct()
+    odd = first.where("b is null").select("band", F.col("a").alias("doc_id")).distinct()
+    if odd.isEmpty():
+        return near
+    blocks = odd.groupBy("band").agg(F.ceil(n / askers).cast("int").alias("blocks")).join(crowded, "band").select("band", "parts", "blocks")
+    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
+    asking = odd.join(blocks, "band").select("band", block.alias("block"), F.explode(every).alias("part"), F.lit(0).alias("order"), "doc_id")
+    asked = bands.join(blocks, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("order"), "doc_id")
+    both = asking.union(asked).join(signatures, "doc_id").distinct().select("band", "block", "part", "order", "doc_id", "sig")
+    more = both.repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "order").mapInArrow(_comparer(need), "a long, b long, band long")
+    return near.union(more.select("a", "b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Union-find over an edge list (a, b) as alternating large-star and small-star rounds.
 
@@ -219,12 +294,13 @@ def near_duplicate_groups(
     slots: int = SLOTS,
     rows_per_band: int = ROWS_PER_BAND,
     shingle: int = SHINGLE,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """(doc_id, group_id, keep): the documents that have near copies; keep marks the least doc_id of each group.
 
     Two documents are near copies if the share of equal signature slots, which estimates the
     Jaccard similarity of their sets of `shingle` lower-cased words, is at least `threshold`.
-    Groups are the connected components. With 32 bands of 4 rows a pair at the threshold is a
+    Groups are the connected components, whatever `crowd` is. With 32 bands of 4 rows a pair at the threshold is a
     candidate with probability 0.95, one at 0.6 with 0.99; every document is a query.
 
     Documents with a null id, a null or empty text, or no words have no signature and are in no
@@ -233,17 +309,14 @@ def near_duplicate_groups(
     """
     need = int(np.ceil(threshold * slots))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    signed = base.mapInArrow(_signer(slots, shingle), "doc_id long, sig_hash long, sig binary")
+    signed = base.mapInArrow(lean(_signer(slots, shingle)), "doc_id long, sig_hash long, sig binary")
     signed, _ = cut(signed)
     # equal signatures first: exact copies meet in one aggregate, and only one of them goes on
     heads = signed.groupBy("sig_hash").agg(F.min("doc_id").alias("head"))
     exact = signed.select("doc_id", "sig_hash").join(heads, "sig_hash").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     firsts = signed.join(heads.select("sig_hash", F.col("head").alias("doc_id")), ["sig_hash", "doc_id"], "left_semi").select("doc_id", "sig")
     bands, _ = cut(firsts.mapInArrow(_bander(slots, rows_per_band), "band long, doc_id long"))
-    crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    rows = bands.join(crowded, "band", "left_semi").join(firsts, "doc_id").distinct()
-    lined = rows.select("band", "doc_id", "sig").repartition("band").sortWithinPartitions("band", "doc_id")
-    near = lined.mapInArrow(_verifier(slots, need), "a long, b long").distinct()
+    near = links(bands, firsts, need, crowd)
     groups = components(exact.union(near))
     return groups.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 

@@ -120,3 +120,44 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["doc_id"]: r["group_id"] for r in m.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def joined(edges):
+    """Node -> least node of its component."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize(("crowd", "askers"), [(4096, 512), (8, 4), (3, 1)])
+def test_crowded_bands_lose_no_link(spark, crowd, askers):
+    """One band of 90 rows in families of near signatures, split into parts and blocks, against all pairs."""
+    rng = np.random.default_rng(2)
+    families = rng.integers(0, 65536, (7, 32)).astype(np.uint16)
+    sigs = {}
+    for i in range(90):
+        s = families[rng.integers(0, 7)].copy()
+        s[rng.choice(32, 6, replace=False)] = rng.integers(0, 65536, 6)
+        sigs[int(i * 3)] = s
+    bands = [(1, i) for i in sigs] + [(2, i) for i in list(sigs)[:2]]
+    need = 22
+    pairs = [(a, b) for a, b in itertools.combinations(sigs, 2) if (sigs[a] == sigs[b]).sum() >= need]
+    got = m.links(
+        spark.createDataFrame(bands, "band long, doc_id long"), spark.createDataFrame([(i, s.tobytes()) for i, s in sigs.items()], "doc_id long, sig binary"), need, crowd, askers
+    ).collect()
+    assert {(r["a"], r["b"]) for r in got} <= set(pairs) and joined((r["a"], r["b"]) for r in got) == joined(pairs)
+
+
+def test_groups_do_not_depend_on_the_size_of_parts(spark):
+    texts = [near(prose(i % 4, 80), 12, i) for i in range(120)]
+    df = table(spark, texts)
+    rows = lambda crowd: sorted(map(tuple, m.near_duplicate_groups(df, crowd=crowd).collect()))
+    assert rows(4096) == rows(7) and len(rows(7)) > 100
