@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,19 +114,90 @@ def fuzzy_match(a: Column, b: Column) -> Column:
     return _ratio(normal_title(F.coalesce(a, F.lit(""))), normal_title(F.coalesce(b, F.lit(""))))
 
 
-def best_matches(entries: DataFrame, titles: DataFrame, least: float = MATCH) -> DataFrame:
-    """For each entry(entry_id, entry_title) the best title(title_id, title) with a ratio of `least` or more, else null.
+def _bounds(entry: str, codes: np.ndarray, index: dict[str, int]) -> np.ndarray:
+    """For titles of one length, given as rows of character codes, the most that the ratio with entry can be.
 
-    The ratio is at most 2 min / (sum) of the lengths, so pairs whose lengths rule a match out never
-    reach Python. The smaller side is broadcast only if Spark finds it small enough.
+    Matching blocks are a common subsequence, so they hold no more characters than the longest one; its length comes from
+    bit vectors, all titles at once. Beyond 64 characters the number of common characters takes its place.
+    """
+    x, y = len(entry), codes.shape[1]
+    if x > 64:
+        mine = np.bincount([index[c] for c in entry if c in index], minlength=len(index) + 1)
+        common = np.array([np.minimum(mine, np.bincount(row, minlength=len(index) + 1)).sum() for row in codes])
+        return 2.0 * common / (x + y)
+    places = np.zeros(len(index) + 1, np.uint64)
+    for i, c in enumerate(entry):
+        if c in index:
+            places[index[c]] |= np.uint64(1 << i)
+    v = np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for j in range(y):
+        u = v & places[codes[:, j]]
+        v = (v + u) | (v - u)
+    return 2.0 * (x - np.bitwise_count(v & np.uint64((1 << x) - 1))) / (x + y)
+
+
+def _best_in_blocks(least: float):
+    def one(names: list[str], titles: list[tuple[int, str, str]]) -> Iterator[tuple[str, float, int, str]]:
+        index = {c: i for i, c in enumerate(sorted({c for _, text, _ in titles for c in text}))}
+        codes = np.array([[index[c] for c in text] for _, text, _ in titles], np.int64)
+        ids = np.array([i for i, _, _ in titles])
+        matchers: dict[int, SequenceMatcher] = {}
+        for name in names:
+            bound = _bounds(name, codes, index)
+            some = np.flatnonzero(bound >= least)
+            best, at = 0.0, -1
+            for k in some[np.lexsort((ids[some], -bound[some]))].tolist():
+                if bound[k] < best:
+                    break
+                m = matchers.get(k)
+                if m is None:
+                    m = matchers[k] = SequenceMatcher(None, "", titles[k][1], autojunk=True)
+                m.set_seq1(name)
+                score = m.ratio()
+                if score >= least and (score > best or (score == best and ids[k] < ids[at])):
+                    best, at = score, k
+            if at >= 0:
+                yield name, best, int(ids[at]), titles[at][2]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for names, titles in zip(frame["names"], frame["titles"]):
+                found = list(one(list(names), [(t["title_id"], t["text"], t["title"]) for t in titles]))
+                yield pd.DataFrame(found, columns=["__a", "score", "title_id", "title"])
+
+    return run
+
+
+def best_matches(entries: DataFrame, titles: DataFrame, least: float = MATCH, block: int = 1024) -> DataFrame:
+    """For each entry(entry_id, entry_title) the best title(title_id, title) with a ratio of `least` or more, else null; of equal ones that with the least id.
+
+    Equal normalised titles are an equi-join. The other names meet the titles in blocks of about `block` of one length, as a
+    ratio is at most 2 min / (sum) of the lengths; in a block a bound on every ratio says which pairs need difflib at all,
+    the greatest bounds first, until none can beat the best ratio found.
     """
     a = entries.select("entry_id", "entry_title", normal_title(F.coalesce("entry_title", F.lit(""))).alias("__a"))
-    b = titles.select("title_id", "title", normal_title(F.coalesce("title", F.lit(""))).alias("__b"))
-    x, y = F.length("__a"), F.length("__b")
-    pairs = a.join(b, (F.least(x, y) * 2 >= F.lit(least) * (x + y)) & (x > 0) & (y > 0))
-    scored = pairs.withColumn("score", _ratio("__a", "__b")).where(F.col("score") >= least)
-    best = scored.groupBy("entry_id").agg(F.max(F.struct("score", (-F.col("title_id")).alias("k"), "title")).alias("m"))
-    return a.drop("__a").join(best, "entry_id", "left").select("entry_id", "entry_title", (-F.col("m.k")).alias("title_id"), F.col("m.title").alias("title"), F.col("m.score").alias("score"))
+    b = titles.select(F.col("title_id").cast("long").alias("title_id"), "title", normal_title(F.coalesce("title", F.lit(""))).alias("text")).where("text <> ''")
+    b = b.groupBy("text").agg(F.min(F.struct("title_id", "title")).alias("t")).select("text", "t.title_id", "t.title")
+    names = a.select("__a").where("__a <> ''").distinct()
+    equal = names.join(b.withColumnRenamed("text", "__a"), "__a").select("__a", F.lit(1.0).alias("score"), "title_id", "title")
+    rest = names.join(b.select(F.col("text").alias("__a")), "__a", "left_anti")
+
+    def blocks(df: DataFrame, text: str, entry: Column, to: str) -> DataFrame:
+        sized = df.withColumn(f"{to}_len", F.length(text))
+        parts = sized.groupBy(f"{to}_len").agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
+        place = F.pmod(F.xxhash64(text), F.col("__n")).cast("int").alias(f"{to}_block")
+        return sized.join(parts, f"{to}_len").groupBy(f"{to}_len", place).agg(F.collect_list(entry).alias(to))
+
+    left = blocks(rest, "__a", F.col("__a"), "names")
+    right = blocks(b, "text", F.struct("title_id", "text", "title"), "titles")
+    share = least / (2 - least)
+    lengths = left.select("names_len").distinct().select(
+        "names_len", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(F.col("names_len") * share).cast("int")), F.ceil(F.col("names_len") / share).cast("int"))).alias("titles_len")
+    )
+    pairs = left.join(lengths, "names_len").join(right, "titles_len").repartition("names_len", "names_block", "titles_len", "titles_block").select("names", "titles")
+    near = pairs.mapInPandas(_best_in_blocks(least), "__a string, score double, title_id long, title string")
+    best = equal.union(near).groupBy("__a").agg(F.max(F.struct("score", (-F.col("title_id")).alias("k"), "title")).alias("m"))
+    return a.join(best, "__a", "left").select("entry_id", "entry_title", (-F.col("m.k")).alias("title_id"), F.col("m.title").alias("title"), F.col("m.score").alias("score"))
 
 
 def validation(matches: DataFrame, titles: DataFrame) -> DataFrame:
