@@ -27,12 +27,13 @@ def parser() -> argparse.ArgumentParser:
 
     store = (("--store", "-s"), {"default": "recipes_store"})
     least = (("--min-quality",), {"type": int, "default": 20})
-    command("extract", (("epub",), {}), store, least, (("--legacy",), {"action": "store_true"}))
-    command("batch", (("folder",), {}), store, least, (("--pattern",), {"default": "*.epub"}))
-    command("analyze", (("epub",), {}))
+    verbose = (("--verbose", "-v"), {"action": "store_true"})
+    command("extract", (("epub",), {}), store, least, verbose, (("--legacy",), {"action": "store_true"}))
+    command("batch", (("folder",), {}), store, least, verbose, (("--pattern", "-p"), {"default": "*.epub"}))
+    command("analyze", (("epub",), {}), verbose)
     command("validate", (("epub",), {}), store)
     command("search", (("query",), {}), store, (("--limit",), {"type": int, "default": 10}), (("--tag",), {"action": "append"}))
-    command("query-tags", (("tags",), {"nargs": "+"}), store, (("--match-all",), {"action": "store_true"}), (("--limit",), {"type": int, "default": 10}))
+    command("query-tags", (("tags",), {"nargs": "+"}), store, (("--match-all",), {"action": "store_true"}), (("--limit", "-l"), {"type": int, "default": 20}))
     command("list-tags", store)
     command(
         "export",
@@ -43,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
         (("--book",), {}),
         (("--min-quality",), {"type": int}),
         (("--limit",), {"type": int}),
+        verbose,
     )
     command("ab-report", store, (("--limit",), {"type": int, "default": 20}))
     return p
@@ -60,6 +62,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         print(f"saved {store.save(found)} recipes")
         quality.tiers(found).show()
         _show(quality.top(found, 5, "title"), "title", "quality_score")
+        if a.verbose:
+            _show(found.orderBy("item_ordinal", "section_ordinal"), "title", "chapter", "quality_score", "metadata", n=1000)
         found.unpersist()
     elif a.command == "batch":
         found, files = batch(spark, a.folder, Config.of(min_quality_score=a.min_quality), a.pattern)
@@ -67,10 +71,18 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         print(f"saved {store.save(found)} recipes")
         quality.batch_summary(files, found).show()
         _show(files.where("error is not null").limit(5), "path", "error", n=5)
+        if a.verbose:
+            per_book = found.groupBy("book").agg(F.count(F.lit(1)).alias("recipes"))
+            each = files.join(per_book, "book", "left").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.coalesce("recipes", F.lit(0)).alias("recipes"), "error")
+            _show(each.orderBy("file"), "file", "recipes", "error", n=1000)
         found.unpersist()
     elif a.command == "analyze":
         for row in analyze.format_structure(analyze.structure_report(epub.scan_files(spark, a.epub))).collect():
             print(row["text"])
+        if a.verbose:
+            files = epub.scan_files(spark, a.epub)
+            _show(epub.read_items(files).orderBy("ordinal"), "item_name", "kind", n=1000)
+            _show(epub.read_toc(files).orderBy("ordinal"), "title", "href", "category", "level", n=1000)
     elif a.command == "validate":
         r = analyze.validate_extraction(spark, store.recipes, a.epub).first()
         print(f"{r['matched']} of {r['toc_count']} entries ({r['coverage'] * 100:.1f}%), {r['extracted_count']} recipes")
@@ -84,6 +96,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         store.list_tags().show(1000, truncate=False)
     elif a.command == "export":
         rows = store.query({"book": a.book}, a.min_quality, a.limit)
+        if a.verbose:
+            _show(rows, "title", "book", "quality_score", n=1000)
         if a.format == "vault":
             print(export.export_vault(rows, a.output or "vault", a.organize_by))
         elif a.format == "json":

@@ -60,6 +60,18 @@ def disagreements(recipes: DataFrame) -> DataFrame:
     )
 
 
+def messages(recipes: DataFrame, level: str = "INFO") -> DataFrame:
+    """(title, severity, message) of the comparisons that a log level asks for: disagreements at DEBUG and INFO, agreements at DEBUG, none else."""
+    agree, old, new = (_at(c) == "true" for c in ("agreement", "old_success", "new_success"))
+    word = lambda c: F.when(c, "True").otherwise("False")
+    apart = F.format_string("A/B DISAGREEMENT: old=%s, new=%s, confidence=%.2f", word(old), word(new), F.coalesce(_at("confidence").cast("double"), F.lit(0.0)))
+    alike = F.concat(F.lit("A/B AGREEMENT: both "), F.when(old, "succeeded").otherwise("failed"))
+    wanted = F.lit(False) if level not in ("DEBUG", "INFO") else F.lit(True) if level == "DEBUG" else ~agree
+    return recipes.where(F.get_json_object("metadata", "$.ab_test").isNotNull() & wanted).select(
+        "title", F.when(agree, "DEBUG").otherwise("WARNING").alias("severity"), F.when(agree, alike).otherwise(apart).alias("message")
+    )
+
+
 def report(recipes: DataFrame) -> str:
     """A text of fixed width with the statistics and the ten most confident disagreements."""
     s, bar = statistics(recipes).first(), "=" * 70

@@ -13,22 +13,26 @@ from potluck.functions import metadata as meta
 from potluck.functions import scoring
 from potluck.functions.text import let, truthy
 from potluck.functions.validate import is_valid_recipe
+from potluck.operators import ingredients, instructions
 from potluck.operators.abtest import compare
 from potluck.operators.ingredients import legacy_ingredients
 from potluck.operators.instructions import legacy_instructions
 from potluck.operators.sections import clean_title, split_document
-from potluck.operators.zones import ingredient_zones, instruction_zones, metadata_zones
+from potluck.operators.zones import ingredient_zones, instruction_zones, legacy_ingredient_zones, metadata_zones
 from potluck.sources import epub
 from potluck.sources.dom import VOID, Node, clean_lines, parse
 
-from .config import Config
+from .config import DEFAULT, Components, Config
 
 DOC_KEYS = "book string, author string, item_name string, item_ordinal int, chapter string"
 SECTION = DOC_KEYS + ", section_ordinal int, title string, text string, markup string"
+#: A document that cannot be split is one row without a text, and the failure.
+SPLIT = SECTION + ", failure string"
 ZONE = "struct<text: string, method: string, confidence: double>"
 EXTRACTED = (
     DOC_KEYS + ", section_ordinal int, title string, text string, zone_text string, zone_method string, zone_confidence double, zone_count int, "
-    f"legacy_ingredients string, legacy_instructions string, instruction_zones array<{ZONE}>, metadata_zone_text string, metadata_zone_count int"
+    f"legacy_ingredients string, legacy_instructions string, instruction_zones array<{ZONE}>, metadata_zone_text string, metadata_zone_count int, "
+    "given_ingredients string, failure string"
 )
 #: Columns of a recipe, in the order of the stored table.
 RECIPE = (
@@ -66,55 +70,134 @@ def to_markup(node: Node) -> str:
     return "".join(out)
 
 
-def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = _columns(SECTION)
-    for frame in frames:
-        rows = []
-        for *keys, content in frame.itertuples(index=False):
-            for i, (title, root) in enumerate(split_document(parse(content if isinstance(content, str) else bytes(content)))):
-                rows.append((*keys, i, clean_title(title), clean_lines(root), to_markup(root)))
-        yield pd.DataFrame(rows, columns=names)
+def _splitter(components: Components):
+    read = components.parser or parse
 
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = _columns(SPLIT)
+        for frame in frames:
+            rows = []
+            for *keys, content in frame.itertuples(index=False):
+                try:
+                    found = [(title, root) for title, root in split_document(read(content if isinstance(content, str) else bytes(content)))]
+                    rows += [(*keys, i, clean_title(title), clean_lines(root), to_markup(root), None) for i, (title, root) in enumerate(found)]
+                except Exception as e:  # noqa: BLE001  one bad document is no reason to lose the others
+                    rows.append((*keys, 0, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=names)
+
+    return split
 
-def split_sections(documents: DataFrame) -> DataFrame:
-    """Candidate sections of documents(book, author, item_name, item_ordinal, chapter, content); content may be text or bytes."""
+
+def split_sections(documents: DataFrame, components: Components = DEFAULT) -> DataFrame:
+    """Candidate sections of documents(book, author, item_name, item_ordinal, chapter, content); content may be text or bytes.
+
+    A document on which the parser or the splitter fails is one row with its failure and no text.
+    """
     rows = documents.where("content is not null").select("book", "author", "item_name", "item_ordinal", "chapter", "content")
-    return rows.mapInPandas(_split, SECTION)
-
-
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = _columns(EXTRACTED)
-    for frame in frames:
-        rows = []
-        for *keys, text, markup in frame.itertuples(index=False):
-            root = parse(markup)
-            zones, meta_zones = ingredient_zones(root), metadata_zones(root)
-            best = zones[0] if zones else None
-            rows.append(
-                (
-                    *keys,
-                    text,
-                    best.node.glued("\n") if best else None,
-                    best.method if best else None,
-                    best.confidence if best else None,
-                    len(zones),
-                    legacy_ingredients(root, text or ""),
-                    legacy_instructions(root),
-                    [{"text": z.node.glued(), "method": z.method, "confidence": z.confidence} for z in instruction_zones(root)],
-                    " ".join(z.node.glued() for z in meta_zones),
-                    len(meta_zones),
-                )
-            )
-        yield pd.DataFrame(rows, columns=names)
-
-
-def extract_parts(sections: DataFrame) -> DataFrame:
-    """Zones and cascade results of sections; the texts to be scored, no scores yet."""
-    return sections.select(*_columns(SECTION)).mapInPandas(_extract, EXTRACTED)
-
-
-def ingredients_with_patterns(zone_text: Column, zone_method: Column, zone_confidence: Column, zone_count: Column, legacy: Column) -> Column:
-    """ING11: the best zone if its weighted score is 0.5 or more, else the cascade's text; a struct (text, details)."""
+    return rows.mapInPandas(_splitter(components), SPLIT)
+
+
+def _text_of(found) -> str | None:
+    """What an extractor found, with or without details."""
+    return found[0] if isinstance(found, tuple) else found
+
+
+def _extractor(components: Components):
+    components = Components(ingredients=components.ingredients, instructions=components.instructions)  # what a worker needs; the others are columns
+
+    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = _columns(EXTRACTED)
+        for frame in frames:
+            yield pd.DataFrame([(*keys, text, *_parts(parse(markup), text or "", components)) for *keys, text, markup in frame.itertuples(index=False)], columns=names)
+
+    return extract
+
+
+def _parts(root: Node, text: str, components: Components) -> tuple:
+    failures: list[str] = []
+
+    def guarded(f, otherwise):
+        try:
+            return f()
+        except Exception as e:  # noqa: BLE001  a section that breaks one strategy is left to the others
+            failures.append(f"pattern_extraction_error: {e}")
+            return otherwise
+
+    zones = guarded(lambda: ingredient_zones(root), [])
+    failed = failures[0] if failures else None
+    meta_zones = guarded(lambda: metadata_zones(root), [])
+    best = zones[0] if zones else None
+    given = guarded(lambda: _text_of(components.ingredients(root, text)), None) if components.ingredients else None
+    steps = components.instructions or (lambda root, text: legacy_instructions(root))
+    return (
+        best.node.glued("\n") if best else None,
+        best.method if best else None,
+        best.confidence if best else None,
+        len(zones),
+        guarded(lambda: legacy_ingredients(root, text), None),
+        guarded(lambda: _text_of(steps(root, text)), None),
+        guarded(lambda: [{"text": z.node.glued(), "method": z.method, "confidence": z.confidence} for z in instruction_zones(root)], []),
+        " ".join(z.node.glued() for z in meta_zones),
+        len(meta_zones),
+        given,
+        failed,
+    )
+
+
+def extract_parts(sections: DataFrame, components: Components = DEFAULT) -> DataFrame:
+    """Zones and cascade results of sections; the texts to be scored, no scores yet. failure tells why ingredient zones could not be looked for."""
+    return sections.select(*_columns(SECTION)).mapInPandas(_extractor(components), EXTRACTED)
+
+
+ZONES = "kind string, ord int, node_pre int, method string, confidence double, field_hints array<string>, context map<string,string>, text string"
+
+
+def zone_table(sections: DataFrame, *keys: str, markup_col: str = "markup") -> DataFrame:
+    """Every zone of sections as a row, per key: kind (ingredients, legacy, instructions, metadata), place in the detector's order, method, confidence, hints, context and text."""
+    schema = sections.select(*keys).schema
+    finders = {"ingredients": ingredient_zones, "instructions": instruction_zones, "metadata": metadata_zones}
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keys, *_columns(ZONES)]
+        for frame in frames:
+            rows = []
+            for *key, markup in frame.itertuples(index=False):
+                root = parse(markup)
+                for kind, f in finders.items():
+                    rows += [(*key, kind, i, z.node.pre, z.method, z.confidence, z.hints, z.context, z.node.glued("\n")) for i, z in enumerate(f(root))]
+                rows += [(*key, "legacy", i, n.pre, None, None, [], {}, n.glued("\n")) for i, n in enumerate(legacy_ingredient_zones(root))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return sections.select(*keys, markup_col).mapInPandas(find, schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", " + ZONES)
+
+
+def strategy_table(sections: DataFrame, *keys: str, markup_col: str = "markup") -> DataFrame:
+    """What each strategy of the ingredient and instruction cascades gives by itself, and the whole cascades, as rows (kind, strategy, text); null where it finds nothing."""
+    schema = sections.select(*keys).schema
+    items = {"headed_lines": lambda r, t: ingredients.from_headed_lines(t), "line_runs": lambda r, t: ingredients.from_runs(t)}
+    items |= {"lists": lambda r, t: ingredients.from_lists(r), "paragraph_classes": lambda r, t: ingredients.from_paragraph_classes(r)}
+    items |= {"paragraph_runs": lambda r, t: ingredients.from_paragraph_runs(r), "cascade": lambda r, t: legacy_ingredients(r, "\n".join(t))}
+    steps = {f.__name__: f for f in instructions.CASCADE} | {"cascade": legacy_instructions}
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for *key, markup in frame.itertuples(index=False):
+                root = parse(markup)
+                lines = clean_lines(root).split("\n")
+                rows += [(*key, "ingredients", n, f(root, lines)) for n, f in items.items()]
+                rows += [(*key, "instructions", n, f(root)) for n, f in steps.items()]
+            yield pd.DataFrame(rows, columns=[*keys, "kind", "strategy", "text"])
+
+    return sections.select(*keys, markup_col).mapInPandas(find, schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", kind string, strategy string, text string")
+
+
+def ingredients_with_patterns(zone_text: Column, zone_method: Column, zone_confidence: Column, zone_count: Column, legacy: Column, failure: Column | None = None) -> Column:
+    """ING11: the best zone if its weighted score is 0.5 or more, else the cascade's text; a struct (text, details).
+
+    ING1: where looking for zones failed, the cascade's text with strategy legacy_fallback and a confidence of 0.5.
+    """
+    reason = F.lit(None).cast("string") if failure is None else failure
 
     def scored(x: Column) -> Column:
         return F.struct(scoring.ingredient_confidence(x).alias("pattern"), scoring.ingredient_linguistic(x).alias("linguistic"))
@@ -124,18 +207,24 @@ def ingredients_with_patterns(zone_text: Column, zone_method: Column, zone_confi
         structural = zone_confidence * 0.30 + s["zone"]["pattern"] * 0.50 + s["zone"]["linguistic"] * 0.20
         by_zone = F.coalesce(usable & (structural >= 0.5), F.lit(False))
         by_legacy = ~by_zone & truthy(legacy)
-        choose = lambda zone, old, none: F.when(by_zone, zone).when(by_legacy, old).when(usable, zone).otherwise(none)
+        fallback = reason.isNotNull() & truthy(legacy)
+        sure = F.when(reason.isNull(), F.lit(True))  # null where zones were not looked at
+
+        def choose(zone, old, none, failed) -> Column:
+            return F.when(fallback, failed).when(reason.isNotNull(), F.lit(None)).when(by_zone, zone).when(by_legacy, old).when(usable, zone).otherwise(none)
+
         return F.struct(
             F.when(by_zone, zone_text).when(truthy(legacy), legacy).alias("text"),
             F.struct(
-                choose(F.lit("structural_zones"), F.lit("original_with_patterns"), F.lit(None).cast("string")).alias("strategy"),
-                choose(s["zone"]["pattern"], s["old"]["pattern"], F.lit(0.0)).alias("confidence"),
-                choose(s["zone"]["linguistic"], s["old"]["linguistic"], F.lit(0.0)).alias("linguistic_score"),
-                F.when(zone_count > 0, zone_confidence).otherwise(0.0).alias("structural_confidence"),
-                (zone_count > 0).alias("used_structural_detector"),
-                zone_count.alias("zone_count"),
-                choose(structural, s["old"]["pattern"] * 0.70 + s["old"]["linguistic"] * 0.30, F.lit(0.0)).alias("combined_score"),
+                choose(F.lit("structural_zones"), F.lit("original_with_patterns"), F.lit(None).cast("string"), F.lit("legacy_fallback")).alias("strategy"),
+                choose(s["zone"]["pattern"], s["old"]["pattern"], F.lit(0.0), F.lit(0.5)).alias("confidence"),
+                choose(s["zone"]["linguistic"], s["old"]["linguistic"], F.lit(0.0), F.lit(0.0)).alias("linguistic_score"),
+                F.when(sure, F.when(zone_count > 0, zone_confidence).otherwise(0.0)).alias("structural_confidence"),
+                F.when(sure, zone_count > 0).alias("used_structural_detector"),
+                F.when(sure, zone_count).alias("zone_count"),
+                choose(structural, s["old"]["pattern"] * 0.70 + s["old"]["linguistic"] * 0.30, F.lit(0.0), F.lit(0.5)).alias("combined_score"),
                 F.when(usable, zone_method).alias("detection_method"),
+                F.when(fallback, reason).alias("fallback_reason"),
             ).alias("details"),
         )
 
@@ -184,9 +273,12 @@ def instructions_with_patterns(zones: Column, legacy: Column) -> Column:
 
 
 def _assemble(parts: DataFrame, config: Config) -> DataFrame:
-    pattern = ingredients_with_patterns(F.col("zone_text"), F.col("zone_method"), F.col("zone_confidence"), F.col("zone_count"), F.col("legacy_ingredients"))
+    use = config.components
+    pattern = ingredients_with_patterns(F.col("zone_text"), F.col("zone_method"), F.col("zone_confidence"), F.col("zone_count"), F.col("legacy_ingredients"), F.col("failure"))
     df = parts.withColumn("__p", pattern)
-    if config.extraction.use_pattern_extraction:
+    if use.ingredients:
+        ingredients, details = F.col("given_ingredients"), F.lit(None)
+    elif config.extraction.use_pattern_extraction:
         ingredients, details = F.col("__p.text"), F.col("__p.details")
     else:
         ingredients, details = F.col("legacy_ingredients"), F.lit(None)
@@ -197,18 +289,18 @@ def _assemble(parts: DataFrame, config: Config) -> DataFrame:
         if config.ab_testing.use_new_method:
             df = df.withColumn("ingredients", F.coalesce("ab_test.new_ingredients", "ingredients"))
         fields.append(F.col("ab_test"))
-    if config.extraction.use_pattern_extraction:
+    if config.extraction.use_pattern_extraction and not use.ingredients:
         fields.insert(0, F.struct(details.alias("ingredients")).alias("extraction"))
     return (
         df.withColumn("metadata", F.to_json(F.struct(*fields)) if fields else F.lit(None).cast("string"))
         .withColumn("instructions", F.col("legacy_instructions"))
-        .withColumn("__m", meta.extract_metadata(F.col("text"), F.col("title")))
+        .withColumn("__m", (use.metadata or meta.extract_metadata)(F.col("text"), F.col("title")))
         .select("*", *[F.col(f"__m.{n}").alias(n) for n in meta.FIELDS])
         .withColumn("raw_content", F.col("text") if config.extraction.include_raw_content else F.lit(None).cast("string"))
         .withColumn("epub_section", F.col("item_name"))
         .withColumn("notes", F.lit(None).cast("string"))
         .withColumn("tags", F.array().cast("array<string>"))
-        .withColumn("quality_score", scoring.quality(*[F.col(c) for c in ("ingredients", "instructions", *meta.FIELDS)]))
+        .withColumn("quality_score", (use.scorer or scoring.quality)(*[F.col(c) for c in ("ingredients", "instructions", *meta.FIELDS)]).cast("int"))
         .where(F.col("quality_score") >= (config.extraction.min_quality_score or 0))
     )
 
@@ -216,8 +308,9 @@ def _assemble(parts: DataFrame, config: Config) -> DataFrame:
 def extract_from_documents(documents: DataFrame, config: Config | None = None) -> DataFrame:
     """Recipes of documents: sections of 100 characters or more that look like a recipe and have ingredients, scored and thresholded."""
     config = config or Config()
-    sections = split_sections(documents).where(F.length("text") >= 100).where(is_valid_recipe(F.col("text"), F.col("title")))
-    parts = extract_parts(config.apply(sections))
+    use = config.components
+    sections = split_sections(documents, use).where(F.length("text") >= 100).where((use.validator or is_valid_recipe)(F.col("text"), F.col("title")))
+    parts = extract_parts(config.apply(sections), use)
     recipes = _assemble(parts, config).where(truthy(F.col("ingredients")))
     return recipes.select(*RECIPE, "item_ordinal", "section_ordinal")
 
@@ -230,18 +323,22 @@ def extract_from_section(sections: DataFrame, config: Config | None = None) -> D
         for frame in frames:
             rows = []
             for title, book, author, markup in frame.itertuples(index=False):
-                root = parse(markup)
+                root = read(markup)
                 rows.append((book, author, None, 0, None, 0, title, clean_lines(root), to_markup(root)))
             yield pd.DataFrame(rows, columns=_columns(SECTION))
 
-    found = sections.select("title", "book", "author", "markup").mapInPandas(whole, SECTION).where(is_valid_recipe(F.col("text"), F.col("title")))
-    return _assemble(extract_parts(config.apply(found)), config).select(*RECIPE)
+    use = config.components
+    read = use.parser or parse
+    found = sections.select("title", "book", "author", "markup").mapInPandas(whole, SECTION).where((use.validator or is_valid_recipe)(F.col("text"), F.col("title")))
+    return _assemble(extract_parts(config.apply(found), use), config).select(*RECIPE)
 
 
 def extract_recipes(spark: SparkSession, path: str, config: Config | None = None, pattern: str = "*.epub") -> DataFrame:
     """Recipes of one EPUB file or of a folder's files. A single unreadable file raises ValueError; in a folder it is skipped (see batch)."""
     documents = epub.read_documents(epub.scan_files(spark, path, pattern))
     if path.lower().endswith(".epub"):
+        if epub.is_folder(spark, path):
+            raise ValueError(f"no file: {path}")
         bad = documents.where("error is not null").select("error").head()
         if bad is not None:
             raise ValueError(f"no readable EPUB: {path}: {bad['error']}")

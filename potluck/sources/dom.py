@@ -171,8 +171,18 @@ def parse(markup: str | bytes | None) -> Node:
 
 
 def copy(node: Node, parent: Node | None = None) -> Node:
+    """A copy of the nodes from node on, whatever their depth."""
     out = Node(node.tag, node.attrs, parent)
-    out.children = [copy(c, out) if isinstance(c, Node) else c for c in node.children]
+    stack = [(node, out)]
+    while stack:
+        old, new = stack.pop()
+        for c in old.children:
+            if isinstance(c, Node):
+                twin = Node(c.tag, c.attrs, new)
+                new.children.append(twin)
+                stack.append((c, twin))
+            else:
+                new.children.append(c)
     return out
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,14 +159,26 @@ def _read_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def scan_files(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
-    """The files of a folder (not of folders in it), or one file; a missing path raises FileNotFoundError."""
+    """The files of a folder (not of folders in it), or one file. A missing path raises FileNotFoundError, one that may not be read PermissionError."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
         raise FileNotFoundError(path)
+    try:
+        system.access(where, jvm.org.apache.hadoop.fs.permission.FsAction.READ)
+    except Py4JJavaError as e:
+        if "AccessControlException" in str(e.java_exception):
+            raise PermissionError(path) from e
+        raise
     reader = spark.read.format("binaryFile")
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+    if is_folder(spark, path):
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select("path", "content")
 

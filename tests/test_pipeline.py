@@ -1,17 +1,24 @@
 """EPUB files to recipes, end to end, on archives built here."""
 
+import difflib
 import json
+import os
+import random
+import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from potluck.cli import parser
 from potluck.cli import run as cli
-from potluck.operators import analyze, quality
+from potluck.operators import abtest, analyze, quality
 from potluck.operators.store import RecipeStore
 from potluck.plans import pipeline
-from potluck.plans.config import Config, Extraction, LogLevel
+from potluck.plans.config import Components, Config, Extraction, LogLevel
 from potluck.sources import epub
+from potluck.sources.dom import parse
 from potluck.streaming.ingest import ingest_folder
 
 from .test_dom import RECIPE
@@ -179,6 +186,129 @@ def test_best_match_takes_the_earliest_of_equals(spark):
     assert got == {1: (5, 1.0), 2: (None, None)}
 
 
+@pytest.mark.parametrize("block", [1024, 5])
+def test_best_matches_equal_all_pairs(spark, block):
+    """Against difflib over every pair, with ties, empty titles, lengths that rule each other out and titles of more than 64 characters."""
+    rng = random.Random(6)
+    words = ["honey", "cake", "grilled", "corn", "of", "the", "old", "stew", "Café", "pie 2"]
+    title = lambda: " ".join(rng.choices(words, k=rng.choice((1, 2, 3, 4, 14))))
+    garble = lambda t: "".join(c for c in t if rng.random() > 0.15)
+    titles = [(i, title()) for i in range(60)] + [(60, None), (61, "?!"), (62, "honey cake"), (63, "Honey Cake!")]
+    entries = [(i, garble(rng.choice(titles[:60])[1])) for i in range(60)] + [(60, None), (61, ""), (62, "honey cake"), (63, "zz"), (64, "honey cake")]
+    plain = lambda t: re.sub(r"[^\w\s]", "", (t or "").lower()).strip()
+    want = {}
+    for i, e in entries:
+        scored = [(difflib.SequenceMatcher(None, plain(e), plain(t)).ratio(), -k) for k, t in titles if plain(e) and plain(t)]
+        best = max(scored, default=(0, 0))
+        want[i] = (best[0], -best[1]) if best[0] >= analyze.MATCH else (None, None)
+    a, b = spark.createDataFrame(entries, "entry_id long, entry_title string"), spark.createDataFrame(titles, "title_id long, title string")
+    got = {r["entry_id"]: (r["score"], r["title_id"]) for r in analyze.best_matches(a, b, block=block).collect()}
+    assert got == want
+
+
+def test_names_of_the_tables_match_as_all_pairs_do(spark):
+    """The registered query over its whole tables."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    from potluck.plans.queries import queries
+
+    plain = lambda t: re.sub(r"[^\w\s]", "", t.lower()).strip()
+    titles = [(r["s_suppkey"], plain(r["s_name"])) for r in spark.read.parquet(f"{data}/supplier.parquet").collect()]
+    want = {}
+    for r in spark.read.parquet(f"{data}/customer.parquet").collect():
+        score, k = max((difflib.SequenceMatcher(None, plain(r["c_name"]), t).ratio(), -i) for i, t in titles)
+        want[r["c_custkey"]] = (score, -k) if score >= analyze.MATCH else (None, None)
+    assert {r["entry_id"]: (r["score"], r["title_id"]) for r in queries()["fuzzy_match_best"](spark, data).collect()} == want
+
+
+def test_a_bound_is_never_below_the_ratio():
+    rng = random.Random(1)
+    for n in (1, 5, 30, 64, 70):
+        titles = ["".join(rng.choices("abcd ", k=n)) for _ in range(20)]
+        index = {c: i for i, c in enumerate("abcd ")}
+        codes = np.array([[index[c] for c in t] for t in titles])
+        for x in (1, 12, 64, 65, 90):
+            e = "".join(rng.choices("abcde ", k=x))
+            for t, most in zip(titles, analyze._bounds(e, codes, index)):
+                assert difflib.SequenceMatcher(None, e, t).ratio() <= most + 1e-12
+
+
+def page(spark, *contents):
+    rows = [("b", "a", f"i{i}", i, "c", c) for i, c in enumerate(contents)]
+    return spark.createDataFrame(rows, "book string, author string, item_name string, item_ordinal int, chapter string, content string")
+
+
+def test_deep_markup(spark):
+    deep = "<div>" * 3000 + "<h2>Deep stew</h2><p>" + "words " * 30 + "</p>" + "</div>" * 3000
+    rows = pipeline.split_sections(page(spark, deep, f"<section>{deep}</section>")).collect()
+    assert len(rows) == 2 and all(r["failure"] is None and "Deep stew" in r["text"] for r in rows)
+
+
+def picky(markup):
+    if "poison" in str(markup):
+        raise ValueError("cannot read this")
+    return parse(markup)
+
+
+def test_a_document_that_fails_leaves_the_others(spark):
+    docs = page(spark, DISH.format(title="Golden honey cake"), DISH.format(title="poison"), DISH.format(title="Second cake"))
+    config = Config.of(components=Components(parser=picky))
+    bad = pipeline.split_sections(docs, config.components).where("failure is not null").collect()
+    assert [(r["item_ordinal"], r["failure"], r["text"]) for r in bad] == [(1, "ValueError: cannot read this", None)]
+    assert sorted(r["title"] for r in pipeline.extract_from_documents(docs, config).collect()) == ["Golden honey cake", "Second cake"]
+
+
+def test_zones_that_fail_fall_back_to_the_cascade(spark, monkeypatch):
+    def broken(root):
+        raise RuntimeError("no zones today")
+
+    monkeypatch.setattr(pipeline, "ingredient_zones", broken)
+    zone_text, method, sure, n, legacy, *_, failure = pipeline._parts(parse(DISH), "", Components())
+    assert (zone_text, method, sure, n, failure) == (None, None, None, 0, "pattern_extraction_error: no zones today") and legacy.startswith("- 2 cups")
+    df = spark.createDataFrame([(legacy, failure), (None, failure)], "legacy string, failure string")
+    nothing = F.lit(None)
+    p = pipeline.ingredients_with_patterns(nothing.cast("string"), nothing.cast("string"), nothing.cast("double"), F.lit(0), F.col("legacy"), F.col("failure"))
+    first, second = (json.loads(r["d"]) | {"text": r["text"]} for r in df.select(F.to_json(p["details"]).alias("d"), p["text"].alias("text")).collect())
+    assert first == {"strategy": "legacy_fallback", "confidence": 0.5, "linguistic_score": 0.0, "combined_score": 0.5, "fallback_reason": failure, "text": legacy}
+    assert second == {"text": None}
+
+
+def two_lines(root, text):
+    return "\n".join(text.split("\n")[:2]), {"strategy": "mine"}
+
+
+def last_line(root, text):
+    return text.split("\n")[-1]
+
+
+def test_replaced_components(spark):
+    fields = F.struct(*[F.lit(n).alias(n) for n in ("serves", "prep_time", "cook_time", "cooking_method", "protein_type")])
+    use = Components(
+        ingredients=two_lines, instructions=last_line, validator=lambda text, title: title.startswith("Golden"), metadata=lambda text, title: fields, scorer=lambda i, *rest: F.length(i)
+    )
+    docs = page(spark, DISH.format(title="Golden honey cake"), DISH.format(title="Second cake"))
+    r = pipeline.extract_from_documents(docs, Config.of(components=use)).collect()
+    assert [(x["title"], x["ingredients"], x["instructions"], x["serves"], x["quality_score"], x["metadata"]) for x in r] == [
+        ("Golden honey cake", "Golden honey cake\nServes 6", "Remove, let it cool and serve warm.", "serves", 26, None)
+    ]
+
+
+def test_comparison_messages(spark):
+    rows = [("a", True, True, True, 0.5), ("b", False, True, False, 0.25), ("c", True, False, False, None)]
+    df = spark.createDataFrame([(t, json.dumps({"ab_test": {"agreement": g, "old_success": o, "new_success": n, "confidence": c}})) for t, g, o, n, c in rows] + [("d", None)], "title string, metadata string")
+    apart = ("b", "WARNING", "A/B DISAGREEMENT: old=True, new=False, confidence=0.25")
+    got = {level: [tuple(r) for r in abtest.messages(df, level).orderBy("title").collect()] for level in ("DEBUG", "INFO", "WARNING", "NONE")}
+    assert got["INFO"] == [apart] and got["WARNING"] == got["NONE"] == []
+    assert got["DEBUG"] == [("a", "DEBUG", "A/B AGREEMENT: both succeeded"), apart, ("c", "DEBUG", "A/B AGREEMENT: both failed")]
+
+
+def test_a_folder_is_no_file(spark, tmp_path):
+    (tmp_path / "x.epub").mkdir()
+    with pytest.raises(ValueError, match="no file"):
+        pipeline.extract_recipes(spark, str(tmp_path / "x.epub"))
+
+
 def test_streaming_ingest_reads_each_file_once(spark, shelf, tmp_path):
     folder, store, checkpoint = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "cp")
     folder.mkdir()
@@ -199,10 +329,15 @@ def test_cli(spark, shelf, tmp_path, capsys):
     cli(spark, ["validate", str(shelf / "book.epub"), "--store", store])
     cli(spark, ["analyze", str(shelf / "book.epub")])
     cli(spark, ["ab-report", "--store", store])
+    cli(spark, ["batch", str(shelf), "--store", store + "2", "--verbose"])
+    cli(spark, ["extract", str(shelf / "book.epub"), "--store", store + "3", "-v"])
+    cli(spark, ["analyze", str(shelf / "book.epub"), "-v"])
+    cli(spark, ["export", "--store", store, "--format", "vault", "--output", str(tmp_path / "vault"), "-v"])
     cli(spark, ["export", "--store", store, "--format", "json", "--output", str(tmp_path / "r.json")])
     cli(spark, ["export", "--store", store, "--format", "markdown", "--output", str(tmp_path / "r.md")])
     out = capsys.readouterr().out
     assert "saved" in out and "Golden honey cake" in out and "NO DISAGREEMENTS FOUND" in out and "Total items: 6" in out
+    assert "broken.epub" in out and "one.xhtml#top" in out and parser().parse_args(["query-tags", "x"]).limit == 20
     data = json.loads((tmp_path / "r.json").read_text())
     assert data["metadata"]["format_version"] == "1.0" and data["metadata"]["count"] == len(data["recipes"]) > 0
     assert (tmp_path / "r.md").read_text().startswith("# Recipe Collection\n\nTotal Recipes: ")
