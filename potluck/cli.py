@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -101,9 +100,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         if a.format == "vault":
             print(export.export_vault(rows, a.output or "vault", a.organize_by))
         elif a.format == "json":
-            Path(a.output or "recipes.json").write_text(export.export_json(rows).first()["value"], encoding="utf-8")
+            export.write_parts(export.export_json(rows), a.output or "recipes.json", "\n")
         else:
-            Path(a.output or "recipes.markdown").write_text("".join(r["value"] for r in export.export_markdown(rows).toLocalIterator()), encoding="utf-8")
+            export.write_parts(export.export_markdown(rows), a.output or "recipes.markdown")
     elif a.command == "ab-report":
         print(store.ab_report())
         _show(store.ab_disagreements().limit(a.limit), "title", "book", "confidence", "strategy", n=a.limit)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,14 +57,14 @@ def matching(df: DataFrame, query: str) -> DataFrame:
 
 def with_any_tag(recipes: DataFrame, links: DataFrame, tags: DataFrame, wanted: list[str]) -> DataFrame:
     """Recipes with at least one of the tags; no row twice, so nothing to make distinct."""
-    ids = links.join(F.broadcast(_wanted(tags, wanted)), "tag_id").select(F.col("recipe_id").alias("id"))
+    ids = links.join(_wanted(tags, wanted), "tag_id").select(F.col("recipe_id").alias("id"))
     return recipes.join(ids, "id", "left_semi")
 
 
 def with_all_tags(recipes: DataFrame, links: DataFrame, tags: DataFrame, wanted: list[str]) -> DataFrame:
     """Recipes with all of the tags; a tag named twice can't be met twice, so nothing matches."""
     ids = (
-        links.join(F.broadcast(_wanted(tags, wanted)), "tag_id")
+        links.join(_wanted(tags, wanted), "tag_id")
         .groupBy("recipe_id")
         .agg(F.count_distinct("tag_id").alias("n"))
         .where(F.col("n") == len(wanted))
@@ -72,7 +74,7 @@ def with_all_tags(recipes: DataFrame, links: DataFrame, tags: DataFrame, wanted:
 
 
 def _wanted(tags: DataFrame, wanted: list[str]) -> DataFrame:
-    # at most one row per wanted tag, so small enough to broadcast whatever the table
+    # a row per wanted tag; Spark broadcasts it if it finds it small
     return tags.where(F.lower("tag_name").isin([w.lower() for w in wanted])).select(F.col("id").alias("tag_id"))
 
 
@@ -106,6 +108,11 @@ def normal_tags(df: DataFrame, id_col: str = "id", tags_col: str = "tags") -> Da
     return one.where("tag_name <> ''").distinct()
 
 
+def new_tags(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """The wanted tag names, each once, that are not known yet: what insert-or-ignore would add."""
+    return wanted.select("tag_name").distinct().join(known, "tag_name", "left_anti")
+
+
 def by_quality(df: DataFrame, limit: int | None = None) -> DataFrame:
     """The best first, equal ones by id; limit None is all, as is a negative one."""
     out = df.orderBy(F.col("quality_score").desc(), "id")
@@ -113,27 +120,66 @@ def by_quality(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 class RecipeStore:
+    """Tables in a folder. What is saved becomes visible all at once, when a manifest names its batch; a manifest lists every batch
+    and is written under the next number, which only one of several writers gets: the others take new ids and try again.
+    """
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._init()
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        # files of older versions lack later columns, which then read as null
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+    # files
+
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _exists(self, name: str) -> bool:
+        fs, p = self._at(name)
+        return fs.exists(p)
+
+    def _delete(self, name: str) -> None:
+        fs, p = self._at(name)
+        fs.delete(p, True)
 
     def _append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(f"{self.path}/{name}")
 
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _manifest(self) -> tuple[int, dict]:
+        """The number and content of the last manifest; a store without one has what lies in its tables' own folders."""
+        fs, p = self._at("_log")
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()] if fs.exists(p) else []
+        if not numbers:
+            old = [self.spark.read.schema(s).parquet(f"{self.path}/{n}").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] for n, s in (("recipes", RECIPES), ("tags", TAGS))]
+            return 0, {"own": True, "batches": [], "keys": {}, "recipe_id": old[0] + 1, "tag_id": old[1] + 1}
+        stream = fs.open(self._at(f"_log/{max(numbers):010d}")[1])
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return max(numbers), json.loads(text)
+
+    def _commit(self, number: int, content: dict) -> bool:
+        """Write the manifest with the next number; False if another writer has it."""
+        fs, target = self._at(f"_log/{number + 1:010d}")
+        _, draft = self._at(f"_log/_{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        if not fs.exists(target) and fs.rename(draft, target):
+            return True
+        fs.delete(draft, False)
+        return False
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        # files of older versions lack later columns, which then read as null
+        _, state = self._manifest()
+        folders = [""] * state["own"] + [f"/{b}" for b in state["batches"]]
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}{f}" for f in folders])
 
     def version(self) -> int:
         """The greatest applied version, 0 for a store that does not exist."""
         if not self._exists("schema_version"):
             return 0
-        return self._read("schema_version", VERSIONS).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return self.versions.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
     def set_version(self, version: int, note: str = "") -> None:
         row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("applied_at"), F.lit(note).alias("description"))
@@ -150,6 +196,10 @@ class RecipeStore:
             # adding a column needs no rewrite: it is in the schema that files are read with
             self.set_version(2, "Metadata as JSON")
 
+    @property
+    def versions(self) -> DataFrame:
+        return self.spark.read.schema(VERSIONS).parquet(f"{self.path}/schema_version")
+
     @property
     def recipes(self) -> DataFrame:
         return self._read("recipes", T.StructType([*RECIPES.fields, METADATA]))
@@ -162,14 +212,45 @@ class RecipeStore:
     def recipe_tags(self) -> DataFrame:
         return self._read("recipe_tags", LINKS)
 
-    def save(self, recipes: DataFrame) -> int:
-        """Append recipes; those without title or book are left out. Returns how many were saved. Saving twice stores twice."""
+    def _add(self, make: Callable[[dict, DataFrame], tuple[DataFrame, DataFrame]], key: str | None, count: int) -> int:
+        """Commit a batch. make(state, tags) gives its recipes and (recipe_id, tag_name) with ids from the state on."""
+        while True:
+            number, state = self._manifest()
+            if key is not None and key in state["keys"]:
+                return state["keys"][key]
+            batch = f"batch-{uuid.uuid4().hex}"
+            known = self.tags
+            recipes, wanted = make(state, known)
+            folder = lambda name: f"{self.path}/{name}/{batch}"  # noqa: B023, E731
+            recipes.write.parquet(folder("recipes"))
+            new = new_tags(wanted, known)
+            new.select((F.monotonically_increasing_id() + F.lit(state["tag_id"])).alias("id"), "tag_name").write.parquet(folder("tags"))
+            added = self.spark.read.schema(TAGS).parquet(folder("tags"))
+            ids = known.union(added).groupBy("tag_name").agg(F.min("id").alias("tag_id"))
+            wanted.join(ids, "tag_name").select("recipe_id", "tag_id").write.parquet(folder("recipe_tags"))
+            saved = self.spark.read.schema(RECIPES).parquet(folder("recipes"))
+            top = [df.agg(F.max("id")).first()[0] for df in (saved, added)]
+            after = state | {
+                "batches": [*state["batches"], batch],
+                "keys": state["keys"] | ({key: count} if key is not None else {}),
+                "recipe_id": state["recipe_id"] if top[0] is None else top[0] + 1,
+                "tag_id": state["tag_id"] if top[1] is None else top[1] + 1,
+            }
+            if self._commit(number, after):
+                return count
+            for name in ("recipes", "tags", "recipe_tags"):
+                self._delete(f"{name}/{batch}")
+
+    def save(self, recipes: DataFrame, key: str | None = None) -> int:
+        """Append recipes with their tags; those without title or book are left out. Returns how many were saved.
+
+        Saving twice stores twice, unless both saves have the same key: what was saved under a key is saved once.
+        """
         names = set(recipes.columns)
-        first = (self.recipes.agg(F.max("id")).first()[0] or 0) + 1
         columns = []
         for f in [*RECIPES.fields, METADATA]:
             if f.name == "id":
-                columns.append((F.monotonically_increasing_id() + F.lit(first)).alias("id"))
+                columns.append(F.monotonically_increasing_id().alias("id"))
             elif f.name == "created_at":
                 columns.append(F.current_timestamp().alias("created_at"))
             elif f.name in ("tags", "difficulty") or f.name not in names:
@@ -177,33 +258,42 @@ class RecipeStore:
             else:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
         given = F.col("tags") if "tags" in names else F.array().cast("array<string>")
-        staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
-        recipes.where("title is not null and book is not null").select(*columns, given.alias("__tags")).write.parquet(staging)
-        staged = self.spark.read.parquet(staging)
+        if key is not None and key in (done := self._manifest()[1]["keys"]):
+            return done[key]
+        staging = f"_staging-{uuid.uuid4().hex}"
+        recipes.where("title is not null and book is not null").select(*columns, given.alias("__tags")).write.parquet(f"{self.path}/{staging}")
+        staged = self.spark.read.parquet(f"{self.path}/{staging}")
         saved = staged.count()
-        if saved:
-            self._append(staged.drop("__tags"), "recipes")
-            wanted = normal_tags(staged, "id", "__tags")
-            known = self.tags
-            top = known.agg(F.max("id")).first()[0] or 0
-            new = wanted.select("tag_name").distinct().join(known, "tag_name", "left_anti")
-            self._append(new.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("id"), "tag_name"), "tags")
-            links = wanted.join(self.tags.select(F.col("id").alias("tag_id"), "tag_name"), "tag_name").select("recipe_id", "tag_id")
-            self._append(links, "recipe_tags")
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(staging)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+        def make(state: dict, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+            numbered = staged.withColumn("id", F.col("id") + F.lit(state["recipe_id"]))
+            return numbered.drop("__tags"), normal_tags(numbered, "id", "__tags")
+
+        if saved or key is not None:
+            self._add(make, key, saved)
+        self._delete(staging)
         return saved
 
     def add_tags(self, rows: DataFrame) -> None:
         """Link tags to saved recipes from (id, tags); known tags and links are left as they are (JOI9)."""
-        wanted = normal_tags(rows).persist()
-        top = self.tags.agg(F.max("id")).first()[0] or 0
-        new = wanted.select("tag_name").distinct().join(self.tags, "tag_name", "left_anti")
-        self._append(new.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("id"), "tag_name"), "tags")
-        links = wanted.join(self.tags.select(F.col("id").alias("tag_id"), "tag_name"), "tag_name").select("recipe_id", "tag_id")
-        self._append(links.join(self.recipe_tags, ["recipe_id", "tag_id"], "left_anti"), "recipe_tags")
-        wanted.unpersist()
+        none = self.recipes.limit(0)
+
+        def make(state: dict, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+            linked = self.recipe_tags.join(known.withColumnRenamed("id", "tag_id"), "tag_id").select("recipe_id", "tag_name")
+            return none, normal_tags(rows).join(linked, ["recipe_id", "tag_name"], "left_anti")
+
+        self._add(make, None, 0)
+
+    def compact(self) -> None:
+        """Bring all batches into one, so that a store of many small saves is read from few folders. Readers of older manifests are not disturbed."""
+        number, state = self._manifest()
+        batch = f"batch-{uuid.uuid4().hex}"
+        for name, df in (("recipes", self.recipes), ("tags", self.tags), ("recipe_tags", self.recipe_tags)):
+            df.write.parquet(f"{self.path}/{name}/{batch}")
+        if not self._commit(number, state | {"own": False, "batches": [batch]}):
+            for name in ("recipes", "tags", "recipe_tags"):
+                self._delete(f"{name}/{batch}")
+            raise RuntimeError("another writer was faster; compact again")
 
     def query(self, filters: dict | None = None, min_quality: int | None = None, limit: int | None = None, tags: list[str] | None = None, tags_match_all: bool = True) -> DataFrame:
         """Recipes by column values, least score and tags, best first; limit 0 or None is all."""

@@ -14,7 +14,8 @@ from potluck.sources.epub import read_documents
 def ingest_folder(spark: SparkSession, folder: str, store_path: str, checkpoint: str, config: Config | None = None, files_per_batch: int = 1000, available_now: bool = True) -> StreamingQuery:
     """Save the recipes of new archives to a store as they come; each file is read once, whatever is restarted.
 
-    A batch that is repeated after a failure is saved once: its number is kept beside the store.
+    A batch is saved under the stream's checkpoint and its number, in one commit of the store, so one that is repeated
+    after a failure at any point is saved once.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -24,15 +25,9 @@ def ingest_folder(spark: SparkSession, folder: str, store_path: str, checkpoint:
         .load(folder)
     )
     recipes = extract_from_documents(read_documents(files.select("path", "content")), config)
-    done = f"{store_path.rstrip('/')}/_batches"
 
     def save(batch, number: int) -> None:
-        jvm = spark.sparkContext._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
-        fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(mark):
-            RecipeStore(spark, store_path).save(batch)
-            fs.create(mark).close()
+        RecipeStore(spark, store_path).save(batch, key=f"{checkpoint.rstrip('/')}#{number}")
 
     writer = recipes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()

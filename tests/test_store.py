@@ -57,6 +57,38 @@ def test_unused_tag_counts_zero(spark):
     assert [tuple(r) for r in store.tag_counts(links, tags).collect()] == [("a", 2), ("b", 0)]
 
 
+def test_a_key_is_saved_once_and_batches_are_whole(spark, tmp_path):
+    s = RecipeStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    assert s.save(rows, key="a#1") == 4 == s.save(rows, key="a#1") and s.count() == 4
+    # what a save leaves behind that never came to its manifest is not seen
+    s.recipes.withColumn("id", F.col("id") + 100).write.parquet(f"{s.path}/recipes/batch-lost")
+    s.tags.withColumn("tag_name", F.lit("lost")).write.parquet(f"{s.path}/tags/batch-lost")
+    assert s.count() == 4 and "lost" not in {r["tag_name"] for r in s.tags.collect()}
+
+
+def test_two_writers_do_not_collide(spark, tmp_path):
+    a = RecipeStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    a.save(rows)
+    commit, seen = a._commit, []
+
+    def late(number, content):
+        if not seen:  # another writer is done just before
+            seen.append(1)
+            RecipeStore(spark, a.path).save(rows.withColumn("tags", F.array(F.lit("new"), F.lit("bbq"))))
+        return commit(number, content)
+
+    a._commit = late
+    a.save(rows.withColumn("tags", F.array(F.lit("new"))))
+    assert a.count() == 12 == a.recipes.select("id").distinct().count()
+    assert sorted(r["tag_name"] for r in a.tags.collect()) == ["bbq", "new", "pork", "quick"] and a.tags.select("id").distinct().count() == 4
+    assert {r["tag_name"]: r["count"] for r in a.list_tags().collect()} == {"new": 8, "bbq": 6, "pork": 2, "quick": 2}
+    before = sorted(map(tuple, a.query().select("id", "title", "tags").collect()))
+    a.compact()
+    assert sorted(map(tuple, a.query().select("id", "title", "tags").collect())) == before and a.save(rows) == 4 and a.count() == 16
+
+
 def test_filters(shop):
     assert names(shop.query({"book": "Fire"})) == ["Ribs", "Stew"]
     assert names(shop.query({"book": "Fire", "title": None}, min_quality=60)) == ["Ribs"]
