@@ -21,6 +21,10 @@ def lines(x: str) -> str:
     return f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: {strip('l')}), lambda l: l <> '')"
 
 
+#: A title between marks and a link, which leave nothing but blanks.
+TITLE_MARKS = "string_split(text, chr(10))[1]"
+
+
 def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 

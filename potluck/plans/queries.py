@@ -6,44 +6,25 @@ author, the whole text both ingredients and instructions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from potluck.functions import metadata as meta
 from potluck.functions import scoring as s
 from potluck.functions import validate
 from potluck.functions import vocab as v
+from potluck.functions.details import normalize_whitespace
 from potluck.functions.text import let, lines, sentences, words
-from potluck.operators import abtest, analyze, export, quality, store
+from potluck.operators import abtest, analyze, export, ingredients, instructions, quality, store
+from potluck.operators.sections import clean_title
 from potluck.sources.tables import read_table, spread
 
 from . import oracle as o
-from . import pipeline
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from . import page_queries, pipeline  # noqa: F401  the first registers its own
+from .registry import oracle_sql, queries  # noqa: F401
+from .registry import register as _register
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
@@ -119,9 +100,10 @@ def top5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.top(_scored(spark, sf_dir)).select("id", "title", "quality_score")
 
 
-@_register(_LEVELS + "SELECT book, count(*) AS n, round(avg(quality_score), 4) AS avg_quality, min(id) AS first_id FROM r GROUP BY book")
+@_register("SELECT source AS value, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE source <> '' GROUP BY source")
 def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 4).alias("avg_quality"), F.min("id").alias("first_id"))
+    """AGG9, SRT8: books by their number of recipes."""
+    return export.group_counts(_recipes(spark, sf_dir), "book")
 
 
 @_register(
@@ -231,17 +213,33 @@ _IS_HEAD = f"(length(x) <= 60 AND {o.any_of('lower(x)', v.TEXT_INGREDIENT_KEYWOR
 _IS_STOP = f"regexp_matches(lower(x), {o.q(v.STOP_LINE)})"
 
 
-@_register(
+_SQL_OF_KINDS = (
     f"WITH t AS MATERIALIZED (SELECT doc_id, {o.lines('text')} AS ls FROM documents) SELECT doc_id, len(ls)::INTEGER AS n_lines, "
     + ", ".join(f"{o.count_if('ls', x)}::INTEGER AS {n}" for n, x in (("items", _IS_ITEM), ("steps", _IS_STEP), ("heads", _IS_HEAD), ("stops", _IS_STOP)))
     + " FROM t"
 )
+
+
+@_register(_SQL_OF_KINDS)
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", lines(F.col("text")).alias("ls"))
     tests = {"items": validate.is_ingredient_line, "steps": validate.is_instruction_line, "heads": validate.is_ingredient_header, "stops": validate.is_stop_line}
     return d.select("doc_id", F.size("ls").alias("n_lines"), *[F.size(F.filter("ls", f)).alias(n) for n, f in tests.items()])
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("n_lines", "items", "steps", "heads", "stops")]))
+def _kinds(texts: pd.Series) -> pd.DataFrame:
+    tests = (ingredients.is_item, ingredients.is_step, ingredients.is_header, instructions.is_stop)
+    found = [[x.strip() for x in t.split("\n") if x.strip()] for t in texts]
+    return pd.DataFrame([(len(ls), *(sum(map(f, ls)) for f in tests)) for ls in found], columns=["n_lines", "items", "steps", "heads", "stops"])
+
+
+@_register(_SQL_OF_KINDS)
+def line_kinds_in_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING6, ING7, INS7 as the passes over markup decide them, against the same SQL as the columns."""
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _kinds(F.coalesce("text", F.lit(""))).alias("k")).select("doc_id", "k.*")
+
+
 _ISLANDS = (
     "WITH l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, "
     + o.lines("text")
@@ -255,7 +253,7 @@ _ISLANDS = (
     "SELECT doc_id, max(n)::BIGINT AS longest, arg_max(first_line, n * 1000000 - first_line)::BIGINT AS first_line FROM r GROUP BY doc_id"
 )
 def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN3, WIN4, AGG15: the longest run of lines of 20 to 100 characters, the first of equal ones, without a shuffle."""
+    """AGG15: the longest run of lines of 20 to 100 characters, the first of equal ones, without a shuffle."""
     def step(a, x):
         run = F.when(F.length(x).between(20, 100), a["run"] + 1).otherwise(F.lit(0).cast("long"))
         better = run > a["best"]
@@ -396,7 +394,7 @@ def upsert_new_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI9: the tag names an insert-or-ignore would add to those that exist."""
     _, tags = _tag_tables(spark, sf_dir)
     known = _table(spark, sf_dir, "documents").select(F.col("lang").alias("tag_name")).distinct()
-    return tags.select("tag_name").join(known, "tag_name", "left_anti")
+    return store.new_tags(tags, known)
 
 
 # A/B
@@ -508,7 +506,16 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register()
+_AFTER_H1 = "regexp_extract(html, '<h1>(.*?)</article>', 1, 's')"
+_PLAIN = lambda x: f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_PIECES = f"list_filter(list_transform(regexp_split_to_array({_AFTER_H1}, '<[^>]+>'), lambda x: {o.strip(_PLAIN('x'))}), lambda x: x <> '')"
+_HEADING = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
+
+
+@_register(
+    f"WITH t AS (SELECT page_id, {o.strip(_PLAIN(_HEADING))} AS title, {_PIECES} AS pieces FROM pages) "
+    "SELECT page_id::INTEGER AS item_ordinal, 0 AS section_ordinal, title, length(array_to_string(pieces, chr(10)))::INTEGER AS n_chars FROM t WHERE length(title) >= 3"
+)
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM1 to DOM9 over all pages."""
     return pipeline.split_sections(_pages(spark, sf_dir)).select("item_ordinal", "section_ordinal", "title", F.length("text").alias("n_chars"))
@@ -638,10 +645,19 @@ def vault_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.with_links(r, ["notes"]).select("id", F.col("notes").alias("value"))
 
 
-@_register("SELECT doc_id, len(" + o.words("text") + ")::INTEGER AS n_words, len(" + o.sentences("text") + ")::INTEGER AS n_sentences, regexp_replace(text, '\\{[^}]+\\}', '', 'g') = text AS plain FROM documents")
+@F.pandas_udf(T.StringType())
+def _clean_title(titles: pd.Series) -> pd.Series:
+    return titles.map(clean_title)
+
+
+@_register(
+    f"SELECT doc_id, len({o.words('text')})::INTEGER AS n_words, len({o.sentences('text')})::INTEGER AS n_sentences, array_to_string({o.lines('text')}, chr(10)) AS lines, "
+    f"{o.strip(o.TITLE_MARKS)} AS title FROM documents"
+)
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOM2, DOM8, DOM9: words, sentences and marks of texts."""
+    """DOM8, DOM9: words, sentences and stripped lines of texts, and titles without marks and links."""
     t = F.col("text")
+    marked = F.concat(F.lit(" {#id} "), F.split(t, "\n")[0], F.lit(" [note](x.html#y) {.class}"))
     return _texts(spark, sf_dir, "documents", "doc_id", "text").select(
-        "doc_id", F.size(words(t)).alias("n_words"), F.size(sentences(t)).alias("n_sentences"), (F.regexp_replace(t, r"\{[^}]+\}", "") == t).alias("plain")
+        "doc_id", F.size(words(t)).alias("n_words"), F.size(sentences(t)).alias("n_sentences"), normalize_whitespace(t).alias("lines"), _clean_title(marked).alias("title")
     )
