@@ -1,9 +1,9 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The words of a corpus slice (one Arrow batch and the words not seen before in the task) form one
-symbol array. An inverted index maps every adjacent pair that has a merge to its positions. The
-merges are applied in rank order, each to all of its positions at once; only the two neighbours
-of a merged symbol get new pairs, which enter the index under their own, later rank.
+The different words of the corpus, each once, are spread over partitions. In a partition they form one symbol
+array, and an inverted index maps every adjacent pair that has a merge to its positions. The merges are
+applied in rank order, each to all of its positions at once; only the two neighbours of a merged
+symbol get new pairs, which enter the index under their own, later rank.
 """
 
 from __future__ import annotations
@@ -13,22 +13,21 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, env_path, lean
+from .common import GOLDEN, POSITION, U64, chunks, cut, env_path, lean, mix, utf8, utf8_bytes
 
 #: Where the vocabulary lies: a merges file (.json) or a rank file (.tiktoken) of a byte-level BPE.
 VOCABULARY = env_path("POTLUCK_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words a task remembers with their ids; when it is full it is emptied, which changes no result.
-REMEMBERED = 150_000
-TEXT_BYTES = 1 << 20
+#: Bytes of texts in a block (a longer text is a block of its own), and of different words that are replayed together.
+BLOCK_BYTES, REPLAY_BYTES = 1 << 20, 4 << 20
 
 
 def _printable() -> dict[str, int]:
@@ -167,36 +166,94 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return symbol[left_over], np.searchsorted(left_over, bounds)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Per code point: 1 letter, 2 number, 3 white space, 0 anything else, as the pattern's own library has them."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            lo, hi = (x + 0x800 * (x >= 0xD800) for x in (m.start(), m.end() - 1))
+            out[lo : hi + 1] = kind
+    out[0xD800:0xE000] = 0
+    return out
+
+
+def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of PATTERN begin in UTF-8 texts (data[offsets[i]:offsets[i + 1]]), and the n + 1 bounds of the texts' words.
+
+    Words are runs of one kind of character. A blank before a word belongs to it, the white space before that is a word, and
+    a lone apostrophe takes the ending of a contraction with it.
+    """
+    code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    n = len(code)
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    at = np.cumsum(size) - size
+    kind = _kinds()[code]
+    # one more place at the end, so that what follows a place can always be asked for; the end counts as a text's beginning
+    fresh = np.zeros(n + 3, bool)
+    fresh[np.searchsorted(at, offsets[:-1][offsets[:-1] < len(data)])] = True
+    fresh[n:] = True
+    start = fresh.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    # the last character of white space before a word of the same text
+    last = np.flatnonzero((kind[:-1] == 3) & (kind[1:] != 3) & ~fresh[1:n])
+    start[last] = True
+    start[last[code[last] == 32] + 1] = False
+    # a lone apostrophe that begins a word, and the letters after it
+    letters = np.concatenate([np.where(kind == 1, code, 0), np.zeros(3, np.uint32)])
+    quote = np.flatnonzero((code == 39) & start[:n] & (start[1 : n + 1]) & ~fresh[1 : n + 1])
+    one, two = letters[quote + 1], np.where(fresh[quote + 2], 0, letters[quote + 2])
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    for some, length in ((quote[short], 2), (quote[long], 3)):
+        start[some + 1] = False
+        start[some + length] = True
+    begin = at[np.flatnonzero(start[:n])]
+    return begin, np.searchsorted(begin, offsets)
+
+
+def distinct_words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each word, which begin one after another in data, its place among the different ones, and those."""
+    if not len(begin):
+        return np.zeros(0, np.int64), []
+    length = np.diff(np.append(begin, len(data)))
+    within = np.arange(len(data)) - np.repeat(begin, length)
+    parts = (data.astype(U64) + U64(1)) * POSITION[within & 4095]
+    h = mix(np.add.reduceat(parts, begin) + length.astype(U64) * GOLDEN)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    # words with one hash are one word only if their bytes are: all are held against those of the first
+    source = np.repeat(begin[first][which], length) + within
+    raw = data.tobytes()
+    if not ((length == length[first][which]).all() and (data[np.minimum(source, len(data) - 1)] == data).all()):
+        ends = begin + length
+        place: dict[bytes, int] = {}
+        which = np.array([place.setdefault(raw[a:b], len(place)) for a, b in zip(begin.tolist(), ends.tolist())])
+        return which, list(place)
+    return which, [raw[a : a + n] for a, n in zip(begin[first].tolist(), length[first].tolist())]
+
+
+def spread_ids(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts and the bounds of each: word i of all texts is which[i], text j has the words words[j]:words[j + 1]."""
+    n = np.diff(bounds)[which]
+    total = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(total[-1]) + np.repeat(bounds[:-1][which] - total[:-1], n)
+    return ids[at], total[words]
+
+
 class Encoder:
-    """Encodes slices of a corpus; keeps the ids of words it has met, within REMEMBERED."""
+    """Encodes some texts by themselves, with the index over their words."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
+    def __init__(self, path: str = VOCABULARY):
         self.vocabulary = load(path)
-        self.split = regex.compile(pattern).findall
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 bounds of the texts."""
-        pieces = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known = self.known
-        fresh = [w for w in set(chain.from_iterable(pieces)) if w not in known]
-        ids, bounds = replay([w.encode("utf-8") for w in fresh], self.vocabulary)
-        known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-        self.begin = np.concatenate([self.begin, bounds[:-1] + len(self.ids)])
-        self.count = np.concatenate([self.count, np.diff(bounds)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        per_text = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        which = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(per_text.sum()))
-        n = self.count[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(total[-1]) + np.repeat(self.begin[which] - total[:-1], n)
-        return self.ids[at], total[np.concatenate([[0], np.cumsum(per_text)])]
+        data, offsets = utf8(pa.array(texts, pa.string()))
+        begin, words = pretokens(data, offsets)
+        which, different = distinct_words(data, begin)
+        ids, bounds = replay(different, self.vocabulary)
+        return spread_ids(ids.astype(np.int32), bounds, which, words)
 
 
 def decode(ids, path: str = VOCABULARY) -> str:
@@ -224,52 +281,113 @@ def decode_bytes(ids: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
     return data[out]
 
 
-def _tokenizer(path: str):
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+BLOCKS = "block long, ids array<long>, counts array<int>, which binary, words array<binary>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block of texts: their ids, the number of words of each, for each word its place among the block's different words, and those."""
+    context = TaskContext.get()
+    block = (context.partitionId() if context else 0) << 32
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        for lo, hi in chunks(offsets, BLOCK_BYTES):
+            part = offsets[lo : hi + 1]
+            mine = data[part[0] : part[-1]]
+            begin, words = pretokens(mine, part - part[0])
+            which, different = distinct_words(mine, begin)
+            small = which.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block], pa.int64()),
+                    pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([np.diff(words)], pa.list_(pa.int32())),
+                    pa.array([small], pa.binary()),
+                    pa.array([different], pa.list_(pa.binary())),
+                ],
+                names=["block", "ids", "counts", "which", "words"],
+            )
+            block += 1
+
+
+def _replayer(path: str):
+    """(word, ids, ok) of different words; ok tells that the ids give back the word's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        size = 0
         for batch in batches:
-            column = batch.column(1).cast(pa.large_string())
-            raw = column.fill_null("")
-            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            for lo, hi in chunks(offsets, TEXT_BYTES):
-                texts = column.slice(lo, hi - lo).to_pylist()
-                ids, bounds = encoder.encode(texts)
-                back = decode_bytes(ids, path)
-                data = raw.buffers()[2]
-                source = np.frombuffer(data, np.uint8)[offsets[lo] : offsets[hi]] if data is not None and data.size else np.zeros(0, np.uint8)
-                lengths = np.add.reduceat(np.append(_decoding_table(path)[2][ids], 0), bounds[:-1]) * (np.diff(bounds) > 0) if len(ids) else np.zeros(hi - lo, np.int64)
-                same = len(back) == len(source) and bool((back == source).all())
-                exact = np.full(hi - lo, True) if same else np.diff(offsets[lo : hi + 1]) == lengths
-                if not same:
-                    at = np.cumsum(lengths) - lengths
-                    for i in np.flatnonzero(exact):
-                        a = int(offsets[lo + i] - offsets[lo])
-                        exact[i] = bool((back[at[i] : at[i] + lengths[i]] == source[a : a + lengths[i]]).all())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(np.diff(bounds).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
-                        pa.array(exact),
-                    ],
-                    names=["doc_id", "n_tokens", "tokens", "exact"],
-                )
-
-    return tokenize
+            held.append(batch.column(0))
+            size += batch.column(0).nbytes
+            if size >= REPLAY_BYTES:
+                yield encoded(held)
+                held, size = [], 0
+        if held:
+            yield encoded(held)
+
+    def encoded(held: list[pa.Array]) -> pa.RecordBatch:
+        column = pa.concat_arrays(held)
+        words = column.to_pylist()
+        ids, bounds = replay(words, load(path))
+        raw = ids.astype(np.int32).tobytes()
+        lengths = np.array(list(map(len, words)))
+        _, _, size = _decoding_table(path)
+        back = np.add.reduceat(np.append(size[ids], 0), bounds[:-1]) * (np.diff(bounds) > 0) if len(words) else lengths
+        ok = back == lengths
+        if ok.all():
+            ok = np.full(len(words), decode_bytes(ids, path).tobytes() == b"".join(words))
+        if not ok.all():
+            ok = np.array([decode_bytes(ids[a:b], path).tobytes() == w for a, b, w in zip(bounds[:-1], bounds[1:], words)])
+        pieces = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return pa.RecordBatch.from_arrays([column, pa.array(pieces, pa.binary()), pa.array(ok)], names=["word", "ids", "ok"])
+
+    return run
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, tokens, exact) from (ids, counts, which, found), found being (place, ids, ok) of the block's words."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            counts = batch.column(1)[i].values.to_numpy()
+            raw, found = batch.column(2)[i].as_py(), batch.column(3)[i].values
+            words = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            which = np.frombuffer(raw, np.uint16 if len(raw) == 2 * words[-1] else np.uint32).astype(np.int64)
+            if found is None:
+                ids, bounds, ok = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+            else:
+                order = np.argsort(found.field(0).to_numpy())
+                data, offsets = utf8_bytes(found.field(1).take(pa.array(order)))
+                ids, bounds, ok = np.frombuffer(data.tobytes(), np.int32), offsets // 4, found.field(2).to_numpy(zero_copy_only=False)[order]
+            tokens, ends = spread_ids(ids, bounds, which, words)
+            bad = np.concatenate([[0], np.cumsum(~ok[which])]) if len(which) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0)[i].values,
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens)),
+                    pa.array(bad[words[1:]] == bad[words[:-1]]),
+                ],
+                names=["doc_id", "n_tokens", "tokens", "exact"],
+            )
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, tokens, exact) of every document; exact tells that decoding gives back the text's bytes.
 
-    Ids are those of the usual encoder of the same vocabulary without special tokens. A task
-    needs no other task's words, so nothing is shuffled or broadcast at any size.
+    Texts are cut into words in blocks of about BLOCK_BYTES; a block has each different word once. The different words of the
+    whole corpus are then encoded, each once, by merge replay over the index of its partition, and return to their blocks by
+    two joins, on the word and on the block. So a word costs its merges once, however often it occurs, and what is
+    shuffled is a row per block and different word. Ids are those of the usual encoder of the same vocabulary without special tokens.
 
     A null or empty text has no tokens; a null id stays null; repeated rows are encoded each; a
     text of any length is encoded whole; special-token strings are ordinary text; other columns are not read.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lean(_tokenizer(vocabulary)), "doc_id long, n_tokens long, tokens array<int>, exact boolean"
-    )
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks, _ = cut(base.mapInArrow(lean(_blocks), BLOCKS))
+    pairs = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    known = pairs.select("word").distinct().mapInArrow(_replayer(vocabulary), "word binary, ids binary, ok boolean")
+    found = pairs.join(known, "word").groupBy("block").agg(F.collect_list(F.struct("at", F.col("ids").alias("word_ids"), "ok")).alias("found"))
+    whole = blocks.select("block", "ids", "counts", "which").join(found, "block", "left").select("ids", "counts", "which", "found")
+    return whole.mapInArrow(lean(_assemble, 8), "doc_id long, n_tokens long, tokens array<int>, exact boolean")
 
 
 def _detokenizer(path: str):

@@ -2,12 +2,15 @@ import base64
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from potluck.llm import bpe as b
 from potluck.llm import gif as G
+from potluck.llm.common import utf8
 
 from .util import clashing, prose, table
 
@@ -51,16 +54,47 @@ def test_ids_equal_the_usual_encoder(path):
 def test_replay_equals_word_by_word(texts):
     ranks = ranks_of(RANKS[0])
     encoder = b.Encoder(RANKS[0])
-    want = [[i for w in encoder.split(t) for i in greedy(w.encode(), ranks)] for t in texts]
+    want = [[i for w in regex.findall(b.PATTERN, t) for i in greedy(w.encode(), ranks)] for t in texts]
     assert flat(encoder, texts) == want
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" '\n\tstremvldab1éñ２²\u0301\u00a0\u2003\u3000!?.-🙂你"), st.characters(codec="utf-8")), max_size=40), max_size=5))
+def test_words_equal_the_pattern(texts):
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    begin, bounds = b.pretokens(data, offsets)
+    ends = np.append(begin, len(data))[1:]
+    raw = data.tobytes()
+    got = [[raw[x:y].decode() for x, y in zip(begin[lo:hi], ends[lo:hi])] for lo, hi in zip(bounds[:-1], bounds[1:])]
+    assert got == [regex.findall(b.PATTERN, t) for t in texts]
+    which, words = b.distinct_words(data, begin)
+    assert [words[i] for i in which] == [raw[x:y] for x, y in zip(begin, ends)] and len(set(words)) == len(words)
+
+
+def test_every_character_is_of_the_patterns_kind():
+    assert [b._kinds()[ord(c)] for c in "aé你1²٣ \n\u3000!\u0301🙂'_"] == [1, 1, 1, 2, 2, 2, 3, 3, 3, 0, 0, 0, 0, 0]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(b, "POSITION", np.zeros(4096, b.U64))  # now words of one length have one hash
+    data = np.frombuffer(b"abcdabxy", np.uint8)
+    which, words = b.distinct_words(data, np.array([0, 2, 4, 6]))
+    assert [words[i] for i in which] == [b"ab", b"cd", b"ab", b"xy"]
+
+
 @needs_files
-def test_forgetting_changes_nothing(monkeypatch):
-    once = flat(b.Encoder(), TEXTS * 3)
-    monkeypatch.setattr(b, "REMEMBERED", 2)
-    e = b.Encoder()
-    assert [flat(e, [t])[0] for t in TEXTS * 3] == once
+@pytest.mark.parametrize("size", [1, 60, 1 << 20])
+def test_blocks_change_nothing(spark, monkeypatch, size):
+    """Over many blocks and partitions the tokens are those of the usual encoder."""
+    tiktoken = pytest.importorskip("tiktoken")
+    usual = tiktoken.Encoding("y", pat_str=b.PATTERN, mergeable_ranks=ranks_of(RANKS[0]), special_tokens={})
+    texts = [*TEXTS, *(prose(i, 1 + i % 40, 50) + " it's" * (i % 3) for i in range(120)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(b, "BLOCK_BYTES", size)
+    parts = [r for p in b._blocks(iter([batch])) for r in p.to_pylist()]
+    assert [i for r in parts for i in r["ids"]] == list(range(len(texts))) and len({r["block"] for r in parts}) == len(parts)
+    got = {r["doc_id"]: r["tokens"] for r in b.tokenize(table(spark, texts).repartition(5)).collect()}
+    assert got == {i: usual.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
 
 
 @needs_files
@@ -77,8 +111,8 @@ def test_bpe_awkward_rows(spark):
     texts = [None, "", long, "same", "same", " ", "🙂"]
     df = clashing(table(spark, texts, ids=[None, 1, 2, 3, 3, 4, 5]), "tokens", "n_tokens", "exact")
     rows = b.tokenize(df).collect()
-    got = [(r["doc_id"], b.decode(r["tokens"])) for r in rows]
-    assert got == [(None, ""), (1, ""), (2, long), (3, "same"), (3, "same"), (4, " "), (5, "🙂")] and all(r["exact"] and r["n_tokens"] == len(r["tokens"]) for r in rows)
+    got = sorted((r["doc_id"] or 0, b.decode(r["tokens"])) for r in rows)
+    assert got == [(0, ""), (1, ""), (2, long), (3, "same"), (3, "same"), (4, " "), (5, "🙂")] and all(r["exact"] and r["n_tokens"] == len(r["tokens"]) for r in rows)
     back = {r["doc_id"]: r["text"] for r in b.detokenize(b.tokenize(df)).collect()}
     assert back[2] == long and back[1] == ""
     assert b.tokenize(df.limit(0)).count() == 0
@@ -263,8 +297,6 @@ def test_a_huge_screen_is_an_error_row(spark):
 def test_many_frames_leave_in_parts(spark, monkeypatch):
     monkeypatch.setattr(G, "BATCH_BYTES", 100)
     data = G.encode(4, 4, [{"index": full(i % 4, 4, 4), "delay": 10} for i in range(9)], PALETTE)
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([data, data])], names=["media_id", "gif"])
     parts = list(G._decoder(4, 1000)(iter([batch])))
     assert len(parts) > 5 and [(r["media_id"], r["frame"], r["start_ms"]) for p in parts for r in p.to_pylist()] == [(m, i, 10 * i) for m in (1, 2) for i in range(9)]
