@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import GOLDEN, MIX1, U64, Words, chunks, cut, drop_cut, int64, mix,
 LEAST, K = 50, 17
 #: Starts, and bytes of suffixes, that about leave a worker together.
 BATCH_STARTS, BATCH_BYTES = 1 << 18, 1 << 23
+#: Places of a group beyond which its equal suffixes are counted first.
+CROWD = 1000
 
 
 def word_hashes(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -182,30 +185,36 @@ def leads(x: np.ndarray, pos: np.ndarray, least: int) -> np.ndarray:
 
 
 def _suffixes(least: int, k: int):
-    """(g, m, rest, doc_id, unit, pos) for starts: the suffix is its first m words, which g and m tell, and then rest.
+    """(g, m, rest, doc_id, unit, pos, hot, lone) for starts: the suffix is its first m words, which g and m tell, and then rest.
 
     A suffix ends where the covered starts end, as no match goes on. The words of a run of one period
-    are told by their number, so long runs do not give long suffixes at each of their places.
+    are told by their number, so long runs do not give long suffixes at each of their places. hot comes with the
+    start; lone tells that the document has no other start in the group.
     """
 
-    names = ["g", "m", "rest", "doc_id", "unit", "pos"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["g", "m", "rest", "doc_id", "unit", "pos", "hot", "lone"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, bytes, int, int, int]] = []
+            rows: list[tuple[int, int, bytes, int, int, int, bool, bool]] = []
             size = 0
             for i, (doc, unit) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32)
-                pos = np.sort(np.asarray(batch.column(4)[i].values).astype(np.int64))
+                at = batch.column(4)[i].values
+                pos, hot = at.field(0).to_numpy().astype(np.int64), at.field(1).to_numpy(zero_copy_only=False)
+                order = np.argsort(pos)
+                pos, hot = pos[order], hot[order]
                 inside = covered(x, np.asarray(batch.column(3)[i].values).view(U64), least, k)
                 gaps = np.append(np.flatnonzero(~inside), len(inside))
                 end = gaps[np.searchsorted(gaps, pos)] + least - 1
                 m = np.minimum(leads(x, pos, least), end - pos)
                 g = rolling(x.astype(U64), least)[pos].view(np.int64)
+                _, which, times = np.unique(g, return_inverse=True, return_counts=True)
+                lone = (times[which] == 1) & (not batch.column(5)[i].as_py())
                 data = x.tobytes()
-                for h, p, n, e in zip(g.tolist(), pos.tolist(), m.tolist(), end.tolist()):
-                    rows.append((h, n, data[4 * (p + n) : 4 * e], doc, unit, p))
+                for h, p, n, e, crowd, single in zip(g.tolist(), pos.tolist(), m.tolist(), end.tolist(), hot.tolist(), lone.tolist()):
+                    rows.append((h, n, data[4 * (p + n) : 4 * e], doc, unit, p, crowd, single))
                     size += 4 * (e - p - n) + 100
                     if size >= BATCH_BYTES:
                         yield packed(rows)
@@ -213,7 +222,7 @@ def _suffixes(least: int, k: int):
             if rows:
                 yield packed(rows)
 
-    def packed(rows: list[tuple[int, int, bytes, int, int, int]]) -> pa.RecordBatch:
+    def packed(rows: list[tuple[int, int, bytes, int, int, int, bool, bool]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -260,33 +269,38 @@ class Node:
         self.open += other.open
 
 
-def longest(docs: list[int], depths: list[int]) -> list[tuple[int, int, int] | None]:
-    """For each of some sorted suffixes its longest beginning that another document has: (words, least such document, number of them).
+Entry = tuple[int, int, int | None, int | None, int]
+
 
-    depths[i] is what suffixes i - 1 and i have in common. The stretches with a common beginning are
-    gone through as a tree from the leaves up; the first with a second document answers.
+def stretches(entries: list[Entry], depths: list[int]) -> list[tuple[int, int, int, int] | None]:
+    """For each of some sorted suffixes its longest beginning that two documents have: (words, the two least such documents, number of them).
+
+    An entry is (documents, the two least of them, the document if it may come again in another entry, words of the suffix);
+    depths[i] is what suffixes i - 1 and i have in common. The stretches with a common beginning are gone
+    through as a tree from the leaves up; the first with a second document answers.
     """
-    out: list[tuple[int, int, int] | None] = [None] * len(docs)
+    out: list[tuple[int, int, int, int] | None] = [None] * len(entries)
+    upto = [0, *accumulate(e[0] for e in entries)]
     seen: dict[int, int] = {}
     stack: list[Node] = []
 
     def close(node: Node, end: int) -> None:
         if node.second is not None:
-            n = end - node.first - node.twice - 1
+            answer = (node.depth, node.least, node.second, upto[end] - upto[node.first] - node.twice)
             for j in node.open:
-                out[j] = (node.depth, node.second if docs[j] == node.least else node.least, n)
+                out[j] = answer
             node.open = []
 
-    for i in range(len(docs) + 1):
-        depth = depths[i] if 0 < i < len(docs) else 0
+    for i in range(len(entries) + 1):
+        depth = depths[i] if 0 < i < len(entries) else 0
         last: Node | None = None
-        while stack and (i == len(docs) or stack[-1].depth > depth):
+        while stack and (i == len(entries) or stack[-1].depth > depth):
             node = stack.pop()
             if last is not None:
                 node.take(last)
             close(node, i)
             last = node
-        if i == len(docs):
+        if i == len(entries):
             break
         if last is not None:
             if stack and stack[-1].depth == depth:
@@ -295,18 +309,30 @@ def longest(docs: list[int], depths: list[int]) -> list[tuple[int, int, int] | N
                 node = Node(depth, last.first)
                 node.take(last)
                 stack.append(node)
-        leaf = Node(1 << 62, i)
-        leaf.add(docs[i])
+        _, least, second, again, words = entries[i]
+        leaf = Node(words, i)
+        leaf.add(least)
+        leaf.add(second)
         leaf.open.append(i)
-        before = seen.get(docs[i])
-        if before is not None and stack:
-            # the least stretch with both holds the document twice
-            stack[bisect_right(stack, before, key=lambda s: s.first) - 1].twice += 1
-        seen[docs[i]] = i
-        stack.append(leaf)
+        if again is not None:
+            before = seen.get(again)
+            if before is not None and stack:
+                # the least stretch with both holds the document twice
+                stack[bisect_right(stack, before, key=lambda s: s.first) - 1].twice += 1
+            seen[again] = i
+        if stack and stack[-1].depth == words:
+            stack[-1].take(leaf)  # the same suffix again
+        else:
+            stack.append(leaf)
     return out
 
 
+def longest(docs: list[int], depths: list[int]) -> list[tuple[int, int, int] | None]:
+    """For suffixes of one document each: (words, the least other document, number of others)."""
+    found = stretches([(1, d, None, d, 1 << 62) for d in docs], depths)
+    return [a and (a[0], a[2] if d == a[1] else a[1], a[3] - 1) for d, a in zip(docs, found)]
+
+
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, unit, start_word, end_word, other_doc_id, n_others) of suffixes that come sorted by g, m and rest."""
     group: int | None = None
@@ -336,6 +362,62 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pack(answers())
 
 
+def _crowd_matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, m, rest, n, least, second, doc_id, unit, pos) that come sorted by g, m and rest, with (words, first, other, holders) of each.
+
+    A row without doc_id stands for the n documents that have its suffix and no other of the group.
+    """
+    names = ["g", "m", "rest", "doc_id", "unit", "pos", "words", "first", "other", "holders"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 7]
+    rows: list[tuple] = []
+    depths: list[int] = []
+
+    def pack() -> pa.RecordBatch:
+        entries = [(n, least, second, doc, m + len(rest) // 4) for _, m, rest, n, least, second, doc, _, _ in rows]
+        out = [(g, m, rest, doc, unit, pos, *a) for (g, m, rest, _, _, _, doc, unit, pos), a in zip(rows, stretches(entries, depths)) if a]
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=names)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and rows[-1][0] != row[0]:
+                yield pack()
+                rows, depths = [], []
+            m, rest = row[1], row[2]
+            depths.append((m + common(rows[-1][2], rest) if m == rows[-1][1] else min(m, rows[-1][1])) if rows else 0)
+            rows.append(row)
+    if rows:
+        yield pack()
+
+
+def _crowded(suffixes: DataFrame) -> DataFrame:
+    """The matches of groups that many documents share. Documents with the same suffix, as those that have one passage, are
+    counted before anything is shuffled, so a group costs its different suffixes; the answers go back by a join."""
+    key = ["g", "m", "rest"]
+    alone = suffixes.where("lone")
+    counts = alone.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # Spark keeps the first two rows of each key before the shuffle, too
+    place = F.row_number().over(Window.partitionBy(key).orderBy("doc_id"))
+    two = alone.select(*key, "doc_id").withColumn("__place", place).where("__place <= 2").groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    none = F.lit(None).cast("long")
+    one_each = counts.join(two, key).select(*key, "n", "least", F.when(F.col("n") > 1, F.col("most")).alias("second"), none.alias("doc_id"), none.alias("unit"), none.alias("pos"))
+    again = suffixes.where(~F.col("lone")).select(*key, F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("least"), none.alias("second"), "doc_id", "unit", "pos")
+    found, _ = cut(
+        one_each.union(again).repartition("g").sortWithinPartitions(*key).mapInArrow(
+            _crowd_matcher, "g long, m long, rest binary, doc_id long, unit long, pos long, words long, first long, other long, holders long"
+        )
+    )
+    shared = found.where("pos is null").drop("doc_id", "unit", "pos").join(alone.select(*key, "doc_id", "unit", "pos"), key)
+    every = found.where("pos is not null").unionByName(shared.select(*found.columns))
+    return every.select(
+        "doc_id",
+        "unit",
+        F.col("pos").alias("start_word"),
+        (F.col("pos") + F.col("words")).alias("end_word"),
+        F.when(F.col("doc_id") == F.col("first"), F.col("other")).otherwise(F.col("first")).alias("other_doc_id"),
+        (F.col("holders") - 1).alias("n_others"),
+    )
+
+
 def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Maximal matches (start in a, start in b, words) of at least `least` words through the seeds (position in a, in b)."""
     out: list[tuple[int, int, int]] = []
@@ -355,7 +437,7 @@ def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: in
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K, crowd: int = CROWD) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id, n_others): the maximal repeats of each document.
 
     A repeat is a run of at least `least` words (letters, digits, underscore; case ignored) that
@@ -366,7 +448,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Repeats inside one document only are not reported. A null id or text, an empty text and one
     with fewer than `least` words have none; rows with the same id are one document, whose equal texts
     count once and whose different texts are each matched whole with all other documents (places
-    count within the text); other columns are not read. Texts are matched whole.
+    count within the text); other columns are not read. Texts are matched whole. Groups of more than `crowd`
+    places are matched by their different suffixes, with the same result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("unit")).where("doc_id is not null and text is not null")
     one = ["doc_id", "unit"]
@@ -381,17 +464,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mine, at_mine = cut(mine)
     drop_cut(spark, at_anchors)
     words = base.join(mine.select(one), one, "left_semi").select("doc_id", "text", "unit").mapInArrow(_hasher, "doc_id long, unit long, words binary")
-    held, _ = cut(words.groupBy(one).agg(F.min("words").alias("words")).join(mine, one).select(*one, "words", "hs", "edges"))
+    held, at_held = cut(words.groupBy(one).agg(F.min("words").alias("words")).join(mine, one).select(*one, "words", "hs", "edges"))
     drop_cut(spark, at_mine)
     starts, at_starts = cut(held.mapInArrow(_starts(least, k), "g long, doc_id long, unit long, pos int, before long"))
     # where all starts of a group follow one word, each match goes on to the left: only the others begin a maximal one
-    first = starts.groupBy("g").agg(*bounds).where(several & differ).select("g")
-    chosen, _ = cut(starts.join(first, "g", "left_semi").groupBy(one).agg(F.collect_list("pos").alias("at")))
+    first = starts.groupBy("g").agg(*bounds, F.count(F.lit(1)).alias("n")).where(several & differ).select("g", (F.col("n") > crowd).alias("hot"))
+    texts = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("texts"))
+    chosen, at_chosen = cut(starts.join(first, "g").groupBy(one).agg(F.collect_list(F.struct("pos", "hot")).alias("at")).join(texts, "doc_id", "left"))
     drop_cut(spark, at_starts)
-    suffixes = held.join(chosen, one).select(*one, "words", "hs", "at").mapInArrow(_suffixes(least, k), "g long, m long, rest binary, doc_id long, unit long, pos long")
-    each = suffixes.repartition("g").sortWithinPartitions("g", "m", "rest").mapInArrow(
-        _matcher, "doc_id long, unit long, start_word long, end_word long, other_doc_id long, n_others long"
+    whole = held.join(chosen, one).select(*one, "words", "hs", "at", F.coalesce("texts", F.lit(False)).alias("texts"))
+    suffixes, _ = cut(whole.mapInArrow(_suffixes(least, k), "g long, m long, rest binary, doc_id long, unit long, pos long, hot boolean, lone boolean"))
+    for path in (at_held, at_chosen):
+        drop_cut(spark, path)
+    each = (
+        suffixes.where(~F.col("hot"))
+        .select("g", "m", "rest", "doc_id", "unit", "pos")
+        .repartition("g")
+        .sortWithinPartitions("g", "m", "rest")
+        .mapInArrow(_matcher, "doc_id long, unit long, start_word long, end_word long, other_doc_id long, n_others long")
     )
+    if not suffixes.where("hot").isEmpty():
+        each = each.unionByName(_crowded(suffixes.where("hot")))
     w = Window.partitionBy(one).orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         each.withColumn("__far", F.max("end_word").over(w))

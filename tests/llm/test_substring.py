@@ -38,9 +38,9 @@ def brute(texts, least):
     return out
 
 
-def found(df, least=20, k=8):
+def found(df, least=20, k=8, **more):
     out = {}
-    for r in s.repeated_passages(df, least=least, k=k).collect():
+    for r in s.repeated_passages(df, least=least, k=k, **more).collect():
         assert r["n_words"] == r["end_word"] - r["start_word"] >= least
         out.setdefault(r["doc_id"], set()).add((r["start_word"], r["end_word"]))
     return out
@@ -142,6 +142,16 @@ def test_an_id_with_several_texts(spark, seed):
     assert got == sorted([(1, 200, 260, 2, 2), (1, 0, 55, 2, 1), (1, 1, 56, 2, 1), (2, 1, 61, 1, 2), (2, 62, 117, 1, 1), (3, 0, 60, 1, 2)])
 
 
+def test_crowded_groups_give_the_same_rows(spark):
+    """Passages of many holders, some twice in a document, in documents with several texts, and runs of one word, with and without counting first."""
+    p, q, z = prose(1, 60), prose(2, 75), " of" * 70
+    texts = [f"{prose(100 + i, 5 + i % 9)} x{i % 4} {p} y{i % 3} {q if i % 2 else p} {prose(200 + i, 3)} {z if i % 5 == 0 else ''}" for i in range(60)]
+    ids = [i if i % 7 else 1000 for i in range(60)]
+    df = table(spark, texts + texts[:3], ids=ids + ids[:3])
+    rows = lambda crowd: sorted(map(tuple, s.repeated_passages(df, crowd=crowd).collect()))
+    assert rows(0) == rows(25) == rows(10**9) and len(rows(0)) > 60
+
+
 def near_copies(n, length, changes, seed=0):
     base, texts = prose(11 + seed, length).split(), []
     for i in range(n):
@@ -164,11 +174,11 @@ def holders(texts, spans):
     return out
 
 
-@pytest.mark.parametrize(("n", "length", "changes"), [(40, 300, 4), (12, 400, 4)])
-def test_all_intervals_of_near_copies(spark, n, length, changes):
+@pytest.mark.parametrize(("n", "length", "changes", "crowd"), [(40, 300, 4, 1000), (12, 400, 4, 1000), (40, 300, 4, 10), (12, 400, 4, 0)])
+def test_all_intervals_of_near_copies(spark, n, length, changes, crowd):
     """Every maximal repeat in one piece, whichever pair of copies has it, and with all of its holders."""
     texts = near_copies(n, length, changes)
-    rows = s.repeated_passages(table(spark, texts)).collect()
+    rows = s.repeated_passages(table(spark, texts), crowd=crowd).collect()
     want = {}
     docs = [words(t) for t in texts]
     for i, a in enumerate(docs):  # the copies differ in place only, so matches lie on the main diagonal
@@ -195,6 +205,25 @@ def test_repeated_lines(spark):
     assert found(table(spark, texts).coalesce(1), 50, 17) == brute(dict(enumerate(texts)), 50)
 
 
+def test_longest_beginnings_of_counted_suffixes():
+    """Entries that stand for several documents, beside documents with several entries, against all pairs."""
+    rng = np.random.default_rng(6)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for _ in range(400):
+        words = [bytes(rng.integers(97, 99, rng.integers(1, 7))) for _ in range(rng.integers(1, 10))]
+        singles = {w: sorted(10 + i * 10 + j for j in range(rng.integers(0, 4))) for i, w in enumerate(dict.fromkeys(words))}
+        entries = [(w, len(d), d[0], d[1] if len(d) > 1 else None, None) for w, d in singles.items() if d]
+        entries += [(w, 1, d, None, d) for w in words for d in [int(rng.integers(0, 3))]]
+        entries.sort(key=lambda e: e[0])
+        holders = [(w, d) for w, ds in singles.items() for d in ds] + [(w, d) for w, _, d, _, again in entries if again is not None]
+        got = s.stretches([(n, a, b, c, len(w)) for w, n, a, b, c in entries], [0, *[common(x[0], y[0]) for x, y in zip(entries, entries[1:])]])
+        for (w, n, least, second, again), answer in zip(entries, got):
+            mine = {least} if n == 1 else set()  # with several documents every one has another
+            most = len(w) if n > 1 else max((common(w, v) for v, d in holders if d not in mine), default=None)
+            sharing = sorted({d for v, d in holders if most is not None and common(w, v) >= most})
+            assert answer == (None if most is None else (most, sharing[0], sharing[1], len(sharing)))
+
+
 def test_longest_beginnings():
     rng = np.random.default_rng(5)
     for _ in range(300):
