@@ -88,7 +88,7 @@ def word_likelihoods(t: Trigrams, model: np.ndarray) -> np.ndarray:
 def fit(logp: np.ndarray, first: np.ndarray, active: np.ndarray, steps: int = STEPS, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """EM of every document's proportions over its active languages. Returns (documents, languages) and log-likelihoods.
 
-    Documents without words are not allowed here. first are the bounds of the documents' words.
+    A document takes at most `steps` steps and ends with the first that moves it by less than 1e-4. Documents without words are not allowed here. first are the bounds of the documents' words.
     """
     docs = len(first) - 1
     doc = np.repeat(np.arange(docs), np.diff(first))
@@ -96,15 +96,23 @@ def fit(logp: np.ndarray, first: np.ndarray, active: np.ndarray, steps: int = ST
     top = np.where(active[doc].T, logp, -np.inf).max(axis=0)
     p = np.exp(np.maximum(logp - top, -60.0)) * active[doc].T
     pi = active / active.sum(axis=1, keepdims=True) if start is None else start * active / np.maximum((start * active).sum(axis=1, keepdims=True), 1e-300)
-    count = np.diff(first)[:, None]
+    # a document stays as it is once its own step is small, so its result does not depend on what shares its batch
+    live, some, bounds, owner = np.arange(docs), p, first, doc
+    open_ = np.ones(docs, dtype=bool)
     for _ in range(steps):
-        joint = p * pi[doc].T
+        now = pi[live]
+        joint = some * now[owner].T
         joint /= np.maximum(joint.sum(axis=0), 1e-300)
-        new = np.stack([np.add.reduceat(row, begin) for row in joint], axis=1) / count
-        moved = np.abs(new - pi).max()
-        pi = new
-        if moved < 1e-4:
+        new = np.stack([np.add.reduceat(row, bounds[:-1]) for row in joint], axis=1) / np.diff(bounds)[:, None]
+        pi[live[open_]] = new[open_]
+        open_ &= np.abs(new - now).max(axis=1) >= 1e-4
+        if not open_.any():
             break
+        if open_.mean() < 0.8:
+            words, bounds = _part(bounds, np.flatnonzero(open_))
+            live, some = live[open_], some[:, words]
+            owner = np.repeat(np.arange(len(live)), np.diff(bounds))
+            open_ = np.ones(len(live), dtype=bool)
     each = np.log(np.maximum((p * pi[doc].T).sum(axis=0), 1e-300)) + top
     return pi, np.add.reduceat(each, begin)
 

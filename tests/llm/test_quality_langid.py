@@ -143,3 +143,17 @@ def test_langid_awkward_rows(spark, tagged):
     kept = g.keep_identified(df)
     assert kept.columns == df.columns and kept.count() == (3 if tagged else 0)
     assert g.identify_languages(df.limit(0)).count() == 0 and g.keep_identified(df.limit(0)).count() == 0
+
+
+def test_a_document_does_not_depend_on_its_batch():
+    rng = np.random.default_rng(9)
+    first = np.concatenate([[0], np.cumsum(rng.integers(1, 60, 40))])
+    logp = rng.normal(-8, 2, (5, first[-1])) + 4 * (np.arange(5)[:, None] == np.repeat(rng.integers(0, 5, 40), np.diff(first)))
+    pi, ll = g.fit(logp, first, np.ones((40, 5), bool))
+    whole = g.infer(logp, first)
+    for i in range(40):
+        part = logp[:, first[i] : first[i + 1]]
+        alone = np.array([0, part.shape[1]])
+        one, l1 = g.fit(part, alone, np.ones((1, 5), bool))
+        assert np.allclose(one[0], pi[i], rtol=0, atol=1e-12) and np.isclose(l1[0], ll[i])
+        assert np.allclose(g.infer(part, alone)[0], whole[i], rtol=0, atol=1e-12)
