@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from potluck.functions.text import let
+
 from .common import cut, drop_cut, fresh
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -15,16 +17,42 @@ DRIVER_CELLS = 200_000
 NONE = "(none)"
 
 
-def topic(text: Column) -> Column:
-    """A coarse kind of text, by what it holds: legal, contact, table, markup or prose."""
+#: topic -> (beginnings of words, marks anywhere in a text); of equal counts the earlier topic wins.
+TOPICS: dict[str, tuple[list[str], list[str]]] = {
+    "legal": ("contract copyright court jurisdiction liabilit licence license permission statute trademark warrant".split(), []),
+    "contact": ("address contact e-mail email phone telephone".split(), ["@"]),
+    "technology": ("algorithm computer database function http server software variable website".split(), []),
+    "finance": ("account bank budget credit invest invoice market payment price tax".split(), []),
+    "health": ("clinic disease doctor hospital medic patient symptom therap".split(), []),
+    "food": ("bake bread cook flour ingredient kitchen recipe sugar".split(), []),
+    "table": ([], [" | "]),
+    "markup": ([], ["***", "###"]),
+}
+OTHERWISE = "prose"
+
+
+def stems_pattern(topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> str:
+    """One pattern whose group 1 is a beginning of a word of any topic, branching on first letters; longer beginnings come first."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted({w for stems, _ in topics.values() for w in stems}, key=lambda w: (w[0], -len(w), w)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "(?:^|[^a-z0-9_])(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+
+
+def topic(text: Column, topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> Column:
+    """The topic with the most of its words and marks in the text, "prose" where there are none. The whole text is read once for all words."""
     t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(t.contains("icense") | t.contains("ICENSE") | t.contains("opyright"), "legal")
-        .when(t.contains("@"), "contact")
-        .when(t.contains(" | "), "table")
-        .when(t.contains("***") | t.contains("###"), "markup")
-        .otherwise("prose")
-    )
+    marks = lambda m: F.floor((F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / len(m)).cast("int")
+
+    def hits(found: Column, stems: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(stems))) if stems else F.lit(0)
+
+    def choose(found: Column) -> Column:
+        scores = F.array(*[sum(map(marks, some), hits(found, stems)) for stems, some in topics.values()])
+        names = F.array(*map(F.lit, topics))
+        return let(scores, lambda n: F.when(F.array_max(n) == 0, OTHERWISE).otherwise(F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))))
+
+    return let(F.regexp_extract_all(F.lower(t), F.lit(stems_pattern(topics)), 1), choose)
 
 
 def uniform(id_column: Column, seed: str) -> Column:
@@ -162,7 +190,8 @@ def sample_to_targets(
     share one decision if they share a cell; a null id hashes as the empty string; an empty
     table gives an empty result; other columns are not read.
     """
-    rows = tagged(docs, id_col, text_col)
+    # the narrow rows are written, so texts are read once
+    rows, _ = cut(tagged(docs, id_col, text_col))
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass"))
     p = cell_probabilities(cells, targets, fraction, iterations, temperature, driver_cells).select(*DIMENSIONS, "p")
     return rows.join(p, list(DIMENSIONS)).where(uniform(F.col("doc_id"), seed) < F.col("p")).select("doc_id", *DIMENSIONS, "n_tokens", "p")
@@ -185,6 +214,21 @@ def sample_documents(docs: DataFrame, **parameters) -> DataFrame:
     return docs.join(p, on).where(uniform(docs[id_col], seed) < p[name]["p"]).drop(name)
 
 
+def topic_sql(topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    t = "coalesce(text, '')"
+    found = f"regexp_extract_all(lower({t}), {quoted(stems_pattern(topics))}, 1)"
+    scores = []
+    for stems, some in topics.values():
+        parts = [f"len(list_filter(found, lambda w: list_contains([{', '.join(map(quoted, stems))}], w)))"] if stems else []
+        scores.append(" + ".join(parts + [f"(length({t}) - length(replace({t}, {quoted(m)}, ''))) // {len(m)}" for m in some]))
+    names = "[" + ", ".join(map(quoted, topics)) + "]"
+    return (
+        f"(SELECT CASE WHEN list_max(n) = 0 THEN {quoted(OTHERWISE)} ELSE ({names})[list_position(n, list_max(n))] END FROM "
+        f"(SELECT [{', '.join(scores)}] AS n FROM (SELECT {found} AS found)))"
+    )
+
+
 def oracle(fraction: float = FRACTION, iterations: int = ITERATIONS, temperature: float = TEMPERATURE, seed: str = SEED) -> str:
     """DuckDB SQL for the rows of sample_to_targets with default targets over documents."""
     steps, last = [], "c0"
@@ -203,9 +247,7 @@ def oracle(fraction: float = FRACTION, iterations: int = ITERATIONS, temperature
     return f"""
 WITH r AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
-    CASE WHEN contains(text, 'icense') OR contains(text, 'ICENSE') OR contains(text, 'opyright') THEN 'legal'
-         WHEN contains(text, '@') THEN 'contact' WHEN contains(text, ' | ') THEN 'table'
-         WHEN contains(text, '***') OR contains(text, '###') THEN 'markup' ELSE 'prose' END AS topic,
+    {topic_sql()} AS topic,
     CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS n_tokens
   FROM documents),
 c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS mass, sum(n_tokens)::DOUBLE AS w FROM r GROUP BY ALL),

@@ -58,6 +58,25 @@ def test_driver_and_distributed_fits_agree(spark):
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-6) for k in a)
 
 
+def test_topics_equal_counting(spark):
+    rng = np.random.default_rng(3)
+    stems = [w for some, _ in x.TOPICS.values() for w in some]
+    bits = [*stems, *(w.title() + "s" for w in stems), "the", "relicense", "x_tax", "(bank)", "@", " | ", "***", "###", "\n", "é", "taxi,tax"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(0, 12)))) for _ in range(400)] + ["", None, "tax tax bank", "doctor bank", "bank doctor"]
+
+    def plain(text):
+        low = (text or "").lower()
+        n = {}
+        for name, (some, marks) in x.TOPICS.items():
+            starts = [i for i in range(len(low)) if i == 0 or not (low[i - 1].isascii() and (low[i - 1].isalnum() or low[i - 1] == "_"))]
+            n[name] = sum(any(low.startswith(w, i) for w in some) for i in starts) + sum((text or "").count(m) for m in marks)
+        best = max(n.values())
+        return next(k for k, v in n.items() if v == best) if best else "prose"
+
+    got = {r["doc_id"]: r["t"] for r in table(spark, texts).select("doc_id", x.topic(F.col("text")).alias("t")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)} and len(set(got.values())) >= 7
+
+
 def test_mixing_awkward_rows(spark):
     rows = [(1, None, None, None, 0), (1, None, None, None, 0), (2, "", "en", "a", 0), (None, "x y", "en", "a", 0), (4, prose(1, 50_000), "en", "a", 0), (5, "x\ty\nz", "en", None, 0)]
     df = clashing(spark.createDataFrame(rows, SCHEMA), "p", "topic", "n_tokens", "mass", "weight", "cell", "_cell", "w")
