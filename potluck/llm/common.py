@@ -6,17 +6,16 @@ tokenised, lower-cased and hashed with numpy and no Python object per word is ma
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from potluck.sources.shared import delete, fresh_path
+
 #: Bytes of text that the vectorised operators look at together (a longer document goes alone).
 CHUNK_BYTES = 1 << 19
 
@@ -28,43 +27,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, set to a temporary one only where unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="potluck-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: Tables that cut has written and that still lie in the shared folder.
+_written: list[str] = []
 
 
 def drop_cut(spark: SparkSession, path: str) -> None:
     """Remove a written table that no later read needs."""
-    _delete(spark, path)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-    except Exception:  # noqa: BLE001  the session is already gone
-        pass
+    delete(spark, path)
+    if path in _written:
+        _written.remove(path)
 
 
 def cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df once to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
+    """Write df once to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
+
+    The table lies there until drop_cut, drop_since or the interpreter's end.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/potluck-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "cut")
     df.write.parquet(path)
-    atexit.register(_delete_at_exit, spark, path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def mark() -> int:
+    """A place among the written tables, for drop_since."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, place: int, keep: str | None = None) -> None:
+    """Remove the tables written since a mark, but for one: what they were needed for has been written itself."""
+    for path in [p for p in _written[place:] if p != keep]:
+        drop_cut(spark, path)
+
+
 def _trimmer():
     try:
         return ctypes.CDLL("libc.so.6").malloc_trim
@@ -126,11 +122,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; a null counts as an empty text."""
     if column.null_count:
         column = column.fill_null("")
-    return utf8_bytes(column)
-
-
-def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column without nulls and its n + 1 offsets."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
