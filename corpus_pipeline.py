@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potluck.llm import bpe, langid, minhash, mixing, secrets
-from potluck.llm.common import cut, table
+from potluck.llm.common import cut, drop_cut, drop_since, mark, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the tokens that the mixing stage keeps.
@@ -70,7 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir))
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        place = mark()
+        docs, path = cut(stage(spark, docs, sf_dir))
+        # the stage is written: neither its own tables nor its predecessor's are read again
+        drop_since(spark, place, path)
+        if before is not None:
+            drop_cut(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
