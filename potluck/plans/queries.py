@@ -7,7 +7,7 @@ author, the whole text both ingredients and instructions.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from potluck.functions.details import normalize_whitespace
 from potluck.functions.text import let, lines, sentences, words
 from potluck.operators import abtest, analyze, export, ingredients, instructions, quality, store
 from potluck.operators.sections import clean_title
+from potluck.sources.shared import fresh_path
 from potluck.sources.tables import read_table, spread
 
 from . import oracle as o
@@ -329,6 +330,26 @@ def _tag_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return named.select("recipe_id", "tag_id"), named.select(F.col("tag_id").alias("id"), "tag_name").distinct()
 
 
+_STORES: dict[tuple[str, str], store.RecipeStore] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> store.RecipeStore:
+    """The documents as a stored collection, saved once per session in the order of their ids, which are kept as epub_section."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit(" Quality_"), F.col("quality"), F.lit(" ")).alias("q"))
+        rows = _scored(spark, sf_dir).join(labels.groupBy("id").agg(F.collect_set("q").alias("q")), "id", "left")
+        tags = F.concat("tags", F.coalesce("q", F.array().cast("array<string>")))
+        s_ = store.RecipeStore(spark, fresh_path(spark, "store"))
+        s_.save(rows.orderBy("id").select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("book", F.lit("")).alias("book"), F.col("id").cast("string").alias("epub_section"), "ingredients", "instructions", "quality_score", tags.alias("tags")))
+        _STORES[key] = s_
+    return _STORES[key]
+
+
+def _id() -> Column:
+    return F.col("epub_section").cast("long").alias("id")
+
+
 _TAGS = (
     "WITH g AS (SELECT doc_id AS id, lang AS tag_name FROM documents UNION SELECT doc_id, source FROM documents UNION "
     "SELECT l.doc_id, 'quality_' || quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id) "
@@ -352,31 +373,28 @@ def min_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_LEVELS + "SELECT id, title, quality_score FROM r WHERE title ILIKE '%the_and%' OR text ILIKE '%the_and%' ORDER BY quality_score DESC, id LIMIT 50")
 def search_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL11 with its limit of 50 best, "_" being wild."""
-    return store.by_quality(store.matching(_scored(spark, sf_dir), "the_and"), 50).select("id", "title", "quality_score")
+    """FIL11 over a store, with its limit of 50 best, "_" being wild."""
+    return _store(spark, sf_dir).search("the_and", 50).select(_id(), "title", "quality_score")
 
 
 @_register(_TAGS + "SELECT DISTINCT id FROM g WHERE tag_name IN ('fr', 'quality_0')")
 def tags_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, tags = _tag_tables(spark, sf_dir)
-    return store.with_any_tag(_recipes(spark, sf_dir), links, tags, ["FR", "quality_0"]).select("id")
+    return _store(spark, sf_dir).query(tags=["FR", "quality_0"], tags_match_all=False).select(_id())
 
 
 @_register(_TAGS + "SELECT id FROM g WHERE tag_name IN ('en', 'quality_1') GROUP BY id HAVING count(DISTINCT tag_name) = 2")
 def tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, tags = _tag_tables(spark, sf_dir)
-    return store.with_all_tags(_recipes(spark, sf_dir), links, tags, ["en", "Quality_1"]).select("id")
+    return _store(spark, sf_dir).query(tags=["en", "Quality_1"]).select(_id())
 
 
 @_register(_TAGS + "SELECT tag_name, count(*) AS count FROM g GROUP BY tag_name")
 def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.tag_counts(*_tag_tables(spark, sf_dir))
+    return _store(spark, sf_dir).list_tags()
 
 
 @_register(_TAGS + "SELECT id, array_to_string(list_sort(list(tag_name)), ',') AS tags FROM g GROUP BY id")
 def tags_per_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_metadata = _recipes(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string"))
-    return store.attach_tags(with_metadata, *_tag_tables(spark, sf_dir)).select("id", F.array_join("tags", ",").alias("tags"))
+    return _store(spark, sf_dir).query().select(_id(), F.array_join("tags", ",").alias("tags"))
 
 
 @_register(
