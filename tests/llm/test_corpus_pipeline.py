@@ -1,11 +1,16 @@
+import base64
 import os
+import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from potluck.llm import bpe, langid, minhash, mixing, secrets
 from potluck.llm import queries as q
 
+from .test_minhash import brute as all_pairs
+from .test_secrets_licenses import brute as secrets_of
 from .util import SCHEMA, clashing, prose
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +43,92 @@ def test_run_equals_the_stages_rows_by_rows(spark):
     assert {r["doc_id"]: r["tokens"] for r in got} == want and all(r["exact"] for r in got)
 
 
+def brute_fit(logp, active):
+    """EM of one document over its active languages."""
+    pi = np.where(active, 1 / active.sum(), 0.0) if active.dtype == bool else active / active.sum()
+    on = pi > 0
+    top = logp[on].max(axis=0)
+    p = np.where(on[:, None], np.exp(np.maximum(logp - top, -60)), 0)
+    for _ in range(langid.STEPS):
+        joint = p * pi[:, None]
+        new = (joint / joint.sum(axis=0)).mean(axis=1)
+        small = np.abs(new - pi).max() < 1e-4
+        pi = new
+        if small:
+            break
+    return pi, (np.log((p * pi[:, None]).sum(axis=0)) + top).sum()
+
+
+def brute_languages(rows):
+    """Ids of the documents whose known languages have a share of 0.3 together: counts with dictionaries, one document after another."""
+
+    def words(text):
+        low = "".join(c.lower() if c.isascii() or (0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7) else c for c in text).encode()
+        return re.findall(rb"[0-9a-z_\x80-\xff]+", low)
+
+    def bucket(a, b, c):
+        h = ((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF
+        return (((h ^ h >> 15) * 0x85EBCA77) & 0xFFFFFFFF) >> 17
+
+    grams = {r["doc_id"]: [[bucket(*x) for x in zip(b"\0" + w[:-1], w, w[1:] + b"\0")] for w in words(r["text"] or "")] for r in rows}
+    names = sorted({r["lang"] for r in rows if r["lang"]})
+    models = []
+    for name in names:
+        n = np.full(langid.BUCKETS, langid.ALPHA)
+        for r in rows:
+            if r["lang"] == name:
+                for w in grams[r["doc_id"]]:
+                    for x in w:
+                        n[x] += 1
+        models.append(np.log(n / n.sum()))
+    models.append(np.full(langid.BUCKETS, -np.log(langid.BUCKETS)))
+    good = set()
+    for i, some in grams.items():
+        if not some:
+            continue
+        logp = np.array([[m[w].sum() for w in some] for m in models])
+        pi, ll = brute_fit(logp, np.ones(len(models), bool))
+        pi = np.where((pi < langid.FLOOR) & (pi < pi.max()), 0, pi)
+        pi, fitted = pi / pi.sum(), False
+        while (pi > 0).sum() > 1:
+            if not fitted:
+                pi, ll = brute_fit(logp, pi)
+                fitted = True
+            less = np.where(pi > 0, pi + 1e-3, 0)
+            less[np.where(pi > 0, pi, np.inf).argmin()] = 0
+            after, score = brute_fit(logp, less)
+            if 2 * (ll - score) > np.log(len(some)):
+                break
+            pi, ll = after, score
+        if np.round(pi, 4)[:-1].sum() >= langid.ACCEPT:
+            good.add(i)
+    return good
+
+
+def test_run_equals_brute_force(spark):
+    """Every stage anew without its operator: plain EM, all pairs, counted windows, SQL and another encoder."""
+    duckdb, tiktoken, pd = pytest.importorskip("duckdb"), pytest.importorskip("tiktoken"), pytest.importorskip("pandas")
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(ranks):
+        pytest.skip("no rank file here")
+    rows = [r.asDict() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    good = brute_languages(rows)
+    rows = [r for r in rows if r["doc_id"] in good]
+    groups = all_pairs({r["doc_id"]: r["text"] for r in rows}, minhash.THRESHOLD)
+    rows = [r for r in rows if groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"]]
+    for r in rows:
+        for a, b, _ in sorted(secrets_of(r["text"]), reverse=True):
+            r["text"] = r["text"][:a] + "[SECRET]" + r["text"][b:]
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows))
+    kept = {x[0] for x in c.sql(mixing.oracle(corpus_pipeline.MIX_FRACTION)).fetchall()}
+    with open(ranks, "rb") as f:
+        usual = tiktoken.Encoding("z", pat_str=bpe.PATTERN, mergeable_ranks={base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}, special_tokens={})
+    want = {r["doc_id"]: usual.encode_ordinary(r["text"]) for r in rows if r["doc_id"] in kept}
+    got = {r["doc_id"]: r["tokens"] for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == want and 50 < len(want) < 200
+
+
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
 
