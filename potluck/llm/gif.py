@@ -245,8 +245,9 @@ def frames_of(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[tuple[int
             saved = target.copy() if disposal == 3 else None
             shown = index[:vh, :vw]
             opaque = (shown != clear_index) & (shown < len(palette))
-            target[opaque, :3] = palette[shown[opaque]]
-            target[opaque, 3] = 255
+            colours = np.full((256, 4), 255, np.uint8)
+            colours[: len(palette), :3] = palette
+            np.copyto(target, colours[shown], where=opaque[..., None])
             some = True
             yield delay, canvas, {2: "background", 3: "previous"}.get(disposal, "keep")
             if disposal == 2:
@@ -273,8 +274,9 @@ def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, int,
 
 def histogram(canvas: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     """Visible pixels per cell of levels ** 3 colours, red slowest."""
-    visible = canvas[canvas[..., 3] > 0][:, :3].astype(np.int64) * levels >> 8
-    return np.bincount((visible[:, 0] * levels + visible[:, 1]) * levels + visible[:, 2], minlength=levels**3)
+    level = np.arange(256) * levels >> 8
+    cell = (level[canvas[..., 0]] * levels + level[canvas[..., 1]]) * levels + level[canvas[..., 2]]
+    return np.bincount(cell[canvas[..., 3] > 0], minlength=levels**3)
 
 
 def encode(width: int, height: int, frames: list[dict], palette: np.ndarray | None = None, loops: int = 0) -> bytes:
