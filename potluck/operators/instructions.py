@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from potluck.functions import vocab as v
 from potluck.sources.dom import HEADERS, Node, list_items
@@ -16,10 +17,13 @@ _PREFIX = re.compile(v.NARRATIVE_PREFIX, re.IGNORECASE)
 _SECTION_HEADS = ["for serving", "for the", "to garnish", "to serve", "you will need", "you'll need"]
 
 
+# every strategy counts in the same paragraphs
+@lru_cache(512)
 def verbs(text: str) -> int:
     return len(_VERBS.findall(text.lower()))
 
 
+@lru_cache(512)
 def measurements(text: str) -> int:
     return len(MEASUREMENT.findall(text))
 

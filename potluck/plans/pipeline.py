@@ -149,6 +149,32 @@ def extract_parts(sections: DataFrame, components: Components = DEFAULT) -> Data
     return sections.select(*_columns(SECTION)).mapInPandas(_extractor(components), EXTRACTED)
 
 
+def _sections_and_parts(components: Components, least: int):
+    components = Components(parser=components.parser, ingredients=components.ingredients, instructions=components.instructions)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = _columns(EXTRACTED)
+        read = components.parser or parse
+        for frame in frames:
+            rows = []
+            for *keys, content in frame.itertuples(index=False):
+                try:
+                    found = [(i, clean_title(title), clean_lines(root), root) for i, (title, root) in enumerate(split_document(read(content if isinstance(content, str) else bytes(content))))]
+                except Exception as e:  # noqa: BLE001  one bad document is no reason to lose the others
+                    rows.append((*keys, 0, *[None] * (len(names) - len(keys) - 2), f"{type(e).__name__}: {e}"))
+                    continue
+                rows += [(*keys, i, title, text, *_parts(root, text, components)) for i, title, text, root in found if len(text) >= least]
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def sections_with_parts(documents: DataFrame, components: Components = DEFAULT, least: int = 0) -> DataFrame:
+    """extract_parts over split_sections in one pass, so markup is parsed once; sections of fewer than `least` characters are left out."""
+    rows = documents.where("content is not null").select("book", "author", "item_name", "item_ordinal", "chapter", "content")
+    return rows.mapInPandas(_sections_and_parts(components, least), EXTRACTED)
+
+
 ZONES = "kind string, ord int, node_pre int, method string, confidence double, field_hints array<string>, context map<string,string>, text string"
 
 
@@ -309,8 +335,12 @@ def extract_from_documents(documents: DataFrame, config: Config | None = None) -
     """Recipes of documents: sections of 100 characters or more that look like a recipe and have ingredients, scored and thresholded."""
     config = config or Config()
     use = config.components
-    sections = split_sections(documents, use).where(F.length("text") >= 100).where((use.validator or is_valid_recipe)(F.col("text"), F.col("title")))
-    parts = extract_parts(config.apply(sections), use)
+    valid = (use.validator or is_valid_recipe)(F.col("text"), F.col("title"))
+    if config.stages:
+        # stages see the sections before anything is extracted from them
+        parts = extract_parts(config.apply(split_sections(documents, use).where(F.length("text") >= 100).where(valid)), use)
+    else:
+        parts = sections_with_parts(documents, use, 100).where(F.length("text") >= 100).where(valid)
     recipes = _assemble(parts, config).where(truthy(F.col("ingredients")))
     return recipes.select(*RECIPE, "item_ordinal", "section_ordinal")
 

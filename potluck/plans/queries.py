@@ -542,7 +542,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register()
 def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ING2, ING12, INS1, INS13, MET6 over all sections of all pages, with ING11, INS12 and MET5 on top."""
-    p = pipeline.extract_parts(pipeline.split_sections(_pages(spark, sf_dir)))
+    p = pipeline.sections_with_parts(_pages(spark, sf_dir))
     a = pipeline.ingredients_with_patterns(F.col("zone_text"), F.col("zone_method"), F.col("zone_confidence"), F.col("zone_count"), F.col("legacy_ingredients"))
     b = pipeline.instructions_with_patterns(F.col("instruction_zones"), F.col("legacy_instructions"))
     c = meta.metadata_with_patterns(F.col("metadata_zone_text"), F.col("metadata_zone_count"), F.col("text"), F.col("title"))

@@ -26,24 +26,34 @@ _CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "classes", "children", "parent", "pre", "post", "sib")
+    """An element. Once its tree is built it does not change, so what lookups ask for again and again is kept."""
+
+    __slots__ = ("tag", "attrs", "classes", "children", "parent", "pre", "post", "sib", "_below", "_raw", "_glued", "_class")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.classes = attrs.get("class", "").split()
         self.children: list[Node | str] = []
         self.pre = self.post = self.sib = 0
+        self._below: list[Node] | None = None
+        self._raw: str | None = None
+        self._glued: str | None = None
+        self._class: str | None = None
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
-    def walk(self) -> Iterator[Node]:
+    def walk(self) -> list[Node]:
         """Descendants in document order."""
-        stack = self.elements()[::-1]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack += n.elements()[::-1]
+        if self._below is None:
+            out = []
+            stack = self.elements()[::-1]
+            while stack:
+                n = stack.pop()
+                out.append(n)
+                stack += n.elements()[::-1]
+            self._below = out
+        return self._below
 
     def find(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
@@ -58,14 +68,22 @@ class Node:
                 stack += x.children[::-1]
 
     def raw(self) -> str:
-        return "".join(self.texts())
+        if self._raw is None:
+            self._raw = "".join(self.texts())
+        return self._raw
 
     def glued(self, separator: str = "") -> str:
         """Stripped text pieces, blank ones left out."""
-        return separator.join(t for t in (x.strip() for x in self.texts()) if t)
+        if separator:
+            return separator.join(t for t in (x.strip() for x in self.texts()) if t)
+        if self._glued is None:
+            self._glued = "".join(x.strip() for x in self.texts())
+        return self._glued
 
     def class_text(self) -> str:
-        return " ".join(self.classes).lower()
+        if self._class is None:
+            self._class = " ".join(self.classes).lower()
+        return self._class
 
     def following(self) -> list[Node]:
         """Element siblings after this one."""
