@@ -1,9 +1,9 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over an inverted index.
 
-The different words of the corpus, each once, are spread over partitions. In a partition they form one symbol
-array, and an inverted index maps every adjacent pair that has a merge to its positions. The merges are
-applied in rank order, each to all of its positions at once; only the two neighbours of a merged
-symbol get new pairs, which enter the index under their own, later rank.
+The different words of a slice of the corpus, but for those a task has met before, form one symbol array. An inverted
+index maps every adjacent pair that has a merge to its positions. The merges are applied in rank order,
+each to all of its positions at once; only the two neighbours of a merged symbol get new pairs, which
+enter the index under their own, later rank.
 """
 
 from __future__ import annotations
@@ -13,21 +13,24 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, POSITION, U64, chunks, cut, env_path, lean, mix, utf8, utf8_bytes
+from .common import GOLDEN, POSITION, U64, chunks, env_path, lean, mix, release, utf8
 
 #: Where the vocabulary lies: a merges file (.json) or a rank file (.tiktoken) of a byte-level BPE.
 VOCABULARY = env_path("POTLUCK_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of texts in a block (a longer text is a block of its own), and of different words that are replayed together.
-BLOCK_BYTES, REPLAY_BYTES = 1 << 20, 4 << 20
+#: Bytes of texts that are cut into words together (a longer text goes alone), and of a slice whose words are replayed together: a merge
+#: costs a step however few words it touches, so large slices cost less.
+BLOCK_BYTES, SLICE_BYTES = 1 << 19, 8 << 20
+#: Words a task remembers with their ids; when it is full it is emptied, which changes no result.
+REMEMBERED = 150_000
 
 
 def _printable() -> dict[str, int]:
@@ -213,15 +216,15 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, np.searchsorted(begin, offsets)
 
 
-def distinct_words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each word, which begin one after another in data, its place among the different ones, and those."""
+def distinct_words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray | None]:
+    """For each word, which begin one after another in data, its place among the different ones, those, and their hashes if no two share one."""
     if not len(begin):
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), [], np.zeros(0, U64)
     length = np.diff(np.append(begin, len(data)))
     within = np.arange(len(data)) - np.repeat(begin, length)
     parts = (data.astype(U64) + U64(1)) * POSITION[within & 4095]
     h = mix(np.add.reduceat(parts, begin) + length.astype(U64) * GOLDEN)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
     # words with one hash are one word only if their bytes are: all are held against those of the first
     source = np.repeat(begin[first][which], length) + within
     raw = data.tobytes()
@@ -229,31 +232,71 @@ def distinct_words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, lis
         ends = begin + length
         place: dict[bytes, int] = {}
         which = np.array([place.setdefault(raw[a:b], len(place)) for a, b in zip(begin.tolist(), ends.tolist())])
-        return which, list(place)
-    return which, [raw[a : a + n] for a, n in zip(begin[first].tolist(), length[first].tolist())]
+        return which, list(place), None
+    return which, [raw[a : a + n] for a, n in zip(begin[first].tolist(), length[first].tolist())], hashes
 
 
-def spread_ids(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts and the bounds of each: word i of all texts is which[i], text j has the words words[j]:words[j + 1]."""
-    n = np.diff(bounds)[which]
+def spread_ids(ids: np.ndarray, begin: np.ndarray, count: np.ndarray, which: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts and the bounds of each: word i is which[i], of which the ids begin at begin[which[i]]; text j has the words words[j]:words[j + 1]."""
+    n = count[which]
     total = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(total[-1]) + np.repeat(bounds[:-1][which] - total[:-1], n)
+    at = np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], n)
     return ids[at], total[words]
 
 
 class Encoder:
-    """Encodes some texts by themselves, with the index over their words."""
+    """Encodes blocks of texts; keeps the ids of words it has met, by their hashes, within REMEMBERED."""
 
     def __init__(self, path: str = VOCABULARY):
-        self.vocabulary = load(path)
+        self.path, self.vocabulary = path, load(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.begin, self.count = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _remember(self, hashes: np.ndarray, words: list[bytes], place: np.ndarray) -> None:
+        """Encode the words of hashes that are not known; word i is words[place[i]]."""
+        at = np.searchsorted(self.known, hashes)
+        new = np.flatnonzero((at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != hashes)) if len(self.known) else np.arange(len(hashes))
+        if not len(new):
+            return
+        ids, bounds = replay([words[i] for i in place[new].tolist()], self.vocabulary)
+        self.known = np.insert(self.known, at[new], hashes[new])
+        self.begin = np.insert(self.begin, at[new], bounds[:-1] + len(self.ids))
+        self.count = np.insert(self.count, at[new], np.diff(bounds))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def blocks(self, some: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block of texts, a UTF-8 buffer with its offsets, all ids, the n + 1 bounds of the texts and whether the ids of each decode to
+        its bytes; the words of all blocks are replayed together."""
+        cut = []
+        for data, offsets in some:
+            begin, words = pretokens(data, offsets)
+            which, different, hashes = distinct_words(data, begin)
+            cut.append((which.astype(np.int32), words, different, hashes))
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        sound = [(hashes, different) for _, _, different, hashes in cut if hashes is not None]
+        if sound:
+            every, first = np.unique(np.concatenate([h for h, _ in sound]), return_index=True)
+            self._remember(every, list(chain.from_iterable(w for _, w in sound)), first)
+        for (data, offsets), (which, words, different, hashes) in zip(some, cut):
+            if hashes is not None:
+                at = np.searchsorted(self.known, hashes)
+                ids, bounds = spread_ids(self.ids, self.begin[at], self.count[at], which, words)
+                # a word is known by its hash: that its ids are those of its bytes shows when they are decoded
+                exact = exact_texts(ids, bounds, data, offsets, self.path)
+                if exact.all():
+                    yield ids, bounds, exact
+                    continue
+            ids, ends = replay(different, self.vocabulary)
+            ids, bounds = spread_ids(ids.astype(np.int32), ends[:-1], np.diff(ends), which, words)
+            yield ids, bounds, exact_texts(ids, bounds, data, offsets, self.path)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 bounds of the texts."""
-        data, offsets = utf8(pa.array(texts, pa.string()))
-        begin, words = pretokens(data, offsets)
-        which, different = distinct_words(data, begin)
-        ids, bounds = replay(different, self.vocabulary)
-        return spread_ids(ids.astype(np.int32), bounds, which, words)
+        return next(self.blocks([utf8(pa.array(texts, pa.string()))]))[:2]
 
 
 def decode(ids, path: str = VOCABULARY) -> str:
@@ -281,113 +324,63 @@ def decode_bytes(ids: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
     return data[out]
 
 
-BLOCKS = "block long, ids array<long>, counts array<int>, which binary, words array<binary>"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block of texts: their ids, the number of words of each, for each word its place among the block's different words, and those."""
-    context = TaskContext.get()
-    block = (context.partitionId() if context else 0) << 32
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for lo, hi in chunks(offsets, BLOCK_BYTES):
-            part = offsets[lo : hi + 1]
-            mine = data[part[0] : part[-1]]
-            begin, words = pretokens(mine, part - part[0])
-            which, different = distinct_words(mine, begin)
-            small = which.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([np.diff(words)], pa.list_(pa.int32())),
-                    pa.array([small], pa.binary()),
-                    pa.array([different], pa.list_(pa.binary())),
-                ],
-                names=["block", "ids", "counts", "which", "words"],
-            )
-            block += 1
-
-
-def _replayer(path: str):
-    """(word, ids, ok) of different words; ok tells that the ids give back the word's bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Array] = []
+def exact_texts(ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
+    """For each text whether its ids decode to its bytes."""
+    back = decode_bytes(ids, path)
+    ends = np.concatenate([[0], np.cumsum(_decoding_table(path)[2][ids])])[bounds]
+    if len(back) == len(data) and (ends == offsets).all() and bool((back == data).all()):
+        return np.ones(len(offsets) - 1, bool)
+    pairs = zip(ends[:-1].tolist(), ends[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
+    return np.array([back[a:b].tobytes() == data[x:y].tobytes() for a, b, x, y in pairs], dtype=bool)
+
+
+def _tokenizer(path: str):
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            for (keys, _, _), (ids, bounds, exact) in zip(held, encoder.blocks([x[1:] for x in held])):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys,
+                        pa.array(np.diff(bounds).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+                        pa.array(exact),
+                    ],
+                    names=["doc_id", "n_tokens", "tokens", "exact"],
+                )
+
         for batch in batches:
-            held.append(batch.column(0))
-            size += batch.column(0).nbytes
-            if size >= REPLAY_BYTES:
-                yield encoded(held)
-                held, size = [], 0
+            data, offsets = utf8(batch.column(1))
+            for lo, hi in chunks(offsets, BLOCK_BYTES):
+                part = offsets[lo : hi + 1]
+                # copies, so that the batch can go
+                held.append((batch.column(0).slice(lo, hi - lo), data[part[0] : part[-1]].copy(), part - part[0]))
+                size += int(part[-1] - part[0])
+                if size >= SLICE_BYTES:
+                    yield from encoded()
+                    held, size = [], 0
+                    release()
         if held:
-            yield encoded(held)
-
-    def encoded(held: list[pa.Array]) -> pa.RecordBatch:
-        column = pa.concat_arrays(held)
-        words = column.to_pylist()
-        ids, bounds = replay(words, load(path))
-        raw = ids.astype(np.int32).tobytes()
-        lengths = np.array(list(map(len, words)))
-        _, _, size = _decoding_table(path)
-        back = np.add.reduceat(np.append(size[ids], 0), bounds[:-1]) * (np.diff(bounds) > 0) if len(words) else lengths
-        ok = back == lengths
-        if ok.all():
-            ok = np.full(len(words), decode_bytes(ids, path).tobytes() == b"".join(words))
-        if not ok.all():
-            ok = np.array([decode_bytes(ids[a:b], path).tobytes() == w for a, b, w in zip(bounds[:-1], bounds[1:], words)])
-        pieces = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        return pa.RecordBatch.from_arrays([column, pa.array(pieces, pa.binary()), pa.array(ok)], names=["word", "ids", "ok"])
-
-    return run
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_tokens, tokens, exact) from (ids, counts, which, found), found being (place, ids, ok) of the block's words."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            counts = batch.column(1)[i].values.to_numpy()
-            raw, found = batch.column(2)[i].as_py(), batch.column(3)[i].values
-            words = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            which = np.frombuffer(raw, np.uint16 if len(raw) == 2 * words[-1] else np.uint32).astype(np.int64)
-            if found is None:
-                ids, bounds, ok = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
-            else:
-                order = np.argsort(found.field(0).to_numpy())
-                data, offsets = utf8_bytes(found.field(1).take(pa.array(order)))
-                ids, bounds, ok = np.frombuffer(data.tobytes(), np.int32), offsets // 4, found.field(2).to_numpy(zero_copy_only=False)[order]
-            tokens, ends = spread_ids(ids, bounds, which, words)
-            bad = np.concatenate([[0], np.cumsum(~ok[which])]) if len(which) else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0)[i].values,
-                    pa.array(np.diff(ends).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens)),
-                    pa.array(bad[words[1:]] == bad[words[:-1]]),
-                ],
-                names=["doc_id", "n_tokens", "tokens", "exact"],
-            )
+            yield from encoded()
+
+    return tokenize
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, tokens, exact) of every document; exact tells that decoding gives back the text's bytes.
 
-    Texts are cut into words in blocks of about BLOCK_BYTES; a block has each different word once. The different words of the
-    whole corpus are then encoded, each once, by merge replay over the index of its partition, and return to their blocks by
-    two joins, on the word and on the block. So a word costs its merges once, however often it occurs, and what is
-    shuffled is a row per block and different word. Ids are those of the usual encoder of the same vocabulary without special tokens.
+    Ids are those of the usual encoder of the same vocabulary without special tokens. A task
+    needs no other task's words, so nothing is shuffled or broadcast at any size.
 
     A null or empty text has no tokens; a null id stays null; repeated rows are encoded each; a
     text of any length is encoded whole; special-token strings are ordinary text; other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks, _ = cut(base.mapInArrow(lean(_blocks), BLOCKS))
-    pairs = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    known = pairs.select("word").distinct().mapInArrow(_replayer(vocabulary), "word binary, ids binary, ok boolean")
-    found = pairs.join(known, "word").groupBy("block").agg(F.collect_list(F.struct("at", F.col("ids").alias("word_ids"), "ok")).alias("found"))
-    whole = blocks.select("block", "ids", "counts", "which").join(found, "block", "left").select("ids", "counts", "which", "found")
-    return whole.mapInArrow(lean(_assemble, 8), "doc_id long, n_tokens long, tokens array<int>, exact boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        lean(_tokenizer(vocabulary)), "doc_id long, n_tokens long, tokens array<int>, exact boolean"
+    )
 
 
 def _detokenizer(path: str):

@@ -232,7 +232,7 @@ def links(bands: DataFrame, signatures: DataFrame, need: int, crowd: int = CROWD
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     rows = bands.join(crowded, "band").select("band", "doc_id", "parts", F.explode(F.when(F.col("doc_id") == F.col("pivot"), every).otherwise(F.array(part))).alias("part"))
     lined = rows.join(signatures, "doc_id").distinct().select("band", "part", "parts", "doc_id", "sig")
-    first = lined.repartition("band", "part").sortWithinPartitions("band", "part", "doc_id").mapInArrow(_verifier(need), "a long, b long, band long")
+    first = lined.repartition("band", "part").sortWithinPartitions("band", "part", "doc_id").mapInArrow(lean(_verifier(need)), "a long, b long, band long")
     first, _ = cut(first)
     near = first.where("b is not null").select("a", "b").distinct()
     odd = first.where("b is null").select("band", F.col("a").alias("doc_id")).distinct()
@@ -243,7 +243,7 @@ def links(bands: DataFrame, signatures: DataFrame, need: int, crowd: int = CROWD
     asking = odd.join(blocks, "band").select("band", block.alias("block"), F.explode(every).alias("part"), F.lit(0).alias("order"), "doc_id")
     asked = bands.join(blocks, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("order"), "doc_id")
     both = asking.union(asked).join(signatures, "doc_id").distinct().select("band", "block", "part", "order", "doc_id", "sig")
-    more = both.repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "order").mapInArrow(_comparer(need), "a long, b long, band long")
+    more = both.repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "order").mapInArrow(lean(_comparer(need)), "a long, b long, band long")
     return near.union(more.select("a", "b")).distinct()
 
 
@@ -315,7 +315,7 @@ def near_duplicate_groups(
     heads = signed.groupBy("sig_hash").agg(F.min("doc_id").alias("head"))
     exact = signed.select("doc_id", "sig_hash").join(heads, "sig_hash").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     firsts = signed.join(heads.select("sig_hash", F.col("head").alias("doc_id")), ["sig_hash", "doc_id"], "left_semi").select("doc_id", "sig")
-    bands, _ = cut(firsts.mapInArrow(_bander(slots, rows_per_band), "band long, doc_id long"))
+    bands, _ = cut(firsts.mapInArrow(lean(_bander(slots, rows_per_band)), "band long, doc_id long"))
     near = links(bands, firsts, need, crowd)
     groups = components(exact.union(near))
     return groups.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))

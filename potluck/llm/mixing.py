@@ -17,42 +17,40 @@ DRIVER_CELLS = 200_000
 NONE = "(none)"
 
 
-#: topic -> (beginnings of words, marks anywhere in a text); of equal counts the earlier topic wins.
+#: topic -> (words, marks anywhere in a text); of equal counts the earlier topic wins.
 TOPICS: dict[str, tuple[list[str], list[str]]] = {
-    "legal": ("contract copyright court jurisdiction liabilit licence license permission statute trademark warrant".split(), []),
-    "contact": ("address contact e-mail email phone telephone".split(), ["@"]),
-    "technology": ("algorithm computer database function http server software variable website".split(), []),
-    "finance": ("account bank budget credit invest invoice market payment price tax".split(), []),
-    "health": ("clinic disease doctor hospital medic patient symptom therap".split(), []),
-    "food": ("bake bread cook flour ingredient kitchen recipe sugar".split(), []),
+    "legal": ("contract copyright court jurisdiction liability licence licensed license licenses permission permissions statute trademark warranties warranty".split(), []),
+    "contact": ("address contact e-mail email mail phone telephone".split(), ["@"]),
+    "technology": ("algorithm computer computers database function http server servers software variable website".split(), []),
+    "finance": ("account accounts bank budget credit invest invoice invoices market markets payment payments price prices tax taxes".split(), []),
+    "health": ("clinic disease diseases doctor doctors hospital medicine patient patients symptoms therapy".split(), []),
+    "food": ("bake bread cook flour ingredients kitchen recipe recipes sugar".split(), []),
     "table": ([], [" | "]),
     "markup": ([], ["***", "###"]),
 }
+#: Marks that end a word are not part of it.
+ENDINGS = ".,;:!?)"
 OTHERWISE = "prose"
 
 
-def stems_pattern(topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> str:
-    """One pattern whose group 1 is a beginning of a word of any topic, branching on first letters; longer beginnings come first."""
-    by_first: dict[str, list[str]] = {}
-    for w in sorted({w for stems, _ in topics.values() for w in stems}, key=lambda w: (w[0], -len(w), w)):
-        by_first.setdefault(w[0], []).append(w[1:])
-    return "(?:^|[^a-z0-9_])(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
-
-
 def topic(text: Column, topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> Column:
-    """The topic with the most of its words and marks in the text, "prose" where there are none. The whole text is read once for all words."""
+    """The topic with the most of its words (each time) and marks (each once) in the text, "prose" where there are none; case does not count.
+
+    The words are looked up in one set, so a text is cut and searched once, however many words the topics have.
+    """
     t = F.coalesce(text, F.lit(""))
-    marks = lambda m: F.floor((F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / len(m)).cast("int")
+    every = sorted({w for words, _ in topics.values() for w in words})
+    bare = F.transform(F.split(F.lower(t), r"\s+"), lambda w: F.rtrim(w, F.lit(ENDINGS)))
 
-    def hits(found: Column, stems: list[str]) -> Column:
-        return F.size(F.filter(found, lambda w: w.isin(stems))) if stems else F.lit(0)
+    def hits(found: Column, words: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(words))) if words else F.lit(0)
 
     def choose(found: Column) -> Column:
-        scores = F.array(*[sum(map(marks, some), hits(found, stems)) for stems, some in topics.values()])
+        scores = F.array(*[sum([F.contains(t, F.lit(m)).cast("int") for m in marks], hits(found, words)) for words, marks in topics.values()])
         names = F.array(*map(F.lit, topics))
         return let(scores, lambda n: F.when(F.array_max(n) == 0, OTHERWISE).otherwise(F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))))
 
-    return let(F.regexp_extract_all(F.lower(t), F.lit(stems_pattern(topics)), 1), choose)
+    return let(F.filter(bare, lambda w: w.isin(every)), choose)
 
 
 def uniform(id_column: Column, seed: str) -> Column:
@@ -157,7 +155,8 @@ def cell_probabilities(
     fitted = fitted.withColumn("f", F.when(F.col("mass") > 0, F.col("weight") / F.col("mass")).otherwise(0.0))
     # the scale by bisection: the expected mass grows with it, and each probe is one aggregate of the cells
     budget = fraction * (fitted.agg(F.sum("mass")).first()[0] or 0)
-    lo, hi = 0.0, 1.0 / max(1e-12, fitted.where("f > 0").agg(F.min("f")).first()[0] or 1.0)
+    smallest = fitted.where("f > 0").agg(F.min("f")).first()[0]
+    lo, hi = 0.0, 1.0 / smallest if smallest else 1.0
     for _ in range(60):
         s = (lo + hi) / 2
         if fitted.agg(F.sum(F.least(F.lit(1.0), F.lit(s) * F.col("f")) * F.col("mass"))).first()[0] >= budget:
@@ -216,16 +215,14 @@ def sample_documents(docs: DataFrame, **parameters) -> DataFrame:
 
 def topic_sql(topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    t = "coalesce(text, '')"
-    found = f"regexp_extract_all(lower({t}), {quoted(stems_pattern(topics))}, 1)"
+    listed = lambda words: "[" + ", ".join(map(quoted, words)) + "]"
     scores = []
-    for stems, some in topics.values():
-        parts = [f"len(list_filter(found, lambda w: list_contains([{', '.join(map(quoted, stems))}], w)))"] if stems else []
-        scores.append(" + ".join(parts + [f"(length({t}) - length(replace({t}, {quoted(m)}, ''))) // {len(m)}" for m in some]))
-    names = "[" + ", ".join(map(quoted, topics)) + "]"
+    for words, marks in topics.values():
+        parts = [f"len(list_filter(ws, lambda w: list_contains({listed(words)}, w)))"] if words else []
+        scores.append(" + ".join(parts + [f"contains(coalesce(text, ''), {quoted(m)})::INTEGER" for m in marks]))
     return (
-        f"(SELECT CASE WHEN list_max(n) = 0 THEN {quoted(OTHERWISE)} ELSE ({names})[list_position(n, list_max(n))] END FROM "
-        f"(SELECT [{', '.join(scores)}] AS n FROM (SELECT {found} AS found)))"
+        f"(SELECT CASE WHEN list_max(n) = 0 THEN {quoted(OTHERWISE)} ELSE ({listed(topics)})[list_position(n, list_max(n))] END FROM (SELECT [{', '.join(scores)}] AS n FROM "
+        f"(SELECT list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: rtrim(w, {quoted(ENDINGS)})) AS ws)))"
     )
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX1, U64, Words, chunks, cut, drop_cut, int64, mix, utf8
+from .common import GOLDEN, MIX1, U64, Words, chunks, cut, drop_cut, int64, lean, mix, utf8
 
 LEAST, K = 50, 17
 #: Starts, and bytes of suffixes, that about leave a worker together.
@@ -363,48 +363,54 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowd_matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, m, rest, n, least, second, doc_id, unit, pos) that come sorted by g, m and rest, with (words, first, other, holders) of each.
+    """Rows (g, m, rest, r1, r2, n, least, second, doc_id, unit, pos) that come sorted by g, m and rest, with (words, first, other, holders) of each.
 
-    A row without doc_id stands for the n documents that have its suffix and no other of the group.
+    A row without doc_id stands for the n documents that have its suffix and no other of the group. Of the suffixes only the last is held.
     """
-    names = ["g", "m", "rest", "doc_id", "unit", "pos", "words", "first", "other", "holders"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 7]
+    names = ["g", "m", "r1", "r2", "doc_id", "unit", "pos", "words", "first", "other", "holders"]
     rows: list[tuple] = []
+    entries: list[Entry] = []
     depths: list[int] = []
+    m_before, rest_before = 0, b""
 
     def pack() -> pa.RecordBatch:
-        entries = [(n, least, second, doc, m + len(rest) // 4) for _, m, rest, n, least, second, doc, _, _ in rows]
-        out = [(g, m, rest, doc, unit, pos, *a) for (g, m, rest, _, _, _, doc, unit, pos), a in zip(rows, stretches(entries, depths)) if a]
-        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=names)
+        out = [(*r, *a) for r, a in zip(rows, stretches(entries, depths)) if a]
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(len(names))], names=names)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and rows[-1][0] != row[0]:
+        for g, m, rest, r1, r2, n, least, second, doc, unit, pos in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and rows[-1][0] != g:
                 yield pack()
-                rows, depths = [], []
-            m, rest = row[1], row[2]
-            depths.append((m + common(rows[-1][2], rest) if m == rows[-1][1] else min(m, rows[-1][1])) if rows else 0)
-            rows.append(row)
+                rows, entries, depths = [], [], []
+            depths.append((m + common(rest_before, rest) if m == m_before else min(m, m_before)) if rows else 0)
+            rows.append((g, m, r1, r2, doc, unit, pos))
+            entries.append((n, least, second, doc, m + len(rest) // 4))
+            m_before, rest_before = m, rest
     if rows:
         yield pack()
 
 
 def _crowded(suffixes: DataFrame) -> DataFrame:
     """The matches of groups that many documents share. Documents with the same suffix, as those that have one passage, are
-    counted before anything is shuffled, so a group costs its different suffixes; the answers go back by a join."""
-    key = ["g", "m", "rest"]
-    alone = suffixes.where("lone")
-    counts = alone.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counted before anything is shuffled, so a group costs its different suffixes; the answers go back by a join.
+    For that a suffix is known by 128 bits of its hashes."""
+    key = ["g", "m", "r1", "r2"]
+    known = suffixes.withColumns({"r1": F.xxhash64("rest"), "r2": F.xxhash64(F.lit(1), "rest")})
+    alone = known.where("lone")
+    counts = alone.groupBy(*key, "rest").agg(F.count(F.lit(1)).alias("n"))
     # Spark keeps the first two rows of each key before the shuffle, too
     place = F.row_number().over(Window.partitionBy(key).orderBy("doc_id"))
     two = alone.select(*key, "doc_id").withColumn("__place", place).where("__place <= 2").groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     none = F.lit(None).cast("long")
-    one_each = counts.join(two, key).select(*key, "n", "least", F.when(F.col("n") > 1, F.col("most")).alias("second"), none.alias("doc_id"), none.alias("unit"), none.alias("pos"))
-    again = suffixes.where(~F.col("lone")).select(*key, F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("least"), none.alias("second"), "doc_id", "unit", "pos")
+    columns = ["g", "m", "rest", "r1", "r2", "n", "least", "second", "doc_id", "unit", "pos"]
+    one_each = counts.join(two, key).withColumns({"second": F.when(F.col("n") > 1, F.col("most")), "doc_id": none, "unit": none, "pos": none})
+    again = known.where(~F.col("lone")).withColumns({"n": F.lit(1).cast("long"), "least": F.col("doc_id"), "second": none})
     found, _ = cut(
-        one_each.union(again).repartition("g").sortWithinPartitions(*key).mapInArrow(
-            _crowd_matcher, "g long, m long, rest binary, doc_id long, unit long, pos long, words long, first long, other long, holders long"
-        )
+        one_each.select(columns)
+        .union(again.select(columns))
+        .repartition("g")
+        .sortWithinPartitions("g", "m", "rest")
+        .mapInArrow(lean(_crowd_matcher), "g long, m long, r1 long, r2 long, doc_id long, unit long, pos long, words long, first long, other long, holders long")
     )
     shared = found.where("pos is null").drop("doc_id", "unit", "pos").join(alone.select(*key, "doc_id", "unit", "pos"), key)
     every = found.where("pos is not null").unionByName(shared.select(*found.columns))
@@ -454,7 +460,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("unit")).where("doc_id is not null and text is not null")
     one = ["doc_id", "unit"]
     spark = docs.sparkSession
-    anchors, at_anchors = cut(base.mapInArrow(_anchors(k, least - k + 1), "h long, doc_id long, unit long, before long"))
+    anchors, at_anchors = cut(base.mapInArrow(lean(_anchors(k, least - k + 1)), "h long, doc_id long, unit long, before long"))
     # anchors that only one document has leave before anything is sorted; a start has its anchor among the next words, so where
     # an anchor has the same words before it everywhere, its starts all follow one word and begin no maximal repeat
     bounds = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "before") for n, f in (("least", F.min), ("most", F.max))]
@@ -463,17 +469,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mine = anchors.join(shared, "h").groupBy(one).agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("differ"), F.col("h"))).alias("edges"))
     mine, at_mine = cut(mine)
     drop_cut(spark, at_anchors)
-    words = base.join(mine.select(one), one, "left_semi").select("doc_id", "text", "unit").mapInArrow(_hasher, "doc_id long, unit long, words binary")
+    words = base.join(mine.select(one), one, "left_semi").select("doc_id", "text", "unit").mapInArrow(lean(_hasher), "doc_id long, unit long, words binary")
     held, at_held = cut(words.groupBy(one).agg(F.min("words").alias("words")).join(mine, one).select(*one, "words", "hs", "edges"))
     drop_cut(spark, at_mine)
-    starts, at_starts = cut(held.mapInArrow(_starts(least, k), "g long, doc_id long, unit long, pos int, before long"))
+    starts, at_starts = cut(held.mapInArrow(lean(_starts(least, k)), "g long, doc_id long, unit long, pos int, before long"))
     # where all starts of a group follow one word, each match goes on to the left: only the others begin a maximal one
     first = starts.groupBy("g").agg(*bounds, F.count(F.lit(1)).alias("n")).where(several & differ).select("g", (F.col("n") > crowd).alias("hot"))
     texts = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("texts"))
     chosen, at_chosen = cut(starts.join(first, "g").groupBy(one).agg(F.collect_list(F.struct("pos", "hot")).alias("at")).join(texts, "doc_id", "left"))
     drop_cut(spark, at_starts)
     whole = held.join(chosen, one).select(*one, "words", "hs", "at", F.coalesce("texts", F.lit(False)).alias("texts"))
-    suffixes, _ = cut(whole.mapInArrow(_suffixes(least, k), "g long, m long, rest binary, doc_id long, unit long, pos long, hot boolean, lone boolean"))
+    suffixes, _ = cut(whole.mapInArrow(lean(_suffixes(least, k)), "g long, m long, rest binary, doc_id long, unit long, pos long, hot boolean, lone boolean"))
     for path in (at_held, at_chosen):
         drop_cut(spark, path)
     each = (
@@ -481,7 +487,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("g", "m", "rest", "doc_id", "unit", "pos")
         .repartition("g")
         .sortWithinPartitions("g", "m", "rest")
-        .mapInArrow(_matcher, "doc_id long, unit long, start_word long, end_word long, other_doc_id long, n_others long")
+        .mapInArrow(lean(_matcher), "doc_id long, unit long, start_word long, end_word long, other_doc_id long, n_others long")
     )
     if not suffixes.where("hot").isEmpty():
         each = each.unionByName(_crowded(suffixes.where("hot")))

@@ -67,7 +67,7 @@ def test_words_equal_the_pattern(texts):
     raw = data.tobytes()
     got = [[raw[x:y].decode() for x, y in zip(begin[lo:hi], ends[lo:hi])] for lo, hi in zip(bounds[:-1], bounds[1:])]
     assert got == [regex.findall(b.PATTERN, t) for t in texts]
-    which, words = b.distinct_words(data, begin)
+    which, words, _ = b.distinct_words(data, begin)
     assert [words[i] for i in which] == [raw[x:y] for x, y in zip(begin, ends)] and len(set(words)) == len(words)
 
 
@@ -78,23 +78,39 @@ def test_every_character_is_of_the_patterns_kind():
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(b, "POSITION", np.zeros(4096, b.U64))  # now words of one length have one hash
     data = np.frombuffer(b"abcdabxy", np.uint8)
-    which, words = b.distinct_words(data, np.array([0, 2, 4, 6]))
-    assert [words[i] for i in which] == [b"ab", b"cd", b"ab", b"xy"]
+    which, words, hashes = b.distinct_words(data, np.array([0, 2, 4, 6]))
+    assert [words[i] for i in which] == [b"ab", b"cd", b"ab", b"xy"] and hashes is None
 
 
 @needs_files
 @pytest.mark.parametrize("size", [1, 60, 1 << 20])
-def test_blocks_change_nothing(spark, monkeypatch, size):
-    """Over many blocks and partitions the tokens are those of the usual encoder."""
+def test_blocks_change_nothing(monkeypatch, size):
+    """Over many blocks and with little memory the tokens are those of the usual encoder."""
     tiktoken = pytest.importorskip("tiktoken")
     usual = tiktoken.Encoding("y", pat_str=b.PATTERN, mergeable_ranks=ranks_of(RANKS[0]), special_tokens={})
     texts = [*TEXTS, *(prose(i, 1 + i % 40, 50) + " it's" * (i % 3) for i in range(120)), None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     monkeypatch.setattr(b, "BLOCK_BYTES", size)
-    parts = [r for p in b._blocks(iter([batch])) for r in p.to_pylist()]
-    assert [i for r in parts for i in r["ids"]] == list(range(len(texts))) and len({r["block"] for r in parts}) == len(parts)
-    got = {r["doc_id"]: r["tokens"] for r in b.tokenize(table(spark, texts).repartition(5)).collect()}
-    assert got == {i: usual.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    monkeypatch.setattr(b, "REMEMBERED", 30)
+    rows = [r for p in b._tokenizer(b.VOCABULARY)(iter([batch])) for r in p.to_pylist()]
+    assert [(r["doc_id"], r["tokens"], r["exact"]) for r in rows] == [(i, usual.encode_ordinary(t) if t else [], True) for i, t in enumerate(texts)]
+
+
+@needs_files
+def test_a_word_with_the_hash_of_a_known_one(monkeypatch):
+    monkeypatch.setattr(b, "POSITION", np.zeros(4096, b.U64))  # words of one length have one hash
+    e, once = b.Encoder(), b.Encoder()
+    assert flat(e, ["abc"]) == flat(once, ["abc"])
+    assert [b.decode(flat(e, [t])[0]) for t in ("xyz", "abc xyz", "abc")] == ["xyz", "abc xyz", "abc"]
+
+
+@needs_files
+def test_exact_is_told_per_text():
+    ids, bounds = b.Encoder().encode(["one", "two", "", "three"])
+    data, offsets = utf8(pa.array(["one", "twx", "", "three"]))
+    assert b.exact_texts(ids, bounds, data, offsets).tolist() == [True, False, True, True]
+    data, offsets = utf8(pa.array(["one", "tw", "", "three"]))
+    assert b.exact_texts(ids, bounds, data, offsets).tolist() == [True, False, True, True]
 
 
 @needs_files
