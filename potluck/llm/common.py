@@ -38,14 +38,26 @@ def drop_cut(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
-def cut(df: DataFrame) -> tuple[DataFrame, str]:
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def cut(df: DataFrame, batch_bytes: int | None = None, codec: str | None = None) -> tuple[DataFrame, str]:
     """Write df once to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
 
-    The table lies there until drop_cut, drop_since or the interpreter's end.
+    With batch_bytes, rows go to the Python workers in batches of about so many bytes: their usual bound is a number of
+    rows, and the JVM holds a batch outside its heap. codec is that of the Parquet files: zstd works on a stream, where the usual
+    one takes buffers of whole pages outside the heap. The table lies there until drop_cut, drop_since or the interpreter's end.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "cut")
-    df.write.parquet(path)
+    usual = spark.conf.get(ARROW_BYTES, None)
+    if batch_bytes is not None:
+        spark.conf.set(ARROW_BYTES, str(batch_bytes))
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        if batch_bytes is not None:
+            spark.conf.set(ARROW_BYTES, usual) if usual is not None else spark.conf.unset(ARROW_BYTES)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 

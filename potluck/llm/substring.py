@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX1, U64, Words, chunks, cut, drop_cut, int64, lean, mix, utf8
+from .common import GOLDEN, MIX1, U64, Words, chunks, drop_cut, int64, lean, mix, utf8
+from .common import cut as written
 
 LEAST, K = 50, 17
 #: Starts, and bytes of suffixes, that about leave a worker together.
@@ -27,6 +29,9 @@ BATCH_STARTS, BATCH_BYTES = 1 << 18, 1 << 23
 #: Places of a group beyond which its equal suffixes are counted first.
 CROWD = 1000
 
+#: Suffixes of one text overlap: zstd takes less disk for them, and no buffers of whole pages.
+cut = partial(written, codec="zstd")
+
 
 def word_hashes(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes, bounds of each row's words) for chunks of a text column."""
@@ -410,7 +415,8 @@ def _crowded(suffixes: DataFrame) -> DataFrame:
         .union(again.select(columns))
         .repartition("g")
         .sortWithinPartitions("g", "m", "rest")
-        .mapInArrow(lean(_crowd_matcher), "g long, m long, r1 long, r2 long, doc_id long, unit long, pos long, words long, first long, other long, holders long")
+        .mapInArrow(lean(_crowd_matcher), "g long, m long, r1 long, r2 long, doc_id long, unit long, pos long, words long, first long, other long, holders long"),
+        BATCH_BYTES,
     )
     shared = found.where("pos is null").drop("doc_id", "unit", "pos").join(alone.select(*key, "doc_id", "unit", "pos"), key)
     every = found.where("pos is not null").unionByName(shared.select(*found.columns))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from potluck.llm import substring as s
-from potluck.llm.common import U64
+from potluck.llm.common import ARROW_BYTES, U64, cut, drop_cut
 
 from .util import clashing, prose, table
 
@@ -234,3 +234,20 @@ def test_longest_beginnings():
             most = max((common(t, u) for u, e in texts if e != d), default=None)
             holding = {e for u, e in texts if e != d and common(t, u) == most}
             assert answer == (None if most is None else (most, min(holding), len(holding)))
+
+
+def test_written_tables_in_small_batches_have_all_rows(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows] * b.num_rows, pa.int64()), b.column(0)], names=["n", "id"])
+
+    df = spark.range(3000).selectExpr("id", "repeat('x', 1000) AS t").coalesce(1).mapInArrow(sizes, "n long, id long")
+    before = spark.conf.get(ARROW_BYTES, None)
+    (few, at), (usual, other) = cut(df, batch_bytes=100_000, codec="zstd"), cut(df)
+    assert spark.conf.get(ARROW_BYTES, None) == before
+    assert max(r["n"] for r in few.collect()) <= 200 and max(r["n"] for r in usual.collect()) == 3000
+    assert sorted(r["id"] for r in few.collect()) == sorted(r["id"] for r in usual.collect()) == list(range(3000))
+    for path in (at, other):
+        drop_cut(spark, path)
