@@ -158,3 +158,10 @@ def test_whole_sample_as_one_section():
     root = parse(RECIPE)
     assert zones.ingredient_zones(root)[0].node.glued("\n") == "2 lbs turkey breasts\n1 tablespoon peanut oil\n1 tsp salt"
     assert legacy_instructions(root).startswith("- Preheat the grill")
+
+
+def test_a_section_takes_all_siblings_after_its_header():
+    page = "<h2>A long section</h2>" + "".join(f"<p>line {i}</p>" for i in range(1500)) + "<h3>Within</h3><h2>Second one</h2><p>x</p><h2>Third one</h2><p>y</p>"
+    found = sections.split_by_headers(parse(page))
+    assert [t for t, _ in found] == ["A long section", "Second one", "Third one"]
+    assert len(clean_lines(found[0][1]).split("\n")) == 1502 and clean_lines(found[1][1]) == "Second one\nx"
