@@ -165,3 +165,8 @@ def test_a_section_takes_all_siblings_after_its_header():
     found = sections.split_by_headers(parse(page))
     assert [t for t, _ in found] == ["A long section", "Second one", "Third one"]
     assert len(clean_lines(found[0][1]).split("\n")) == 1502 and clean_lines(found[1][1]) == "Second one\nx"
+
+
+def test_an_entity_that_breaks_off_is_text():
+    assert clean_lines(parse("<h1>a &amp;&amp</h1><p>x &lt; y &ltz &nosuch; &#38; <a href='?a=1&copy=2'>l</a>")) == "a &&amp\nx < y &ltz &nosuch; &\nl"
+    assert parse("<a href='?a=1&copy=2&amp;b'>l</a>").find("a")[0].attrs["href"] == "?a=1&copy=2&b"
