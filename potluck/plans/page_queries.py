@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from potluck.functions import details
+from potluck.functions import batch, details
 from potluck.functions import metadata as meta
+from potluck.functions.text import six
 from potluck.operators import abtest, analyze, export, quality
 from potluck.operators.store import RecipeStore, tag_counts
 from potluck.sources import epub
@@ -227,8 +228,8 @@ def detected_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(o.levels(o.INGREDIENT_BASE, o.INGREDIENT_PARTS, {"confidence": o.INGREDIENT_SCORE, "line_count": "len(ls)"}))
 def extract_with_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCO12."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", details.with_confidence(F.col("text")).alias("c"))
-    return d.select("doc_id", F.round("c.confidence", 6).alias("confidence"), F.col("c.line_count").cast("double").alias("line_count"))
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", batch.ingredient_scores(F.col("text")).alias("c"))
+    return d.select("doc_id", six(F.col("c.confidence")).alias("confidence"), F.col("c.line_count").cast("double").alias("line_count"))
 
 
 @register(
