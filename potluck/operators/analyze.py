@@ -136,44 +136,143 @@ def _bounds(entry: str, codes: np.ndarray, index: dict[str, int]) -> np.ndarray:
     return 2.0 * (x - np.bitwise_count(v & np.uint64((1 << x) - 1))) / (x + y)
 
 
+class _Tree:
+    """Titles of one length as a tree of their prefixes; a level's nodes are the first titles, in their order, of each prefix."""
+
+    def __init__(self, texts: list[str]):
+        n, y = len(texts), len(texts[0])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, y)
+        self.order = np.lexsort(codes.T[::-1])
+        codes = codes[self.order]
+        known, places = np.unique(codes, return_inverse=True)
+        self.codes, self.index, self.length = places.reshape(n, y), {chr(c): i for i, c in enumerate(known.tolist())}, y
+        self.levels = []  # per level: the character of each node, and where the children of each node of the level above begin and end
+        new, above = np.zeros(n, bool), np.zeros(1, np.int64)
+        new[0] = True
+        for j in range(y):
+            new[1:] |= self.codes[1:, j] != self.codes[:-1, j]
+            starts = np.flatnonzero(new)
+            first = np.searchsorted(starts, above)
+            self.levels.append((self.codes[starts, j], first, np.append(first[1:], len(starts))))
+            above = starts
+
+    def near(self, places: np.ndarray, x: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int] | None:
+        """(name, place of a title, their longest common subsequence) for all of `least` or more, the most that any left-out title could have, and the nodes seen.
+
+        places has a row of bit masks per name of x <= 64 characters. A prefix is left once what it has in common with the name and
+        its remaining length are less than `least`. None if more than `most` nodes are open at a time.
+        """
+        m = len(places)
+        name, node, v = np.arange(m), np.zeros(m, np.int64), np.full(m, np.uint64(0xFFFFFFFFFFFFFFFF))
+        whole = np.uint64((1 << x) - 1)
+        common, missed, seen = np.zeros(m, np.int64), 0, 0
+        for j, (chars, first, end) in enumerate(self.levels):
+            n = end[node] - first[node]
+            total = int(n.sum())
+            if total > most and m > 1:
+                return None
+            seen += total
+            up = np.repeat(np.arange(len(node)), n)
+            child = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + first[node][up]
+            name, v = name[up], v[up]
+            u = v & places[name, chars[child]]
+            v = (v + u) | (v - u)
+            common = x - np.bitwise_count(v & whole).astype(np.int64)
+            best = common + (self.length - j - 1)
+            keep = best >= least
+            if not keep.all():
+                missed = max(missed, int(best[~keep].max()))
+            name, node, v, common = name[keep], child[keep], v[keep], common[keep]
+        return name, node, common, missed, seen
+
+
 def _best_in_blocks(least: float):
-    def one(names: list[str], titles: list[tuple[int, str, str]]) -> Iterator[tuple[str, float, int, str]]:
-        index = {c: i for i, c in enumerate(sorted({c for _, text, _ in titles for c in text}))}
-        codes = np.array([[index[c] for c in text] for _, text, _ in titles], np.int64)
-        ids = np.array([i for i, _, _ in titles])
-        matchers: dict[int, SequenceMatcher] = {}
-        for name in names:
-            bound = _bounds(name, codes, index)
-            some = np.flatnonzero(bound >= least)
+    def search(names: list[str], tree: _Tree, answer, most: int) -> None:
+        """answer(name, [(title, bound)]) says whether a name is done; titles with the longest common subsequences come first."""
+        x, y = len(names[0]), tree.length
+        masks = np.zeros((len(names), len(tree.index) + 1), np.uint64)
+        for k, name in enumerate(names):
+            for i, c in enumerate(name):
+                if c in tree.index:
+                    masks[k, tree.index[c]] |= np.uint64(1 << i)
+        low = next(k for k in range(x + y + 1) if 2.0 * k / (x + y) >= least)
+        jobs = [(np.arange(len(names)), min(x, y))]
+        while jobs:
+            rows, k = jobs.pop()
+            if k < low:
+                continue
+            found = tree.near(masks[rows], x, k, most)
+            if found is None:
+                jobs += [(rows[: len(rows) // 2], k), (rows[len(rows) // 2 :], k)]
+                continue
+            name, node, common, missed, seen = found
+            open_ = np.ones(len(rows), bool)
+            for part in np.split(np.arange(len(name)), np.flatnonzero(np.diff(name)) + 1) if len(name) else []:
+                i = name[part[0]]
+                open_[i] = not answer(int(rows[i]), node[part], 2.0 * common[part] / (x + y), 2.0 * k / (x + y))
+            # where the tree hardly narrows the search, one last look at all that can count; else the next greatest bound
+            wide = seen > len(rows) * len(tree.order) // 4
+            jobs.append((rows[open_], min(k - 1, low if wide else missed) if k > low else low - 1))
+            if not open_.any():
+                jobs.pop()
+
+    def one(names: list[str], ids: np.ndarray, texts: list[str], titles: list[str]) -> Iterator[tuple[str, float, int, str]]:
+        matcher = SequenceMatcher(None, autojunk=True)
+        found: dict[int, tuple[float, int]] = {}
+
+        def best_of(name: str, where: np.ndarray, bound: np.ndarray) -> tuple[float, int]:
             best, at = 0.0, -1
-            for k in some[np.lexsort((ids[some], -bound[some]))].tolist():
+            matcher.set_seq1(name)
+            for k in np.lexsort((ids[where], -bound)).tolist():
                 if bound[k] < best:
                     break
-                m = matchers.get(k)
-                if m is None:
-                    m = matchers[k] = SequenceMatcher(None, "", titles[k][1], autojunk=True)
-                m.set_seq1(name)
-                score = m.ratio()
-                if score >= least and (score > best or (score == best and ids[k] < ids[at])):
-                    best, at = score, k
-            if at >= 0:
-                yield name, best, int(ids[at]), titles[at][2]
+                t = int(where[k])
+                if bound[k] == best and ids[t] > ids[at]:
+                    continue
+                matcher.set_seq2(texts[t])
+                score = matcher.ratio()
+                if score >= least and (score > best or (score == best and ids[t] < ids[at])):
+                    best, at = score, t
+            return best, at
+
+        if len(names[0]) > 64:
+            index = {c: i for i, c in enumerate(sorted({c for text in texts for c in text}))}
+            codes = np.array([[index[c] for c in text] for text in texts], np.int64)
+            for i, name in enumerate(names):
+                bound = _bounds(name, codes, index)
+                some = np.flatnonzero(bound >= least)
+                found[i] = best_of(name, some, bound[some])
+        else:
+            tree = _Tree(texts)
+
+            def answer(i: int, nodes: np.ndarray, bound: np.ndarray, down_to: float) -> bool:
+                best = best_of(names[i], tree.order[nodes], bound)
+                if best[1] >= 0 and best[0] >= down_to:
+                    found[i] = best
+                return i in found
+
+            for at in range(0, len(names), 4096):
+                part = names[at : at + 4096]
+                search(part, tree, lambda i, nodes, bound, down_to, at=at: answer(at + i, nodes, bound, down_to), 1 << 21)
+        for i, (score, t) in found.items():
+            if t >= 0:
+                yield names[i], score, int(ids[t]), titles[t]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for names, titles in zip(frame["names"], frame["titles"]):
-                found = list(one(list(names), [(t["title_id"], t["text"], t["title"]) for t in titles]))
-                yield pd.DataFrame(found, columns=["__a", "score", "title_id", "title"])
+            for names, ids, texts, titles in zip(frame["names"], frame["ids"], frame["texts"], frame["named"]):
+                yield pd.DataFrame(list(one(list(names), np.array(ids, np.int64), list(texts), list(titles))), columns=["__a", "score", "title_id", "title"])
 
     return run
 
 
-def best_matches(entries: DataFrame, titles: DataFrame, least: float = MATCH, block: int = 1024) -> DataFrame:
+def best_matches(entries: DataFrame, titles: DataFrame, least: float = MATCH, block: int = 65536) -> DataFrame:
     """For each entry(entry_id, entry_title) the best title(title_id, title) with a ratio of `least` or more, else null; of equal ones that with the least id.
 
-    Equal normalised titles are an equi-join. The other names meet the titles in blocks of about `block` of one length, as a
-    ratio is at most 2 min / (sum) of the lengths; in a block a bound on every ratio says which pairs need difflib at all,
-    the greatest bounds first, until none can beat the best ratio found.
+    Equal normalised titles are an equi-join. The other names meet the titles in blocks of one length, ranges of about `block`
+    titles in their order, as a ratio is at most 2 min / (sum) of the lengths. In a block a name goes down the tree of prefixes:
+    what a prefix has in common with it bounds the ratio of all titles below, so it sees few of them. The greatest bounds come
+    first, until difflib finds a ratio that no other title can beat.
     """
     a = entries.select("entry_id", "entry_title", normal_title(F.coalesce("entry_title", F.lit(""))).alias("__a"))
     b = titles.select(F.col("title_id").cast("long").alias("title_id"), "title", normal_title(F.coalesce("title", F.lit(""))).alias("text")).where("text <> ''")
@@ -181,20 +280,20 @@ def best_matches(entries: DataFrame, titles: DataFrame, least: float = MATCH, bl
     names = a.select("__a").where("__a <> ''").distinct()
     equal = names.join(b.withColumnRenamed("text", "__a"), "__a").select("__a", F.lit(1.0).alias("score"), "title_id", "title")
     rest = names.join(b.select(F.col("text").alias("__a")), "__a", "left_anti")
-
-    def blocks(df: DataFrame, text: str, entry: Column, to: str) -> DataFrame:
-        sized = df.withColumn(f"{to}_len", F.length(text))
-        parts = sized.groupBy(f"{to}_len").agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
-        place = F.pmod(F.xxhash64(text), F.col("__n")).cast("int").alias(f"{to}_block")
-        return sized.join(parts, f"{to}_len").groupBy(f"{to}_len", place).agg(F.collect_list(entry).alias(to))
-
-    left = blocks(rest, "__a", F.col("__a"), "names")
-    right = blocks(b, "text", F.struct("title_id", "text", "title"), "titles")
+    # a block of names takes a block of titles with it, so there are no more of them than keep the cores busy, or memory asks for
+    some = max(256, min(16384, rest.count() // (4 * entries.sparkSession.sparkContext.defaultParallelism)))
+    sized = rest.withColumn("names_len", F.length("__a"))
+    parts = sized.groupBy("names_len").agg(F.ceil(F.count(F.lit(1)) / some).alias("__n"))
+    place = F.pmod(F.xxhash64("__a"), F.col("__n")).cast("int").alias("names_block")
+    left = sized.join(parts, "names_len").groupBy("names_len", place).agg(F.collect_list("__a").alias("names"))
+    ranges = b.repartitionByRange(max(1, -(-b.count() // block)), F.length("text"), "text").withColumn("titles_block", F.spark_partition_id())
+    right = ranges.groupBy(F.length("text").alias("titles_len"), "titles_block").agg(F.collect_list(F.struct("title_id", "text", "title")).alias("t"))
     share = least / (2 - least)
     lengths = left.select("names_len").distinct().select(
         "names_len", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(F.col("names_len") * share).cast("int")), F.ceil(F.col("names_len") / share).cast("int"))).alias("titles_len")
     )
-    pairs = left.join(lengths, "names_len").join(right, "titles_len").repartition("names_len", "names_block", "titles_len", "titles_block").select("names", "titles")
+    pairs = left.join(lengths, "names_len").join(right, "titles_len").repartition("names_len", "names_block", "titles_len", "titles_block")
+    pairs = pairs.select("names", F.col("t.title_id").alias("ids"), F.col("t.text").alias("texts"), F.col("t.title").alias("named"))
     near = pairs.mapInPandas(_best_in_blocks(least), "__a string, score double, title_id long, title string")
     best = equal.union(near).groupBy("__a").agg(F.max(F.struct("score", (-F.col("title_id")).alias("k"), "title")).alias("m"))
     return a.join(best, "__a", "left").select("entry_id", "entry_title", (-F.col("m.k")).alias("title_id"), F.col("m.title").alias("title"), F.col("m.score").alias("score"))

@@ -341,3 +341,17 @@ def test_cli(spark, shelf, tmp_path, capsys):
     data = json.loads((tmp_path / "r.json").read_text())
     assert data["metadata"]["format_version"] == "1.0" and data["metadata"]["count"] == len(data["recipes"]) > 0
     assert (tmp_path / "r.md").read_text().startswith("# Recipe Collection\n\nTotal Recipes: ")
+
+
+def test_a_name_sees_few_of_many_titles():
+    names, texts = [f"customer{i:06d}" for i in range(0, 9000, 9)], [f"supplier{i:06d}" for i in range(3000)]
+    tree = analyze._Tree(texts)
+    masks = np.zeros((len(names), len(tree.index) + 1), np.uint64)
+    for k, name in enumerate(names):
+        for i, c in enumerate(name):
+            if c in tree.index:
+                masks[k, tree.index[c]] |= np.uint64(1 << i)
+    name, node, common, missed, seen = tree.near(masks, 14, 9, 1 << 21)
+    # exactly those with the same number have three letters and six digits in common
+    assert sorted((names[i][-6:], texts[tree.order[n]][-6:]) for i, n in zip(name, node)) == [(f"{i:06d}",) * 2 for i in range(0, 3000, 9)]
+    assert set(common.tolist()) == {9} and missed == 8 and seen < len(names) * len(texts) // 20
