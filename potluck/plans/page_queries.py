@@ -16,7 +16,7 @@ from potluck.functions.text import six
 from potluck.operators import abtest, analyze, export, quality
 from potluck.operators.store import RecipeStore, tag_counts
 from potluck.sources import epub
-from potluck.sources.dom import clean_lines, list_items, parse
+from potluck.sources.dom import clean_lines, list_items, parse, release
 from potluck.sources.shared import fresh_path
 from potluck.sources.tables import read_table, spread
 from potluck.streaming.ingest import ingest_folder
@@ -152,7 +152,13 @@ def ingredient_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _lines(markup: pd.Series) -> pd.Series:
-    return markup.map(lambda m: clean_lines(parse(m)))
+    def one(m: str) -> str:
+        root = parse(m)
+        text = clean_lines(root)
+        release(root)
+        return text
+
+    return markup.map(one)
 
 
 @register(_choice_sql(shapes.INSTRUCTION_CHOICES, o.INSTRUCTION_BASE, o.INSTRUCTION_PARTS, {"confidence": o.INSTRUCTION_SCORE}, "instruction_score").replace(

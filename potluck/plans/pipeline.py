@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as escaping
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from potluck.operators.instructions import legacy_instructions
 from potluck.operators.sections import clean_title, split_document
 from potluck.operators.zones import ingredient_zones, instruction_zones, legacy_ingredient_zones, metadata_zones
 from potluck.sources import epub
-from potluck.sources.dom import VOID, Node, clean_lines, parse
+from potluck.sources.dom import VOID, Node, clean_lines, parse, release
 
 from .config import DEFAULT, Components, Config
 
@@ -70,22 +71,32 @@ def to_markup(node: Node) -> str:
     return "".join(out)
 
 
+#: Rows that leave a pass over markup together.
+ROWS = 256
+
+
+def framed(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of a few, so that a worker never holds what a whole batch of documents gives."""
+    while part := list(islice(rows, ROWS)):
+        yield pd.DataFrame(part, columns=names)
+
+
 def _splitter(components: Components):
     read = components.parser or parse
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = _columns(SPLIT)
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            rows = []
             for *keys, content in frame.itertuples(index=False):
                 try:
-                    found = [(title, root) for title, root in split_document(read(content if isinstance(content, str) else bytes(content)))]
-                    rows += [(*keys, i, clean_title(title), clean_lines(root), to_markup(root), None) for i, (title, root) in enumerate(found)]
+                    tree = read(content if isinstance(content, str) else bytes(content))
+                    found = split_document(tree)
+                    made = [(*keys, i, clean_title(title), clean_lines(root), to_markup(root), None) for i, (title, root) in enumerate(found)]
+                    release(tree, *(root for _, root in found))
                 except Exception as e:  # noqa: BLE001  one bad document is no reason to lose the others
-                    rows.append((*keys, 0, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=names)
+                    made = [(*keys, 0, None, None, None, f"{type(e).__name__}: {e}")]
+                yield from made
 
-    return split
+    return lambda frames: framed(rows(frames), _columns(SPLIT))
 
 
 def split_sections(documents: DataFrame, components: Components = DEFAULT) -> DataFrame:
@@ -105,12 +116,14 @@ def _text_of(found) -> str | None:
 def _extractor(components: Components):
     components = Components(ingredients=components.ingredients, instructions=components.instructions)  # what a worker needs; the others are columns
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = _columns(EXTRACTED)
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            yield pd.DataFrame([(*keys, text, *_parts(parse(markup), text or "", components)) for *keys, text, markup in frame.itertuples(index=False)], columns=names)
+            for *keys, text, markup in frame.itertuples(index=False):
+                root = parse(markup)
+                yield (*keys, text, *_parts(root, text or "", components))
+                release(root)
 
-    return extract
+    return lambda frames: framed(rows(frames), _columns(EXTRACTED))
 
 
 def _parts(root: Node, text: str, components: Components) -> tuple:
@@ -152,21 +165,24 @@ def extract_parts(sections: DataFrame, components: Components = DEFAULT) -> Data
 def _sections_and_parts(components: Components, least: int):
     components = Components(parser=components.parser, ingredients=components.ingredients, instructions=components.instructions)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = _columns(EXTRACTED)
+    names = _columns(EXTRACTED)
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         read = components.parser or parse
         for frame in frames:
-            rows = []
             for *keys, content in frame.itertuples(index=False):
                 try:
-                    found = [(i, clean_title(title), clean_lines(root), root) for i, (title, root) in enumerate(split_document(read(content if isinstance(content, str) else bytes(content))))]
+                    tree = read(content if isinstance(content, str) else bytes(content))
+                    found = [(i, clean_title(title), clean_lines(root), root) for i, (title, root) in enumerate(split_document(tree))]
                 except Exception as e:  # noqa: BLE001  one bad document is no reason to lose the others
-                    rows.append((*keys, 0, *[None] * (len(names) - len(keys) - 2), f"{type(e).__name__}: {e}"))
+                    yield (*keys, 0, *[None] * (len(names) - len(keys) - 2), f"{type(e).__name__}: {e}")
                     continue
-                rows += [(*keys, i, title, text, *_parts(root, text, components)) for i, title, text, root in found if len(text) >= least]
-            yield pd.DataFrame(rows, columns=names)
+                for i, title, text, root in found:
+                    if len(text) >= least:
+                        yield (*keys, i, title, text, *_parts(root, text, components))
+                release(tree, *(root for *_, root in found))
 
-    return run
+    return lambda frames: framed(rows(frames), names)
 
 
 def sections_with_parts(documents: DataFrame, components: Components = DEFAULT, least: int = 0) -> DataFrame:
@@ -183,17 +199,16 @@ def zone_table(sections: DataFrame, *keys: str, markup_col: str = "markup") -> D
     schema = sections.select(*keys).schema
     finders = {"ingredients": ingredient_zones, "instructions": instruction_zones, "metadata": metadata_zones}
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, *_columns(ZONES)]
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            rows = []
             for *key, markup in frame.itertuples(index=False):
                 root = parse(markup)
                 for kind, f in finders.items():
-                    rows += [(*key, kind, i, z.node.pre, z.method, z.confidence, z.hints, z.context, z.node.glued("\n")) for i, z in enumerate(f(root))]
-                rows += [(*key, "legacy", i, n.pre, None, None, [], {}, n.glued("\n")) for i, n in enumerate(legacy_ingredient_zones(root))]
-            yield pd.DataFrame(rows, columns=names)
+                    yield from [(*key, kind, i, z.node.pre, z.method, z.confidence, z.hints, z.context, z.node.glued("\n")) for i, z in enumerate(f(root))]
+                yield from [(*key, "legacy", i, n.pre, None, None, [], {}, n.glued("\n")) for i, n in enumerate(legacy_ingredient_zones(root))]
+                release(root)
 
+    find = lambda frames: framed(rows(frames), [*keys, *_columns(ZONES)])
     return sections.select(*keys, markup_col).mapInPandas(find, schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", " + ZONES)
 
 
@@ -205,16 +220,16 @@ def strategy_table(sections: DataFrame, *keys: str, markup_col: str = "markup")
     items |= {"paragraph_runs": lambda r, t: ingredients.from_paragraph_runs(r), "cascade": lambda r, t: legacy_ingredients(r, "\n".join(t))}
     steps = {f.__name__: f for f in instructions.CASCADE} | {"cascade": legacy_instructions}
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            rows = []
             for *key, markup in frame.itertuples(index=False):
                 root = parse(markup)
                 lines = clean_lines(root).split("\n")
-                rows += [(*key, "ingredients", n, f(root, lines)) for n, f in items.items()]
-                rows += [(*key, "instructions", n, f(root)) for n, f in steps.items()]
-            yield pd.DataFrame(rows, columns=[*keys, "kind", "strategy", "text"])
+                yield from [(*key, "ingredients", n, f(root, lines)) for n, f in items.items()]
+                yield from [(*key, "instructions", n, f(root)) for n, f in steps.items()]
+                release(root)
 
+    find = lambda frames: framed(rows(frames), [*keys, "kind", "strategy", "text"])
     return sections.select(*keys, markup_col).mapInPandas(find, schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", kind string, strategy string, text string")
 
 

@@ -355,3 +355,24 @@ def test_a_name_sees_few_of_many_titles():
     # exactly those with the same number have three letters and six digits in common
     assert sorted((names[i][-6:], texts[tree.order[n]][-6:]) for i, n in zip(name, node)) == [(f"{i:06d}",) * 2 for i in range(0, 3000, 9)]
     assert set(common.tolist()) == {9} and missed == 8 and seen < len(names) * len(texts) // 20
+
+
+def test_a_pass_over_markup_holds_few_rows_at_a_time(spark):
+    import gc
+
+    import pandas as pd
+
+    from potluck.sources.dom import Node
+
+    markup = "<html><body><section><h2>Golden cake</h2><p>Serves 4</p><ul class='ingredients'><li>2 cups flour</li><li>1 tsp salt</li></ul></section></body></html>"
+    frame = pd.DataFrame([("b", "a", f"p{i}", 0, "c", markup) for i in range(1000)])
+    gc.collect()
+    gc.disable()
+    try:
+        sizes, nodes = [], []
+        for out in pipeline._sections_and_parts(Components(), 0)(iter([frame])):
+            sizes.append(len(out))
+            nodes.append(sum(isinstance(x, Node) for x in gc.get_objects()))
+    finally:
+        gc.enable()
+    assert sum(sizes) == 1000 and max(sizes) <= pipeline.ROWS and max(nodes) < 100
