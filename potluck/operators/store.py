@@ -212,17 +212,21 @@ class RecipeStore:
     def recipe_tags(self) -> DataFrame:
         return self._read("recipe_tags", LINKS)
 
-    def _add(self, make: Callable[[dict, DataFrame], tuple[DataFrame, DataFrame]], key: str | None, count: int) -> int:
-        """Commit a batch. make(state, tags) gives its recipes and (recipe_id, tag_name) with ids from the state on."""
+    def _move(self, name: str, to: str) -> None:
+        (fs, old), (_, new) = self._at(name), self._at(to)
+        if not fs.rename(old, new):
+            raise OSError(f"{name} can't be moved to {to}")
+
+    def _add(self, make: Callable[[dict, str], DataFrame], key: str | None, count: int, undo: Callable[[dict, str], None] | None = None) -> int:
+        """Commit a batch. make(state, folder) puts its recipes there and gives (recipe_id, tag_name), with ids from the state on; undo takes them back."""
         while True:
             number, state = self._manifest()
             if key is not None and key in state["keys"]:
                 return state["keys"][key]
             batch = f"batch-{uuid.uuid4().hex}"
             known = self.tags
-            recipes, wanted = make(state, known)
             folder = lambda name: f"{self.path}/{name}/{batch}"  # noqa: B023, E731
-            recipes.write.parquet(folder("recipes"))
+            wanted = make(state, f"recipes/{batch}")
             new = new_tags(wanted, known)
             new.select((F.monotonically_increasing_id() + F.lit(state["tag_id"])).alias("id"), "tag_name").write.parquet(folder("tags"))
             added = self.spark.read.schema(TAGS).parquet(folder("tags"))
@@ -238,6 +242,8 @@ class RecipeStore:
             }
             if self._commit(number, after):
                 return count
+            if undo:
+                undo(state, f"recipes/{batch}")
             for name in ("recipes", "tags", "recipe_tags"):
                 self._delete(f"{name}/{batch}")
 
@@ -258,19 +264,29 @@ class RecipeStore:
             else:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
         given = F.col("tags") if "tags" in names else F.array().cast("array<string>")
-        if key is not None and key in (done := self._manifest()[1]["keys"]):
-            return done[key]
-        staging = f"_staging-{uuid.uuid4().hex}"
+        _, state = self._manifest()
+        if key is not None and key in state["keys"]:
+            return state["keys"][key]
+        staging, first = f"_staging-{uuid.uuid4().hex}", state["recipe_id"]
+        columns[0] = (F.monotonically_increasing_id() + F.lit(first)).alias("id")
+        # the tags stay beside the recipes in the files, where readers, who ask for the columns of the table, don't see them
         recipes.where("title is not null and book is not null").select(*columns, given.alias("__tags")).write.parquet(f"{self.path}/{staging}")
-        staged = self.spark.read.parquet(f"{self.path}/{staging}")
-        saved = staged.count()
+        saved = self.spark.read.parquet(f"{self.path}/{staging}").count()
+
+        def make(state: dict, folder: str) -> DataFrame:
+            if state["recipe_id"] == first:
+                self._move(staging, folder)
+            else:  # another writer has taken these ids
+                staged = self.spark.read.parquet(f"{self.path}/{staging}")
+                staged.withColumn("id", F.col("id") + F.lit(state["recipe_id"] - first)).write.parquet(f"{self.path}/{folder}")
+            return normal_tags(self.spark.read.parquet(f"{self.path}/{folder}").select("id", "__tags"), "id", "__tags")
 
-        def make(state: dict, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-            numbered = staged.withColumn("id", F.col("id") + F.lit(state["recipe_id"]))
-            return numbered.drop("__tags"), normal_tags(numbered, "id", "__tags")
+        def undo(state: dict, folder: str) -> None:
+            if state["recipe_id"] == first:
+                self._move(folder, staging)
 
         if saved or key is not None:
-            self._add(make, key, saved)
+            self._add(make, key, saved, undo)
         self._delete(staging)
         return saved
 
@@ -278,9 +294,10 @@ class RecipeStore:
         """Link tags to saved recipes from (id, tags); known tags and links are left as they are (JOI9)."""
         none = self.recipes.limit(0)
 
-        def make(state: dict, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-            linked = self.recipe_tags.join(known.withColumnRenamed("id", "tag_id"), "tag_id").select("recipe_id", "tag_name")
-            return none, normal_tags(rows).join(linked, ["recipe_id", "tag_name"], "left_anti")
+        def make(state: dict, folder: str) -> DataFrame:
+            none.write.parquet(f"{self.path}/{folder}")
+            linked = self.recipe_tags.join(self.tags.withColumnRenamed("id", "tag_id"), "tag_id").select("recipe_id", "tag_name")
+            return normal_tags(rows).join(linked, ["recipe_id", "tag_name"], "left_anti")
 
         self._add(make, None, 0)
 

@@ -175,3 +175,27 @@ def test_data_quality(spark):
     r = quality.completeness(df, ["serves"]).first()
     assert tuple(r) == ("serves", 7, 2, 2, 2)
     assert [tuple(x) for x in quality.top_garbage(df, "serves").collect()] == [("abc", 2)]
+
+
+def test_saved_rows_are_written_once_also_when_another_writer_is_faster(spark, tmp_path, monkeypatch):
+    s = RecipeStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a", "b", ["x"]), ("c", "d", ["y", "x"])], "title string, book string, tags array<string>")
+    assert s.save(rows) == 2
+    # the files are those that the rows were first written to, with the tags beside them
+    assert "__tags" in spark.read.parquet(*s.recipes.inputFiles()).columns and "__tags" not in s.recipes.columns
+    real, other = RecipeStore._commit, []
+
+    def late(self, number, content):
+        if not other:
+            other.append(RecipeStore(spark, self.path))
+            monkeypatch.setattr(RecipeStore, "_commit", real)
+            other[0].save(rows)
+            monkeypatch.setattr(RecipeStore, "_commit", late)
+            return False
+        return real(self, number, content)
+
+    monkeypatch.setattr(RecipeStore, "_commit", late)
+    assert s.save(rows) == 2
+    got = [(r["title"], r["tags"]) for r in s.query().collect()]
+    assert sorted(got) == [("a", ["x"])] * 3 + [("c", ["x", "y"])] * 3 and len({r["id"] for r in s.recipes.collect()}) == 6
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("_staging")]
