@@ -313,10 +313,15 @@ def instructions_with_patterns(zones: Column, legacy: Column) -> Column:
     return let(F.array_max(ranked), one)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once per row: filters on it are not pushed below it, where they would compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _assemble(parts: DataFrame, config: Config) -> DataFrame:
     use = config.components
     pattern = ingredients_with_patterns(F.col("zone_text"), F.col("zone_method"), F.col("zone_confidence"), F.col("zone_count"), F.col("legacy_ingredients"), F.col("failure"))
-    df = parts.withColumn("__p", pattern)
+    df = _once(parts, "__p", pattern)
     if use.ingredients:
         ingredients, details = F.col("given_ingredients"), F.lit(None)
     elif config.extraction.use_pattern_extraction:
@@ -332,18 +337,17 @@ def _assemble(parts: DataFrame, config: Config) -> DataFrame:
         fields.append(F.col("ab_test"))
     if config.extraction.use_pattern_extraction and not use.ingredients:
         fields.insert(0, F.struct(details.alias("ingredients")).alias("extraction"))
-    return (
-        df.withColumn("metadata", F.to_json(F.struct(*fields)) if fields else F.lit(None).cast("string"))
-        .withColumn("instructions", F.col("legacy_instructions"))
-        .withColumn("__m", (use.metadata or meta.extract_metadata)(F.col("text"), F.col("title")))
+    df = df.withColumn("metadata", F.to_json(F.struct(*fields)) if fields else F.lit(None).cast("string")).withColumn("instructions", F.col("legacy_instructions"))
+    df = (
+        _once(df, "__m", (use.metadata or meta.extract_metadata)(F.col("text"), F.col("title")))
         .select("*", *[F.col(f"__m.{n}").alias(n) for n in meta.FIELDS])
         .withColumn("raw_content", F.col("text") if config.extraction.include_raw_content else F.lit(None).cast("string"))
         .withColumn("epub_section", F.col("item_name"))
         .withColumn("notes", F.lit(None).cast("string"))
         .withColumn("tags", F.array().cast("array<string>"))
-        .withColumn("quality_score", (use.scorer or scoring.quality)(*[F.col(c) for c in ("ingredients", "instructions", *meta.FIELDS)]).cast("int"))
-        .where(F.col("quality_score") >= (config.extraction.min_quality_score or 0))
     )
+    score = (use.scorer or scoring.quality)(*[F.col(c) for c in ("ingredients", "instructions", *meta.FIELDS)]).cast("int")
+    return _once(df, "quality_score", score).where(F.col("quality_score") >= (config.extraction.min_quality_score or 0))
 
 
 def extract_from_documents(documents: DataFrame, config: Config | None = None) -> DataFrame:

@@ -376,3 +376,10 @@ def test_a_pass_over_markup_holds_few_rows_at_a_time(spark):
     finally:
         gc.enable()
     assert sum(sizes) == 1000 and max(sizes) <= pipeline.ROWS and max(nodes) < 100
+
+
+def test_a_recipe_is_scored_once(spark):
+    """No filter on a score or a text brings a second computation of it."""
+    df = pipeline.extract_from_documents(page(spark, RECIPE))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tablespoon|teaspoon|liter|cup|gram") == 1
