@@ -510,7 +510,7 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     k = F.col("p_partkey")
-    return read_table(spark, sf_dir, "part").select(
+    return spread(read_table(spark, sf_dir, "part")).select(
         k.alias("id"), F.concat("p_name", F.lit(" "), k).alias("title"), F.col("p_brand").alias("book"), none.alias("author"), F.lit('Part "one"').alias("chapter"), F.concat(F.lit("1 cup of Hot Sauce(page "), k, F.lit(")")).alias("ingredients"), none.alias("instructions"), none.alias("notes"),
         F.col("p_size").cast("string").alias("serves"), none.alias("prep_time"), none.alias("cook_time"), F.when(k % 2 == 0, "grill").alias("cooking_method"), none.alias("protein_type"), F.col("p_size").alias("quality_score"), F.array("p_type").alias("tags"),
     )
@@ -536,9 +536,9 @@ def vault_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def export_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK7: the files a vault has on disk, read back."""
-    folder = fresh_path(spark, "vault")
-    export.export_vault(_pages(spark, sf_dir), folder.removeprefix("file://"))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder).where("path not like '%README.md'")
+    folder = fresh_path(spark, "vault").removeprefix("file://")
+    export.export_vault(_pages(spark, sf_dir), folder)
+    found = export.vault_files(spark, folder)
     text = F.col("content").cast("string")
     book = F.regexp_extract(text, r'(?m)^book: "(.*)"$', 1)
     return found.groupBy(book.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.min(F.regexp_extract(text, r"(?m)^(# .*)$", 1)).alias("first_heading"))
